@@ -5,8 +5,10 @@ documents; the whole part is taken from each, the fraction is rounded.  Two
 fractional documents at a time pass words from one to the other, at random and
 without changing the expected copies of either, until one of them is at none or one
 more copy.  Groups of documents reduce to one fractional document each, and a tree
-of further groups reduces those, until a source has one left.  The taken words
-change by the rounding of that last document only.
+of further groups reduces those.  Each source keeps back a few dozen documents for
+the root of its tree, where the larger of a pair always moves towards its nearer
+bound; so the last document left, whose rounding is the error of the whole source,
+is a small one.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source,
 placed last; sources of size 0 have target 0; repeated rows are separate documents;
@@ -27,6 +29,8 @@ MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 #: Documents in a group of the tree, on average.
 FAN_IN = 32
+#: Documents of a source that join at the root, on average.
+RESERVE = 48
 SEED = 8
 
 
@@ -59,7 +63,7 @@ def draw(*what: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *what), 11).cast("double") / float(1 << 53)
 
 
-def settle(units: Column) -> Column:
+def settle(units: Column, root: bool) -> Column:
     """Folds an array of fractional units (doc_id, draw, size, part) into done units and at most one that is left."""
     shape = "struct<doc_id:bigint,draw:bigint,size:bigint,part:double>"
     start = F.struct(F.lit(None).cast(shape).alias("left"), F.array().cast(f"array<{shape}>").alias("done"))
@@ -70,6 +74,8 @@ def settle(units: Column) -> Column:
         mass_a, mass_b = a["part"] * a["size"], b["part"] * b["size"]
         up, down = F.least(room_a, mass_b), F.least(mass_a, room_b)
         gain = draw(a["doc_id"], a["draw"], b["doc_id"], b["draw"]) * (up + down) < down
+        if root:
+            gain = F.when(a["size"] >= b["size"], a["part"] >= 0.5).otherwise(b["part"] < 0.5)
         # the unit that reaches its bound is set to it exactly
         part_a = F.when(gain, F.when(room_a <= mass_b, 1.0).otherwise(a["part"] + up / a["size"])).otherwise(F.when(mass_a <= room_b, 0.0).otherwise(a["part"] - down / a["size"]))
         part_b = F.when(gain, F.when(mass_b <= room_a, 0.0).otherwise(b["part"] - up / b["size"])).otherwise(F.when(room_b <= mass_a, 1.0).otherwise(b["part"] + down / b["size"]))
@@ -90,20 +96,25 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0))).withColumn("part", F.greatest(F.lit(0.0), F.when(F.col("source_size") > 0, exact - whole).otherwise(0.0)))
     per = stored(per.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("docs") / FAN_IN))), "sources")
     source = rows.source.eqNullSafe(per.source)
-    each = rows.join(F.broadcast(per) if small(per) else per, source).select("doc_id", "draw", "size", F.xxhash64(rows.source, F.isnull(rows.source)).alias("source_key"), "source_size", "target", "whole", "part", "groups")
+    each = rows.join(F.broadcast(per) if small(per) else per, source).select("doc_id", "draw", "size", F.xxhash64(rows.source, F.isnull(rows.source)).alias("source_key"), "docs", "source_size", "target", "whole", "part", "groups")
     open_ = (F.col("part") > 0) & (F.col("size") > 0)
     settled = each.where(~open_).select("doc_id", "size", "source_size", "target", F.col("whole").alias("copies"))
-    level = each.where(open_).withColumn("group", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "draw"), F.col("groups")))
+    each = each.where(open_).withColumn("group", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "draw"), F.col("groups")))
+    kept_back = draw(F.lit("reserve"), F.col("doc_id"), F.col("draw")) * F.col("docs") < RESERVE
+    level, reserve = each.where(~kept_back), each.where(kept_back)
     most = per.agg(F.coalesce(F.max("groups"), F.lit(1))).first()[0]
     out = [settled]
     for depth in range(64):
         last = most <= 1
+        if last:
+            level = level.unionByName(reserve).withColumn("group", F.lit(0).cast("long"))
         unit = F.struct(-F.col("size"), "doc_id", "draw", "size", "part")
-        folded = level.groupBy("source_key", "group").agg(F.first("groups").alias("groups"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), settle(F.transform(F.sort_array(F.collect_list(unit)), lambda x: F.struct(x["doc_id"], x["draw"], x["size"], x["part"]))).alias("s"))
-        folded = stored(folded, f"level{depth}")
+        units = F.transform(F.sort_array(F.collect_list(unit)), lambda x: F.struct(x["doc_id"], x["draw"], x["size"], x["part"]))
+        same = [F.first(c).alias(c) for c in ("groups", "docs", "source_size", "target", "whole")]
+        folded = stored(level.groupBy("source_key", "group").agg(*same, settle(units, last).alias("s")), f"level{depth}")
         done = folded.select("source_size", "target", "whole", F.explode("s.done").alias("u"))
         out.append(done.select("u.doc_id", "u.size", "source_size", "target", (F.col("whole") + F.col("u.part").cast("long")).alias("copies")))
-        left = folded.where("s.left is not null").select("source_key", "group", "groups", "source_size", "target", "whole", F.col("s.left.doc_id").alias("doc_id"), F.col("s.left.draw").alias("draw"), F.col("s.left.size").alias("size"), F.col("s.left.part").alias("part"))
+        left = folded.where("s.left is not null").select("source_key", "group", "groups", "docs", "source_size", "target", "whole", F.col("s.left.doc_id").alias("doc_id"), F.col("s.left.draw").alias("draw"), F.col("s.left.size").alias("size"), F.col("s.left.part").alias("part"))
         if last:
             nearest = F.when(F.col("part") >= 0.5, 1).otherwise(0)
             out.append(left.select("doc_id", "size", "source_size", "target", (F.col("whole") + nearest).alias("copies")))
