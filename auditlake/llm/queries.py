@@ -1,8 +1,8 @@
 """The registered queries of this folder and their SQL."""
 
-from auditlake.llm import op8_mixing, op9_quality
+from auditlake.llm import op4_bpe, op5_warc, op8_mixing, op9_quality
 
-QUERIES = {f.__name__: f for f in (op8_mixing.op8_mixing, op9_quality.op9_quality)}
+QUERIES = {f.__name__: f for f in (op4_bpe.op4_bpe, op5_warc.op5_warc, op8_mixing.op8_mixing, op9_quality.op9_quality)}
 
-#: SQL has no seeded draws, trained models or file formats; those queries are tested against brute force instead.
-ORACLE_SQL = {"op9_quality": op9_quality.ORACLE}
+#: SQL has no seeded draws, trained models or tokenizers; those queries are tested against brute force instead.
+ORACLE_SQL = {"op5_warc": op5_warc.ORACLE, "op9_quality": op9_quality.ORACLE}
