@@ -1,10 +1,10 @@
 """The registered queries of this folder and their SQL."""
 
-from auditlake.llm import op10_lm, op2_substrings, op3_fingerprint, op4_bpe, op5_warc, op6_langid, op7_minhash, op8_mixing, op9_quality
+from auditlake.llm import op1_pii, op10_lm, op2_substrings, op3_fingerprint, op4_bpe, op5_warc, op6_langid, op7_minhash, op8_mixing, op9_quality
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_substrings.op2_substrings, op3_fingerprint.op3_fingerprint, op4_bpe.op4_bpe, op5_warc.op5_warc, op6_langid.op6_langid, op7_minhash.op7_minhash, op8_mixing.op8_mixing, op9_quality.op9_quality, op10_lm.op10_lm)
+    for f in (op1_pii.op1_pii, op2_substrings.op2_substrings, op3_fingerprint.op3_fingerprint, op4_bpe.op4_bpe, op5_warc.op5_warc, op6_langid.op6_langid, op7_minhash.op7_minhash, op8_mixing.op8_mixing, op9_quality.op9_quality, op10_lm.op10_lm)
 }
 
 #: SQL has no seeded draws, trained models or tokenizers; those queries are tested against brute force instead.
