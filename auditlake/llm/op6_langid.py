@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.llm.common import U64, Powers, Words, documents, fold, mix, text_steps
 
@@ -133,13 +134,13 @@ def proportions(likelihood: np.ndarray, first: np.ndarray, shift: np.ndarray) ->
     return best, best_value
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """All columns of docs that are given, with lang_pred and score."""
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs that are given, with the prediction and its score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)  # CELLS numbers for each language and order
     names = docs.columns
     d = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    at, schema = names.index("text"), docs.schema.add("lang_pred", "string").add("score", "double")
+    at, schema = names.index("text"), T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def run(batches):
         table, powers = shared.value, Powers(3)
@@ -162,7 +163,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
                 none = ~letter[lo:hi]
                 pred[none], score[none] = UNKNOWN, 0
                 columns = [batch.column(k).slice(lo, hi - lo) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*names, *added])
 
     return d.mapInArrow(run, schema)
 

@@ -11,9 +11,9 @@ bound; so the last document left, whose rounding is the error of the whole sourc
 is a small one.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source,
-placed last; sources of size 0 have target 0; repeated rows are separate documents;
-an empty table gives an empty result; columns other than doc_id, text and source are
-ignored.  All draws are hashes of the document and a seed, so reruns agree.
+placed last; sources of size 0 have target 0; repeated rows are taken together, each as
+often; an empty table gives an empty result; columns other than doc_id, text and source
+are ignored.  All draws are hashes of the document and a seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -34,8 +34,16 @@ RESERVE = 48
 SEED = 8
 
 
+def text_key(text: str | Column = "text") -> Column:
+    """Tells documents of one doc_id apart."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("draw"))
+    """Distinct documents: size, in words, of all `same` rows that repeat one."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), text_key().alias("draw"))
+    return rows.groupBy("doc_id", "source", "draw").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("same"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -64,8 +72,8 @@ def draw(*what: Column) -> Column:
 
 
 def settle(units: Column, root: bool) -> Column:
-    """Folds an array of fractional units (doc_id, draw, size, part) into done units and at most one that is left."""
-    shape = "struct<doc_id:bigint,draw:bigint,size:bigint,part:double>"
+    """Folds an array of fractional units (doc_id, draw, size, same, part) into done units and at most one that is left."""
+    shape = "struct<doc_id:bigint,draw:bigint,size:bigint,same:bigint,part:double>"
     start = F.struct(F.lit(None).cast(shape).alias("left"), F.array().cast(f"array<{shape}>").alias("done"))
 
     def step(state: Column, b: Column) -> Column:
@@ -88,43 +96,44 @@ def settle(units: Column, root: bool) -> Column:
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for each row of docs."""
+    """doc_id, draw (its text_key), size, same, source, source_size, target and copies of each distinct document."""
     rows = stored(sizes(docs), "sizes")
     per = targets(rows)
     exact = F.col("target") / F.col("source_size")
     whole = F.floor(exact + 1e-9)
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0))).withColumn("part", F.greatest(F.lit(0.0), F.when(F.col("source_size") > 0, exact - whole).otherwise(0.0)))
     per = stored(per.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("docs") / FAN_IN))), "sources")
-    source = rows.source.eqNullSafe(per.source)
-    each = rows.join(F.broadcast(per) if small(per) else per, source).select("doc_id", "draw", "size", F.xxhash64(rows.source, F.isnull(rows.source)).alias("source_key"), "docs", "source_size", "target", "whole", "part", "groups")
+    own = ["source", "docs", "source_size", "target", "whole"]
+    sides = F.broadcast(per) if small(per) else per
+    each = rows.join(sides, rows.source.eqNullSafe(per.source)).select("doc_id", "draw", "size", "same", rows.source, F.xxhash64(rows.source, F.isnull(rows.source)).alias("source_key"), *own[1:], "part", "groups")
+    result = ["doc_id", "draw", "size", "same", "source", "source_size", "target", "copies"]
     open_ = (F.col("part") > 0) & (F.col("size") > 0)
-    settled = each.where(~open_).select("doc_id", "size", "source_size", "target", F.col("whole").alias("copies"))
+    settled = each.where(~open_).withColumn("copies", F.col("whole")).select(*result)
     each = each.where(open_).withColumn("group", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "draw"), F.col("groups")))
     kept_back = draw(F.lit("reserve"), F.col("doc_id"), F.col("draw")) * F.col("docs") < RESERVE
     level, reserve = each.where(~kept_back), each.where(kept_back)
     most = per.agg(F.coalesce(F.max("groups"), F.lit(1))).first()[0]
     out = [settled]
+    fields = ["doc_id", "draw", "size", "same", "part"]
     for depth in range(64):
         last = most <= 1
         if last:
             level = level.unionByName(reserve).withColumn("group", F.lit(0).cast("long"))
-        unit = F.struct(-F.col("size"), "doc_id", "draw", "size", "part")
-        units = F.transform(F.sort_array(F.collect_list(unit)), lambda x: F.struct(x["doc_id"], x["draw"], x["size"], x["part"]))
-        same = [F.first(c).alias(c) for c in ("groups", "docs", "source_size", "target", "whole")]
-        folded = stored(level.groupBy("source_key", "group").agg(*same, settle(units, last).alias("s")), f"level{depth}")
-        done = folded.select("source_size", "target", "whole", F.explode("s.done").alias("u"))
-        out.append(done.select("u.doc_id", "u.size", "source_size", "target", (F.col("whole") + F.col("u.part").cast("long")).alias("copies")))
-        left = folded.where("s.left is not null").select("source_key", "group", "groups", "docs", "source_size", "target", "whole", F.col("s.left.doc_id").alias("doc_id"), F.col("s.left.draw").alias("draw"), F.col("s.left.size").alias("size"), F.col("s.left.part").alias("part"))
+        units = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("size"), *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+        same_source = [F.first(c).alias(c) for c in ("groups", *own)]
+        folded = stored(level.groupBy("source_key", "group").agg(*same_source, settle(units, last).alias("s")), f"level{depth}")
+        done = folded.select(*own, F.explode("s.done").alias("u")).select(*own, "u.*")
+        out.append(done.withColumn("copies", F.col("whole") + F.col("part").cast("long")).select(*result))
+        left = folded.where("s.left is not null").select("source_key", "group", "groups", *own, "s.left.*")
         if last:
-            nearest = F.when(F.col("part") >= 0.5, 1).otherwise(0)
-            out.append(left.select("doc_id", "size", "source_size", "target", (F.col("whole") + nearest).alias("copies")))
+            out.append(left.withColumn("copies", F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).select(*result))
             break
         level = left.withColumn("groups", F.ceil(F.col("groups") / FAN_IN)).withColumn("group", F.pmod(F.col("group"), F.col("groups")))
         most = math.ceil(most / FAN_IN)
-    result = out[0]
+    found = out[0]
     for x in out[1:]:
-        result = result.unionByName(x)
-    return result.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
+        found = found.unionByName(x)
+    return found.withColumn("copies", F.col("copies").cast("long"))
 
 
 def small(per: DataFrame, rows: int = 10_000) -> bool:
@@ -132,5 +141,15 @@ def small(per: DataFrame, rows: int = 10_000) -> bool:
     return per.limit(rows + 1).count() <= rows
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    found = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("draw").alias("_mix_draw"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (text_key() == F.col("_mix_draw")) & F.col("source").eqNullSafe(F.col("_mix_source"))
+    return docs.join(found, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir, "doc_id", "text", "source"))
+    found = mix_sources(documents(spark, sf_dir, "doc_id", "text", "source"))
+    each = found.select("*", F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))))
+    size = (F.col("size") / F.col("same")).cast("long")
+    return each.select("doc_id", size.alias("size"), "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * size).alias("taken"), "copies")

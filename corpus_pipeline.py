@@ -1,12 +1,61 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Language identification drops documents without a language, near-duplicate search keeps
+the smallest doc_id of each group, personal data is replaced by marks, sources are mixed
+to their target weights and the result is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.llm.common import shared_path
+from auditlake.llm.op1_pii import find_personal_data, train_tagger
+from auditlake.llm.op4_bpe import encode
+from auditlake.llm.op6_langid import UNKNOWN, learn, predict
+from auditlake.llm.op7_minhash import near_duplicates
+from auditlake.llm.op8_mixing import mixed
+
+#: Documents whose largest language has a smaller share are rejected, as are those without a letter.
+MIN_SHARE = 0.4
+#: Near duplicates share so many percent of their shingles of so many words.
+SHINGLE_WORDS, PERCENT = 5, 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    langs, table = learn(docs.select("doc_id", "text", "lang"))
+    found = predict(docs, langs, table, ("_lang_pred", "_lang_share"))
+    known = F.col("_lang_pred") != UNKNOWN
+    # without labelled rows nothing can be told apart, and only texts without a letter go
+    keep = known & (F.col("_lang_share") >= MIN_SHARE) if langs else F.col("text").rlike(r"\p{L}")
+    return found.where(keep).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, PERCENT).where("kept").select(F.col("doc_id").alias("_kept_id"))
+    # rows that repeat a doc_id are one document
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = find_personal_data(docs, train_tagger(docs), redact=True)
+    if "n_chars" in clean.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return clean
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicate), ("personal_data", personal_data), ("mixing", mixing), ("encoding", encoding)]
 
-STAGES: list = []
+#: Trained models, seeded draws and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
