@@ -2,11 +2,343 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditlake.functions.names import base_name, file_media_type, page_media_type, suffix
+from auditlake.functions.replies import decode_replies
+from auditlake.operators import checklist, extract, rules, scoring
+from auditlake.operators import report as reports
+from auditlake.plans import fixtures as fx
+from auditlake.plans.audit import invoice_audit
+from auditlake.schemas import SUFFIXES
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+MONEY = "CAST({} AS DECIMAL(12,2))".format
+GROSS = f"{MONEY('l_extendedprice')} * (1 - {MONEY('l_discount')}) * (1 + {MONEY('l_tax')})"
+FACTS = f"(SELECT l_orderkey, count(*) AS lines, sum({GROSS}) AS gross, min(l_shipdate) AS first_ship, count(*) FILTER (l_tax = 0) AS untaxed, count(*) - count(DISTINCT l_linenumber) AS repeated FROM lineitem GROUP BY l_orderkey)"
+FINDINGS = f"""(SELECT o_orderkey AS doc_key, rule_id, mandatory, complies FROM (
+ SELECT o_orderkey, unnest([
+  {{'rule_id': 'R002', 'mandatory': true, 'complies': lines IS NOT NULL}},
+  {{'rule_id': 'R003', 'mandatory': true, 'complies': lines IS NULL OR abs({MONEY('o_totalprice')} - gross) <= 0.01}},
+  {{'rule_id': 'R005', 'mandatory': false, 'complies': lines IS NULL OR first_ship >= o_orderdate}},
+  {{'rule_id': 'R008', 'mandatory': false, 'complies': lines IS NULL OR repeated = 0}},
+  {{'rule_id': 'R010', 'mandatory': true, 'complies': lines IS NULL OR untaxed = 0}}], recursive := true)
+ FROM orders LEFT JOIN {FACTS} ON o_orderkey = l_orderkey))"""
+SCORES = f"(SELECT doc_key, bool_and(complies OR NOT mandatory) AS passed, CAST(count(*) FILTER (complies) AS DOUBLE) * 100 / CAST(count(*) AS DOUBLE) AS score FROM {FINDINGS} GROUP BY doc_key)"
+
+
+def report_sql(results: str, title: str, by: str = "") -> str:
+    """results: passed, score and the grouping column."""
+    group, head = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
+    return f"""
+WITH g AS (SELECT {head}count(score) AS n, count(*) FILTER (passed AND score IS NOT NULL) AS ok, coalesce(avg(score), 100.0) AS mean, stddev_samp(score) AS s FROM {results} {group}),
+h AS (SELECT *, round_even(mean, 2) AS overall, CASE WHEN mean >= 80 THEN 'PASS' WHEN mean >= 50 THEN 'REVIEW REQUIRED' ELSE 'FAIL' END AS result,
+  CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 12.5 ELSE 1.96 * s / sqrt(CAST(n AS DOUBLE)) END AS margin FROM g)
+SELECT {head}'{title}' AS audit_title, n AS documents_processed, ok AS documents_passed, n - ok AS documents_failed, overall AS overall_score, result AS overall_result,
+  round_even(greatest(0.0, overall - margin), 2) AS lower, round_even(least(100.0, overall + margin), 2) AS upper,
+  n || ' documents checked, ' || ok || ' passed, result ' || result || '.' AS summary FROM h"""
+
+
+@query(report_sql(SCORES, "Orders as invoices"))
+def overall_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invoice_audit(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "Orders as invoices")
+
+
+flagship = overall_scoring
+
+
+@query(f"SELECT * FROM {FINDINGS}")
+def doc_rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.invoice_findings(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+@query(f"SELECT * FROM {SCORES}")
+def doc_passed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.document_scores(doc_rule_matrix(spark, sf_dir))
+
+
+@query(f"""SELECT coalesce(severity, 'all') AS severity, coalesce(rule_id, 'all') AS rule_id, count(*) AS failures
+FROM {FINDINGS} f JOIN (VALUES ('R002','critical'),('R003','critical'),('R005','medium'),('R008','medium'),('R010','critical')) s(r, severity) ON rule_id = r WHERE NOT complies GROUP BY ROLLUP (severity, rule_id)""")
+def failures_by_rule_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.sources.files import own_rules
+
+    known = checklist.parse_checklist(fx.frame(spark, [("own", own_rules())], "checklist string, text string")).select("rule_id", "severity")
+    failed = doc_rule_matrix(spark, sf_dir).where(~F.col("complies")).join(F.broadcast(known), "rule_id")
+    return failed.rollup("severity", "rule_id").agg(F.count(F.lit(1)).alias("failures")).select(F.coalesce("severity", F.lit("all")).alias("severity"), F.coalesce("rule_id", F.lit("all")).alias("rule_id"), "failures")
+
+
+# ---------------------------------------------------------------- scoring on literal batches
+
+SCORE_ROWS = [(b, i, s) for b, scores in fx.BATCHES.items() for i, s in enumerate(scores or [None])]
+SCORE_SCHEMA = "batch string, pos int, score double"
+
+
+def batches(spark: SparkSession) -> DataFrame:
+    return fx.frame(spark, SCORE_ROWS, SCORE_SCHEMA).withColumn("passed", F.coalesce(F.col("score") >= 80, F.lit(False)))
+
+
+BATCH_SQL = f"(SELECT *, coalesce(score >= 80, false) AS passed FROM {fx.sql(SCORE_ROWS, SCORE_SCHEMA)})"
+
+
+@query(report_sql(BATCH_SQL, "Untitled Audit", "batch"))
+def classify_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.report(batches(spark), "", ("batch",))
+
+
+def one_batch(name: str, batch: str):
+    def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scoring.report(batches(spark).where(F.col("batch") == batch)).select("documents_processed", "overall_score", "lower", "upper")
+
+    interval.__name__ = name
+    inner = report_sql(f"(SELECT * FROM {BATCH_SQL} WHERE batch = '{batch}')", "")
+    query(f"SELECT documents_processed, overall_score, lower, upper FROM ({inner})")(interval)
+
+
+for _name, _batch in (("interval_n0", "none"), ("interval_n1", "one"), ("interval_n2", "apart"), ("interval_n3", "three")):
+    one_batch(_name, _batch)
+
+
+# ---------------------------------------------------------------- checklist, lookup, replies
+
+CHECKLIST_SCHEMA = "checklist string, text string"
+
+
+@query(rf"""
+WITH t AS (SELECT checklist, text, string_split_regex(text, '\n###\s+') AS p FROM {fx.sql(fx.CHECKLISTS, CHECKLIST_SCHEMA)}),
+b AS (SELECT checklist, coalesce(nullif(regexp_extract(text, '\*\*Audit Name:\*\*\s*([^\n]+)', 1), ''), 'Untitled Checklist') AS audit_name,
+  coalesce(nullif(regexp_extract(text, '\*\*Version:\*\*\s*([^\n]+)', 1), ''), '1.0') AS version, unnest(range(1, len(p))) AS ord, p FROM t),
+r AS (SELECT *, p[ord + 1] AS block FROM b),
+f AS (SELECT checklist, audit_name, version, CAST(ord AS INTEGER) AS ord, regexp_extract(block, '^(R\d+):\s*([^\n]+)', 1) AS rule_id, trim(regexp_extract(block, '^(R\d+):\s*([^\n]+)', 2)) AS title,
+  regexp_replace(regexp_extract(block, '(?s)\*\*Description:\*\*\s*(.+)', 1), '^\s+|\s+$', '', 'g') AS description,
+  lower(coalesce(nullif(regexp_extract(block, '\*\*Severity:\*\*\s*(\S+)', 1), ''), 'medium')) AS severity,
+  lower(regexp_extract(block, '\*\*Mandatory:\*\*\s*(\S+)', 1)) = 'true' AS mandatory FROM r)
+SELECT *, severity IN ('critical', 'high', 'medium', 'low') AS valid FROM f WHERE rule_id <> ''""")
+def checklist_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checklist.parse_checklist(fx.frame(spark, fx.CHECKLISTS, CHECKLIST_SCHEMA))
+
+
+RULE_SCHEMA = "ord int, rule_id string, title string, description string, severity string, mandatory boolean"
+ITEM_SCHEMA = "doc_key string, pos int, rule_id string, evidence string, page_number int"
+LOOKUP = f"""(WITH r AS (SELECT rule_id AS id, title, description AS d, severity AS s FROM {fx.sql(fx.RULES, RULE_SCHEMA)} QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ord) = 1)
+SELECT doc_key, pos, coalesce(rule_id, 'unknown') AS rule_id, evidence, page_number, coalesce(title, rule_id, 'unknown') AS rule_title, coalesce(d, '') AS description,
+ CASE WHEN s IN ('critical', 'high', 'medium', 'low') THEN s ELSE 'medium' END AS severity FROM {fx.sql(fx.ITEMS, ITEM_SCHEMA)} i LEFT JOIN r ON coalesce(i.rule_id, 'unknown') = r.id)"""
+
+
+def looked_up(spark: SparkSession) -> DataFrame:
+    return checklist.with_rule(fx.frame(spark, fx.ITEMS, ITEM_SCHEMA), fx.frame(spark, fx.RULES, RULE_SCHEMA))
+
+
+@query(f"SELECT * FROM {LOOKUP}")
+def rule_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return looked_up(spark)
+
+
+@query(f"""SELECT doc_key, string_agg(rule_id || ':' || severity, ',' ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), pos) AS failures FROM {LOOKUP} GROUP BY doc_key""")
+def severity_sorted_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a document's failed rules are as many as the checklist has
+    per = looked_up(spark).groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", "rule_id", "severity"))).alias("items"))
+    return per.select("doc_key", F.array_join(F.transform(checklist.by_severity(F.col("items")), lambda x: F.concat_ws(":", x["rule_id"], x["severity"])), ",").alias("failures"))
+
+
+@query(f"""SELECT doc_key, pos, rule_id || ': ' || rule_title AS rule, upper(severity) AS severity, evidence || CASE WHEN page_number IS NULL THEN '' ELSE ' (p. ' || page_number || ')' END AS evidence FROM {LOOKUP}""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_rows(looked_up(spark))
+
+
+REPLY_SCHEMA = "reply_id string, reply string"
+
+
+@query(f"""
+WITH t AS (SELECT reply_id, regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS x FROM {fx.sql(fx.REPLIES, REPLY_SCHEMA)}),
+u AS (SELECT reply_id, CASE WHEN starts_with(x, '```') THEN regexp_replace(regexp_replace(regexp_replace(x, '^`+|`+$', '', 'g'), '^\\s+|\\s+$', '', 'g'), '^json\\s*', '') ELSE x END AS x FROM t),
+j AS (SELECT reply_id, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN CAST(x AS JSON) END AS j FROM u),
+f AS (SELECT reply_id, j, j->>'$.passed' AS passed, j->>'$.score' AS raw, TRY_CAST(j->>'$.score' AS DOUBLE) AS score, coalesce(j->>'$.remarks', '') AS remarks,
+  list_filter(CAST(coalesce(j->'$.failed_rules', '[]') AS JSON[]), lambda e: json_type(e) = 'OBJECT') AS items FROM j),
+g AS (SELECT *, raw IS NULL OR coalesce(score BETWEEN 0 AND 100, false) AS score_ok,
+  len(list_filter(items, lambda e: (e->>'$.page_number') IS NOT NULL AND TRY_CAST(e->>'$.page_number' AS DOUBLE) IS NULL)) = 0 AS pages_ok FROM f)
+SELECT reply_id, CASE WHEN j IS NULL THEN 'parse_error' WHEN j->>'$.error' IS NOT NULL THEN 'api_error' WHEN NOT score_ok THEN 'invalid_score' WHEN NOT pages_ok THEN 'invalid_page' ELSE 'ok' END AS status,
+  coalesce(lower(passed) IN ('true', '1'), false) AS passed, CASE WHEN j IS NOT NULL AND score_ok THEN coalesce(score, 0.0) ELSE 0.0 END AS score, remarks, CAST(len(items) AS INTEGER) AS n_failed,
+  array_to_string(list_transform(items, lambda e: coalesce(e->>'$.rule_id', 'unknown') || '/' || coalesce(e->>'$.evidence', '') || '/' || coalesce(CAST(CAST(TRY_CAST(e->>'$.page_number' AS DOUBLE) AS INTEGER) AS VARCHAR), '-')), ',') AS failed
+FROM g""")
+def decode_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decode_replies(fx.frame(spark, fx.REPLIES, REPLY_SCHEMA))
+    shown = F.transform("failed_rules", lambda x: F.concat_ws("/", x["rule_id"], x["evidence"], F.coalesce(x["page_number"].cast("string"), F.lit("-"))))
+    return d.select("reply_id", "status", "passed", "score", "remarks", F.size("failed_rules").alias("n_failed"), F.array_join(shown, ",").alias("failed"))
+
+
+PATH_ROWS = [(p,) for p in fx.PATHS]
+
+
+@query(rf"""
+WITH p AS (SELECT path, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) AS ext FROM {fx.sql(PATH_ROWS, 'path string')})
+SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, ext, ext IN {SUFFIXES} AS discovered,
+ CASE WHEN ext = '.pdf' THEN 'image/jpeg' WHEN ext = '.jpg' THEN 'image/jpeg' WHEN ext IN ('.tif', '.tiff') THEN 'image/tiff' WHEN ext IN ('.png', '.jpeg', '.bmp', '.webp') THEN 'image/' || substr(ext, 2) END AS page_media_type,
+ CASE WHEN ext = '.pdf' THEN 'application/pdf' WHEN ext IN ('.png', '.jpg', '.jpeg', '.tiff', '.tif', '.bmp', '.webp') THEN 'image/' || substr(ext, 2) ELSE 'application/octet-stream' END AS media_type FROM p""")
+def mime_and_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fx.frame(spark, PATH_ROWS, "path string").withColumns({"name": base_name(F.col("path")), "ext": suffix(F.col("path"))})
+    return d.withColumns({"discovered": F.col("ext").isin(*SUFFIXES), "page_media_type": page_media_type(F.col("ext")), "media_type": file_media_type(F.col("ext"))})
+
+
+# ---------------------------------------------------------------- rules on the business tables
+
+
+@query(r"""SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) AS BIGINT) AS junk,
+ length(text) >= 50 AND CAST(length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) AS DOUBLE) / length(text) <= 0.1 AS complies FROM documents""")
+def r001_legibility_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.legibility(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def r002_missing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.missing_lines(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+@query(f"""SELECT l_orderkey, count(*) AS lines, count(*) FILTER (off <> 0) AS wrong_lines, CAST(sum(off) AS DOUBLE) AS overstated FROM
+ (SELECT l_orderkey, {MONEY('l_extendedprice')} - {MONEY('l_quantity')} * {MONEY('p_retailprice')} AS off FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY l_orderkey""")
+def r003_line_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.line_amounts(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+@query(f"SELECT o_orderkey, CAST(gross AS DOUBLE) AS gross, CAST({MONEY('o_totalprice')} - gross AS DOUBLE) AS overstated, abs({MONEY('o_totalprice')} - gross) <= 0.01 AS complies FROM orders JOIN {FACTS} ON o_orderkey = l_orderkey")
+def r003_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rollup_amounts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+LINE_SCHEMA, HEAD_SCHEMA = "doc_id string, line string, quantity string, unit_price string, line_total string", "doc_id string, subtotal string, tax string, discount string, grand string"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, count(*) FILTER (CAST(line_total AS DECIMAL(18,2)) <> CAST(quantity AS DECIMAL(18,2)) * CAST(unit_price AS DECIMAL(18,2))) AS wrong_lines, sum(CAST(quantity AS DECIMAL(18,2)) * CAST(unit_price AS DECIMAL(18,2))) AS expected FROM {fx.sql(fx.LINES, LINE_SCHEMA)} GROUP BY doc_id),
+h AS (SELECT doc_id, CAST(subtotal AS DECIMAL(18,2)) AS s, CAST(tax AS DECIMAL(18,2)) AS t, CAST(discount AS DECIMAL(18,2)) AS d, CAST(grand AS DECIMAL(18,2)) AS g FROM {fx.sql(fx.INVOICES, HEAD_SCHEMA)}),
+c AS (SELECT doc_id, wrong_lines, s = expected AS subtotal_ok, abs(t - s / 10) <= 0.01000001 AS tax_ok, g = s + t - d AS grand_ok FROM h JOIN l USING (doc_id))
+SELECT *, wrong_lines = 0 AND subtotal_ok AND tax_ok AND grand_ok AS complies FROM c""")
+def r003_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = lambda d, *names: d.withColumns({c: F.col(c).cast("decimal(18,2)") for c in names})
+    lines = exact(fx.frame(spark, fx.LINES, LINE_SCHEMA), "quantity", "unit_price", "line_total")
+    heads = exact(fx.frame(spark, fx.INVOICES, HEAD_SCHEMA), "subtotal", "tax", "discount", "grand").withColumn("rate", F.lit(10))
+    return rules.invoice_arithmetic(lines, heads)
+
+
+@query("""SELECT o_orderkey, count(*) AS early_lines, CAST(max(date_diff('day', CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE))) AS BIGINT) AS most_days
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate GROUP BY o_orderkey""")
+def r005_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.date_order(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1990-01-01' AND o_orderdate < TIMESTAMP '2001-01-01')")
+def r005_audit_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.outside_period(table(spark, sf_dir, "orders"), "1990-01-01", "2001-01-01")
+
+
+@query("""SELECT doc_id, array_to_string(signs, '') AS signs, len(signs) = 1 OR regexp_matches(text, '(?i)(conversion|exchange) rate') AS complies FROM
+ (SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(text, '[$€£¥₹]'))) AS signs FROM documents) WHERE len(signs) > 0""")
+def r006_currency_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.currencies(table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT coalesce(r_name, '?') AS region, count(*) AS invoices, count(*) FILTER (coalesce(c_name <> '', false) AND n_name IS NOT NULL AND r_name IS NOT NULL) AS complete
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def r007_party_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.parties(*(table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region")))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS uses FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def r008_duplicate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.repeated_numbers(table(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT DISTINCT l_orderkey AS after FROM lineitem WHERE l_orderkey + 1 NOT IN (SELECT l_orderkey FROM lineitem) AND l_orderkey < (SELECT max(l_orderkey) FROM lineitem)")
+def r008_sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.number_gaps(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("number")))
+
+
+@query(f"""SELECT l_tax, count(*) AS lines, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(net * {MONEY('l_tax')}) AS DOUBLE) AS tax, l_tax > 0 AS taxed
+ FROM (SELECT l_tax, {MONEY('l_extendedprice')} * (1 - {MONEY('l_discount')}) AS net FROM lineitem) GROUP BY l_tax""")
+def r010_tax_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.tax_breakdown(table(spark, sf_dir, "lineitem"))
+
+
+TEXT_SCHEMA = "doc_id int, document_type string, document_number string, text string"
+TEXT_SQL = f"""(SELECT doc_id, rule_id, complies FROM (SELECT doc_id, unnest([
+ {{'rule_id': 'R004', 'complies': document_type NOT IN ('contract', 'certificate', 'delivery_challan') OR regexp_matches(t, 'signed by|signature:')}},
+ {{'rule_id': 'R006', 'complies': len(list_distinct(regexp_extract_all(text, '[$€£¥₹]'))) <= 1 OR regexp_matches(t, '(conversion|exchange) rate')}},
+ {{'rule_id': 'R007', 'complies': document_type NOT IN ('invoice', 'purchase_order') OR (regexp_matches(t, '[0-9]+ [a-z]+ (street|road|avenue)') AND regexp_matches(t, 'tax id'))}},
+ {{'rule_id': 'R009', 'complies': document_type NOT IN ('invoice', 'purchase_order') OR regexp_matches(t, 'net [0-9]+|due (on|by|date)')}},
+ {{'rule_id': 'R011', 'complies': NOT regexp_matches(t, '(miscellaneous|various items|sundries)')}}], recursive := true)
+ FROM (SELECT *, lower(text) AS t FROM {fx.sql(fx.TEXTS, TEXT_SCHEMA)})))"""
+
+
+def text_rule(name: str, *ids: str):
+    def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rules.text_findings(fx.frame(spark, fx.TEXTS, TEXT_SCHEMA)).where(F.col("rule_id").isin(*ids))
+
+    findings.__name__ = name
+    query(f"SELECT * FROM {TEXT_SQL} WHERE rule_id IN ({', '.join(map(fx.literal, ids))})")(findings)
+
+
+for _name, _id in (("r004_text", "R004"), ("r006_text", "R006"), ("r007_text", "R007"), ("r009_text", "R009"), ("r011_text", "R011")):
+    text_rule(_name, _id)
+
+
+@query(f"""WITH d AS {fx.sql(fx.TEXTS, TEXT_SCHEMA)}, w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'attached ([A-Z]+-[0-9]+)', 1))) AS wanted FROM d)
+SELECT doc_id, wanted FROM w WHERE wanted NOT IN (SELECT document_number FROM d)""")
+def r012_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.missing_attachments(fx.frame(spark, fx.TEXTS, TEXT_SCHEMA))
+
+
+@query(f"SELECT document_number, count(*) AS uses FROM {fx.sql(fx.TEXTS, TEXT_SCHEMA)} GROUP BY 1 HAVING count(*) > 1")
+def r008_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, fx.TEXTS, TEXT_SCHEMA).groupBy("document_number").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+
+
+@query(r"""SELECT quality, complies, count(*) AS documents FROM (SELECT doc_id, length(text) >= 50 AND CAST(length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) AS DOUBLE) / length(text) <= 0.1 AS complies FROM documents) JOIN labels USING (doc_id) GROUP BY 1, 2""")
+def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.label_agreement(rules.legibility(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+@query(f"""SELECT run_id, doc_key, CAST(row_number() OVER (PARTITION BY run_id ORDER BY doc_key) AS INTEGER) AS no FROM (SELECT 'batch' AS run_id, path AS doc_key FROM {fx.sql(PATH_ROWS, 'path string')})""")
+def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.numbered(fx.frame(spark, PATH_ROWS, "path string").select(F.lit("batch").alias("run_id"), F.col("path").alias("doc_key")))
+
+
+@query("SELECT s.file AS document_name, 'ok' AS status, true AS passed, 100.0::DOUBLE AS score FROM (VALUES ('documents.parquet')) s(file) WHERE false")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data folder holds tables and no business documents, so the scan finds none."""
+    from auditlake.sources.files import scan_folder
+
+    files = scan_folder(spark, sf_dir)
+    d = decode_replies(extract.extracted(files, lambda path, content: '{"passed": true, "score": 100}'))
+    return d.select(base_name(F.col("doc_key")).alias("document_name"), "status", "passed", "score")
+
+
+@query("SELECT 'page-' || page_id AS doc_key, 'ok' AS status, octet_length(encode(coalesce(html, ''))) > 2000 AS passed, CAST(least(100, octet_length(encode(coalesce(html, ''))) // 100) AS DOUBLE) AS score FROM pages")
+def extractor_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the place of files, read by a function that judges their size."""
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+
+    def read(path: str, content: bytes) -> str:
+        return f'{{"passed": {str(len(content) > 2000).lower()}, "score": {min(100, len(content) // 100)}}}'
+
+    return decode_replies(extract.extracted(files, read)).select("doc_key", "status", "passed", "score")
