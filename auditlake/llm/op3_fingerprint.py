@@ -37,6 +37,8 @@ RATIO = 1.25
 RUNG = 8
 #: Documents in a stretch of ids that is put in order together, on average.
 STRETCH = 2_000
+#: Stretches at most; beyond, they grow.
+STRETCHES = 100_000
 
 
 def rungs(n: int) -> np.ndarray:
@@ -130,45 +132,49 @@ def likeness(a: str, b: str) -> float:
     return min(agreed(start, start_b, ladder) + agreed(end, end_b, ladder), shortest) / longest
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
-    """Rows dealt into stretches of consecutive ids, each with the first row of the next stretch at its end.
+FIRST = -(1 << 63)
 
-    The limits of the stretches are approximate quantiles of doc_id: as many numbers as
-    there are stretches.  A row that starts a stretch is sent to two of them.
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows dealt into stretches of consecutive ids, each with the first rows of the next stretch at its end.
+
+    The limits of the stretches are approximate quantiles of doc_id, STRETCHES numbers at
+    most; tasks find a row's stretch among them by binary search.  A row that starts a
+    stretch is sent to two of them.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = d.select("doc_id")
-    n = ids.count()
-    parts = max(1, n // STRETCH)
-    limits = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    limits = [int(x) for x in limits]
-    # the number of limits at or below doc_id; nulls come first
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(below(F.col("doc_id"), limits))
-    heads = ids.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("head")).orderBy("part").collect()  # a row for each stretch
-    filled = [r["part"] for r in heads]
-    before = {h: filled[k - 1] for k, h in enumerate(filled)}
-    pairs = spark.createDataFrame([(r["part"], r["head"], before[r["part"]]) for r in heads] or [(0, 0, 0)], "part int, head long, before int")
-    rows = d.withColumn("part", part.cast("int")).join(F.broadcast(pairs), "part")
-    is_head = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")
-    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("before").alias("part"), F.lit(1).alias("guest"))
-    rows = rows.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("to"))
-    return rows.select("to.part", "to.guest", "doc_id", "text"), len(filled)
-
-
-def below(column, limits: list[int]):
-    """How many of the sorted limits are at most the value, by a balanced tree of comparisons in blocks."""
-    if not limits:
-        return F.lit(0)
-    block = max(1, int(len(limits) ** 0.5))
-    out = F.lit(0)
-    coarse = limits[block - 1 :: block]
-    for k in range(len(coarse), -1, -1):
-        lo = k * block
-        inside = sum((F.when(column >= x, 1).otherwise(0) for x in limits[lo : lo + block]), F.lit(0)) + lo
-        out = inside if k == len(coarse) else F.when(column < coarse[k], inside).otherwise(out)
-    return out
+    parts = min(STRETCHES, max(1, ids.count() // STRETCH))
+    cuts = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    limits = np.array(sorted({int(x) for x in cuts}), np.int64)
+    part_of = lambda column: np.searchsorted(limits, column.to_numpy(), "right").astype(np.int32)
+
+    def first_ids(batches):
+        low: dict[int, int] = {}
+        for batch in batches:
+            part, doc_id = part_of(batch.column(0)), batch.column(0).to_numpy()
+            for p in np.unique(part).tolist():
+                low[p] = min(low.get(p, 1 << 63), int(doc_id[part == p].min()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int32()), pa.array(list(low.values()), pa.int64())], ["part", "head"])
+
+    heads = ids.mapInArrow(first_ids, "part int, head long").groupBy("part").agg(F.min("head").alias("head")).orderBy("part").collect()  # a row for each stretch
+    filled = np.array([r["part"] for r in heads], np.int64)
+    head = np.array([r["head"] for r in heads], np.int64)
+
+    def deal(batches):
+        for batch in batches:
+            part, doc_id = part_of(batch.column(0)), batch.column(0).to_numpy()
+            # of the stretches that hold rows, the one before; before the first comes the last
+            at = np.searchsorted(filled, part)
+            starts = np.flatnonzero(doc_id == head[at])
+            rows = np.concatenate([np.arange(len(part)), starts])
+            to = np.concatenate([part, filled[at[starts] - 1]]).astype(np.int32)
+            guest = (np.arange(len(rows)) >= len(part)).astype(np.int32)
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(guest), taken.column(0), taken.column(1)], ["part", "guest", "doc_id", "text"])
+
+    return d.mapInArrow(deal, "part int, guest int, doc_id long, text string"), len(filled)
 
 
 def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
@@ -188,10 +194,10 @@ def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
             prints[following] = hasher.fingerprint(following)
             changed = hasher.fingerprint(edited)
             made = hashlib.sha256(edited.encode()).hexdigest() if digests else edited
-            return doc_id, len(text), made, own, changed, likeness(own, changed), likeness(own, prints[following])
+            return None if doc_id == FIRST else doc_id, len(text), made, own, changed, likeness(own, changed), likeness(own, prints[following])
 
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         names = ["doc_id", "n_chars", last, "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
@@ -207,7 +213,7 @@ def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     schema = f"doc_id long, n_chars long, {last} string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ordered = rows.repartition(parts or 1, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    ordered = rows.repartition(parts or 1, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
     return ordered.mapInArrow(run, schema)
 
 
