@@ -65,3 +65,36 @@ def decode_replies(replies: DataFrame, strict: bool = False) -> DataFrame:
             "failed_rules": F.coalesce(typed, empty),
         }
     ).drop("_text", "_raw")
+
+
+SUMMARY_RAW = "document_type string, summary string, language string, key_fields map<string,string>, error string, _bad string"
+
+
+def decode_summaries(replies: DataFrame) -> DataFrame:
+    """Rows (path, media_type, reply) to document summaries: type, summary, language and metadata.
+
+    metadata holds path and media type, then every key field of the reply that is not
+    null, which may replace them; an unreadable reply leaves the defaults.
+    """
+    d = replies.withColumn("_text", unfenced(F.col("reply")))
+    d = d.withColumn("_raw", F.from_json("_text", SUMMARY_RAW, {"columnNameOfCorruptRecord": "_bad"}))
+    readable = F.col("_text").rlike(r"(?s)^\{.*\}$") & F.col("_raw").isNotNull() & F.col("_raw._bad").isNull()
+    ok = lambda c: F.when(readable, F.col(f"_raw.{c}"))
+    file = F.array(F.struct(F.lit("path").alias("key"), F.col("path").alias("value")), F.struct(F.lit("mime_type").alias("key"), F.col("media_type").alias("value")))
+    fields = F.coalesce(F.filter(F.map_entries(ok("key_fields")), lambda e: e["value"].isNotNull()), F.array().cast("array<struct<key:string,value:string>>"))
+    kept = F.filter(file, lambda e: ~F.exists(fields, lambda f: f["key"] == e["key"]))
+    return d.withColumns(
+        {
+            "document_type": F.coalesce(ok("document_type"), F.lit("unknown")),
+            "summary": F.coalesce(ok("summary"), F.lit("")),
+            "language": F.coalesce(ok("language"), F.lit("unknown")),
+            "metadata": F.map_from_entries(F.concat(kept, fields)),
+            "status": F.when(~readable, "parse_error").when(F.col("_raw.error").isNotNull(), "api_error").otherwise("ok"),
+        }
+    ).drop("_text", "_raw")
+
+
+def with_summaries(documents: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Every document (doc_key) with its summary (doc_key, document_type, summary), paired by path; a stub where there is none."""
+    s = summaries.select("doc_key", F.col("document_type").alias("_type"), F.col("summary").alias("_summary"))
+    return documents.join(s, "doc_key", "left").select(*documents.columns, F.coalesce("_type", F.lit("unknown")).alias("document_type"), F.coalesce("_summary", F.lit("")).alias("summary"))

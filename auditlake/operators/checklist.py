@@ -67,3 +67,10 @@ def by_severity(items: Column) -> Column:
     """An array of failed items in order of severity, keeping the order of equals."""
     keyed = F.transform(items, lambda x, i: F.struct(severity_rank(x["severity"]).alias("rank"), i.alias("at"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+def rule_lines(rules: DataFrame) -> DataFrame:
+    """(checklist, rules): the rules of each checklist as lines for a model, in file order; a checklist is a page of text."""
+    line = F.format_string("- [%s] %s (%s, %s): %s", "rule_id", "title", "severity", F.when(F.col("mandatory"), "mandatory").otherwise("optional"), "description")
+    lines = F.sort_array(F.collect_list(F.struct("ord", line.alias("line"))))
+    return rules.groupBy("checklist").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("rules"))

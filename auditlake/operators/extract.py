@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from auditlake.schemas import EXTRACTED
+from auditlake.schemas import EXTRACTED, MAX_PAGES
 
 
 def extracted(files: DataFrame, read: Callable[[str, bytes | None], str]) -> DataFrame:
@@ -30,3 +31,18 @@ def extracted(files: DataFrame, read: Callable[[str, bytes | None], str]) -> Dat
             yield pd.DataFrame({"doc_key": batch["path"], "reply": replies})
 
     return files.select("path", *([] if bare else ["content"])).mapInPandas(run, EXTRACTED)
+
+
+def rendered_pages(files: DataFrame, render: Callable[[str, bytes | None], Iterator[bytes]], most: int = MAX_PAGES) -> DataFrame:
+    """(doc_key, page_no, image) of the first pages of each file; a file that cannot be rendered has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    images = list(islice(render(path, content), most))
+                except Exception:  # the caller's function may fail in any way
+                    images = []
+                yield pd.DataFrame({"doc_key": [path] * len(images), "page_no": range(1, len(images) + 1), "image": images})
+
+    return files.select("path", "content").mapInPandas(run, "doc_key string, page_no int, image binary")

@@ -40,3 +40,16 @@ def as_json(report: DataFrame, results: DataFrame) -> DataFrame:
 def label_agreement(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """How often the verdict (doc_id, complies) goes with a quality label."""
     return docs.join(labels, "doc_id").groupBy("quality", "complies").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def displayed(reports: DataFrame) -> DataFrame:
+    """What a reader sees of each report: label, score and interval to one decimal, counts in words."""
+    n = F.col("documents_processed")
+    counted = F.concat(n.cast("string"), F.when(n == 1, " document").otherwise(" documents"))
+    one = lambda c: F.format_string("%.1f", c)
+    return reports.withColumns({"label": result_label(F.col("overall_result")), "shown_score": one("overall_score"), "shown_interval": F.concat(one("lower"), F.lit(" - "), one("upper")), "counted": counted})
+
+
+def trace(items: DataFrame, length: int = 120) -> DataFrame:
+    """Log lines of failed items; long evidence is cut."""
+    return items.select("doc_key", "pos", F.concat(F.lit("["), F.col("rule_id"), F.lit("] "), F.substring("evidence", 1, length)).alias("line"))

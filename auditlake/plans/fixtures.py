@@ -32,6 +32,13 @@ REPLIES = [
     ("no_remarks", '{"passed": true, "score": 100, "remarks": null}'),
 ]
 
+SUMMARIES = [
+    ("/in/a.pdf", "application/pdf", '{"document_type": "invoice", "summary": "s", "language": "en", "key_fields": {"document_number": "7", "total_amount": 12.5, "date": null}}'),
+    ("/in/b.png", "image/png", '```json\n{"document_type": null, "key_fields": {"path": "other"}}\n```'),
+    ("/in/c.png", "image/png", "no idea"),
+    ("/in/d.png", "image/png", '{"error": "x"}'),
+]
+
 RULES = [(1, "R001", "Readable", "d1", "high", True), (2, "R002", "Fields", "d2", "critical", True), (3, "R001", "Again", "d3", "low", False), (4, "R005", "Dates", "d5", "urgent", False)]
 ITEMS = [("a", 0, "R001", "e0", 2), ("a", 1, "R999", "e1", None), ("b", 0, None, "e2", None), ("b", 1, "R002", "", 7), ("b", 2, "R005", "e4", None), ("b", 3, "R001", "e5", 1)]
 

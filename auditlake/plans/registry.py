@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.names import base_name, file_media_type, page_media_type, suffix
-from auditlake.functions.replies import decode_replies
+from auditlake.functions.replies import decode_replies, decode_summaries, with_summaries
 from auditlake.operators import checklist, extract, rules, scoring
 from auditlake.operators import report as reports
 from auditlake.plans import fixtures as fx
@@ -188,6 +188,47 @@ def decode_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("reply_id", "status", "passed", "score", "remarks", F.size("failed_rules").alias("n_failed"), F.array_join(shown, ",").alias("failed"))
 
 
+SUMMARY_SCHEMA = "path string, media_type string, reply string"
+SUMMARY_SQL = f"""(WITH t AS (SELECT path, media_type, regexp_replace(regexp_replace(reply, '^`+(json)?|`+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM {fx.sql(fx.SUMMARIES, SUMMARY_SCHEMA)}),
+j AS (SELECT path, media_type, CASE WHEN json_valid(x) THEN CAST(x AS JSON) END AS j FROM t),
+k AS (SELECT path, unnest(json_keys(j, '$.key_fields')) AS key, j FROM j),
+f AS (SELECT path, key, j->'$.key_fields'->>key AS value FROM k WHERE (j->'$.key_fields'->>key) IS NOT NULL),
+m AS (SELECT path, 'path' AS key, path AS value FROM j UNION ALL SELECT path, 'mime_type', media_type FROM j),
+e AS (SELECT * FROM f UNION ALL SELECT * FROM m WHERE (path, key) NOT IN (SELECT path, key FROM f)),
+g AS (SELECT path, string_agg(key || '=' || value, ';' ORDER BY key) AS metadata FROM e GROUP BY path)
+SELECT path, coalesce(j->>'$.document_type', 'unknown') AS document_type, coalesce(j->>'$.summary', '') AS summary, coalesce(j->>'$.language', 'unknown') AS language, metadata,
+ CASE WHEN j IS NULL THEN 'parse_error' WHEN j->>'$.error' IS NOT NULL THEN 'api_error' ELSE 'ok' END AS status FROM j JOIN g USING (path))"""
+
+
+@query(f"SELECT * FROM {SUMMARY_SQL}")
+def decode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decode_summaries(fx.frame(spark, fx.SUMMARIES, SUMMARY_SCHEMA))
+    shown = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return d.select("path", "document_type", "summary", "language", F.array_join(shown, ";").alias("metadata"), "status")
+
+
+@query(f"SELECT p.path AS doc_key, coalesce(document_type, 'unknown') AS document_type, coalesce(summary, '') AS summary FROM {fx.sql([(p,) for p in ['/in/a.pdf', '/in/b.png', '/in/z.png']], 'path string')} p LEFT JOIN {SUMMARY_SQL} s ON p.path = s.path")
+def paired_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = fx.frame(spark, [(p,) for p in ("/in/a.pdf", "/in/b.png", "/in/z.png")], "doc_key string")
+    return with_summaries(documents, decode_summaries(fx.frame(spark, fx.SUMMARIES, SUMMARY_SCHEMA)).withColumnRenamed("path", "doc_key"))
+
+
+@query(f"""SELECT 'c' AS checklist, string_agg('- [' || rule_id || '] ' || title || ' (' || severity || ', ' || CASE WHEN mandatory THEN 'mandatory' ELSE 'optional' END || '): ' || description, chr(10) ORDER BY ord) AS rules FROM {fx.sql(fx.RULES, RULE_SCHEMA)}""")
+def rule_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checklist.rule_lines(fx.frame(spark, fx.RULES, RULE_SCHEMA).withColumn("checklist", F.lit("c")))
+
+
+@query(f"""SELECT batch, CASE overall_result WHEN 'PASS' THEN 'PASSED' WHEN 'FAIL' THEN 'FAILED' ELSE overall_result END AS label, printf('%.1f', overall_score) AS shown_score,
+ printf('%.1f', lower) || ' - ' || printf('%.1f', upper) AS shown_interval, documents_processed || CASE WHEN documents_processed = 1 THEN ' document' ELSE ' documents' END AS counted FROM ({report_sql(BATCH_SQL, "Untitled Audit", "batch")})""")
+def displayed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.displayed(classify_boundaries(spark, sf_dir)).select("batch", "label", "shown_score", "shown_interval", "counted")
+
+
+@query(f"SELECT doc_key, pos, '[' || rule_id || '] ' || substr(evidence, 1, 120) AS line FROM {LOOKUP}")
+def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.trace(looked_up(spark))
+
+
 PATH_ROWS = [(p,) for p in fx.PATHS]
 
 
@@ -342,3 +383,16 @@ def extractor_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f'{{"passed": {str(len(content) > 2000).lower()}, "score": {min(100, len(content) // 100)}}}'
 
     return decode_replies(extract.extracted(files, read)).select("doc_key", "status", "passed", "score")
+
+
+@query("""SELECT 'page-' || page_id AS doc_key, CAST(p AS INTEGER) AS page_no, CAST(least(1000, n - (p - 1) * 1000) AS INTEGER) AS bytes
+ FROM (SELECT page_id, n, unnest(range(1, least(10, (n + 999) // 1000) + 1)) AS p FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n FROM pages))""")
+def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most ten pages of each file, with 1000 bytes in the place of a page."""
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+
+    def render(path: str, content: bytes):
+        for at in range(0, len(content), 1000):
+            yield content[at : at + 1000]
+
+    return extract.rendered_pages(files, render).select("doc_key", "page_no", F.length("image").alias("bytes"))
