@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, text_steps
+from auditlake.llm.common import documents, stored, text_steps
 
 #: Words in the lexicon, and the bytes of the longest; every other word is merged exactly.
 LEXICON_WORDS, LEXICON_WORD_BYTES = 32_768, 48
@@ -44,25 +44,40 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class Merger:
     """Exact encoding of one piece without white space."""
 
     def __init__(self, spec: str):
+        import regex
         from tokenizers import Tokenizer
 
         whole = json.loads(spec)
         model = whole["model"]
-        self.vocab = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
+        self.vocab = vocab = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
         self.ranks = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            # the new token below the rank, so that the least value is the lowest rank
+            self.ranks[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]
+        letters = byte_letters()
+        self.bytes = {letter: b for b, letter in letters.items()}
+        self.inner = [vocab.get(letters[b], -1) for b in range(256)]
+        self.final = [vocab.get(letters[b] + suffix, -1) for b in range(256)]
         self.special = {x["content"]: x["id"] for x in whole["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # the library's normaliser and splitter, without the vocabulary
         bare = Tokenizer.from_str(json.dumps(whole | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.normal, self.split = bare.normalizer.normalize_str, bare.pre_tokenizer.pre_tokenize_str
+        self.latin = regex.compile(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.merged: dict[bytes, list[int]] = {}
 
     def tokens(self) -> list[bytes]:
         out = [b""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
@@ -70,39 +85,67 @@ class Merger:
             out[i] = token.encode()
         return out
 
+    def words(self, part: str) -> list[bytes]:
+        """The words whose bytes are merged, each by itself."""
+        # below U+0130 every letter is composed, has one lower-case letter and its class in any version of Unicode
+        if part.isprintable() and max(part) < "\u0130":
+            return [x.encode() for x in self.latin(part.lower())]
+        return [bytes(map(self.bytes.__getitem__, x)) for x, _ in self.split(self.normal(part))]
+
     def encode(self, piece: str) -> list[int]:
         out: list[int] = []
         for part in self.cut.split(piece) if self.cut and "<" in piece else (piece,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for word, _ in self.split(self.normal(part)):
-                    out += self.merge(word)
+                for word in self.words(part):
+                    ids = self.merged.get(word)
+                    if ids is None:
+                        if len(self.merged) > CACHE_WORDS:
+                            self.merged.clear()
+                        ids = self.merged[word] = self.merge(word)
+                    out += ids
         return out
 
-    def merge(self, word: str) -> list[int]:
-        """Lowest rank first, leftmost first among equals; a heap keeps long words near linear."""
-        symbols = [*word[:-1], word[-1] + self.suffix]
-        ids = [self.vocab[x] for x in symbols if x in self.vocab]
-        n = len(ids)
-        if n < 2:
-            return ids
-        after, before, ranks = [*range(1, n), -1], [*range(-1, n - 1)], self.ranks
-        heap = [(*r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+    def merge(self, word: bytes) -> list[int]:
+        """Lowest rank first, leftmost first among equals."""
+        ids = [self.inner[b] for b in word[:-1]]
+        ids.append(self.final[word[-1]])
+        ids = [x for x in ids if x >= 0]
+        if len(ids) > 24:
+            return self.merge_long(ids)
+        get, none = self.ranks.get, 1 << 60
+        found = [get(x, none) for x in zip(ids, ids[1:])]  # noqa: B905
+        while found and (best := min(found)) < none:
+            i = found.index(best)
+            ids[i : i + 2] = (best & 0xFFFFF,)
+            del found[i]
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, near linear in the length."""
+        n, ranks = len(ids), self.ranks
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
+            new = rank & 0xFFFFF
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if r := ranks.get((new, ids[k])):
-                    heapq.heappush(heap, (*r, i, new, ids[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((ids[h], new))):
-                heapq.heappush(heap, (*r, h, ids[h], new))
+                if (r := ranks.get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := ranks.get((ids[h], new))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
 
@@ -246,8 +289,17 @@ def text_joined(column: pa.Array):
 
 
 def build_lexicon(docs: DataFrame, merger: Merger, words: int = LEXICON_WORDS) -> Lexicon:
-    """The most frequent words of all texts; at most `words` of them come to the driver."""
-    frequent = word_counts(docs).where(F.length("word") <= LEXICON_WORD_BYTES).orderBy(F.desc("n"), "word").limit(words).collect()
+    """The most frequent words of all texts, by a least count that at most `words` of them reach; only those come to the driver."""
+    counts = stored(word_counts(docs).where((F.col("n") > 1) & (F.length("word") <= LEXICON_WORD_BYTES)), "words")
+    # counts in steps of an eighth of a power of two: a few hundred rows at any size
+    step = F.floor(F.log2("n") * 8)
+    least, have = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        have += r["words"]
+        if have > words:
+            break
+        least = r["least"]
+    frequent = counts.where(F.col("n") >= least).select("word").collect() if least else []
     return Lexicon.compile([(w, merger.encode(w.decode())) for w in sorted(bytes(r["word"]) for r in frequent)])
 
 
