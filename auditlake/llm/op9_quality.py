@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A line is boilerplate if more than this share of the host's documents hold it, and at least so many.
 LINE_SHARE, LINE_DOCS = 0.02, 10
-#: Longer lines are paragraphs, not boilerplate.
+#: The SQL alone leaves longer lines out; the query counts every line.
 LINE_WORDS = 40
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
@@ -47,7 +47,7 @@ def repeated_words(grams: Column, places: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One row per document: the base figures, and its short lines as (hash, words)."""
+    """One row per document: the base figures, and its lines as (hash, words)."""
     d = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     d = held(d, words=words_of(F.col("text")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("words")
@@ -58,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = held(d, places=F.when(again, F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     d = held(d, at=repeated_words(F.col("grams"), F.col("places")))
     covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("at", k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    short = F.filter(F.transform("plain", lambda x: F.struct(F.xxhash64(x["t"]).alias("h"), F.size(F.split(x["t"], " ")).alias("w"))), lambda x: x["w"] <= LINE_WORDS)
+    hashed = F.transform("plain", lambda x: F.struct(F.xxhash64(x["t"]).alias("h"), F.size(F.split(x["t"], " ")).alias("w")))
     return d.select(
         "doc_id",
         "host",
@@ -68,7 +68,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.xxhash64("text").alias("content"),
-        short.alias("short"),
+        hashed.alias("hashed"),
         F.monotonically_increasing_id().alias("row"),
     )
 
@@ -76,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
 def boilerplate(rows: DataFrame) -> DataFrame:
     """(host, h) of the lines above their host's limit; rows is the stored table of features()."""
     per_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    lines = rows.select("host", "content", F.explode(F.array_distinct(F.transform("short", lambda x: x["h"]))).alias("h"))
+    lines = rows.select("host", "content", F.explode(F.array_distinct(F.transform("hashed", lambda x: x["h"]))).alias("h"))
     # equal texts first become one; both steps combine before their shuffle, so a common line is no hot key
     counted = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LINE_DOCS)
     return counted.join(per_host, "host").where(F.col("n") > F.col("docs") * F.lit(LINE_SHARE)).select("host", "h")
@@ -84,7 +84,7 @@ def boilerplate(rows: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     rows = stored(features(docs), "quality")
-    lines = rows.select("row", "host", F.explode("short").alias("x")).select("row", "host", "x.h", "x.w")
+    lines = rows.select("row", "host", F.explode("hashed").alias("x")).select("row", "host", "x.h", "x.w")
     removed = lines.join(boilerplate(rows), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))

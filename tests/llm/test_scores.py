@@ -54,6 +54,20 @@ def test_quality_rejects_what_is_left_of_boilerplate(spark):
     assert all(got[300 + k].kept for k in range(30))
 
 
+def test_quality_counts_lines_of_any_length(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    banner = " ".join(word() for _ in range(60))
+    data = [(k, banner + "\n" + " ".join(word() for _ in range(100)), None, "h", 1) for k in range(30)]
+    data += [(100, banner + "\n" + " ".join(word() for _ in range(5)), None, "h", 1), (101, banner, None, "other", 1)]
+    got = {r.doc_id: r for r in op9.quality(frame(spark, data)).collect()}
+    assert all(got[k].kept and got[k].n_removed_words == 60 for k in range(30))
+    assert not got[100].kept
+    assert got[100].n_removed_words == 60
+    assert got[101].kept
+    assert got[101].n_removed_words == 0
+
+
 # ---------------------------------------------------------------- mixing
 
 
