@@ -7,9 +7,10 @@ which too little is left.  A document's host is its ``source``.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
 source is a host of its own; repeated rows each get their own result, and equal
-texts count once as "documents" of a line, so that copies of a good page do not
-turn its own lines into boilerplate; an empty table gives an empty result; columns
-other than doc_id, text and source are ignored.
+texts count once, as "documents" of a line and of a host, so that copies of a good
+page neither turn its own lines into boilerplate nor hide a host's boilerplate; an
+empty table gives an empty result; columns other than doc_id, text and source are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A line is boilerplate if more than this share of the host's documents hold it, and at least so many.
 LINE_SHARE, LINE_DOCS = 0.02, 10
-#: The SQL alone leaves longer lines out; the query counts every line.
+#: The SQL alone leaves longer lines out, and counts copies in a host's documents; the query does neither.
 LINE_WORDS = 40
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
@@ -75,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def boilerplate(rows: DataFrame) -> DataFrame:
     """(host, h) of the lines above their host's limit; rows is the stored table of features()."""
-    per_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    per_host = rows.groupBy("host").agg(F.count_distinct("content").alias("docs"))
     lines = rows.select("host", "content", F.explode(F.array_distinct(F.transform("hashed", lambda x: x["h"]))).alias("h"))
     # equal texts first become one; both steps combine before their shuffle, so a common line is no hot key
     counted = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LINE_DOCS)

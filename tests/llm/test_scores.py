@@ -68,6 +68,17 @@ def test_quality_counts_lines_of_any_length(spark):
     assert got[101].n_removed_words == 0
 
 
+def test_quality_of_a_host_that_is_mostly_copies(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    banner = " ".join(word() for _ in range(30))
+    data = [(k, banner + "\n" + " ".join(word() for _ in range(5 if k == 0 else 60)), None, "h", 1) for k in range(12)]
+    data += [(100 + k, data[1][1], None, "h", 1) for k in range(700)]
+    got = {r.doc_id: r for r in op9.quality(frame(spark, data)).collect()}
+    assert all(r.n_removed_words == 30 for r in got.values())
+    assert [i for i, r in got.items() if not r.kept] == [0]
+
+
 # ---------------------------------------------------------------- mixing
 
 
