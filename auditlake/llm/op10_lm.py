@@ -2,8 +2,11 @@
 
 A token's probability is a mixture of the maximum-likelihood estimates of its bigram
 and of its word and of a uniform share.  The weights depend on a bucket of how often
-the context word occurs and are learned by expectation-maximisation on the tokens of
-held-out training documents, whose counts are deleted from the corpus counts first.
+the context word occurs and are learned by expectation-maximisation on all tokens of a
+fold of the training documents, at any size; for each document its own counts, and
+no others, are deleted from the corpus counts first.  If that fold is empty, all
+training documents are learned from.  Tasks sum the expectations of a round, so that
+the driver gets a row for each bucket.
 
 Counts cover every training document and stay distributed.  Neighbouring rows of a
 file form blocks; a block asks once for each of its distinct n-grams, bringing its own
@@ -32,14 +35,12 @@ from auditlake.llm.op5_warc import open_store
 
 #: Rows of a file in one block.
 BLOCK_ROWS = 8192
-#: Training documents whose tokens are held out for the weights, on average at most; chosen by a hash.
-WEIGHT_DOCS = 1500
 BUCKETS, ROUNDS, FLOOR = 24, 30, 1e-6
 DEFAULT = (0.4, 0.4, 0.2)
 #: The hash of the end token, which is no word's, and of the start of a text as a context.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
-#: Names of two blocks that hold no rows: sums over the corpus, and the requests for the weights.
-SUMS, WEIGHTS = -1, -2
+#: Name of a block that holds no rows: sums over the corpus.
+SUMS = -1
 #: N-grams that a task holds before it adds up equal ones, and then at most.
 HELD_KEYS, KEPT_KEYS = 2_500_000, 1_200_000
 #: Answers that a task holds before it packs them by block.
@@ -139,15 +140,11 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
                     mine = np.flatnonzero(blocks[lo:hi] == block)
                     at = np.concatenate([np.arange(first[k], first[k + 1]) for k in mine.tolist()])
                     train = np.repeat((role[lo:hi][mine] > 0).astype(np.int8), np.diff(first)[mine])
-                    weigh = np.repeat(role[lo:hi][mine] == 2, np.diff(first)[mine])
                     for keys in (one[at], two[at]):
                         held.setdefault(block, []).append((keys, train.astype(np.int32), 1 - train))
-                        if weigh.any():
-                            zero = np.zeros(int(weigh.sum()), np.int32)
-                            held.setdefault(WEIGHTS, []).append((keys[weigh], zero, (zero + 1).astype(np.int8)))
                 for block in list(held):
                     # rows come in the order of their files, so only the last block goes on
-                    if block not in (int(blocks[hi - 1]), WEIGHTS) or (sum(len(x[0]) for x in held[block]) > HELD_KEYS and added_up(block) > KEPT_KEYS):
+                    if block != int(blocks[hi - 1]) or (sum(len(x[0]) for x in held[block]) > HELD_KEYS and added_up(block) > KEPT_KEYS):
                         yield from counted(block)
         for block in list(held):
             yield from counted(block)
@@ -248,47 +245,95 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), 0)
 
 
-def estimates(one, context, two, total: int, words: int) -> np.ndarray:
+def estimates(one, context, two, total, words: int) -> np.ndarray:
     """Bigram, word and uniform estimate of each token."""
-    return np.stack([two / np.maximum(context, 1), one / max(total, 1), np.full(len(one), 1 / (words + 1))], axis=1)
+    return np.stack([two / np.maximum(context, 1), one / np.maximum(total, 1), np.full(len(one), 1 / (words + 1))], axis=1)
 
 
-def expectation_maximisation(parts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Weights of each bucket, from held-out tokens with estimates parts in buckets at."""
+def maximised(expect) -> np.ndarray:
+    """Weights of each bucket; expect(weights) has each bucket's tokens and the sums of their shares by estimate."""
     weights = np.tile(np.array(DEFAULT), (BUCKETS, 1))
     weights[0] = (0, 0.7, 0.3)
-    seen = np.bincount(at, minlength=BUCKETS)
     for _ in range(ROUNDS):
-        share = parts * weights[at]
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-        for c in range(parts.shape[1]):
-            weights[:, c] = np.where(seen > 0, np.bincount(at, share[:, c], BUCKETS) / np.maximum(seen, 1), weights[:, c])
+        seen, shares = expect(weights)
+        if not seen.any():
+            break
+        # rounded, as sums of tasks come in any order
+        weights = np.where(seen[:, None] > 0, np.round(shares / np.maximum(seen, 1)[:, None], 12), weights)
     weights = np.maximum(weights, FLOOR)
     weights[0, 0] = 0
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def learned_weights(rows: DataFrame, folder: str, total: int, words: int) -> np.ndarray:
-    """The mixture weights; the sample of documents is bounded and one task's work."""
+def expectation_maximisation(parts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Weights of each bucket, from tokens with estimates parts in buckets at."""
+
+    def expect(weights):
+        share = parts * weights[at]
+        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+        return np.bincount(at, minlength=BUCKETS), np.stack([np.bincount(at, share[:, c], BUCKETS) for c in range(parts.shape[1])], axis=1)
+
+    return maximised(expect)
+
+
+def own_counts(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often the document of each key has it."""
+    order = np.lexsort((keys, doc))
+    k, d = keys[order], doc[order]
+    at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
+    size = np.diff(np.append(at, len(k)))
+    out = np.empty(len(k), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
+
+
+def left_out(rows: DataFrame, folder: str, total: int, words: int) -> DataFrame:
+    """(bucket, p2, p1) of each token of training documents, from counts without its own document's."""
 
     def run(batches):
-        powers, known = Powers(BASE), load(folder, WEIGHTS)
-        every = []
+        powers, block, known = Powers(BASE), None, None
         for batch in batches:
-            for _, _, data, offsets in text_steps(batch.column(0)):
-                every.append(ngrams(Words(data, offsets, powers, lower=True)))
-        if not every:
-            return
-        one, context, two = (np.concatenate([x[k] for x in every]) for k in range(3))
-        zero = np.zeros(len(one), np.int64)
-        own = np.unique(np.concatenate([one, two]), return_counts=True)
-        count = lambda keys: find(known, keys, zero) - find(own, keys, zero)
-        c = count(context)
-        w = expectation_maximisation(estimates(count(one), c, count(two), total - len(one), words), bucket(c))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in w.T.tolist()], ["w2", "w1", "w0"])
-
-    found = rows.where("role = 2").select("text").coalesce(1).mapInArrow(run, "w2 double, w1 double, w0 double").collect()  # a row for each bucket
-    return np.array([tuple(r) for r in found]) if found else expectation_maximisation(np.ones((0, 3)), np.zeros(0, np.int64))
+            blocks = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
+            for start, stop in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
+                if blocks[start] != block:
+                    known = None  # not two at a time
+                    block = blocks[start]
+                    known = load(folder, int(block))
+                for _, _, data, offsets in text_steps(batch.column(0).slice(start, stop - start)):
+                    one, context, two, first = ngrams(Words(data, offsets, powers, lower=True))
+                    size, head = np.diff(first), first[:-1]
+                    doc = np.repeat(np.arange(len(size)), size)
+                    # without an answer an n-gram of a training document is its own only one
+                    missing = np.ones(len(one), np.int64)
+                    c1 = find(known, one, missing) - own_counts(one, doc)
+                    c2 = find(known, two, missing) - own_counts(two, doc)
+                    c0 = np.empty_like(c1)
+                    c0[1:] = c1[:-1]
+                    c0[head] = find(known, context[head], missing[head]) - 1
+                    p = estimates(c1, c0, c2, total - size[doc], words)
+                    at = bucket(c0).astype(np.int32)
+                    for lo in range(0, len(at), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (at, p[:, 0], p[:, 1])], ["bucket", "p2", "p1"])
+
+    return rows.select("text", "block").mapInArrow(run, "bucket int, p2 double, p1 double")
+
+
+def learned_weights(rows: DataFrame, folder: str, total: int, words: int) -> np.ndarray:
+    """The mixture weights, from all rows of role 2."""
+    tokens = stored(left_out(rows.where("role = 2"), folder, total, words), "estimates")
+
+    def expect(weights):
+        w2, w1, w0 = (F.get(F.array(*[F.lit(x) for x in column]), F.col("bucket")) for column in weights.T.tolist())
+        shares = tokens.select("bucket", (w2 * F.col("p2")).alias("s2"), (w1 * F.col("p1")).alias("s1"), (w0 * F.lit(1 / (words + 1))).alias("s0"))
+        whole = F.greatest(F.col("s2") + F.col("s1") + F.col("s0"), F.lit(1e-300))
+        found = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), *[F.sum(F.col(s) / whole).alias(s) for s in ("s2", "s1", "s0")]).collect()  # a row for each bucket
+        seen, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, 3))
+        for r in found:
+            seen[r["bucket"]], sums[r["bucket"]] = r["seen"], (r["s2"], r["s1"], r["s0"])
+        return seen, sums
+
+    return maximised(expect)
 
 
 def scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
@@ -296,10 +341,11 @@ def scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     spark = docs.sparkSession
     rows = placed(docs)
     held_out = fold("doc_id", folds) == out
-    n = max(1, docs.select("doc_id").where(~held_out).count())
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("weights"), "doc_id"), 11).cast("double") / float(1 << 53)
-    # 0: not learned from, 1: learned from, 2: learned from, and held out for the weights
-    rows = rows.withColumn("role", F.when(held_out, 0).when(draw * n < WEIGHT_DOCS, 2).otherwise(1).cast("int"))
+    weighed = fold("doc_id", folds) == (out + 1) % folds
+    if docs.select("doc_id").where(weighed).isEmpty():
+        weighed = F.lit(True)
+    # 0: not learned from, 1: learned from, 2: learned from, and the weights are learned on it
+    rows = rows.withColumn("role", F.when(held_out, 0).when(weighed, 2).otherwise(1).cast("int"))
     folder = shared_path(spark, "answers")
     partitions = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = unpacked(requests(rows, PARTS * partitions).repartition(partitions, "part"))
@@ -316,6 +362,7 @@ def scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
             cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
             for start, stop in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
                 if blocks[start] != block:
+                    known = None  # not two at a time
                     block = blocks[start]
                     known = load(folder, int(block))
                 part, roles = batch.slice(start, stop - start), role[start:stop]

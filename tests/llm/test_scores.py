@@ -193,6 +193,32 @@ def test_language_model_equals_its_formula(spark):
     assert np.allclose(learned["w"].sum(axis=1), 1)
 
 
+def test_weights_leave_one_document_out(spark, monkeypatch):
+    """Far fewer documents than any sample: weights are learned, from counts without the own document's."""
+    rnd = random.Random(12)
+    data = [(k, " ".join(rnd.choice("abcdefghijkl"[: 2 + k % 11]) for _ in range(rnd.randint(0, 40))), None, None, 1) for k in range(120)]
+    learned = {}
+    real = op10.learned_weights
+    monkeypatch.setattr(op10, "learned_weights", lambda *args: learned.setdefault("w", real(*args)))
+    op10.scores(frame(spark, data))
+    of = lambda i: zlib.crc32(str(i).encode()) % 7
+    pairs = {i: list(zip(["</s>", *t.split()], [*t.split(), "</s>"], strict=True)) for i, t, *_ in data if of(i) != 2}
+    one, two = (Counter(key(x) for p in pairs.values() for x in p) for key in (lambda x: x[1], lambda x: x))
+    n, v, parts, at = sum(one.values()), len(one), [], []
+    for i, p in pairs.items():
+        if of(i) != 3:
+            continue
+        own, own_two = Counter(w for _, w in p), Counter(p)
+        for u, w in p:
+            c = one[u] - own[u]
+            at.append(1 + int(math.log2(c)) if c else 0)
+            parts.append([(two[u, w] - own_two[u, w]) / max(c, 1), (one[w] - own[w]) / (n - len(p)), 1 / (v + 1)])
+    want = op10.expectation_maximisation(np.array(parts), np.array(at))
+    assert np.allclose(learned["w"], want, atol=1e-9)
+    default = op10.expectation_maximisation(np.ones((0, 3)), np.zeros(0, np.int64))
+    assert all(np.abs(learned["w"][b] - default[b]).max() > 0.01 for b in set(at))
+
+
 def test_expectation_maximisation_finds_the_weights():
     r = np.random.default_rng(1)
     truth = np.array([0.6, 0.3, 0.1])
