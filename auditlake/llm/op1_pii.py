@@ -2,8 +2,9 @@
 
 Patterns give the base spans of four kinds.  A bidirectional LSTM with CRF transitions
 is trained from such labelled spans in a bounded sample of windows and from written-out
-variants that the patterns miss.  It reads overlapping windows around every digit and
-@ of a text; places that several windows cover get the mean of their decodings, nearer
+variants that the patterns miss.  It reads overlapping windows around every digit, @
+and written-out at (' at ', '[at]', '(at)') of a text, one of which is in all that the
+last rule below accepts; places that several windows cover get the mean of their decodings, nearer
 the middle counting more, and one path over the whole stretch decides.  Its spans are
 added where they touch no base span and hold what their kind must hold.
 
@@ -185,7 +186,7 @@ def train_tagger(docs: DataFrame) -> Tagger:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text with a digit or @ near, in order and apart."""
+    """Parts of the text with a digit, @ or written-out at near, in order and apart."""
     out: list[list[int]] = []
     for m in RUN.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -196,7 +197,8 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RUN = re.compile(r"[0-9@]+")
+#: One of these is in every span that fits() accepts: the forms of at for the first kind, a digit for the others.
+RUN = re.compile(r"[0-9@]+|\x20at\x20|\[at\]|\(at\)")
 
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:

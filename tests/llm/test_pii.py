@@ -59,6 +59,16 @@ def test_tagger_adds_what_the_patterns_miss(trained):
     assert [texts[3][s:e] for _, s, e in d] == ["310-555-4510"]
 
 
+def test_addresses_without_digit_or_at_sign(trained):
+    texts = ["write to jane [at] corp [dot] com", "so on " * 40 + "mail word(at)tenor.org or not " + "and on " * 40, "we met at noon and sat at home all day"]
+    (_, a), (_, b), (_, c) = op1.all_spans(trained, texts)
+    assert [k for k, *_ in a] == [0]
+    assert " [at] corp" in texts[0][a[0][1] : a[0][2]]
+    assert [k for k, *_ in b] == [0]
+    assert "(at)tenor" in texts[1][b[0][1] : b[0][2]]
+    assert not c
+
+
 def test_query_columns(spark, trained):
     data = rows() + [(500, "é a.b@c.de, 10.0.0.1 and 4111 1111 1111 1111; +44 20 7946 0958", "en", "s", 1)]
     got = by_id(op1.find_personal_data(frame(spark, data).select("doc_id", "text"), trained))
