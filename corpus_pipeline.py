@@ -1,7 +1,7 @@
 """Corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
 Language identification drops documents without a language, near-duplicate search keeps
-the smallest doc_id of each group, personal data is replaced by marks, sources are mixed
+the smallest doc_id of each group (a document is a doc_id with a text), personal data is replaced by marks, sources are mixed
 to their target weights and the result is encoded.
 """
 
@@ -33,9 +33,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, PERCENT).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    # rows that repeat a doc_id are one document
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    # rows that repeat a doc_id and its text are one document
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE_WORDS, PERCENT)
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    least = keyed.select("doc_id", "_key").distinct().join(found, "_key").groupBy("component_id").agg(F.min(order).alias("x"))
+    kept = least.select(F.col("x.doc_id").alias("_kept_id"), F.col("x._key").alias("_kept_key"))
+    same = (F.col("_key") == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import importlib
+import random
 
-from helpers import SCHEMA, frame, linked_components, rows
+from helpers import SCHEMA, frame, linked_components, prose, rows
 
 import corpus_pipeline as cp
 from auditlake.llm import queries
@@ -29,6 +30,14 @@ def test_stages(spark):
     assert {r.doc_id for r in cp.encoding(spark, docs, "").collect()} == {i for i, *_ in rows()}
 
 
+def test_different_texts_of_one_doc_id_stay(spark):
+    rnd = random.Random(4)
+    a, b, c, d, e = (prose(rnd, 60) for _ in range(5))
+    data = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (7, c, "en", "s", 1), (7, d, "en", "s", 1), (8, d, "en", "s", 1), (9, e, "en", "s", 1), (None, e, "en", "s", 1)]
+    kept = cp.near_duplicate(spark, frame(spark, data), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in cp.STAGES:
