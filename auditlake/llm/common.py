@@ -7,8 +7,10 @@ ASCII, so cutting UTF-8 bytes equals cutting the text.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,10 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 STEP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE2 = 0xC2B2AE3D27D4EB4F | 1
+#: Bytes of the longest word that is hashed together with others.
+LONG_WORD = 64
+#: Keys that may be hot enough to be joined by broadcast.
+HEAVY = 1000
 
 
 # ---------------------------------------------------------------- shared folder
@@ -46,6 +52,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """left.join(right, on) where right has one row of fixed width for each key of left, and how many rows it is for.
+
+    Keys that more than a thousandth of left's rows have, fewer than HEAVY by that rule,
+    are broadcast, and their rows stay where they are; all others are shuffled.  Both
+    tables are read twice, so they should be stored.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY > F.lit(total)
+    few = F.broadcast(right.where(heavy))
+    return left.join(few, on).unionByName(left.join(few.select(on), on, "left_anti").join(right.where(~heavy), on))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
@@ -65,37 +84,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.empty(max(n, 1), U64)
-    out[0], have = 1, 1
-    while have < n:
-        more = min(have, n - have)
-        out[have : have + more] = out[:more] * U64(pow(base, have, 1 << 64))
-        have += more
-    return out
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from the hashes of their two parts, which may overlap.
 
+    Not linear, so that no pattern of words has equal hashes for every multiplier.
+    """
+    return mix(a * U64(BASE) + mix(b + U64(BASE2)))
 
-class Powers:
-    """Powers of an odd base and of its inverse; grows on demand."""
 
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, U64), np.ones(1, U64)
+def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
+    """op over each run of width values, by doubling; with joined, the hash of each run."""
+    if len(x) < width:
+        return x[:0]
+    size = 1
+    while size * 2 <= width:
+        x, size = op(x[:-size], x[size:]), size * 2
+    rest = width - size
+    return op(x[: len(x) - rest], x[rest:]) if rest else x
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = power_table(self.base, size), power_table(pow(self.base, -1, 1 << 64), size)
-        return self.up, self.down
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.upto(len(values) + 1)[0][: len(values)], out=out[1:])
-        return out
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of 64 bits of each stretch of bytes.
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of values[starts:ends], wherever they lie."""
-        return mix((prefix[ends] - prefix[starts]) * self.upto(len(prefix))[1][starts])
+    Up to LONG_WORD bytes go in eights through mix, which is one-to-one; longer ones
+    through a hash function for bytes of any length.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(U64) + U64(seed))
+    live = np.flatnonzero(length <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        rest = length[live] - k
+        x = eight[starts[live] + k]
+        short = rest < 8
+        x[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
+        out[live] = mix(out[live] * U64(BASE2) + x)
+        live = live[rest > 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
 # ---------------------------------------------------------------- words of Arrow columns
@@ -108,7 +139,7 @@ class Words:
     before it, and their total; hash: 64 bits for each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, powers: Powers, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         sep = np.zeros(256, bool)
         sep[[9, 10, 11, 12, 13, 32]] = True
         if lower:
@@ -126,8 +157,15 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        prefix = powers.prefix(data.astype(U64) + U64(1))
-        self.hash = powers.spans(prefix, self.starts, self.ends)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return byte_hashes(self.data, self.starts, self.ends, 1)
+
+    @cached_property
+    def second_hash(self) -> np.ndarray:
+        """Another 64 bits for each word."""
+        return byte_hashes(self.data, self.starts, self.ends, 2)
 
     def __len__(self) -> int:
         return len(self.starts)

@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import BASE, BASE2, U64, Powers, Words, fold, mix, shared_path, stored, text_steps
+from auditlake.llm.common import BASE, BASE2, U64, Words, fold, mix, shared_path, stored, text_steps
 from auditlake.llm.op5_warc import open_store
 
 #: Rows of a file in one block.
@@ -109,7 +109,6 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
     times two, plus one if a document outside training has the key."""
 
     def run(batches):
-        powers = Powers(BASE)
         held: dict[int, list] = {}
 
         def added_up(block):
@@ -135,7 +134,7 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             blocks, role = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lo, hi, data, offsets in text_steps(batch.column(0)):
-                one, _, two, first = ngrams(Words(data, offsets, powers, lower=True))
+                one, _, two, first = ngrams(Words(data, offsets, lower=True))
                 for block in np.unique(blocks[lo:hi]).tolist():
                     mine = np.flatnonzero(blocks[lo:hi] == block)
                     at = np.concatenate([np.arange(first[k], first[k + 1]) for k in mine.tolist()])
@@ -291,7 +290,7 @@ def left_out(rows: DataFrame, folder: str, total: int, words: int) -> DataFrame:
     """(bucket, p2, p1) of each token of training documents, from counts without its own document's."""
 
     def run(batches):
-        powers, block, known = Powers(BASE), None, None
+        block, known = None, None
         for batch in batches:
             blocks = batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
@@ -301,7 +300,7 @@ def left_out(rows: DataFrame, folder: str, total: int, words: int) -> DataFrame:
                     block = blocks[start]
                     known = load(folder, int(block))
                 for _, _, data, offsets in text_steps(batch.column(0).slice(start, stop - start)):
-                    one, context, two, first = ngrams(Words(data, offsets, powers, lower=True))
+                    one, context, two, first = ngrams(Words(data, offsets, lower=True))
                     size, head = np.diff(first), first[:-1]
                     doc = np.repeat(np.arange(len(size)), size)
                     # without an answer an n-gram of a training document is its own only one
@@ -356,7 +355,7 @@ def scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     field = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        powers, block, known = Powers(BASE), None, None
+        block, known = None, None
         for batch in batches:
             blocks, role = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
@@ -367,7 +366,7 @@ def scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
                     known = load(folder, int(block))
                 part, roles = batch.slice(start, stop - start), role[start:stop]
                 for lo, hi, data, offsets in text_steps(part.column(1)):
-                    one, context, two, first = ngrams(Words(data, offsets, powers, lower=True))
+                    one, context, two, first = ngrams(Words(data, offsets, lower=True))
                     # without an answer an n-gram of a training document is its own only one
                     missing = np.repeat((roles[lo:hi] > 0).astype(np.int64), np.diff(first))
                     c1, c2 = find(known, one, missing), find(known, two, missing)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import U64, Powers, Words, documents, fold, mix, text_steps
+from auditlake.llm.common import U64, Words, documents, fold, mix, text_steps
 
 #: Labelled rows of a language that are learned from, on average at most; chosen by a hash of doc_id.
 TRAIN_DOCS = 400
@@ -72,11 +72,11 @@ def learn(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str], n
     sample = labelled.join(F.broadcast(n), "lang").where(draw * F.col("n") < per_language).select("lang", "text")
 
     def count(batches):
-        powers, counts = Powers(3), {}
+        counts: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for lo, hi, data, offsets in text_steps(batch.column(1)):
-                cells = gram_cells(Words(data, offsets, powers, lower=True))
+                cells = gram_cells(Words(data, offsets, lower=True))
                 for k in range(lo, hi):
                     part = cells[:, offsets[k - lo] : offsets[k - lo + 1]]
                     have = counts.setdefault(langs[k], np.zeros((len(ORDERS), CELLS + 1), np.int64))
@@ -143,11 +143,11 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[s
     at, schema = names.index("text"), T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def run(batches):
-        table, powers = shared.value, Powers(3)
+        table = shared.value
         for batch in batches:
             letter = batch.column(len(names)).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_steps(batch.column(at)):
-                words = Words(data, offsets, powers, lower=True)
+                words = Words(data, offsets, lower=True)
                 cells = gram_cells(words)
                 pred = np.full(hi - lo, UNKNOWN, object)
                 score = np.zeros(hi - lo)

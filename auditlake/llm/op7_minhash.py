@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import BASE, U64, Powers, Words, documents, mix, stored, text_steps
+from auditlake.llm.common import BASE, U64, Words, documents, join_counted, joined, mix, sliding, stored, text_steps
 from auditlake.llm.components import components
 
 SHINGLE_WORDS, PERCENT = 3, 85
@@ -42,8 +42,8 @@ COORDINATES = 48
 MISS = 1e-9
 #: Lists with more members are counted when a class picks its rarest pairs.
 LONG = 16
-#: Members in a block.
-BLOCK = 256
+#: Members in a block, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 NULL_ID = (1 << 63) - 1
 
 
@@ -57,30 +57,30 @@ def matches_needed(percent: int, n: int = COORDINATES) -> int:
     return n
 
 
-def shingle_sets(words: Words, powers: Powers, width: int) -> list[np.ndarray]:
+def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
-    prefix = powers.prefix(words.hash)
-    out = []
+    every, out = sliding(joined, words.hash, width), []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        n = b - a
-        starts = np.arange(a, a + (max(1, n - width + 1) if n else 0))
-        out.append(np.unique(powers.spans(prefix, starts, np.minimum(starts + width, b))))
+        if b - a >= width:
+            out.append(np.unique(every[a : b - width + 1]))
+        else:
+            out.append(sliding(joined, words.hash[a:b], b - a) if b > a else every[:0])
     return out
 
 
-def sets_of(column: pa.Array, powers: Powers, width: int) -> list[np.ndarray]:
-    return [s for _, _, data, offsets in text_steps(column) for s in shingle_sets(Words(data, offsets, powers, lower=True), powers, width)]
+def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
+    return [s for _, _, data, offsets in text_steps(column) for s in shingle_sets(Words(data, offsets, lower=True), width)]
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """id, n (set size), k1 and k2 (hash of the set), posts (a key for each coordinate-value pair)."""
 
     def run(batches):
-        powers, k = Powers(BASE), np.arange(1, COORDINATES + 1, dtype=U64)
+        k = np.arange(1, COORDINATES + 1, dtype=U64)
         up, add = mix(k * U64(BASE)) | U64(1), mix(k)
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(1)):
-                sets = shingle_sets(Words(data, offsets, powers, lower=True), powers, width)
+                sets = shingle_sets(Words(data, offsets, lower=True), width)
                 size = np.array([len(x) for x in sets])
                 full = np.flatnonzero(size)
                 key, low = np.zeros((2, hi - lo), U64), np.zeros((hi - lo, COORDINATES), U64)
@@ -102,11 +102,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def rarest_posts(classes: DataFrame, t: int) -> DataFrame:
-    """rep, weight (how long its lists are) and a row for each of its n - t + 1 rarest keys."""
-    every = classes.select("rep", F.explode("posts").alias("key"))
-    long = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG)
-    own = every.join(long, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("long"))  # up to COORDINATES for each class
-    rows = classes.select("rep", "posts").join(own, "rep", "left")
+    """rep, weight (how long its lists are) and a row for each of its n - t + 1 rarest keys; classes is a stored table."""
+    every = classes.select("rep", "k1", F.explode("posts").alias("key"))
+    long = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG), "long-lists")
+    own = join_counted(every, long, ["key"], "c").groupBy("rep", "k1").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("long"))  # up to COORDINATES for each class
+    rows = classes.select("rep", "k1", "posts").join(own, ["rep", "k1"], "left")
     common = F.coalesce(F.transform("long", lambda x: x["key"]), F.array().cast("array<bigint>"))
     weight = F.coalesce(F.aggregate("long", F.lit(0).cast("long"), lambda a, x: a + x["c"]), F.lit(0))
     order = F.concat(F.sort_array(F.array_except("posts", common)), common)
@@ -114,21 +114,21 @@ def rarest_posts(classes: DataFrame, t: int) -> DataFrame:
 
 
 def pivot_members(posts: DataFrame) -> DataFrame:
-    """(pivot, rep) once for each pivot of the lists that a class stands in."""
-    lists = posts.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("top.r")).alias("pivot"))
-    return posts.select("key", "rep").join(lists, "key").select("pivot", "rep").distinct()
+    """(pivot, rep) once for each pivot of the lists that a class stands in; posts is a stored table."""
+    top = F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top")
+    lists = stored(posts.groupBy("key").agg(top, F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("top.r")).alias("pivot"), "c"), "lists")
+    return join_counted(posts.select("key", "rep"), lists, ["key"], "c").select("pivot", "rep").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches):
-        powers = Powers(BASE)
         for batch in batches:
             step = 256
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                x, y = (sets_of(part.column(k), powers, width) for k in (2, 3))
+                x, y = (sets_of(part.column(k), width) for k in (2, 3))
                 same = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)])
                 whole = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - same
                 yield part.select([0, 1]).filter(pa.array(100 * same >= percent * whole))
@@ -142,11 +142,15 @@ def blocks(members: DataFrame, least: int) -> DataFrame:
 
     Blocks of outside members meet each other and the blocks of the pivot's own
     component, whose members are linked already.  A pivot without outside members, or with
-fewer than `least` in all, has none.
+    fewer than `least` in all, has none.  A block has about BLOCK members, and fewer if
+    they have more than BLOCK_BYTES by a column bytes.  members is a stored table.
     """
-    size = members.groupBy("pivot").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in")).where(f"n_out > 0 and n_out + n_in >= {least}")
-    rows = members.join(size, "pivot")
-    n_out, n_in = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_out", "n_in"))
+    size_of = F.col("bytes") if "bytes" in members.columns else F.lit(0)
+    parts = [f(c).alias(k + n) for n, c in (("out", F.col("out")), ("in", ~F.col("out"))) for k, f in (("n_", F.count_if), ("bytes_", lambda c: F.sum(F.when(c, size_of).otherwise(0))))]
+    size = members.groupBy("pivot").agg(*parts).where(f"n_out > 0 and n_out + n_in >= {least}")
+    size = stored(size.withColumn("n", F.col("n_out") + F.col("n_in")), "sizes")
+    rows = join_counted(members, size, ["pivot"], "n")
+    n_out, n_in = (F.ceil(F.greatest(F.col(f"n_{c}") / BLOCK, F.col(f"bytes_{c}") / BLOCK_BYTES)).cast("int") for c in ("out", "in"))
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("out"), n_out).otherwise(n_in)).cast("int")
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     outside = F.transform(F.sequence(F.lit(0), n_out - 1), lambda j: cell("out", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
@@ -179,7 +183,7 @@ def joining_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         component, out = table.column("component").to_numpy(), table.column("out").to_numpy(zero_copy_only=False)
         rep = table.column("rep").to_numpy()
-        sets = sets_of(table.column("text"), Powers(BASE), width)
+        sets = sets_of(table.column("text"), width)
         size = np.array([len(s) for s in sets])
         values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size)
@@ -220,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     signs = stored(signatures(d, width), "signatures")
     same = ["n", "k1", "k2"]
     classes = stored(signs.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.first("posts").alias("posts")), "classes")
-    members = stored(pivot_members(rarest_posts(classes, t)), "members")
+    members = stored(pivot_members(stored(rarest_posts(classes, t), "posts")), "members")
     sign = lambda c: classes.select(F.col("rep").alias(c), F.col("posts").alias(f"posts_{c}"), F.col("n").alias(f"n_{c}"))
     pairs = members.where("pivot <> rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).join(sign("a"), "a").join(sign("b"), "b")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -233,9 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     pivots = tagged.where("pivot = rep").select("pivot", F.col("component").alias("pivot_component"))
     tagged = stored(tagged.join(pivots, "pivot").select("pivot", "rep", "component", (F.col("component") != F.col("pivot_component")).alias("out")), "tagged")
     # a member alone with its pivot has been compared already
-    active = stored(agreeing(blocks(tagged.join(classes.select("rep", "posts"), "rep"), least=3), t), "active")
-    rest = tagged.join(active, ["pivot", "rep"]).join(d.withColumnRenamed("id", "rep"), "rep")
-    more = stored(joining_links(blocks(rest, least=2), width, percent), "more-links")
+    active = stored(agreeing(blocks(tagged, least=3).join(classes.select("rep", "posts"), "rep"), t), "active")
+    texts = d.withColumnRenamed("id", "rep")
+    size = texts.select("rep", F.octet_length("text").alias("bytes"))
+    rest = stored(tagged.join(active, ["pivot", "rep"]).join(size, "rep"), "rest")
+    more = stored(joining_links(blocks(rest, least=2).join(texts, "rep"), width, percent), "more-links")
     final = components(links.union(more))
     of = signs.select("id", *same).join(classes.select(*same, "rep"), same, "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

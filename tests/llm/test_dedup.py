@@ -7,6 +7,7 @@ from helpers import SCHEMA, by_id, frame, linked_components, prose, rows, shingl
 
 from auditlake.llm import op2_substrings as op2
 from auditlake.llm import op7_minhash as op7
+from auditlake.llm.common import Words, sliding
 from auditlake.llm.components import components
 
 
@@ -33,10 +34,40 @@ def test_longest_repeats_double_until_none_survives(spark):
     assert got == {2: 200, 3: 50}
 
 
+def mirrored(n, a, b):
+    """A row of n letters, each half the other with letters exchanged: equal sums of powers of any odd base modulo 2**64."""
+    out, other = a, b
+    while len(out) < n:
+        out, other = out + other, other + out
+    return out, other
+
+
+def test_words_and_texts_that_a_polynomial_confuses(spark):
+    x, y = mirrored(1024, "a", "b")
+    rnd = random.Random(3)
+    head, tail = prose(rnd, 24), prose(rnd, 25)
+    data = [(1, f"{head} {x} {tail}", None, None, None), (2, f"{head} {y} {tail}", None, None, None)]
+    data += [(k + 3, " ".join(w), None, None, None) for k, w in enumerate(mirrored(2048, "a", "b"))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in op2.substring_dedup(frame(spark, data)).collect())
+    assert got == windows_removed(data, 50)
+    assert all(r[2] == 0 for r in got if r[0] == 2)
+    near = {r.doc_id: r.component_id for r in op7.near_duplicates(frame(spark, data), 3, 85).collect()}
+    assert near == linked_components(data, 3, 85)
+
+
+def test_word_hashes_differ():
+    rnd = random.Random(2)
+    words = sorted({"".join(rnd.choice("ab\0\xff") for _ in range(rnd.randint(1, 90))) for _ in range(20000)} | set(mirrored(4096, "a", "b")))
+    data = " ".join(words).encode("latin-1")
+    found = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(found) == len(words) == len(set(found.hash.tolist())) == len(set(found.second_hash.tolist()))
+    assert not (found.hash == found.second_hash).any()
+
+
 def test_sliding_minimum():
     x = np.random.default_rng(1).integers(0, 99, 200)
     for w in (1, 2, 5, 26):
-        assert op2.sliding(np.minimum, x, w).tolist() == [x[k : k + w].min() for k in range(len(x) - w + 1)]
+        assert sliding(np.minimum, x, w).tolist() == [x[k : k + w].min() for k in range(len(x) - w + 1)]
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
