@@ -9,12 +9,12 @@ training documents are learned from.  Tasks sum the expectations of a round, so
 the driver gets a row for each bucket.
 
 Counts cover every training document and stay distributed.  Neighbouring rows of a
-file form blocks; a block asks once for each of its distinct n-grams, bringing its own
-counts along.  Requests meet by n-gram, are added up in sorted order, and go back to
-their blocks' folders, where the tasks that read those rows again look them up.  An
+file with texts of like length form blocks of bounded bytes; a block asks once for each
+of its distinct n-grams, bringing its own counts along.  Requests meet by part of the key
+space, so many parts that one is small at any size, are added up there, and go back to
+the folders of their blocks, where the tasks that read those rows again look them up.  An
 n-gram that one training document alone has once needs no answer.  Both ways the keys
-that go together travel packed, as differences of sorted numbers, and are single rows
-again before Spark sorts them.
+that go together travel packed, as differences of sorted numbers.
 
 Defined cases: null or empty text is one end token; repeated rows are separate
 documents; without training documents every count is 0 and the base score of a token is
@@ -33,22 +33,21 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import BASE, BASE2, U64, Words, fold, mix, shared_path, stored, text_steps
 from auditlake.llm.op5_warc import open_store
 
-#: Rows of a file in one block.
-BLOCK_ROWS = 8192
-BUCKETS, ROUNDS, FLOOR = 24, 30, 1e-6
+#: Bytes of text in a block, at most; short texts have up to so many bytes.
+BLOCK_BYTES, SHORT = 16 << 20, 1 << 10
+#: A bucket for each power of two of 64 bits.
+BUCKETS, ROUNDS, SETTLED, FLOOR = 64, 30, 1e-4, 1e-6
 DEFAULT = (0.4, 0.4, 0.2)
 #: The hash of the end token, which is no word's, and of the start of a text as a context.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
-#: Name of a block that holds no rows: sums over the corpus.
+#: The block and bucket of rows that hold sums over the corpus.
 SUMS = -1
-#: N-grams that a task holds before it adds up equal ones, and then at most.
-HELD_KEYS, KEPT_KEYS = 2_500_000, 1_200_000
-#: Answers that a task holds before it packs them by block.
-ANSWERS_HELD = 300_000
-#: Parts of the key space for each shuffle partition.
-PARTS = 2
-#: Packed rows grow tenfold when they become single rows, so they are dealt to more partitions than usual.
-SPREAD = 3
+#: N-grams that a task holds before it adds up equal ones, and then at most; and that it keeps of read answers.
+HELD_KEYS, KEPT_KEYS, LOADED_KEYS = 2_500_000, 1_200_000, 4_000_000
+#: Bytes of text for each part of the key space, whose n-grams one task adds up, and for each folder of answers.
+PART_BYTES, BUCKET_BYTES = 8 << 20, 256 << 20
+#: Bytes of answers that are read together.
+GROUP_BYTES = 2 << 20
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -58,8 +57,13 @@ def placed(docs: DataFrame) -> DataFrame:
         rows = at(docs)
     except AnalysisException:  # not rows of files
         rows = at(stored(docs.select("doc_id", "text"), "documents"))
-    block = F.shiftrightunsigned(F.xxhash64("file", F.floor(F.col("place") / BLOCK_ROWS)), 1)
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block.alias("block"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    # texts of up to SHORT, 4 * SHORT, 16 * SHORT ... bytes
+    tier = F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("text") + 1) / SHORT) / 2)).cast("int")
+    rows = rows.withColumn("tier", tier)
+    run = F.greatest(F.lit(1.0), F.lit(float(BLOCK_BYTES // SHORT)) / F.pow(F.lit(4.0), "tier"))
+    block = F.shiftrightunsigned(F.xxhash64("file", "tier", F.floor(F.col("place") / run)), 1)
+    return rows.select("doc_id", "text", block.alias("block"))
 
 
 def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +121,6 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
             key = key[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             held[block] = [(key[at], np.add.reduceat(n[order], at).astype(np.int32), np.maximum.reduceat(asks[order], at))]
-            return len(at)
 
         def counted(block):
             added_up(block)
@@ -131,104 +134,125 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
                 packed = [pack(key[cut[p] : cut[p + 1]], both[cut[p] : cut[p + 1]]) for p in part]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "packed"])
 
+        def size():
+            return sum(len(x[0]) for pieces in held.values() for x in pieces)
+
         for batch in batches:
             blocks, role = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lo, hi, data, offsets in text_steps(batch.column(0)):
                 one, _, two, first = ngrams(Words(data, offsets, lower=True))
-                for block in np.unique(blocks[lo:hi]).tolist():
-                    mine = np.flatnonzero(blocks[lo:hi] == block)
-                    at = np.concatenate([np.arange(first[k], first[k + 1]) for k in mine.tolist()])
+                for block, mine, at in by_block(blocks[lo:hi], first):
                     train = np.repeat((role[lo:hi][mine] > 0).astype(np.int8), np.diff(first)[mine])
-                    for keys in (one[at], two[at]):
-                        held.setdefault(block, []).append((keys, train.astype(np.int32), 1 - train))
-                for block in list(held):
-                    # rows come in the order of their files, so only the last block goes on
-                    if block != int(blocks[hi - 1]) or (sum(len(x[0]) for x in held[block]) > HELD_KEYS and added_up(block) > KEPT_KEYS):
-                        yield from counted(block)
+                    held[block] = held.pop(block, []) + [(keys[at], train.astype(np.int32), 1 - train) for keys in (one, two)]
+                if size() > HELD_KEYS:
+                    for block in held:
+                        added_up(block)
+                    # the blocks that have gone longest without a row leave first
+                    while held and size() > KEPT_KEYS:
+                        yield from counted(next(iter(held)))
         for block in list(held):
             yield from counted(block)
 
     return rows.select("text", "block", "role").mapInArrow(run, "part int, block long, packed binary")
 
 
-def unpacked(asked: DataFrame) -> DataFrame:
-    """(key, block, n, asks), one row for each key of a request."""
-
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                key, both = unpack(raw, 2)
-                for lo in range(0, len(key), 100_000):
-                    k, x = key[lo : lo + 100_000], both[lo : lo + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), block)), pa.array(x >> 1), pa.array((x & 1).astype(np.int32))], ["key", "block", "n", "asks"])
-
-    return asked.select("block", "packed").mapInArrow(run, "key long, block long, n long, asks int")
+def by_block(blocks: np.ndarray, first: np.ndarray):
+    """(block, its documents, places of their tokens); first: token offsets of the documents."""
+    for block in np.unique(blocks).tolist():
+        mine = np.flatnonzero(blocks == block)
+        if len(mine) == len(blocks):
+            yield block, mine, np.arange(first[-1])
+        else:
+            yield block, mine, np.concatenate([np.arange(first[k], first[k + 1]) for k in mine.tolist()])
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(block, packed): corpus counts of the n-grams that a block needs; and the corpus sums, as tokens and words of block SUMS."""
+    """(block, packed): corpus counts of the n-grams that a block needs; and the corpus sums, as tokens and words of block SUMS.
+
+    asked comes with the rows of a part together.
+    """
     kinds = pa.schema([("block", pa.int64()), ("packed", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
 
     def run(batches):
-        rest, sums = None, np.zeros(2, np.int64)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def added(key, block, n, asks):
-            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            total = np.add.reduceat(n, at)
-            words = (key[at] & 1) == 1
+        sums = np.zeros(2, np.int64)
+
+        def answered(pieces):
+            """pieces: (block, packed) of one part of the key space."""
+            keys, both = zip(*(unpack(raw, 2) for _, raw in pieces), strict=True)
+            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, place, np.concatenate(both).view(np.int64) >> 1)
+            words = (every & U64(1)) == 1
             sums[:] += total[words].sum(), (total[words] > 0).sum()
-            total = np.repeat(total, np.diff(np.append(at, len(key))))
-            need = (total > 1) | ((total == 1) & (asks == 1))
-            # a block that several tasks read asks more than once
-            need[1:] &= (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | ~need[:-1]
-            found.append((block[need], key[need], total[need]))
-
-        def packed():
-            block, key, total = (np.concatenate(x) for x in zip(*found, strict=True))
-            found.clear()
-            order = np.lexsort((key.view(U64), block))
-            block, key, total = block[order], key[order].view(U64), total[order].view(U64)
-            at = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else []
-            rows = [(int(block[a]), pack(key[a:b], total[a:b]), None, None) for a, b in zip(at[:-1], at[1:], strict=True)]
-            return pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], schema=kinds)
-
+            of: dict[int, list] = {}
+            at = 0
+            for (block, _), key, x in zip(pieces, keys, both, strict=True):
+                n = total[place[at : at + len(key)]]
+                at += len(key)
+                need = (n > 1) | ((n == 1) & ((x & U64(1)) == 1))
+                of.setdefault(block, []).append((key[need], n[need].view(U64)))
+            rows = []
+            for block, found in of.items():
+                key, n = found[0]
+                if len(found) > 1:  # a block that several tasks read asks more than once
+                    key, first = np.unique(np.concatenate([k for k, _ in found]), return_index=True)
+                    n = np.concatenate([x for _, x in found])[first]
+                if len(key):
+                    rows.append({"block": block, "packed": pack(key, n)})
+            return pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+        part, pieces = None, []
         for batch in batches:
-            rows = [batch.column(k).to_numpy() for k in range(4)]
-            if rest is not None:
-                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            if not len(rows[0]):
-                continue
-            # the last key may go on in the next batch
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            rest = [x[cut:] for x in rows]
-            if cut:
-                added(*(x[:cut] for x in rows))
-            if sum(len(x[0]) for x in found) > ANSWERS_HELD:
-                yield packed()
-        if rest is not None and len(rest[0]):
-            added(*rest)
-        if found:
-            yield packed()
+            for p, block, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if p != part and pieces:
+                    yield answered(pieces)
+                    pieces = []
+                part = p
+                pieces.append((block, raw))
+        if pieces:
+            yield answered(pieces)
         yield pa.RecordBatch.from_pylist([{"block": SUMS, "packed": None, "tokens": int(sums[0]), "words": int(sums[1])}], schema=kinds)
 
-    return asked.sortWithinPartitions("key", "block", F.desc("asks")).mapInArrow(run, "block long, packed binary, tokens long, words long")
+    return asked.mapInArrow(run, "block long, packed binary, tokens long, words long")
+
+
+class Answers:
+    """Sorted keys and counts of blocks, read from their folder; some are kept."""
 
+    def __init__(self, folder: str, buckets: int):
+        self.folder, self.buckets, self.kept = folder, buckets, {}
 
-def load(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of a block's answers."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
+    def of(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        if block in self.kept:
+            self.kept[block] = self.kept.pop(block)
+            return self.kept[block]
+        while self.kept and sum(len(k) for k, _ in self.kept.values()) > LOADED_KEYS:
+            del self.kept[next(iter(self.kept))]
+        self.kept[block] = self.load(block)
+        return self.kept[block]
 
-    store, path = open_store(f"{folder}/block={block}")
-    files = [f.path for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-    rows = [raw for f in files for raw in pq.read_table(f, columns=["packed"], filesystem=store, partitioning=None).column(0).to_pylist() if raw]
-    if not rows:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    key, n = (np.concatenate(x) for x in zip(*(unpack(raw, 2) for raw in rows), strict=True))
-    order = np.argsort(key)
-    return key[order], n[order].view(np.int64)
+    def load(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, path = open_store(f"{self.folder}/bucket={block % self.buckets}")
+        rows = []
+        for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if not f.path.endswith(".parquet"):
+                continue
+            with store.open_input_file(f.path) as opened:
+                file = pq.ParquetFile(opened)
+                for k in range(file.num_row_groups):
+                    limits = file.metadata.row_group(k).column(0).statistics
+                    if limits is None or limits.min <= block <= limits.max:
+                        table = file.read_row_group(k, columns=["block", "packed"])
+                        rows += [raw for raw, b in zip(table.column(1), table.column(0).to_pylist(), strict=True) if b == block]
+        # each row is of one part of the key space
+        found = sorted((unpack(raw.as_py(), 2) for raw in rows), key=lambda x: int(x[0][0]))
+        if not found:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        key, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        return key, n.view(np.int64)
 
 
 def find(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -239,9 +263,24 @@ def find(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: np.nda
     return np.where(have[at] == keys, n[at], missing)
 
 
+def counts(known: Answers, blocks: np.ndarray, grams: tuple, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corpus counts of the context, word and bigram of each token; without an answer, missing."""
+    one, context, two, first = grams
+    c1, c2, c0 = missing.copy(), missing.copy(), np.empty_like(missing)
+    head = np.zeros(len(one), bool)
+    head[first[:-1]] = True
+    for block, mine, at in by_block(blocks, first):
+        have = known.of(block)
+        c1[at], c2[at] = find(have, one[at], missing[at]), find(have, two[at], missing[at])
+        start = first[:-1][mine]
+        c0[start] = find(have, context[start], missing[start])
+    c0[1:][~head[1:]] = c1[:-1][~head[1:]]
+    return c0, c1, c2
+
+
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, then one for each power of two."""
-    return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), 0)
+    return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
 
 
 def estimates(one, context, two, total, words: int) -> np.ndarray:
@@ -255,10 +294,11 @@ def maximised(expect) -> np.ndarray:
     weights[0] = (0, 0.7, 0.3)
     for _ in range(ROUNDS):
         seen, shares = expect(weights)
-        if not seen.any():
-            break
         # rounded, as sums of tasks come in any order
-        weights = np.where(seen[:, None] > 0, np.round(shares / np.maximum(seen, 1)[:, None], 12), weights)
+        better = np.where(seen[:, None] > 0, np.round(shares / np.maximum(seen, 1)[:, None], 12), weights)
+        moved, weights = np.abs(better - weights).max(), better
+        if moved < SETTLED:
+            break
     weights = np.maximum(weights, FLOOR)
     weights[0, 0] = 0
     return weights / weights.sum(axis=1, keepdims=True)
@@ -286,47 +326,45 @@ def own_counts(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def left_out(rows: DataFrame, folder: str, total: int, words: int) -> DataFrame:
-    """(bucket, p2, p1) of each token of training documents, from counts without its own document's."""
+def left_out(rows: DataFrame, folder: str, buckets: int, total: int, words: int) -> DataFrame:
+    """(bucket, p2, p1, n): estimates of the tokens of training documents, from counts without their own document's, and how many tokens have them."""
 
     def run(batches):
-        block, known = None, None
+        known = Answers(folder, buckets)
         for batch in batches:
             blocks = batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
-            for start, stop in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
-                if blocks[start] != block:
-                    known = None  # not two at a time
-                    block = blocks[start]
-                    known = load(folder, int(block))
-                for _, _, data, offsets in text_steps(batch.column(0).slice(start, stop - start)):
-                    one, context, two, first = ngrams(Words(data, offsets, lower=True))
-                    size, head = np.diff(first), first[:-1]
-                    doc = np.repeat(np.arange(len(size)), size)
-                    # without an answer an n-gram of a training document is its own only one
-                    missing = np.ones(len(one), np.int64)
-                    c1 = find(known, one, missing) - own_counts(one, doc)
-                    c2 = find(known, two, missing) - own_counts(two, doc)
-                    c0 = np.empty_like(c1)
-                    c0[1:] = c1[:-1]
-                    c0[head] = find(known, context[head], missing[head]) - 1
-                    p = estimates(c1, c0, c2, total - size[doc], words)
-                    at = bucket(c0).astype(np.int32)
-                    for lo in range(0, len(at), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (at, p[:, 0], p[:, 1])], ["bucket", "p2", "p1"])
-
-    return rows.select("text", "block").mapInArrow(run, "bucket int, p2 double, p1 double")
-
-
-def learned_weights(rows: DataFrame, folder: str, total: int, words: int) -> np.ndarray:
+            for lo, hi, data, offsets in text_steps(batch.column(0)):
+                grams = one, context, two, first = ngrams(Words(data, offsets, lower=True))
+                size = np.diff(first)
+                doc = np.repeat(np.arange(len(size)), size)
+                # without an answer an n-gram of a training document is its own only one
+                c0, c1, c2 = counts(known, blocks[lo:hi], grams, np.ones(len(one), np.int64))
+                own = own_counts(one, doc)
+                c1, c2 = c1 - own, c2 - own_counts(two, doc)
+                before = np.ones_like(own)  # the start of the document itself
+                before[1:] = own[:-1]
+                before[first[:-1]] = 1
+                c0 = c0 - before
+                p = estimates(c1, c0, c2, total - size[doc], words)
+                at = bucket(c0)
+                order = np.lexsort((p[:, 1], p[:, 0], at))
+                at, p2, p1 = at[order], p[order, 0], p[order, 1]
+                new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (p2[1:] != p2[:-1]) | (p1[1:] != p1[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(at[new].astype(np.int32)), pa.array(p2[new]), pa.array(p1[new]), pa.array(np.diff(np.append(new, len(at))))], ["bucket", "p2", "p1", "n"])
+
+    found = rows.select("text", "block").mapInArrow(run, "bucket int, p2 double, p1 double, n long")
+    return found.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"))
+
+
+def learned_weights(rows: DataFrame, folder: str, buckets: int, total: int, words: int) -> np.ndarray:
     """The mixture weights, from all rows of role 2."""
-    tokens = stored(left_out(rows.where("role = 2"), folder, total, words), "estimates")
+    tokens = stored(left_out(rows.where("role = 2"), folder, buckets, total, words), "estimates")
 
     def expect(weights):
         w2, w1, w0 = (F.get(F.array(*[F.lit(x) for x in column]), F.col("bucket")) for column in weights.T.tolist())
-        shares = tokens.select("bucket", (w2 * F.col("p2")).alias("s2"), (w1 * F.col("p1")).alias("s1"), (w0 * F.lit(1 / (words + 1))).alias("s0"))
+        shares = tokens.select("bucket", "n", (w2 * F.col("p2")).alias("s2"), (w1 * F.col("p1")).alias("s1"), (w0 * F.lit(1 / (words + 1))).alias("s0"))
         whole = F.greatest(F.col("s2") + F.col("s1") + F.col("s0"), F.lit(1e-300))
-        found = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), *[F.sum(F.col(s) / whole).alias(s) for s in ("s2", "s1", "s0")]).collect()  # a row for each bucket
+        found = shares.groupBy("bucket").agg(F.sum("n").alias("seen"), *[F.sum(F.col("n") * F.col(s) / whole).alias(s) for s in ("s2", "s1", "s0")]).collect()  # a row for each bucket
         seen, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, 3))
         for r in found:
             seen[r["bucket"]], sums[r["bucket"]] = r["seen"], (r["s2"], r["s1"], r["s0"])
@@ -341,45 +379,40 @@ def scores(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     rows = placed(docs)
     held_out = fold("doc_id", folds) == out
     weighed = fold("doc_id", folds) == (out + 1) % folds
-    if docs.select("doc_id").where(weighed).isEmpty():
+    have = docs.agg(F.sum(F.octet_length("text")), F.count_if(weighed)).first()
+    if not have[1]:
         weighed = F.lit(True)
     # 0: not learned from, 1: learned from, 2: learned from, and the weights are learned on it
     rows = rows.withColumn("role", F.when(held_out, 0).when(weighed, 2).otherwise(1).cast("int"))
     folder = shared_path(spark, "answers")
-    partitions = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = unpacked(requests(rows, PARTS * partitions).repartition(partitions, "part"))
-    answers(asked).repartition("block").write.partitionBy("block").parquet(folder)
-    sums = spark.read.schema("tokens long, words long, block long").parquet(folder).where(F.col("block") == SUMS).agg(F.sum("tokens"), F.sum("words")).first()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(partitions, (have[0] or 0) // PART_BYTES)
+    buckets = max(partitions, (have[0] or 0) // BUCKET_BYTES)
+    asked = requests(rows, parts).repartition(parts, "part").sortWithinPartitions("part")
+    nothing = spark.sql(f"SELECT CAST({SUMS} AS LONG) AS block, CAST(NULL AS BINARY) AS packed, 0L AS tokens, 0L AS words")
+    placed_answers = answers(asked).unionByName(nothing).withColumn("bucket", F.when(F.col("block") == SUMS, SUMS).otherwise(F.col("block") % buckets))
+    placed_answers.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").write.option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(folder)
+    sums = spark.read.schema("tokens long, words long").parquet(f"{folder}/bucket={SUMS}").agg(F.sum("tokens"), F.sum("words")).first()
     total, words = sums[0] or 0, sums[1] or 0
-    weights = learned_weights(rows, folder, total, words)
+    weights = learned_weights(rows, folder, buckets, total, words)
     field = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        block, known = None, None
+        known = Answers(folder, buckets)
         for batch in batches:
             blocks, role = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
-            for start, stop in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
-                if blocks[start] != block:
-                    known = None  # not two at a time
-                    block = blocks[start]
-                    known = load(folder, int(block))
-                part, roles = batch.slice(start, stop - start), role[start:stop]
-                for lo, hi, data, offsets in text_steps(part.column(1)):
-                    one, context, two, first = ngrams(Words(data, offsets, lower=True))
-                    # without an answer an n-gram of a training document is its own only one
-                    missing = np.repeat((roles[lo:hi] > 0).astype(np.int64), np.diff(first))
-                    c1, c2 = find(known, one, missing), find(known, two, missing)
-                    c0 = np.empty_like(c1)
-                    c0[1:] = c1[:-1]
-                    c0[first[:-1]] = find(known, context[first[:-1]], missing[first[:-1]])
-                    p = (estimates(c1, c0, c2, total, words) * weights[bucket(c0)]).sum(axis=1)
-                    base = np.log10((c1 + 1) / (total + words + 1))
-                    at = first[:-1]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(lo, hi - lo), pa.array(roles[lo:hi] == 0), pa.array(np.diff(first)), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), at)), pa.array(np.full(hi - lo, total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                    )
+            for lo, hi, data, offsets in text_steps(batch.column(1)):
+                grams = one, _, _, first = ngrams(Words(data, offsets, lower=True))
+                # without an answer an n-gram of a training document is its own only one
+                missing = np.repeat((role[lo:hi] > 0).astype(np.int64), np.diff(first))
+                c0, c1, c2 = counts(known, blocks[lo:hi], grams, missing)
+                p = (estimates(c1, c0, c2, total, words) * weights[bucket(c0)]).sum(axis=1)
+                base = np.log10((c1 + 1) / (total + words + 1))
+                at = first[:-1]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(role[lo:hi] == 0), pa.array(np.diff(first)), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), at)), pa.array(np.full(hi - lo, total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     schema = f"doc_id {field}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.select("doc_id", "text", "block", "role").mapInArrow(run, schema)
