@@ -24,6 +24,8 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -33,17 +35,17 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import BASE, BASE2, U64, Words, fold, mix, shared_path, stored, text_steps
 from auditlake.llm.op5_warc import open_store
 
-#: Bytes of text in a block, at most; short texts have up to so many bytes.
-BLOCK_BYTES, SHORT = 16 << 20, 1 << 10
+#: Bytes of text in a block, at most; short texts have up to so many bytes, and each class after them STEP times as many.
+BLOCK_BYTES, SHORT, STEP = 64 << 20, 8 << 10, 16
 #: A bucket for each power of two of 64 bits.
-BUCKETS, ROUNDS, SETTLED, FLOOR = 64, 30, 1e-4, 1e-6
+BUCKETS, ROUNDS, SETTLED, FLOOR = 64, 30, 5e-4, 1e-6
 DEFAULT = (0.4, 0.4, 0.2)
 #: The hash of the end token, which is no word's, and of the start of a text as a context.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 #: The block and bucket of rows that hold sums over the corpus.
 SUMS = -1
 #: N-grams that a task holds before it adds up equal ones, and then at most; and that it keeps of read answers.
-HELD_KEYS, KEPT_KEYS, LOADED_KEYS = 2_500_000, 1_200_000, 4_000_000
+HELD_KEYS, KEPT_KEYS, LOADED_KEYS = 4_000_000, 2_500_000, 4_000_000
 #: Bytes of text for each part of the key space, whose n-grams one task adds up, and for each folder of answers.
 PART_BYTES, BUCKET_BYTES = 8 << 20, 256 << 20
 #: Bytes of answers that are read together.
@@ -58,10 +60,10 @@ def placed(docs: DataFrame) -> DataFrame:
     except AnalysisException:  # not rows of files
         rows = at(stored(docs.select("doc_id", "text"), "documents"))
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    # texts of up to SHORT, 4 * SHORT, 16 * SHORT ... bytes
-    tier = F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("text") + 1) / SHORT) / 2)).cast("int")
+    # texts of up to SHORT, STEP * SHORT, STEP**2 * SHORT ... bytes
+    tier = F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("text") + 1) / SHORT) / math.log2(STEP))).cast("int")
     rows = rows.withColumn("tier", tier)
-    run = F.greatest(F.lit(1.0), F.lit(float(BLOCK_BYTES // SHORT)) / F.pow(F.lit(4.0), "tier"))
+    run = F.greatest(F.lit(1.0), F.lit(float(BLOCK_BYTES // SHORT)) / F.pow(F.lit(float(STEP)), "tier"))
     block = F.shiftrightunsigned(F.xxhash64("file", "tier", F.floor(F.col("place") / run)), 1)
     return rows.select("doc_id", "text", block.alias("block"))
 
@@ -86,26 +88,38 @@ def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return token | U64(1), context | U64(1), bigram, first
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Whole numbers, the first column sorted: its differences, and each byte of a number with its like; bytes that are 0 throughout are left out."""
+def planes(*columns: np.ndarray) -> bytes:
+    """Whole numbers from 0: each byte of a number with its like, without bytes that are 0 throughout, compressed."""
     out = [len(columns[0]).to_bytes(8, "little")]
-    for x in (np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]):
-        planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-        used = planes.any(axis=1)
-        out += [np.packbits(used).tobytes(), planes[used].tobytes()]
-    return b"".join(out)
+    for x in columns:
+        rows = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+        used = rows.any(axis=1)
+        out += [np.packbits(used).tobytes(), rows[used].tobytes()]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack(raw: bytes, columns: int) -> list[np.ndarray]:
-    """Unsigned columns of packed numbers."""
+def numbers(packed: bytes, columns: int) -> list[np.ndarray]:
+    """Unsigned columns of planes."""
+    raw = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     for _ in range(columns):
         used = np.unpackbits(np.frombuffer(raw, np.uint8, 1, at)).astype(bool)
-        planes = np.zeros((8, n), np.uint8)
-        planes[used] = np.frombuffer(raw, np.uint8, int(used.sum()) * n, at + 1).reshape(-1, n)
+        rows = np.zeros((8, n), np.uint8)
+        rows[used] = np.frombuffer(raw, np.uint8, int(used.sum()) * n, at + 1).reshape(-1, n)
         at += 1 + int(used.sum()) * n
-        out.append(np.ascontiguousarray(planes.T).view("<u8").reshape(n))
-    return [np.cumsum(out[0], dtype=U64), *out[1:]]
+        out.append(np.ascontiguousarray(rows.T).view("<u8").reshape(n))
+    return out
+
+
+def pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys, as their differences, with whole numbers."""
+    return planes(np.diff(keys, prepend=U64(0)), values)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = numbers(packed, 2)
+    return np.cumsum(keys, dtype=U64), values
 
 
 def requests(rows: DataFrame, parts: int) -> DataFrame:
@@ -178,7 +192,7 @@ def answers(asked: DataFrame) -> DataFrame:
 
         def answered(pieces):
             """pieces: (block, packed) of one part of the key space."""
-            keys, both = zip(*(unpack(raw, 2) for _, raw in pieces), strict=True)
+            keys, both = zip(*(unpack(raw) for _, raw in pieces), strict=True)
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.zeros(len(every), np.int64)
             np.add.at(total, place, np.concatenate(both).view(np.int64) >> 1)
@@ -248,7 +262,7 @@ class Answers:
                         table = file.read_row_group(k, columns=["block", "packed"])
                         rows += [raw for raw, b in zip(table.column(1), table.column(0).to_pylist(), strict=True) if b == block]
         # each row is of one part of the key space
-        found = sorted((unpack(raw.as_py(), 2) for raw in rows), key=lambda x: int(x[0][0]))
+        found = sorted((unpack(raw.as_py()) for raw in rows), key=lambda x: int(x[0][0]))
         if not found:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         key, n = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -296,23 +310,24 @@ def maximised(expect) -> np.ndarray:
         seen, shares = expect(weights)
         # rounded, as sums of tasks come in any order
         better = np.where(seen[:, None] > 0, np.round(shares / np.maximum(seen, 1)[:, None], 12), weights)
-        moved, weights = np.abs(better - weights).max(), better
-        if moved < SETTLED:
+        moved, weights = (np.abs(better - weights).max(axis=1) * seen).sum(), better
+        if moved <= SETTLED * seen.sum():
             break
     weights = np.maximum(weights, FLOOR)
     weights[0, 0] = 0
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def expectation_maximisation(parts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Weights of each bucket, from tokens with estimates parts in buckets at."""
+def expected(parts: np.ndarray, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's tokens and the sums of their shares, from tokens with estimates parts in buckets at."""
+    share = parts * weights[at]
+    share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+    return np.bincount(at, minlength=BUCKETS), np.stack([np.bincount(at, share[:, c], BUCKETS) for c in range(parts.shape[1])], axis=1)
 
-    def expect(weights):
-        share = parts * weights[at]
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-        return np.bincount(at, minlength=BUCKETS), np.stack([np.bincount(at, share[:, c], BUCKETS) for c in range(parts.shape[1])], axis=1)
 
-    return maximised(expect)
+def expectation_maximisation(parts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Weights of each bucket, from tokens with estimates parts in buckets at."""
+    return maximised(lambda weights: expected(parts, at, weights))
 
 
 def own_counts(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -326,8 +341,9 @@ def own_counts(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def left_out(rows: DataFrame, folder: str, buckets: int, total: int, words: int) -> DataFrame:
-    """(bucket, p2, p1, n): estimates of the tokens of training documents, from counts without their own document's, and how many tokens have them."""
+def left_out(rows: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """Counts of context, word, bigram and tokens of the document, packed, for each token of training documents;
+    the first three without the document's own."""
 
     def run(batches):
         known = Answers(folder, buckets)
@@ -340,33 +356,31 @@ def left_out(rows: DataFrame, folder: str, buckets: int, total: int, words: int)
                 # without an answer an n-gram of a training document is its own only one
                 c0, c1, c2 = counts(known, blocks[lo:hi], grams, np.ones(len(one), np.int64))
                 own = own_counts(one, doc)
-                c1, c2 = c1 - own, c2 - own_counts(two, doc)
                 before = np.ones_like(own)  # the start of the document itself
                 before[1:] = own[:-1]
                 before[first[:-1]] = 1
-                c0 = c0 - before
-                p = estimates(c1, c0, c2, total - size[doc], words)
-                at = bucket(c0)
-                order = np.lexsort((p[:, 1], p[:, 0], at))
-                at, p2, p1 = at[order], p[order, 0], p[order, 1]
-                new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (p2[1:] != p2[:-1]) | (p1[1:] != p1[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(at[new].astype(np.int32)), pa.array(p2[new]), pa.array(p1[new]), pa.array(np.diff(np.append(new, len(at))))], ["bucket", "p2", "p1", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([planes(c0 - before, c1 - own, c2 - own_counts(two, doc), size[doc])], pa.binary())], ["packed"])
 
-    found = rows.select("text", "block").mapInArrow(run, "bucket int, p2 double, p1 double, n long")
-    return found.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"))
+    return rows.select("text", "block").mapInArrow(run, "packed binary")
 
 
 def learned_weights(rows: DataFrame, folder: str, buckets: int, total: int, words: int) -> np.ndarray:
     """The mixture weights, from all rows of role 2."""
-    tokens = stored(left_out(rows.where("role = 2"), folder, buckets, total, words), "estimates")
+    tokens = stored(left_out(rows.where("role = 2"), folder, buckets), "left-out")
 
     def expect(weights):
-        w2, w1, w0 = (F.get(F.array(*[F.lit(x) for x in column]), F.col("bucket")) for column in weights.T.tolist())
-        shares = tokens.select("bucket", "n", (w2 * F.col("p2")).alias("s2"), (w1 * F.col("p1")).alias("s1"), (w0 * F.lit(1 / (words + 1))).alias("s0"))
-        whole = F.greatest(F.col("s2") + F.col("s1") + F.col("s0"), F.lit(1e-300))
-        found = shares.groupBy("bucket").agg(F.sum("n").alias("seen"), *[F.sum(F.col("n") * F.col(s) / whole).alias(s) for s in ("s2", "s1", "s0")]).collect()  # a row for each bucket
+        def run(batches):
+            seen, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, 3))
+            for batch in batches:
+                for raw in batch.column(0):
+                    c0, c1, c2, size = (x.view(np.int64) for x in numbers(raw.as_py(), 4))
+                    more = expected(estimates(c1, c0, c2, total - size, words), bucket(c0), weights)
+                    seen, sums = seen + more[0], sums + more[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(seen), *(pa.array(x) for x in sums.T)], ["bucket", "seen", "s2", "s1", "s0"])
+
+        found = tokens.mapInArrow(run, "bucket long, seen long, s2 double, s1 double, s0 double")
         seen, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, 3))
-        for r in found:
+        for r in found.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("seen", "s2", "s1", "s0")]).collect():  # a row for each bucket
             seen[r["bucket"]], sums[r["bucket"]] = r["seen"], (r["s2"], r["s1"], r["s0"])
         return seen, sums
 
