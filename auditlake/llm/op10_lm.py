@@ -36,7 +36,7 @@ from auditlake.llm.common import BASE, BASE2, U64, Words, fold, mix, shared_path
 from auditlake.llm.op5_warc import open_store
 
 #: Bytes of text in a block, at most; short texts have up to so many bytes, and each class after them STEP times as many.
-BLOCK_BYTES, SHORT, STEP = 64 << 20, 8 << 10, 16
+BLOCK_BYTES, SHORT, STEP = 256 << 20, 32 << 10, 16
 #: A bucket for each power of two of 64 bits.
 BUCKETS, ROUNDS, SETTLED, FLOOR = 64, 30, 5e-4, 1e-6
 DEFAULT = (0.4, 0.4, 0.2)

@@ -6,9 +6,11 @@ fractional documents at a time pass words from one to the other, at random and
 without changing the expected copies of either, until one of them is at none or one
 more copy.  Groups of documents reduce to one fractional document each, and a tree
 of further groups reduces those.  Each source keeps back a few dozen documents for
-the root of its tree, where the larger of a pair always moves towards its nearer
-bound; so the last document left, whose rounding is the error of the whole source,
-is a small one.
+the root of its tree.  There each document, the largest first, is paired with all that
+come after it as one: it is drawn with its fraction, and the rest make up for it in
+equal shares, so that their expected copies stay the same too.  Only where the rest are
+too small to make up for one of the outcomes, as for the last and smallest ones, the
+other outcome is taken, and the nearer one where they are too small for both.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source,
 placed last; sources of size 0 have target 0; repeated rows are taken together, each as
@@ -71,9 +73,12 @@ def draw(*what: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *what), 11).cast("double") / float(1 << 53)
 
 
-def settle(units: Column, root: bool) -> Column:
+UNIT = "struct<doc_id:bigint,draw:bigint,size:bigint,same:bigint,part:double>"
+
+
+def settle(units: Column) -> Column:
     """Folds an array of fractional units (doc_id, draw, size, same, part) into done units and at most one that is left."""
-    shape = "struct<doc_id:bigint,draw:bigint,size:bigint,same:bigint,part:double>"
+    shape = UNIT
     start = F.struct(F.lit(None).cast(shape).alias("left"), F.array().cast(f"array<{shape}>").alias("done"))
 
     def step(state: Column, b: Column) -> Column:
@@ -82,8 +87,6 @@ def settle(units: Column, root: bool) -> Column:
         mass_a, mass_b = a["part"] * a["size"], b["part"] * b["size"]
         up, down = F.least(room_a, mass_b), F.least(mass_a, room_b)
         gain = draw(a["doc_id"], a["draw"], b["doc_id"], b["draw"]) * (up + down) < down
-        if root:
-            gain = F.when(a["size"] >= b["size"], a["part"] >= 0.5).otherwise(b["part"] < 0.5)
         # the unit that reaches its bound is set to it exactly
         part_a = F.when(gain, F.when(room_a <= mass_b, 1.0).otherwise(a["part"] + up / a["size"])).otherwise(F.when(mass_a <= room_b, 0.0).otherwise(a["part"] - down / a["size"]))
         part_b = F.when(gain, F.when(mass_b <= room_a, 0.0).otherwise(b["part"] - up / b["size"])).otherwise(F.when(room_b <= mass_a, 1.0).otherwise(b["part"] + down / b["size"]))
@@ -95,6 +98,31 @@ def settle(units: Column, root: bool) -> Column:
     return F.aggregate(units, start, step)
 
 
+def settle_all(left: Column, kept: Column) -> Column:
+    """Done units of a source's last fractional one, or null, and of those kept back, which are of one part and in order of size."""
+    slack = 1e-9
+    size_of = lambda x: x["size"].cast("double")
+    mass, size = (F.aggregate(kept, F.lit(0.0), f) for f in (lambda s, x: s + size_of(x) * x["part"], lambda s, x: s + size_of(x)))
+    start = F.struct(mass.alias("mass"), size.alias("size"), F.array().cast(f"array<{UNIT}>").alias("done"))
+
+    def step(state: Column, pair: Column) -> Column:
+        x, inside = pair["unit"], pair["inside"]
+        part = F.when(inside, F.greatest(F.lit(0.0), F.least(F.lit(1.0), state["mass"] / state["size"]))).otherwise(x["part"])
+        rest_size = state["size"] - F.when(inside, size_of(x)).otherwise(0.0)
+        rest_mass = state["mass"] - F.when(inside, part * x["size"]).otherwise(0.0)
+        more, less = (1 - part) * x["size"], part * x["size"]
+        can_gain, can_lose = more <= rest_mass + slack, less <= rest_size - rest_mass + slack
+        drawn = draw(F.lit("root"), x["doc_id"], x["draw"]) < part
+        gain = F.when(can_gain & can_lose, drawn).when(can_gain, True).when(can_lose, False).otherwise(part >= 0.5)
+        mass = F.greatest(F.lit(0.0), F.least(rest_size, F.when(gain, rest_mass - more).otherwise(rest_mass + less)))
+        done = F.array(x.withField("part", F.when(gain, 1.0).otherwise(0.0)))
+        return F.struct(mass.alias("mass"), rest_size.alias("size"), F.concat(state["done"], done).alias("done"))
+
+    of = lambda x, inside: F.struct(x.alias("unit"), F.lit(inside).alias("inside"))
+    first = F.when(left.isNotNull(), F.array(of(left, False))).otherwise(F.array().cast(f"array<struct<unit:{UNIT},inside:boolean>>"))
+    return F.aggregate(F.concat(first, F.transform(kept, lambda x: of(x, True))), start, step)["done"]
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, draw (its text_key), size, same, source, source_size, target and copies of each distinct document."""
     rows = stored(sizes(docs), "sizes")
@@ -115,21 +143,25 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     most = per.agg(F.coalesce(F.max("groups"), F.lit(1))).first()[0]
     out = [settled]
     fields = ["doc_id", "draw", "size", "same", "part"]
-    for depth in range(64):
-        last = most <= 1
-        if last:
-            level = level.unionByName(reserve).withColumn("group", F.lit(0).cast("long"))
-        units = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("size"), *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-        same_source = [F.first(c).alias(c) for c in ("groups", *own)]
-        folded = stored(level.groupBy("source_key", "group").agg(*same_source, settle(units, last).alias("s")), f"level{depth}")
+    same_source = [F.first(c).alias(c) for c in ("groups", *own)]
+
+    def units(which: Column) -> Column:
+        found = F.sort_array(F.collect_list(F.when(which, F.struct(-F.col("size"), *fields))))
+        return F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+    while most > 1:
+        folded = stored(level.groupBy("source_key", "group").agg(*same_source, settle(units(F.lit(True))).alias("s")), "level")
         done = folded.select(*own, F.explode("s.done").alias("u")).select(*own, "u.*")
         out.append(done.withColumn("copies", F.col("whole") + F.col("part").cast("long")).select(*result))
         left = folded.where("s.left is not null").select("source_key", "group", "groups", *own, "s.left.*")
-        if last:
-            out.append(left.withColumn("copies", F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).select(*result))
-            break
         level = left.withColumn("groups", F.ceil(F.col("groups") / FAN_IN)).withColumn("group", F.pmod(F.col("group"), F.col("groups")))
         most = math.ceil(most / FAN_IN)
+    last = level.withColumn("kept", F.lit(False)).unionByName(reserve.withColumn("kept", F.lit(True)))
+    last = last.groupBy("source_key").agg(*same_source, settle(units(~F.col("kept"))).alias("s"), units(F.col("kept")).alias("kept"))
+    # computed once: the next step names what is left several times
+    last = stored(last, "root")
+    done = last.select(*own, F.explode(F.concat("s.done", settle_all(F.col("s.left"), F.col("kept")))).alias("u")).select(*own, "u.*")
+    out.append(done.withColumn("copies", F.col("whole") + F.col("part").cast("long")).select(*result))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)

@@ -122,19 +122,19 @@ def test_targets_and_mix(spark):
     assert op8.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_rounding_keeps_the_expected_copies(spark, monkeypatch):
-    """Over some seeds documents are taken about as often as their fraction says, large and small ones alike."""
-    data = [(k, "w " * (1 + k % 50), None, "ab"[k % 2], 1) for k in range(400)]
-    monkeypatch.setattr(op8, "RESERVE", 0)
-    small, large = [], []
-    for seed in range(6):
-        monkeypatch.setattr(op8, "SEED", seed)
-        found = [(r.size, r.copies) for r in op8.mix_sources(frame(spark, data)).where("source = 'a'").collect()]
-        small += [c for n, c in found if n <= 25]
-        large += [c for n, c in found if n > 25]
-    fraction = targets({"a": sum(1 + k % 50 for k in range(0, 400, 2)), "b": sum(1 + k % 50 for k in range(1, 400, 2))})["a"] / sum(1 + k % 50 for k in range(0, 400, 2))
-    assert np.mean(small) == pytest.approx(fraction, abs=0.08)
-    assert np.mean(large) == pytest.approx(fraction, abs=0.08)
+@pytest.mark.parametrize("docs", [20, 50, 300])
+def test_rounding_keeps_the_expected_copies(spark, docs):
+    """Over many sources documents are taken about as often as their fraction says, large and small ones alike, with all of them at the root or few."""
+    data = [(k, "w " * (1 + k // sources % 50), None, f"s{k % sources:03}", 1) for sources in [6000 // docs] for k in range(6000)]
+    found = op8.mix_sources(frame(spark, data)).collect()
+    error = {large: np.mean([r.copies - r.target / r.source_size for r in found if (r.size > min(docs, 50) // 2) == large]) for large in (False, True)}
+    assert abs(error[False]) < 0.03
+    assert abs(error[True]) < 0.03
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
 
 
 # ---------------------------------------------------------------- language model
