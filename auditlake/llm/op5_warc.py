@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import uuid
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Ranges with gaps up to the first are read together, up to the second.
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
+#: Bytes of an archive that one task reads together, and of all that a task reads, on average.
+STRETCH_BYTES, TASK_BYTES = 4 << 20, 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string"
 
@@ -146,8 +149,12 @@ def read_records(index: DataFrame, folder: str, html: bool = False) -> DataFrame
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string()] * html
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["html"] * html)
 
-    ordered = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(read, schema)
+    # stretches of an archive, dealt into as many tasks as their bytes need, not as the index has bytes
+    size = index.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    rows = index.select("archive", "offset", "length", stretch.alias("stretch"))
+    ordered = rows.repartition(max(1, math.ceil(size / TASK_BYTES)), "archive", "stretch").sortWithinPartitions("archive", "offset")
+    return ordered.drop("stretch").mapInArrow(read, schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

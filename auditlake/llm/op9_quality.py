@@ -25,8 +25,6 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A line is boilerplate if more than this share of the host's documents hold it, and at least so many.
 LINE_SHARE, LINE_DOCS = 0.02, 10
-#: The SQL alone leaves longer lines out, and counts copies in a host's documents; the query does neither.
-LINE_WORDS = 40
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
 
@@ -111,8 +109,8 @@ again AS (SELECT r, i, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, {W
 rep AS (SELECT r, sum(least({WINDOW}, gap)) AS n FROM again GROUP BY r),
 l AS (SELECT r, host, text, t, len(string_split(t, ' ')) AS k
       FROM (SELECT r, host, text, lower(trim(regexp_replace(unnest(lines), '[ \t-\r]+', ' ', 'g'))) AS t FROM w)),
-per AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-b AS (SELECT host, t FROM (SELECT host, t, count(DISTINCT text) AS n FROM l WHERE k <= {LINE_WORDS} GROUP BY host, t)
+per AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
+b AS (SELECT host, t FROM (SELECT host, t, count(DISTINCT text) AS n FROM l GROUP BY host, t)
       JOIN per USING (host) WHERE n >= {LINE_DOCS} AND n > docs * CAST({LINE_SHARE} AS DOUBLE)),
 x AS (SELECT r, sum(k) AS n FROM l JOIN b USING (host, t) GROUP BY r),
 f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ \t-\r]', '', 'g')) AS BIGINT) AS word_chars,
