@@ -5,8 +5,10 @@ is trained from such labelled spans in a bounded sample of windows and from writ
 variants that the patterns miss.  It reads overlapping windows around every digit, @
 and written-out at (' at ', '[at]', '(at)') of a text, one of which is in all that the
 last rule below accepts; places that several windows cover get the mean of their decodings, nearer
-the middle counting more, and one path over the whole stretch decides.  Its spans are
-added where they touch no base span and hold what their kind must hold.
+the middle counting more, and one path over the whole stretch decides; a stretch longer than
+PART goes in parts that overlap by MARGIN on either side, and a span is of the part it
+starts in.  Its spans are added where they touch no base span, are no part of a longer
+run of letters and digits, and hold what their kind must hold.
 
 Defined cases: null text is empty and has no spans; repeated rows each get a result;
 without any base span in the table the tagger learns from the written-out variants
@@ -29,7 +31,11 @@ from auditlake.llm.tagger import KINDS, TAGS, Tagger, allowed, best_path, letter
 
 #: Windows that the tagger learns from, at most: one for each slot that a hash picks.
 TRAIN_SLOTS = 800
+#: Windows with written-out variants that it learns from besides.
+VARIANTS = 1600
 WINDOW, STRIDE, AROUND = 96, 48, 40
+#: Characters of a stretch that are decoded together, and how far they reach into their neighbours.
+PART, MARGIN = 1024, 192
 #: Windows and stretches that are computed together.
 BATCH = 512
 
@@ -141,7 +147,7 @@ def variants(n: int, seed: int = 3) -> list[tuple[str, list[int]]]:
     """Windows with spans written as the patterns do not expect them, and with numbers that are no personal data."""
     r = np.random.default_rng(seed)
     num = lambda k: "".join(str(x) for x in r.integers(0, 10, k))
-    word = lambda: "".join("etaoinshrdlu"[x] for x in r.integers(0, 12, r.integers(2, 9)))
+    word = lambda: "".join("etaoinshrdlucmfwypvbgkjqxz"[x] for x in r.integers(0, 26, r.integers(2, 9)))
     octets = lambda: [str(x) for x in r.integers(1, 256, 4)]
     makers = [
         (3, lambda: f"({num(3)}) {num(3)}-{num(4)}"),
@@ -176,12 +182,12 @@ def variants(n: int, seed: int = 3) -> list[tuple[str, list[int]]]:
 
 
 def train_tagger(docs: DataFrame) -> Tagger:
-    rows = labelled_windows(docs) + variants(TRAIN_SLOTS)
+    rows = labelled_windows(docs) + variants(VARIANTS)
     ids, tags = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
     for k, (text, t) in enumerate(rows):
         ids[k, : len(text)], tags[k, : len(text)] = letter_ids(text), t
     tagger = Tagger()
-    tagger.train(ids, tags)
+    tagger.train(ids, tags, batch=128, rate=0.03)
     return tagger
 
 
@@ -203,9 +209,10 @@ RUN = re.compile(r"[0-9@]+|\x20at\x20|\[at\]|\(at\)")
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans of each text by the tagger alone."""
-    where = [(k, a, b) for k, text in enumerate(texts) for a, b in stretches(text)]
+    # text, start, end, and where the spans of a part may start
+    where = [(k, max(a, c - MARGIN), min(b, c + PART + MARGIN), c, min(b, c + PART)) for k, text in enumerate(texts) for a, b in stretches(text) for c in range(a, b, PART)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    letters = {k: letter_ids(texts[k]) for k in {k for k, _, _ in where}}
+    letters = {k: letter_ids(texts[k]) for k in {w[0] for w in where}}
     # nearly equal lengths go together
     where.sort(key=lambda x: x[2] - x[1])
     near = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0
@@ -217,7 +224,7 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
             hi += 1
         group = where[lo:hi]
         lo = hi
-        length = np.array([b - a for _, a, b in group])
+        length = np.array([w[2] - w[1] for w in group])
         starts = [(g, s) for g, n in enumerate(length.tolist()) for s in range(0, max(1, n - WINDOW + STRIDE), STRIDE)]
         unary = np.zeros((len(group), int(length.max()), TAGS))
         weight = np.zeros(unary.shape[:2])
@@ -225,7 +232,7 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
             part = starts[at : at + BATCH]
             ids = np.zeros((len(part), WINDOW), np.int64)
             for w, (g, s) in enumerate(part):
-                k, a, b = group[g]
+                k, a, b, *_ = group[g]
                 piece = letters[k][a + s : min(b, a + s + WINDOW)]
                 ids[w, : len(piece)] = piece
             scores = tagger.log_marginals(ids)
@@ -237,9 +244,11 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
         first = unary[:, 0]
         first[:, 2::2] += allowed()[0, 2]
         path = best_path(unary, allowed(), length)
-        for g, (k, a, _) in enumerate(group):
+        for g, (k, a, _, low, high) in enumerate(group):
             tags = path[g, : length[g]]
             for begin in np.flatnonzero(tags % 2 == 1).tolist():
+                if not low <= a + begin < high:
+                    continue
                 end = begin + 1
                 while end < len(tags) and tags[end] == tags[begin] + 1:
                     end += 1
@@ -253,7 +262,7 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     for text, more in zip(texts, tagged_spans(tagger, texts), strict=True):
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)
-        every, k = list(base), 0
+        every, k, last = list(base), 0, 0
         for kind, a, b in sorted(more, key=lambda x: x[1]):
             while a < b and text[a] in " \n\t.,":
                 a += 1
@@ -261,8 +270,11 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
                 b -= 1
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if not any(x < b and y > a for x, y in taken[max(0, k - 1) : k + 4]) and fits(kind, text[a:b]):
+            inside = a and text[a - 1].isalnum() and text[a : a + 1].isalnum() or text[b - 1 : b].isalnum() and text[b : b + 1].isalnum()
+            # spans of neighbouring parts may meet
+            if a >= last and not inside and not any(x < b and y > a for x, y in taken[max(0, k - 1) : k + 4]) and fits(kind, text[a:b]):
                 every.append((kind, a, b))
+                last = b
         out.append((base, sorted(every)))
     return out
 

@@ -59,6 +59,61 @@ def test_tagger_adds_what_the_patterns_miss(trained):
     assert [texts[3][s:e] for _, s, e in d] == ["310-555-4510"]
 
 
+def test_spans_are_no_parts_of_longer_runs(trained):
+    texts = ["id 4f41111111111111115a9 and more", "key a1b2(523) 555-1055x9 end"]
+    assert all(not added for _, added in op1.all_spans(trained, texts))
+
+
+def held_out_texts(seed, n):
+    """Texts with numbers written as the patterns miss them, in other surroundings than the tagger learned from, and with harmless numbers."""
+    rnd = random.Random(seed)
+    num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    filler = "please the office reach between monday order under account about with for was them team send next".split()
+    say = lambda k: " ".join(rnd.choice(filler) for _ in range(k))
+    makers = [
+        (3, lambda: f"({num(3)}) {num(3)}-{num(4)}"),
+        (3, lambda: f"{num(3)}-{num(3)}-{num(4)}"),
+        (0, lambda: f"{rnd.choice(filler)} [at] {rnd.choice(filler)} [dot] com"),
+        (1, lambda: " . ".join(str(rnd.randint(1, 255)) for _ in range(4))),
+        (None, lambda: f"{rnd.randint(1990, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}"),
+        (None, lambda: f"{num(2)}:{num(2)}"),
+        (None, lambda: f"${num(1)},{num(3)}.{num(2)}"),
+        (None, lambda: f"#{num(6)}"),
+        (None, lambda: "at home"),
+    ]
+    for k in range(n):
+        kind, make = makers[k % len(makers)]
+        before, span = say(rnd.randint(1, 30)), make()
+        yield f"{before} {span} {say(rnd.randint(1, 30))}", None if kind is None else (kind, len(before) + 1, len(before) + 1 + len(span))
+
+
+def test_held_out_precision_and_recall(trained):
+    data = list(held_out_texts(11, 900))
+    found = op1.all_spans(trained, [t for t, _ in data])
+    wanted = sum(w is not None for _, w in data)
+    touched = lambda w, x: x[0] == w[0] and x[1] < w[2] and x[2] > w[1]
+    caught = sum(w is not None and any(touched(w, x) for x in every) for (_, w), (_, every) in zip(data, found, strict=True))
+    exact = sum(w is not None and w in every for (_, w), (_, every) in zip(data, found, strict=True))
+    added = [(w, x) for (_, w), (_, every) in zip(data, found, strict=True) for x in every]
+    right = sum(w is not None and touched(w, x) for w, x in added)
+    print(f"recall {caught / wanted:.3f}, exact {exact / wanted:.3f}, precision {right / max(1, len(added)):.3f}")
+    assert caught / wanted > 0.8
+    assert right / len(added) > 0.9
+
+
+def test_a_long_stretch_of_numbers_is_bounded(trained):
+    import tracemalloc
+
+    rnd = random.Random(4)
+    text = " ".join(str(rnd.randint(0, 99999)) for _ in range(60_000)) + " (523) 555-1055 " + " ".join(str(rnd.randint(0, 99)) for _ in range(300))
+    tracemalloc.start()
+    ((_, spans),) = op1.all_spans(trained, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert all(a < b for _, a, b in spans)
+
+
 def test_addresses_without_digit_or_at_sign(trained):
     texts = ["write to jane [at] corp [dot] com", "so on " * 40 + "mail word(at)tenor.org or not " + "and on " * 40, "we met at noon and sat at home all day"]
     (_, a), (_, b), (_, c) = op1.all_spans(trained, texts)
