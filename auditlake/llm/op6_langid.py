@@ -9,8 +9,9 @@ penalised by half the logarithm of the number of words for each language, is tak
 The prediction is its largest language, the score that language's proportion.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0, as is
-everything when no labelled row exists; ties go to the first language in code point
-order; repeated rows each get the same result; an empty table gives an empty result;
+everything when no labelled row exists; of more than MAX_LANGUAGES languages those with
+the most labelled rows are learned; ties go to the first language in code point order;
+a text of any length is read in steps; repeated rows each get the same result; an empty table gives an empty result;
 columns other than doc_id, text and lang are ignored.
 """
 
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import U64, Words, documents, fold, mix, text_steps
+from auditlake.llm.common import STEP_BYTES, U64, Words, documents, fold, mix, text_steps
 
 #: Labelled rows of a language that are learned from, on average at most; chosen by a hash of doc_id.
 TRAIN_DOCS = 400
+#: Languages that are learned: those with the most labelled rows, so that mistyped labels cannot make the tables grow.
+MAX_LANGUAGES = 128
 #: Cells of the table that n-grams are hashed to, and their lengths in bytes.
 CELLS, ORDERS = 1 << 16, (3, 4)
 SMOOTHING = 0.5
@@ -33,12 +36,11 @@ STEPS = 10
 UNKNOWN = "und"
 
 
-def gram_cells(words: Words) -> np.ndarray:
+def gram_cells(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each order, the cell of the n-gram that ends at each byte of a word; CELLS elsewhere.
 
-    The bytes around a word count as one boundary mark.
+    The bytes around a word count as one boundary mark; nothing is before the start of a document.
     """
-    data = words.data
     n = len(data)
     table = np.arange(256, dtype=np.uint64)
     table[[9, 10, 11, 12, 13, 32]] = 0
@@ -47,27 +49,52 @@ def gram_cells(words: Words) -> np.ndarray:
     out = np.full((len(ORDERS), n), CELLS, np.int64)
     code = y.copy()
     for back in range(1, max(ORDERS)):
-        code[back:] += y[:-back] << U64(8 * back)
+        before = np.zeros(n, U64)
+        before[back:] = y[:-back]
+        across = (starts[:, None] + np.arange(back)).ravel()
+        before[across[across < n]] = 0
+        code += before << U64(8 * back)
         if back + 1 in ORDERS:
             cell = (mix(code + U64(back)) % U64(CELLS)).astype(np.int64)
             out[ORDERS.index(back + 1), inside] = cell[inside]
     return out
 
 
+def cell_steps(data: np.ndarray, offsets: np.ndarray):
+    """(lo, hi, cells) of steps of documents of any length; an n-gram may reach back into the step before."""
+    back = max(ORDERS) - 1
+    for lo in range(0, len(data), STEP_BYTES):
+        hi, start = min(len(data), lo + STEP_BYTES), max(0, lo - back)
+        starts = offsets[(offsets >= start) & (offsets < hi)] - start
+        yield lo, hi, gram_cells(data[start:hi], starts)[:, lo - start :]
+
+
+def word_logs(words: Words, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Each word's log likelihood in each language."""
+    out = np.zeros((len(words), table.shape[2]))
+    for lo, hi, cells in cell_steps(words.data, offsets):
+        first, last = max(0, np.searchsorted(words.starts, lo, "right") - 1), np.searchsorted(words.starts, hi)
+        if first < last:
+            logs = sum(table[o][cells[o]] for o in range(len(ORDERS)))
+            # a word may have begun in the step before; what lies between words is 0
+            out[first:last] += np.add.reduceat(logs, np.maximum(words.starts[first:last], lo) - lo)
+    return out
+
+
 def lettered(words: Words) -> np.ndarray:
     """Whether each word has an ASCII letter or a byte beyond ASCII."""
     if not len(words):
         return np.zeros(0, bool)
-    table = np.zeros(256, np.int32)
+    table = np.zeros(256, np.uint8)
     table[65:91] = table[97:123] = table[128:] = 1
-    return np.add.reduceat(table[words.data], words.starts) > 0
+    return np.maximum.reduceat(table[words.data], words.starts) > 0
 
 
 def learn(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and log likelihoods, CELLS + 1 rows of one column for each; the last row is 0."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11).cast("double") / float(1 << 53)
     sample = labelled.join(F.broadcast(n), "lang").where(draw * F.col("n") < per_language).select("lang", "text")
 
@@ -76,19 +103,21 @@ def learn(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str], n
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for lo, hi, data, offsets in text_steps(batch.column(1)):
-                cells = gram_cells(Words(data, offsets, lower=True))
-                for k in range(lo, hi):
-                    part = cells[:, offsets[k - lo] : offsets[k - lo + 1]]
-                    have = counts.setdefault(langs[k], np.zeros((len(ORDERS), CELLS + 1), np.int64))
-                    for o in range(len(ORDERS)):
-                        np.add.at(have[o], part[o], 1)
+                words = Words(data, offsets, lower=True)
+                for at, end, cells in cell_steps(words.data, offsets):
+                    for k in range(lo, hi):
+                        a, b = max(at, offsets[k - lo]), min(end, offsets[k - lo + 1])
+                        if a < b:
+                            have = counts.setdefault(langs[k], np.zeros((len(ORDERS), CELLS + 1), np.int64))
+                            for o in range(len(ORDERS)):
+                                np.add.at(have[o], cells[o, a - at : b - at], 1)
         for lang, have in counts.items():
             have = have[:, :CELLS]
             order, cell = np.nonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(order, pa.int32()), pa.array(cell, pa.int32()), pa.array(have[order, cell], pa.int64())], ["lang", "ord", "cell", "n"])
 
     rows = sample.mapInArrow(count, "lang string, ord int, cell int, n long").groupBy("lang", "ord", "cell").agg(F.sum("n").alias("n"))
-    found = rows.toArrow()  # at most CELLS rows for each language and order
+    found = rows.toArrow()  # at most CELLS rows for each of MAX_LANGUAGES languages and each order
     langs = sorted(set(found.column("lang").to_pylist()))
     counts = np.zeros((len(langs), len(ORDERS), CELLS), np.float64)
     at = {k: i for i, k in enumerate(langs)}
@@ -137,7 +166,7 @@ def proportions(likelihood: np.ndarray, first: np.ndarray, shift: np.ndarray) ->
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of docs that are given, with the prediction and its score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)  # CELLS numbers for each language and order
+    shared = spark.sparkContext.broadcast(table)  # CELLS numbers for each of MAX_LANGUAGES languages and each order
     names = docs.columns
     d = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     at, schema = names.index("text"), T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
@@ -148,12 +177,11 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[s
             letter = batch.column(len(names)).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_steps(batch.column(at)):
                 words = Words(data, offsets, lower=True)
-                cells = gram_cells(words)
                 pred = np.full(hi - lo, UNKNOWN, object)
                 score = np.zeros(hi - lo)
                 keep = np.flatnonzero(lettered(words))
                 if len(langs) and len(keep):
-                    logs = np.add.reduceat(sum(table[o][cells[o]] for o in range(len(ORDERS))), words.starts)[keep].astype(np.float64)
+                    logs = word_logs(words, offsets, table)[keep]
                     first = np.searchsorted(keep, words.first)
                     full = np.flatnonzero(np.diff(first) > 0)
                     top = logs.max(axis=1)

@@ -259,6 +259,77 @@ def test_language_identification(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_inference(text, logs):
+    """(language, proportion) by the definition, for one text; logs: log likelihoods of a word in each language."""
+    w = [x for x in words(text.lower()) if any(chr(c).isalpha() or c > 127 for c in x)]
+    k = len(logs(w[0], b""))
+    like, behind = [], b""
+    for x in words(text.lower()):
+        if x in w:
+            like.append([math.exp(v) for v in logs(x, behind)])
+        behind = (behind + b"\0" + x)[-8:]
+    active, share, best = set(range(k)), [1 / k] * k, None
+    while active:
+        for _ in range(op6.STEPS if len(active) > 1 else 0):
+            joint = [[a * b for a, b in zip(x, share, strict=True)] for x in like]
+            share = [sum(x[j] / sum(x) for x in joint) / len(like) for j in range(k)]
+        value = sum(math.log(sum(a * b for a, b in zip(x, share, strict=True))) for x in like) - 0.5 * (len(active) - 1) * math.log(len(like) + 1)
+        if best is None or value > best[0]:
+            best = value, list(share)
+        weakest = min(active, key=lambda j: (share[j], -j))
+        active.discard(weakest)
+        share = [max(v, 1e-12) if j in active else 0 for j, v in enumerate(share)]
+        share = [v / max(1e-300, sum(share)) for v in share]
+    top = max(range(k), key=lambda j: (best[1][j], -j))
+    return top, best[1][top]
+
+
+def test_language_inference_matches_brute_force(spark, monkeypatch):
+    rnd = random.Random(18)
+    data = [(k, say(rnd, lang := rnd.choice(list(LANGS)), rnd.randint(3, 30)), lang, None, 1) for k in range(90)]
+    mixed = [(1000 + k, say(rnd, "en", rnd.randint(1, 12)) + " " + say(rnd, "fr", rnd.randint(1, 12)) + " 12 " + say(rnd, "de", rnd.randint(0, 6)), None, None, 1) for k in range(40)]
+    docs = frame(spark, data + mixed)
+    langs, table = op6.learn(docs.select("doc_id", "text", "lang"))
+    # the table itself, from plain counts of n-grams
+    cell = lambda gram, back: int(op6.mix(np.array([int.from_bytes(gram, "big") + back], np.uint64))[0] % op6.CELLS)
+    seen = {(lang, o): Counter() for lang in langs for o in op6.ORDERS}
+    for _, t, lang, *_ in data:
+        raw = b"\0\0\0" + t.lower().encode().replace(b" ", b"\0")
+        for at in range(3, len(raw)):
+            for o in op6.ORDERS:
+                if raw[at]:
+                    seen[lang, o][cell(raw[at - o + 1 : at + 1], o - 1)] += 1
+    for n, o in enumerate(op6.ORDERS):
+        used = len(set().union(*(seen[lang, o] for lang in langs)))
+        for k, lang in enumerate(langs):
+            total = sum(seen[lang, o].values())
+            for c in list(seen[lang, o])[:50]:
+                want = math.log((seen[lang, o][c] + op6.SMOOTHING) / (total + op6.SMOOTHING * (used + 1))) / len(op6.ORDERS)
+                assert table[n, c, k] == pytest.approx(want, rel=1e-5)
+
+    def logs(word, behind):
+        raw, out = b"\0\0\0" + behind + b"\0" + word, np.zeros(len(langs))
+        for at in range(len(raw) - len(word), len(raw)):
+            for n, o in enumerate(op6.ORDERS):
+                out = out + table[n, cell(raw[at - o + 1 : at + 1], o - 1)]
+        return out
+
+    monkeypatch.setattr(op6, "STEP_BYTES", 7)
+    got = {r.doc_id: r for r in op6.predict(docs.select("doc_id", "text"), langs, table).collect()}
+    for i, t, *_ in mixed:
+        top, share = plain_inference(t, logs)
+        assert got[i].lang_pred == langs[top]
+        assert got[i].score == pytest.approx(share, abs=1e-4)
+
+
+def test_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(op6, "MAX_LANGUAGES", 2)
+    data = [(k, "some words of it", "abc"[min(k, 2)], None, 1) for k in range(9)]
+    langs, table = op6.learn(frame(spark, data).select("doc_id", "text", "lang"))
+    assert langs == ["a", "c"]
+    assert table.shape[2] == 2
+
+
 def test_language_of_unlabelled_and_empty_tables(spark):
     docs = frame(spark, [(1, "some text", None, None, 1)])
     langs, table = op6.learn(docs.select("doc_id", "text", "lang"))
