@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.llm.common import documents, stored, text_steps
 
@@ -304,9 +305,10 @@ def build_lexicon(docs: DataFrame, merger: Merger, words: int = LEXICON_WORDS) -
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id and ids of every text; with digests, what op4 returns instead of the ids."""
+    """All columns of docs with the ids of each text, which replace a column of that name; with digests, what op4 returns instead."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text") if digests else docs.select(*[c for c in docs.columns if c.lower() != "ids"])
+    at = docs.columns.index("text")
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         spec = f.read()
     name = f"lexicon-{uuid.uuid4().hex}.npy"
@@ -315,13 +317,15 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
     spark.sparkContext.addFile(path)
     shared = spark.sparkContext.broadcast(spec)  # as large as the vocabulary's file
     field = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {field}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
+    schema = f"doc_id {field}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if not digests:
+        schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         merger, lexicon = Merger(shared.value), Lexicon.mapped(SparkFiles.get(name))
         tokens, cache = merger.tokens(), {}
         for batch in batches:
-            for lo, hi, data, offsets in text_steps(batch.column(1)):
+            for lo, hi, data, offsets in text_steps(batch.column(at)):
                 raw = data.tobytes()
                 pieces = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 if len(cache) > CACHE_WORDS:
@@ -331,8 +335,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
                     ids = merger.encode(word.decode()) if entry < 0 else lexicon.ids[lexicon.starts[entry] : lexicon.starts[entry + 1]]
                     cache[word] = np.asarray(ids, "<u4").tobytes()
                 coded = [b"".join(map(cache.__getitem__, x)) for x in pieces]
-                key = batch.column(0).slice(lo, hi - lo)
                 if digests:
+                    key = batch.column(0).slice(lo, hi - lo)
                     decoded = [decode(x, tokens) for x in coded]
                     sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values])
                     out = [key, pa.array([len(x) // 4 for x in coded], pa.int64()), sha(coded), sha(decoded)]
@@ -340,7 +344,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
                 else:
                     ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([key, ids], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, ids], [*batch.schema.names, "ids"])
 
     return docs.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import STEP_BYTES, U64, Words, documents, fold, mix, text_steps
+from auditlake.llm.common import STEP_BYTES, U64, Words, documents, fold, fresh, mix, text_steps
 
 #: Labelled rows of a language that are learned from, on average at most; chosen by a hash of doc_id.
 TRAIN_DOCS = 400
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[s
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)  # CELLS numbers for each of MAX_LANGUAGES languages and each order
     names = docs.columns
-    d = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    d = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "_letter")))
     at, schema = names.index("text"), T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def run(batches):

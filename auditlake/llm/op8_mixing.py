@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import WORD, documents, stored
+from auditlake.llm.common import WORD, documents, fresh, stored
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -175,9 +175,10 @@ def small(per: DataFrame, rows: int = 10_000) -> bool:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    found = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("draw").alias("_mix_draw"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (text_key() == F.col("_mix_draw")) & F.col("source").eqNullSafe(F.col("_mix_source"))
-    return docs.join(found, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")).select(*docs.columns)
+    key, draw_key, source, copies, copy = (fresh(docs, c) for c in ("_mix_id", "_mix_draw", "_mix_source", "_mix_copies", "_mix_copy"))
+    found = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias(key), F.col("draw").alias(draw_key), F.col("source").alias(source), F.col("copies").alias(copies))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (text_key() == F.col(draw_key)) & docs["source"].eqNullSafe(F.col(source))
+    return docs.join(found, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

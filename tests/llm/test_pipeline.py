@@ -1,11 +1,26 @@
 import importlib
 import random
+from collections import Counter
 
+import pytest
 from helpers import SCHEMA, frame, linked_components, prose, rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from auditlake.llm import op1_pii as op1
+from auditlake.llm import op6_langid as op6
 from auditlake.llm import queries
 
+TRAINED = []
+
+
+@pytest.fixture
+def one_tagger(monkeypatch):
+    """An untrained tagger, for the tests that do not look at its spans."""
+    if not TRAINED:
+        TRAINED.append(op1.Tagger())
+    monkeypatch.setattr(cp, "train_tagger", lambda docs: TRAINED[0])
+
 
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
@@ -38,19 +53,75 @@ def test_different_texts_of_one_doc_id_stay(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])
 
 
-def test_empty_table(spark):
+def test_empty_table(spark, one_tagger):
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in cp.STAGES:
         assert stage(spark, none, "").count() == 0
 
 
+
+
 def test_run(spark, tmp_path):
     frame(spark).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     out = cp.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "ids"]
+    assert out.columns == [*frame(spark).columns, "ids"]
     assert out.count() > 0
 
 
+def test_columns_named_like_those_inside(spark, one_tagger):
+    docs = frame(spark)
+    names = ["_lang_pred", "_lang_share", "_letter", "_key", "_kept_id", "_kept_key", "_row", "_mix_id", "_mix_draw", "_mix_source", "_mix_copies", "_mix_copy", "_held", "component_id", "ids", "part", "draw", "same"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit("clash"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, "")
+        rows_ = out.collect()
+        assert rows_, name
+        if name == "encoding":
+            assert set(out.columns) == set(docs.columns)
+        else:
+            assert out.columns == docs.columns
+            assert all(r[c] == "clash" for r in rows_ for c in names)
+
+
+def test_language_stage_keeps_what_the_operator_knows(spark):
+    """The stage's verdict follows predictions and shares of the operator, and drops nothing else."""
+    docs = frame(spark)
+    langs, table = op6.learn(docs.select("doc_id", "text", "lang"))
+    found = op6.predict(docs.select("doc_id", "text"), langs, table).collect()
+    want = sorted((r.doc_id or 0, r.text) for r in found if r.lang_pred != op6.UNKNOWN and r.score >= cp.MIN_SHARE)
+    assert sorted((r.doc_id or 0, r.text) for r in cp.language(spark, docs, "").collect()) == want
+
+
+def test_mixing_stage_takes_whole_documents(spark):
+    """Each source's words come near its target, no document comes more than three times, and rows are whole."""
+    rnd = random.Random(21)
+    data = [(k, prose(rnd, rnd.randint(1, 40)), None, "abc"[k % 3], 1) for k in range(600)]
+    out = cp.mixing(spark, frame(spark, data), "").collect()
+    whole = {i: t for i, t, *_ in data}
+    assert all(r.text == whole[r.doc_id] for r in out)
+    assert max(Counter(r.doc_id for r in out).values()) <= 3
+    size, taken = Counter(), Counter()
+    for _, t, _, s, _ in data:
+        size[s] += len(t.split())
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    total, capped = sum(size.values()), {}
+    want = {s: total * w / 6 for s, w in zip("abc", (1, 2, 3), strict=True)}
+    assert not capped
+    assert all(want[s] <= 3 * size[s] for s in want)
+    assert all(abs(taken[s] - want[s]) <= 10 for s in want)
+
+
+def test_rows_of_one_document_that_differ_elsewhere(spark):
+    rnd = random.Random(22)
+    a = prose(rnd, 60)
+    docs = frame(spark, [(1, a, "en", "z", 1), (1, a, "de", "y", 2), (1, a, "en", "y", 3)])
+    for parts in (1, 3):
+        (got,) = cp.near_duplicate(spark, docs.repartition(parts), "").collect()
+        assert (got.lang, got.source, got.n_chars) == ("de", "y", 2)
+
+
 def test_quality_matches_sql(spark):
     duckdb = importlib.import_module("duckdb")
     con = duckdb.connect()
