@@ -1,8 +1,25 @@
 """Corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
 Language identification drops documents without a language, near-duplicate search keeps
-the smallest doc_id of each group (a document is a doc_id with a text), personal data is replaced by marks, sources are mixed
-to their target weights and the result is encoded.
+the smallest doc_id of each group (a document is a doc_id with a text), personal data is
+replaced by marks, sources are mixed to their target weights and the result is encoded.
+
+Defined cases, by stage:
+
+* language: a null or empty text, or one without a letter, goes; so does a text of which
+  no language has MIN_SHARE.  Without any labelled row nothing else goes.
+* near_duplicates: a null doc_id is larger than any other; different texts under one
+  doc_id, or under none, are different documents; rows equal in doc_id and text are one
+  document, and the first by their other columns stays; a null text counts as empty, and
+  texts without words are near no other, so one for each doc_id stays.
+* personal_data: null stays null; n_chars, if there, is counted anew.
+* mixing: rows without words are taken never, a null source is a source; rows equal in
+  doc_id, text and source are taken equally often; a document taken twice has two rows.
+* encoding: null text has no ids; the other columns stay, and a column ids is replaced.
+
+Repeated rows go through every stage one by one but for near_duplicates; very long texts
+are read in steps; an empty table gives an empty one; columns beyond those of documents
+are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import shared_path
+from auditlake.llm.common import fresh, shared_path
 from auditlake.llm.op1_pii import find_personal_data, train_tagger
 from auditlake.llm.op4_bpe import encode
 from auditlake.llm.op6_langid import UNKNOWN, learn, predict
@@ -25,23 +42,27 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, table = learn(docs.select("doc_id", "text", "lang"))
-    found = predict(docs, langs, table, ("_lang_pred", "_lang_share"))
-    known = F.col("_lang_pred") != UNKNOWN
+    pred, share = fresh(docs, "_lang_pred"), fresh(docs, "_lang_share")
+    found = predict(docs, langs, table, (pred, share))
     # without labelled rows nothing can be told apart, and only texts without a letter go
-    keep = known & (F.col("_lang_share") >= MIN_SHARE) if langs else F.col("text").rlike(r"\p{L}")
+    keep = (F.col(pred) != UNKNOWN) & (F.col(share) >= MIN_SHARE) if langs else F.col("text").rlike(r"\p{L}")
     return found.where(keep).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows that repeat a doc_id and its text are one document
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE_WORDS, PERCENT)
-    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    least = keyed.select("doc_id", "_key").distinct().join(found, "_key").groupBy("component_id").agg(F.min(order).alias("x"))
-    kept = least.select(F.col("x.doc_id").alias("_kept_id"), F.col("x._key").alias("_kept_key"))
-    same = (F.col("_key") == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    key, kept_id, kept_key, row = (fresh(docs, c) for c in ("_key", "_kept_id", "_kept_key", "_row"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, PERCENT)
+    found = found.select(F.col("doc_id").alias(key), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
+    least = keyed.select("doc_id", key).distinct().join(found, key).groupBy("component_id").agg(F.min(order).alias("x"))
+    kept = least.select(F.col("x.doc_id").alias(kept_id), F.col("x.key").alias(kept_key))
+    same = (F.col(key) == F.col(kept_key)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.to_json(F.struct(*others)) if others else F.lit("")
+    picked = keyed.join(kept, same, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), first).alias(row))
+    return picked.select(f"{row}.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
