@@ -156,30 +156,31 @@ def cut_out(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, part long, n_removed long, cut_sha binary")
 
 
-def survivors(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """What scanned() gives with each row's class, and (id, part, text, halves) of the documents with repeated halves.
+def survivors(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What scanned() gives, the classes, and (id, part, text, halves) of the documents with repeated halves.
 
     A class is all rows with one sequence of words; rep is its smallest id, and part tells
-    apart classes of one rep.
+    apart classes of one rep, n is the number of rows.
     """
     seen = stored(scanned(docs, window), "scanned")
     rep = F.min("id").alias("rep")
     part = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long").alias("part")
-    classes = stored(seen.groupBy("sha", "n_words").agg(rep, F.first("halves").alias("halves")).select("sha", "n_words", "rep", part, "halves"), "classes")
+    classes = stored(seen.groupBy("sha", "n_words").agg(rep, F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")).select("sha", "n_words", "rep", part, "halves", "n"), "classes")
     halves = stored(classes.where(F.size("halves") > 0).select(F.col("rep").alias("id"), "part", F.explode("halves").alias("half")), "halves")
     again = stored(halves.groupBy("half").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("half", "n"), "again")
     with_survivors = join_counted(halves, again, ["half"], "n").groupBy("id", "part").agg(F.collect_list("half").alias("halves"))
-    return seen.drop("halves").join(classes.drop("halves"), ["sha", "n_words"]), stored(docs.join(with_survivors, "id").select("id", "part", "text", "halves"), "survivors")
+    return seen.drop("halves"), classes.drop("halves"), stored(docs.join(with_survivors, "id").select("id", "part", "text", "halves"), "survivors")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
     d = keyed(docs)
-    seen, rows = survivors(d, window)
+    seen, classes, rows = survivors(d, window)
     windows = stored(extended(rows, window), "windows")
     marked = repeated(windows).where("id > first").groupBy("id", "part").agg(F.collect_set("start").alias("starts"))
     cut = cut_out(rows.join(marked, ["id", "part"]).select("id", "part", "text", "starts"), window).dropDuplicates(["id", "part"])
-    out = seen.join(cut.withColumnRenamed("id", "rep"), ["rep", "part"], "left")
+    each = stored(classes.join(cut.withColumnRenamed("id", "rep"), ["rep", "part"], "left"), "cut")
+    out = join_counted(seen, each, ["sha", "n_words"], "n")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= window)
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
@@ -196,7 +197,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A window of twice the length can only repeat if both its halves do.
     """
     d = keyed(docs)
-    _, rows = survivors(d, window)
+    _, _, rows = survivors(d, window)
     windows, length, out = stored(extended(rows, window), "windows"), window, None
     while True:
         live = stored(repeated(windows), "live")
