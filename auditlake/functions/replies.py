@@ -20,6 +20,12 @@ def unfenced(reply: Column) -> Column:
     return F.when(text.startswith("```"), F.when(inner.startswith("json"), strip(F.substring(inner, 5, 1 << 30))).otherwise(inner)).otherwise(text)
 
 
+def one_object(text: Column) -> Column:
+    """Whether a text is one JSON object and no more; from_json itself ignores what follows a closed object."""
+    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    return text.startswith("{") & text.endswith("}") & (F.coalesce(F.size(items), F.lit(0)) == 1)
+
+
 def decode_replies(replies: DataFrame, strict: bool = False) -> DataFrame:
     """Adds status, passed, score, remarks and failed_rules to rows with a reply.
 
@@ -28,13 +34,14 @@ def decode_replies(replies: DataFrame, strict: bool = False) -> DataFrame:
     """
     d = replies.withColumn("_text", unfenced(F.col("reply")))
     d = d.withColumn("_raw", F.from_json("_text", RAW, {"columnNameOfCorruptRecord": "_bad"}))
-    # from_json ignores what follows a closed object; the last brace must end the text
-    whole = F.col("_text").rlike(r"(?s)^\{.*\}$")
-    null_rules = F.get_json_object("_text", "$.failed_rules").isNull() & F.col("_text").rlike(r'"failed_rules"\s*:\s*null')
+    # of texts with NaN, which only from_json reads, the keys are looked for in the text
+    has = lambda key: F.coalesce(F.array_contains(F.json_object_keys("_text"), key), F.col("_text").rlike(f'"{key}"\\s*:'), F.lit(False))
+    whole = one_object(F.col("_text"))
+    null_rules = has("failed_rules") & F.get_json_object("_text", "$.failed_rules").isNull()
     readable = whole & F.col("_raw").isNotNull() & F.col("_raw._bad").isNull() & ~null_rules
     ok = lambda c: F.when(readable, F.col(f"_raw.{c}"))
     score = F.expr("try_cast(_raw.score AS double)")
-    good_score = F.coalesce(~F.isnan(score) & score.between(0, 100), F.lit(False)) | ~F.coalesce(F.col("_text").rlike('"score"\\s*:'), F.lit(False))
+    good_score = F.coalesce(~F.isnan(score) & score.between(0, 100), F.lit(False)) | ~has("score")
     items = F.transform(F.filter(ok("failed_rules"), lambda x: x.startswith("{")), lambda x: F.from_json(x, ITEM))
     page = lambda x: F.when(F.lower(x) == "true", F.lit(1.0)).otherwise(x.try_cast("double"))
     good_page = lambda x: x.isNull() | F.coalesce(page(x) == F.floor(page(x)), F.lit(False))
@@ -50,7 +57,7 @@ def decode_replies(replies: DataFrame, strict: bool = False) -> DataFrame:
     passed = passed.otherwise(~ok("passed").isin("", "false", "0", "0.0", "[]", "{}")) if strict else passed.otherwise(F.lower(ok("passed")).isin("true", "1"))
     if strict:
         passed = F.when(ok("passed") == "false", F.col("_text").rlike(r'"passed"\s*:\s*"')).otherwise(passed)
-    none = F.when(readable & F.col("_text").rlike(r'"remarks"\s*:\s*null'), "None").otherwise("") if strict else F.lit("")
+    none = F.when(readable & has("remarks") & F.col("_raw.remarks").isNull(), "None").otherwise("") if strict else F.lit("")
     typed = F.transform(
         items,
         lambda x: F.struct(F.coalesce(x["rule_id"], F.lit("unknown")).alias("rule_id"), F.coalesce(x["evidence"], F.lit("")).alias("evidence"), F.when(good_page(x["page_number"]), page(x["page_number"]).cast("int")).alias("page_number")),
@@ -78,7 +85,7 @@ def decode_summaries(replies: DataFrame) -> DataFrame:
     """
     d = replies.withColumn("_text", unfenced(F.col("reply")))
     d = d.withColumn("_raw", F.from_json("_text", SUMMARY_RAW, {"columnNameOfCorruptRecord": "_bad"}))
-    readable = F.col("_text").rlike(r"(?s)^\{.*\}$") & F.col("_raw").isNotNull() & F.col("_raw._bad").isNull()
+    readable = one_object(F.col("_text")) & F.col("_raw").isNotNull() & F.col("_raw._bad").isNull()
     ok = lambda c: F.when(readable, F.col(f"_raw.{c}"))
     file = F.array(F.struct(F.lit("path").alias("key"), F.col("path").alias("value")), F.struct(F.lit("mime_type").alias("key"), F.col("media_type").alias("value")))
     fields = F.coalesce(F.filter(F.map_entries(ok("key_fields")), lambda e: e["value"].isNotNull()), F.array().cast("array<struct<key:string,value:string>>"))

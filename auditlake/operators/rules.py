@@ -21,7 +21,7 @@ def money(c: str, scale: int = 2) -> Column:
 def legibility(docs: DataFrame) -> DataFrame:
     """R001: the share of characters that are neither letter, digit nor space."""
     n = F.length("text")
-    junk = F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]", ""))
+    junk = F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s]"))
     share = F.when(n > 0, junk.cast("double") / n.cast("double")).otherwise(1.0)
     return docs.select("doc_id", n.cast("long").alias("chars"), junk.cast("long").alias("junk"), (share.isNotNull() & (share <= MAX_JUNK) & (n >= MIN_CHARS)).alias("complies"))
 

@@ -29,6 +29,10 @@ REPLIES = [
     ("mixed", '{"passed": false, "score": 10, "failed_rules": [{"rule_id": "R002"}, "str", null]}'),
     ("pages", '{"score": 1, "failed_rules": [{"rule_id": "R003", "page_number": "3"}, {"evidence": "x", "page_number": 3.0}]}'),
     ("bad_page", '{"score": 1, "failed_rules": [{"rule_id": "R003", "page_number": "p3"}]}'),
+    ("two_objects", '{"passed": true, "score": 90} {"x": 1}'),
+    ("listed", '{"passed": true, "score": 90}, {"x": 1}'),
+    ("nested_score", '{"passed": true, "failed_rules": [{"rule_id": "R001", "score": 300}]}'),
+    ("looks_like_a_key", '{"passed": true, "remarks": "\\"score\\": none, \\"failed_rules\\": null"}'),
     ("no_remarks", '{"passed": true, "score": 100, "remarks": null}'),
 ]
 

@@ -14,6 +14,7 @@ from auditlake.operators import report as reports
 from auditlake.plans import fixtures as fx
 from auditlake.plans.audit import invoice_audit
 from auditlake.schemas import SUFFIXES
+from auditlake.sources.files import scan_folder, scratch_folder, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -364,13 +365,22 @@ def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.numbered(fx.frame(spark, PATH_ROWS, "path string").select(F.lit("batch").alias("run_id"), F.col("path").alias("doc_key")))
 
 
-@query("SELECT s.file AS document_name, 'ok' AS status, true AS passed, 100.0::DOUBLE AS score FROM (VALUES ('documents.parquet')) s(file) WHERE false")
-def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data folder holds tables and no business documents, so the scan finds none."""
-    from auditlake.sources.files import scan_folder
+#: Suffixes of every kind and case, and some that are no documents.
+SCANNED = (".pdf", ".PNG", ".jpg", ".JpEg", ".tif", ".TIFF", ".bmp", ".txt", ".docx", "")
+
 
-    files = scan_folder(spark, sf_dir)
-    d = decode_replies(extract.extracted(files, lambda path, content: '{"passed": true, "score": 100}'))
+@query(f"""
+WITH f AS (SELECT replace(n_name, ' ', '_') || (CAST({list(SCANNED)} AS VARCHAR[]))[n_nationkey % {len(SCANNED)} + 1] AS document_name, CAST(length(n_name) * (n_regionkey + 1) AS BIGINT) AS bytes FROM nation)
+SELECT document_name, 'ok' AS status, bytes > 20 AS passed, CAST(least(100, bytes) AS DOUBLE) AS score FROM f
+WHERE regexp_matches(lower(document_name), '\\.(pdf|png|jpg|jpeg|tiff|tif|bmp)$')""")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder filled from a table: files of every suffix and case, read and judged by their size."""
+    name = F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.element_at(F.array(*map(F.lit, SCANNED)), (F.col("n_nationkey") % len(SCANNED) + 1).cast("int")))
+    content = F.repeat("n_name", (F.col("n_regionkey") + 1).cast("int")).cast("binary")
+    folder = scratch_folder(spark, "scan")
+    write_files(table(spark, sf_dir, "nation").select(name.alias("name"), content.alias("content")), folder)
+    judged = lambda path, content: f'{{"passed": {str(len(content) > 20).lower()}, "score": {min(100, len(content))}}}'
+    d = decode_replies(extract.extracted(scan_folder(spark, folder), judged))
     return d.select(base_name(F.col("doc_key")).alias("document_name"), "status", "passed", "score")
 
 

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +31,57 @@ def described(files: DataFrame) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
-    """The documents of a folder, not of its subfolders.
+    """The documents of a folder, not of its subfolders; none if there is no such folder.
 
-    The file reader skips names that start with a dot or an underscore; strict lists the
-    (local) folder instead and returns those as well, without content.
+    The file reader skips empty files and names that start with a dot or an underscore;
+    strict lists the (local) folder instead and returns those as well, without content.
     """
     if strict:
         names = sorted(e.path for e in os.scandir(folder) if e.is_file()) if os.path.isdir(folder) else []
         return described(spark.createDataFrame([(p,) for p in names], "path string"))
-    return described(spark.read.format("binaryFile").option("pathGlobFilter", any_case(SUFFIXES)).load(folder))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case(SUFFIXES))
+    return described(or_empty(spark, lambda: files.load(folder), "path string, modificationTime timestamp, length long, content binary"))
+
+
+def or_empty(spark: SparkSession, load: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What load gives, or nothing if its path does not exist."""
+    try:
+        found = load()
+        found.schema  # noqa: B018  resolves the path
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], schema)
+    return found
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder's name under spark.checkpoint.dir, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="auditlake-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes rows (name, content) as files of a folder that all tasks reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        # some paths come with one slash after the colon
+        store, path = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", folder))
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                    out.write(content)
+            yield batch[["name"]]
+
+    files.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def data_urls(files: DataFrame) -> DataFrame:
@@ -44,13 +92,7 @@ def data_urls(files: DataFrame) -> DataFrame:
 
 def read_checklist(spark: SparkSession, path: str) -> DataFrame:
     """The rules of a checklist file; no file gives no rules."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-        text.schema  # noqa: B018  resolves the path
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        text = spark.createDataFrame([], "value string")
+    text = or_empty(spark, lambda: spark.read.text(path, wholetext=True), "value string")
     return parse_checklist(text.select(F.lit("file").alias("checklist"), F.col("value").alias("text")))
 
 

@@ -140,3 +140,20 @@ def test_new_files_are_audited_once(spark, folder, tmp_path):
     (tmp_path / "new.png").write_bytes(b"n")
     assert run()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_a_missing_folder_is_an_empty_run(spark, tmp_path):
+    from auditlake.plans.audit import run_audit
+
+    audit = run_audit(spark, str(tmp_path / "none"), str(tmp_path / "none.md"), lambda path, content: "{}")
+    assert audit.documents.count() == 0
+    assert audit.failed.count() == 0
+    assert audit.report.first().documents_processed == 0
+
+
+def test_replies_are_judged_as_parsed(spark):
+    from auditlake.functions.replies import decode_replies
+
+    data = [("two", '{"passed": true} {"x": 1}'), ("inner", '{"failed_rules": [{"rule_id": "R1", "score": 900}]}'), ("null", '{"failed_rules": null}'), ("text", '{"remarks": "\\"failed_rules\\": null"}')]
+    got = {r.id: r.status for r in decode_replies(spark.createDataFrame(data, "id string, reply string")).collect()}
+    assert got == {"two": "parse_error", "inner": "ok", "null": "parse_error", "text": "ok"}
