@@ -4,13 +4,18 @@ Code points are the coefficients of a polynomial; prefix arrays modulo two prime
 below 2**31 answer the equality of any two spans by a subtraction and locate the
 longest common extension of two texts by binary search.
 
-A fingerprint holds the length, the hash of the whole text, and two ladders of span
-hashes: of prefixes and of suffixes, at lengths that grow by a fixed ratio from one
-code point.  Lengths depend on nothing but the ladder, so two fingerprints have
-comparable rungs, and as equal prefixes of one length imply equal shorter ones, a
-binary search over the rungs finds how far two texts agree from either end.
-
-Likeness: the agreed length from both ends over the longer text, 1 for equal texts.
+A fingerprint holds the length, the hash of the whole text, and three lists of span
+hashes.  Two are ladders: of prefixes and of suffixes, at lengths that grow by a fixed
+ratio from one code point.  Lengths depend on nothing but the ladder, so two
+fingerprints have comparable rungs, and as equal prefixes of one length imply equal
+shorter ones, a binary search over the rungs finds how far two texts agree from either
+end.  The third is of the pieces between places that the content chooses: where the
+hash of the next WINDOW code points is least among those of REACH places on either
+side.  An edit moves the places near it only, so the other pieces stay equal.
+
+Likeness: code points that lie in an agreed end or in a piece that the other text has
+as well (each of its pieces answers for one), the lesser count of the two texts, over
+the longer text; 1 for equal texts.
 
 Defined cases: null text is empty; two empty texts have likeness 1, an empty and
 another 0; documents are in order of doc_id, nulls first, and of text among equal
@@ -21,20 +26,23 @@ an empty table gives an empty result; columns other than doc_id and text are ign
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents
+from auditlake.llm.common import documents, sliding
 
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
 #: Each rung of the ladder is longer than the one before by this ratio.
 RATIO = 1.25
-#: Hexadecimal digits of a rung.
+#: Hexadecimal digits of a rung or a piece.
 RUNG = 8
+#: Code points whose hash chooses a place, and places on either side that it is compared with.
+WINDOW, REACH = 16, 48
 #: Documents in a stretch of ids that is put in order together, on average.
 STRETCH = 2_000
 #: Stretches at most; beyond, they grow.
@@ -86,13 +94,31 @@ class Hasher:
             out = out << np.uint64(31) | part
         return out
 
+    def places(self, prefixes: list[np.ndarray]) -> np.ndarray:
+        """Where pieces begin, the start of the text apart; any two are more than REACH apart."""
+        h, p = prefixes[0], PRIMES[0]
+        n = len(h) - 1
+        count = n - WINDOW + 1
+        if count < 2 * REACH + 1:
+            return np.zeros(0, np.int64)
+        part = (h[WINDOW:] + np.uint64(p) - h[:count]) % np.uint64(p)
+        part = part * self.table(0, n + 1)[n : n - count : -1] % np.uint64(p)
+        part = part * np.uint64(pow(pow(BASES[0], n, p), -1, p)) % np.uint64(p)
+        least = sliding(np.minimum, part, REACH)
+        # strictly less than those before, so that a text that repeats itself has no place
+        middle = part[REACH : count - REACH]
+        return np.flatnonzero((middle < least[: len(middle)]) & (middle <= least[REACH + 1 : REACH + 1 + len(middle)])) + REACH
+
     def fingerprint(self, text: str) -> str:
         h, n = self.prefixes(text), len(text)
         lengths = rungs(n)
         zero = np.zeros(len(lengths), np.int64)
-        put = lambda x: "".join(f"{v & 0xFFFFFFFF:08x}" for v in x.tolist())
+        put = lambda x: "".join([f"{v & 0xFFFFFFFF:08x}" for v in x.tolist()])
         whole = self.spans(h, np.zeros(1, np.int64), np.array([n]))
-        return f"{n}:{whole[0]:016x}:{put(self.spans(h, zero, lengths))}:{put(self.spans(h, n - lengths, lengths))}"
+        starts = np.concatenate([np.zeros(1 if n else 0, np.int64), self.places(h)])
+        sizes = np.diff(starts, append=n) if n else starts
+        ends = f"{put(self.spans(h, zero, lengths))}:{put(self.spans(h, n - lengths, lengths))}"
+        return f"{n}:{whole[0]:016x}:{ends}:{put(self.spans(h, starts, sizes))}:{','.join(map(str, sizes.tolist()))}"
 
 
 def common_prefix(hasher: Hasher, a: str, b: str) -> int:
@@ -120,16 +146,38 @@ def agreed(a: str, b: str, ladder: np.ndarray) -> int:
     return int(ladder[lo - 1]) if lo else 0
 
 
+def pieces(hashes: str, sizes: str) -> list[tuple[str, int]]:
+    """(hash, length) of each piece, in order."""
+    return [(hashes[k * RUNG : (k + 1) * RUNG], int(x)) for k, x in enumerate(sizes.split(","))]
+
+
+def found(mine: list[tuple[str, int]], theirs: Counter, lo: int, hi: int) -> int:
+    """Code points at lo..hi-1 in pieces that the other text has."""
+    left, at, total = theirs.copy(), 0, 0
+    for piece in mine:
+        end = at + piece[1]
+        if end > lo and at < hi and left[piece] > 0:
+            left[piece] -= 1
+            total += min(end, hi) - max(at, lo)
+        at = end
+    return total
+
+
 def likeness(a: str, b: str) -> float:
     """0 to 1, from two fingerprints alone."""
-    (n, whole, start, end), (m, other, start_b, end_b) = a.split(":"), b.split(":")
+    (n, whole, start, end, inner, sizes), (m, other, start_b, end_b, inner_b, sizes_b) = a.split(":"), b.split(":")
     if (n, whole) == (m, other):
         return 1.0
-    longest, shortest = max(int(n), int(m)), min(int(n), int(m))
+    n, m = int(n), int(m)
+    shortest = min(n, m)
     if not shortest:
         return 0.0
     ladder = rungs(shortest)
-    return min(agreed(start, start_b, ladder) + agreed(end, end_b, ladder), shortest) / longest
+    before, after = agreed(start, start_b, ladder), agreed(end, end_b, ladder)
+    after = min(after, shortest - before)
+    mine, theirs = pieces(inner, sizes), pieces(inner_b, sizes_b)
+    covered = min(found(mine, Counter(theirs), before, n - after), found(theirs, Counter(mine), before, m - after))
+    return min(before + after + covered, shortest) / max(n, m)
 
 
 FIRST = -(1 << 63)

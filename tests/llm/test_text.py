@@ -56,6 +56,61 @@ def test_spans_and_common_extension():
     assert near > 0.5 > op3.likeness(h.fingerprint(text), h.fingerprint("z" * 300))
 
 
+def brute_likeness(a, b):
+    """Likeness from the texts themselves."""
+    if a == b:
+        return 1.0
+    shortest = min(len(a), len(b))
+    if not shortest:
+        return 0.0
+    h, p, base = op3.Hasher(), op3.PRIMES[0], op3.BASES[0]
+
+    def cut(text):
+        value = [sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(text[i : i + op3.WINDOW])) % p for i in range(len(text) - op3.WINDOW + 1)]
+        at = [0]
+        for i in range(op3.REACH, len(value) - op3.REACH):
+            if value[i] < min(value[i - op3.REACH : i]) and value[i] <= min(value[i + 1 : i + op3.REACH + 1]):
+                at.append(i)
+        return [(i, text[i:j]) for i, j in zip(at, at[1:] + [len(text)])]
+
+    before = max((int(x) for x in op3.rungs(shortest) if a[:x] == b[:x]), default=0)
+    after = max((int(x) for x in op3.rungs(shortest) if a[len(a) - x :] == b[len(b) - x :]), default=0)
+    after = min(after, shortest - before)
+    one, two = cut(a), cut(b)
+    assert [i for i, _ in one][1:] == h.places(h.prefixes(a)).tolist()
+
+    def covered(mine, theirs, n):
+        rest, inside = [t for _, t in theirs], 0
+        for i, t in mine:
+            if i + len(t) > before and i < n - after and t in rest:
+                rest.remove(t)
+                inside += sum(before <= k < n - after for k in range(i, i + len(t)))
+        return inside
+
+    inner = min(covered(one, two, len(a)), covered(two, one, len(b)))
+    return min(before + after + inner, shortest) / max(len(a), len(b))
+
+
+def test_likeness_equals_brute_force():
+    rnd, h = random.Random(5), op3.Hasher()
+    assert h.places(h.prefixes("ab" * 5000)).size == 0
+    for k in range(40):
+        a = "".join(rnd.choice("abcdé ") for _ in range(rnd.choice([0, 1, 20, 300, 1500])))
+        at = rnd.randint(0, len(a))
+        moved = a[len(a) // 3 :] + a[: len(a) // 3]
+        for b in (a, a[:at] + "X" + a[at + 1 :], a[:at], moved, a * 2, "Y" + a[1:-1] + "Z", "q" * 200):
+            got = op3.likeness(h.fingerprint(a), h.fingerprint(b))
+            assert got == brute_likeness(a, b) == op3.likeness(h.fingerprint(b), h.fingerprint(a)), (k, len(a), len(b))
+
+
+def test_likeness_of_texts_changed_at_both_ends():
+    rnd, h = random.Random(6), op3.Hasher()
+    a = "".join(rnd.choice("abcdefghij ") for _ in range(20000))
+    b = a[:50] + "changed" + a[55:-60] + "also changed" + a[-50:]
+    assert op3.likeness(h.fingerprint(a), h.fingerprint(b)) > 0.95
+    assert op3.likeness(h.fingerprint(a), h.fingerprint(a[7000:] + a[:7000])) > 0.95
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
