@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,15 @@ STRETCHES = 100_000
 
 def rungs(n: int) -> np.ndarray:
     """The ladder's lengths up to n."""
+    every = ladder(n.bit_length())
+    return every[: np.searchsorted(every, n, "right")]
+
+
+@cache
+def ladder(bits: int) -> np.ndarray:
+    """The lengths below 2**bits."""
     out, x = [], 1
-    while x <= n:
+    while x < 1 << bits:
         out.append(x)
         x = max(x + 1, int(x * RATIO))
     return np.array(out, np.int64)
@@ -112,13 +120,13 @@ class Hasher:
     def fingerprint(self, text: str) -> str:
         h, n = self.prefixes(text), len(text)
         lengths = rungs(n)
-        zero = np.zeros(len(lengths), np.int64)
-        put = lambda x: "".join([f"{v & 0xFFFFFFFF:08x}" for v in x.tolist()])
-        whole = self.spans(h, np.zeros(1, np.int64), np.array([n]))
-        starts = np.concatenate([np.zeros(1 if n else 0, np.int64), self.places(h)])
-        sizes = np.diff(starts, append=n) if n else starts
-        ends = f"{put(self.spans(h, zero, lengths))}:{put(self.spans(h, n - lengths, lengths))}"
-        return f"{n}:{whole[0]:016x}:{ends}:{put(self.spans(h, starts, sizes))}:{','.join(map(str, sizes.tolist()))}"
+        cuts = np.concatenate([np.zeros(1 if n else 0, np.int64), self.places(h)])
+        sizes = np.diff(cuts, append=n) if n else cuts
+        starts = np.concatenate([np.zeros(1 + len(lengths), np.int64), n - lengths, cuts])
+        hashes = self.spans(h, starts, np.concatenate([[n], lengths, lengths, sizes]))
+        low = (hashes[1:] & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
+        end = len(lengths) * RUNG
+        return f"{n}:{hashes[0]:016x}:{low[:end]}:{low[end : 2 * end]}:{low[2 * end :]}:{','.join(map(str, sizes.tolist()))}"
 
 
 def common_prefix(hasher: Hasher, a: str, b: str) -> int:
@@ -134,7 +142,7 @@ def common_prefix(hasher: Hasher, a: str, b: str) -> int:
     return lo
 
 
-def agreed(a: str, b: str, ladder: np.ndarray) -> int:
+def agreed(a: str, b: str, lengths: np.ndarray) -> int:
     """The longest rung at which two ladders of hashes are equal, by binary search."""
     lo, hi = 0, min(len(a), len(b)) // RUNG
     while lo < hi:
@@ -143,7 +151,7 @@ def agreed(a: str, b: str, ladder: np.ndarray) -> int:
             lo = mid
         else:
             hi = mid - 1
-    return int(ladder[lo - 1]) if lo else 0
+    return int(lengths[lo - 1]) if lo else 0
 
 
 def pieces(hashes: str, sizes: str) -> list[tuple[str, int]]:
@@ -172,8 +180,8 @@ def likeness(a: str, b: str) -> float:
     shortest = min(n, m)
     if not shortest:
         return 0.0
-    ladder = rungs(shortest)
-    before, after = agreed(start, start_b, ladder), agreed(end, end_b, ladder)
+    lengths = rungs(shortest)
+    before, after = agreed(start, start_b, lengths), agreed(end, end_b, lengths)
     after = min(after, shortest - before)
     mine, theirs = pieces(inner, sizes), pieces(inner_b, sizes_b)
     covered = min(found(mine, Counter(theirs), before, n - after), found(theirs, Counter(mine), before, m - after))
