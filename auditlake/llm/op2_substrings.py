@@ -217,3 +217,19 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: All windows as text; doc_id is a key of the table.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS t
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d WHERE len(words) >= {WINDOW})),
+f AS (SELECT t, min(doc_id) AS first FROM g GROUP BY t HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT doc_id, i FROM g JOIN f USING (t) WHERE doc_id > first),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+c AS (SELECT w.doc_id, w.i, word, coalesce(max(x.i) OVER (PARTITION BY w.doc_id ORDER BY w.i), -{WINDOW}) > w.i - {WINDOW} AS gone
+      FROM w LEFT JOIN x ON w.doc_id = x.doc_id AND w.i = x.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -251,3 +251,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: All pairs of classes that share a shingle; doc_id is a key of the table.
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE_WORDS} THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - {SHINGLE_WORDS - 2}), lambda i: array_to_string(words[i:i + {SHINGLE_WORDS - 1}], ' ')) END)) AS shingles FROM w),
+c AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS rep, shingles FROM g),
+s AS MATERIALIZED (SELECT rep, n, unnest(shingles) AS shingle FROM c WHERE doc_id = rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.rep < b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT node, min(other) AS component FROM r GROUP BY node)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, rep) AS component_id, doc_id = coalesce(component, rep) AS kept
+FROM c LEFT JOIN m ON rep = node
+"""

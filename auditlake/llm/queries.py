@@ -8,4 +8,4 @@ QUERIES = {
 }
 
 #: SQL has no seeded draws, trained models or tokenizers; those queries are tested against brute force instead.
-ORACLE_SQL = {"op5_warc": op5_warc.ORACLE, "op9_quality": op9_quality.ORACLE}
+ORACLE_SQL = {"op2_substrings": op2_substrings.ORACLE, "op5_warc": op5_warc.ORACLE, "op7_minhash": op7_minhash.ORACLE, "op9_quality": op9_quality.ORACLE}
