@@ -8,6 +8,7 @@ from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditlake.schemas import EXTRACTED, MAX_PAGES
 
@@ -46,3 +47,21 @@ def rendered_pages(files: DataFrame, render: Callable[[str, bytes | None], Itera
                 yield pd.DataFrame({"doc_key": [path] * len(images), "page_no": range(1, len(images) + 1), "image": images})
 
     return files.select("path", "content").mapInPandas(run, "doc_key string, page_no int, image binary")
+
+
+def page_counts(files: DataFrame, count: Callable[[str, bytes | None], int]) -> DataFrame:
+    """(doc_key, page_count): what count says of a PDF, not capped; 1 if it fails and for all other files."""
+    pages = files.where(F.col("ext") == ".pdf")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    found.append(int(count(path, content)))
+                except Exception:  # the caller's function may fail in any way
+                    found.append(1)
+            yield pd.DataFrame({"doc_key": batch["path"], "page_count": found})
+
+    counted = pages.select("path", "content").mapInPandas(run, "doc_key string, page_count int")
+    return counted.union(files.where(F.col("ext") != ".pdf").select("path", F.lit(1)))

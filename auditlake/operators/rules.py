@@ -155,6 +155,74 @@ def text_findings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(r).alias("rule_id"), c.alias("complies")) for r, c in checks])))
 
 
+#: Words that each type's fields are known by; every field must occur.
+FIELDS = {
+    "invoice": ("date", "seller", "buyer", "subtotal", "tax", "total"),
+    "receipt": ("date", "seller", "buyer", "subtotal", "tax", "total"),
+    "purchase_order": ("date", "vendor", "quantity", "delivery date", "net [0-9]+|due (on|by|date)"),
+    "delivery_challan": ("date", "supplier", "receiver", "quantity", "signed by|signature:"),
+    "contract": ("parties", "effective date", "term", "scope", "price", "signed by|signature:"),
+    "certificate": ("date", "issued by", "issued to", "signed by|signature:"),
+}
+NUMBER_FORMAT = "^[A-Z]+-[0-9]+$"
+TAX_NAMES, TAX_RATE, TAX_ID = "gst|vat|sales tax", "[0-9]+ ?%", "tax id"
+EXEMPTION = "exempt.*(certificate|clause)"
+VALID_UNTIL = "valid until ([0-9]{4}-[0-9]{2}-[0-9]{2})"
+
+
+def text_audit(docs: DataFrame, as_of: str) -> DataFrame:
+    """Eleven rules, all but R003, on (doc_id, document_type, document_number, text).
+
+    One row per document and rule: (doc_key, rule_id, mandatory, applies, complies).
+    Nulls in text or type count as empty and unknown; a document without a number has a
+    wrong format.  Expiry is judged as of a day, yyyy-MM-dd.
+    """
+    d = docs.select("doc_id", F.coalesce("document_type", F.lit("unknown")).alias("kind"), "document_number", F.coalesce("text", F.lit("")).alias("text"))
+    # a key of its own for each document without a number, so that these do not meet in one task
+    d = d.withColumn("number", F.coalesce(F.concat(F.lit("="), "document_number"), F.col("doc_id").cast("string")))
+    numbers = d.groupBy("number").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    lacking = missing_attachments(d).select("doc_id").distinct().withColumn("lacking", F.lit(True))
+    d = d.join(numbers, "number").join(lacking, "doc_id", "left")
+    t, kind = F.lower("text"), F.col("kind")
+    n, junk = F.length("text"), F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s]"))
+    billing, signed = kind.isin(*BILLING_TYPES), kind.isin(*SIGNED_TYPES)
+    signs = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({CURRENCIES})"), 1)))
+    complete = F.lit(True)
+    for name, fields in FIELDS.items():
+        every = F.lit(True)
+        for field in fields:
+            every = every & t.rlike(field)
+        complete = F.when(kind == name, every).otherwise(complete)
+    expiry = F.regexp_extract(t, VALID_UNTIL, 1)
+    taxed = t.rlike(TAX_NAMES) & t.rlike(TAX_RATE) & t.rlike(TAX_ID)
+    everywhere = F.lit(True)
+    checks = [
+        ("R001", True, everywhere, (n >= MIN_CHARS) & (junk.cast("double") <= MAX_JUNK * n)),
+        ("R002", True, kind.isin(*FIELDS), complete),
+        ("R004", True, signed, t.rlike("signed by|signature:")),
+        ("R005", False, kind == "certificate", (expiry == "") | (expiry >= as_of)),
+        ("R006", True, signs > 0, (signs == 1) | t.rlike("(conversion|exchange) rate")),
+        ("R007", True, billing, t.rlike("[0-9]+ [a-z]+ (street|road|avenue)") & t.rlike(TAX_ID)),
+        ("R008", False, everywhere, F.coalesce(F.col("document_number").rlike(NUMBER_FORMAT) & ~F.col("repeated"), F.lit(False))),
+        ("R009", True, billing, t.rlike("net [0-9]+|due (on|by|date)")),
+        ("R010", True, billing | (kind == "receipt"), taxed | t.rlike(EXEMPTION)),
+        ("R011", False, everywhere, ~t.rlike("(miscellaneous|various items|sundries)")),
+        ("R012", False, t.contains("attached "), F.col("lacking").isNull()),
+    ]
+    rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(m).alias("mandatory"), a.alias("applies"), c.alias("complies")) for r, m, a, c in checks])
+    return d.select(F.col("doc_id").alias("doc_key"), F.inline(rows))
+
+
+def arithmetic_evidence(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """R003 of each invoice that fails it: the numbers, and over- or understatement, in words."""
+    off = F.col("overstated")
+    shown = lambda c: F.abs(c.cast("decimal(18,2)")).cast("string")
+    said = F.concat(F.lit("stated total "), shown(F.col("o_totalprice")), F.lit(", sum of lines "), shown(F.col("gross")), F.when(off > 0, ", overstated by ").otherwise(", understated by "), shown(off))
+    d = orders.join(line_facts(lineitem).select("l_orderkey", "gross"), F.col("o_orderkey") == F.col("l_orderkey"))
+    d = d.select("o_orderkey", money("o_totalprice").alias("o_totalprice"), F.col("gross").cast("decimal(18,2)").alias("gross"))
+    return d.withColumn("overstated", F.col("o_totalprice") - F.col("gross")).where(F.abs("overstated") > CENT).select("o_orderkey", said.alias("evidence"))
+
+
 def missing_attachments(docs: DataFrame) -> DataFrame:
     """R012: numbers that a text calls attached and no document of the batch has."""
     wanted = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"attached ([A-Z]+-[0-9]+)"), 1))).alias("wanted"))

@@ -16,6 +16,23 @@ def document_scores(findings: DataFrame, key: str = "doc_key") -> DataFrame:
     )
 
 
+def applicable(findings: DataFrame) -> DataFrame:
+    """Findings of the rules that apply to their document."""
+    return findings.where("applies").drop("applies")
+
+
+def both_verdicts(results: DataFrame, items: DataFrame, rules: DataFrame, key: str = "doc_key") -> DataFrame:
+    """results with passed as reported, and passed_computed: no failed item is of a mandatory rule.
+
+    Rules that the checklist does not know count as mandatory; so does a result that could
+    not be read, which has not passed.  A checklist is a page of text, so it is broadcast.
+    """
+    known = F.broadcast(rules.groupBy("rule_id").agg(F.min_by("mandatory", "ord").alias("must")))
+    failed = items.select(key, "rule_id").join(known, "rule_id", "left").where(F.coalesce("must", F.lit(True))).select(key).distinct().withColumn("_failed", F.lit(True))
+    computed = F.col("_failed").isNull() & (F.col("status") == "ok")
+    return results.join(failed, key, "left").withColumn("passed_computed", computed).drop("_failed")
+
+
 def classified(mean: Column) -> Column:
     """By the mean before it is rounded."""
     return F.when(mean >= PASS_FROM, PASS).when(mean >= REVIEW_FROM, REVIEW).otherwise(FAIL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.names import base_name
-from auditlake.functions.replies import decode_replies
+from auditlake.functions.replies import decode_replies, decode_summaries
 from auditlake.operators.checklist import with_rule
-from auditlake.operators.extract import extracted
-from auditlake.operators.rules import invoice_findings
-from auditlake.operators.scoring import document_scores, report
-from auditlake.sources.files import read_checklist, scan_folder
+from auditlake.operators.extract import extracted, page_counts
+from auditlake.operators.rules import invoice_findings, text_audit
+from auditlake.operators.scoring import applicable, both_verdicts, document_scores, report
+from auditlake.sources.files import read_checklist, scan_folder, with_content
+
+
+Reader = Callable[[str, bytes | None], str]
 
 
 class Audit(NamedTuple):
@@ -23,17 +27,64 @@ class Audit(NamedTuple):
     failed: DataFrame
 
 
-def run_audit(spark: SparkSession, folder: str, checklist: str, read: Callable, title: str | None = None, strict: bool = False) -> Audit:
-    """Scans the folder, has every file read, decodes the replies, looks the failed rules up and reports.
+def with_empty(read: Reader, reply: str) -> Reader:
+    """A reader that is not asked about files without content."""
+    return lambda path, content: read(path, content) if content else reply
+
+
+def summaries(files: DataFrame, summarize: Reader, count: Callable[[str, bytes | None], int]) -> DataFrame:
+    """(doc_key, document_type, summary, language, metadata, page_count, summary_status) of each file."""
+    empty = '{"error": "unable to load content", "summary": "Unsupported or empty document.", "key_fields": {"error": "unable to load content"}}'
+    replies = extracted(files, with_empty(summarize, empty)).withColumnRenamed("doc_key", "path")
+    read = decode_summaries(replies.join(files.select("path", "media_type", (F.coalesce(F.length("content"), F.lit(0)) == 0).alias("_empty")), "path"))
+    status = F.when(F.col("_empty"), "empty_content").otherwise(F.col("status"))
+    read = read.select(F.col("path").alias("doc_key"), "document_type", "summary", "language", "metadata", status.alias("summary_status"))
+    return read.join(page_counts(files, count), "doc_key")
+
+
+def run_audit(
+    spark: SparkSession, folder: str, checklist: str, read: Reader, title: str | None = None, strict: bool = False,
+    summarize: Reader | None = None, count_pages: Callable[[str, bytes | None], int] = lambda path, content: 1,
+) -> Audit:
+    """Scans the folder, has every file summarised and read, decodes the replies, looks the failed rules up and reports.
 
-    The verdict is the reader's own; what could not be read counts with score 0 and has a status.
+    The verdict is the reader's own, with the one that its failed rules give beside it; what
+    could not be read counts with score 0 and has a status.  Files that the file reader skips are in
+    strict runs only; empty ones are never read and have the status empty_content.
     """
     files = scan_folder(spark, folder)
-    results = decode_replies(extracted(files, read), strict).withColumn("document_name", base_name(F.col("doc_key"))).persist()
+    if strict:
+        skipped = scan_folder(spark, folder, strict=True).join(files.select("document_name"), "document_name", "left_anti")
+        files = files.unionByName(with_content(skipped), allowMissingColumns=True)
+    rules = read_checklist(spark, checklist)
+    results = decode_replies(extracted(files, with_empty(read, '{"error": "empty_content"}')), strict)
+    empty = files.select(F.col("path").alias("doc_key"), (F.coalesce(F.length("content"), F.lit(0)) == 0).alias("_empty"))
+    results = results.join(empty, "doc_key").withColumn("status", F.when(F.col("_empty"), "empty_content").otherwise(F.col("status"))).drop("_empty")
+    if summarize is not None:
+        results = results.join(summaries(files, summarize, count_pages), "doc_key", "left")
+    results = results.withColumn("document_name", base_name(F.col("doc_key"))).persist()
     items = results.select("doc_key", F.posexplode("failed_rules").alias("pos", "x")).select("doc_key", "pos", "x.*")
-    return Audit(report(results, title), results, with_rule(items, read_checklist(spark, checklist)))
+    return Audit(report(results, title), both_verdicts(results, items, rules), with_rule(items, rules))
+
+
+def timed_audit(spark: SparkSession, *args, **kwargs) -> tuple[Audit, DataFrame]:
+    """An audit, and its response: the report's row with elapsed_seconds of reading the documents."""
+    start = time.monotonic()
+    audit = run_audit(spark, *args, **kwargs)
+    audit.documents.count()
+    return audit, audit.report.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - start, 2)))
 
 
 def invoice_audit(orders: DataFrame, lineitem: DataFrame, title: str | None = None) -> DataFrame:
     """The report of all orders as invoices."""
     return report(document_scores(invoice_findings(orders, lineitem)), title)
+
+
+def whole_audit(docs: DataFrame, orders: DataFrame, lineitem: DataFrame, as_of: str, title: str | None = None) -> DataFrame:
+    """The report of documents (doc_id, document_type, document_number, text) under all twelve rules.
+
+    R003 is judged where doc_id is the key of an order with lines; each document is scored
+    by the rules that apply to it.
+    """
+    amounts = invoice_findings(orders, lineitem).where("rule_id = 'R003'").join(docs.select(F.col("doc_id").alias("doc_key")).distinct(), "doc_key", "left_semi")
+    return report(document_scores(applicable(text_audit(docs, as_of)).unionByName(amounts)), title)

@@ -12,7 +12,7 @@ from auditlake.functions.replies import decode_replies, decode_summaries, with_s
 from auditlake.operators import checklist, extract, rules, scoring
 from auditlake.operators import report as reports
 from auditlake.plans import fixtures as fx
-from auditlake.plans.audit import invoice_audit
+from auditlake.plans.audit import invoice_audit, whole_audit
 from auditlake.schemas import SUFFIXES
 from auditlake.sources.files import scan_folder, scratch_folder, write_files
 
@@ -332,6 +332,87 @@ TEXT_SQL = f"""(SELECT doc_id, rule_id, complies FROM (SELECT doc_id, unnest([
  FROM (SELECT *, lower(text) AS t FROM {fx.sql(fx.TEXTS, TEXT_SCHEMA)})))"""
 
 
+#: Orders written out as documents of six types, with what the rules look for now there and now not.
+PARTS = [
+    ("true", "Date {d}, {k} "),
+    ("o_custkey % 5 <> 0", "seller and vendor and supplier: Works; buyer and receiver: {c}; "),
+    ("o_custkey % 3 <> 0", "12 Mill Road, Tax ID 77; "),
+    ("o_custkey % 7 <> 0", "quantity 4, subtotal, VAT 7 %, total $10; "),
+    ("o_custkey % 11 = 0", "or €9; "),
+    ("o_custkey % 22 = 0", "exchange rate 1.1; "),
+    ("o_custkey % 4 <> 0", "delivery date, effective date, net 30; "),
+    ("o_custkey % 6 <> 0", "parties, term, scope, price, issued by and issued to; "),
+    ("o_custkey % 9 <> 0", "Signed by A. Clerk; "),
+    ("o_custkey % 13 = 0", "miscellaneous; "),
+    ("o_custkey % 8 = 0", "attached DOC-{a}; "),
+    ("o_custkey % 2 = 0", "valid until {d}"),
+    ("o_custkey % 17 = 0", " #### **** //// ==== ---- ++++ #### **** //// ==== ----"),
+]
+KINDS = ("invoice", "receipt", "purchase_order", "delivery_challan", "contract", "certificate")
+AS_OF = "1996-01-01"
+
+
+def written_out(day: str, array_at: str) -> str:
+    """SQL of the columns doc_id, document_type, document_number and text; the two dialects differ in two functions."""
+    values = {"d": day, "k": array_at, "c": "CAST(o_custkey AS STRING)", "a": "CAST(o_orderkey + o_custkey % 3 - 1 AS STRING)"}
+
+    def text(part: str) -> str:
+        for name, value in values.items():
+            part = part.replace("{" + name + "}", f"', {value}, '")
+        return f"concat('{part}')"
+
+    parts = ", ".join(f"CASE WHEN {when} THEN {text(part)} ELSE '' END" for when, part in PARTS)
+    number = "CASE WHEN o_custkey % 19 = 0 THEN CAST(NULL AS STRING) WHEN o_custkey % 23 = 0 THEN 'no number' WHEN o_custkey % 29 = 0 THEN 'DOC-0' ELSE concat('DOC-', CAST(o_orderkey AS STRING)) END"
+    return f"SELECT o_orderkey AS doc_id, {array_at} AS document_type, {number} AS document_number, concat({parts}) AS text FROM orders"
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + f"), CAST(o_orderkey % {len(KINDS)} AS INT) + 1)"
+    return spark.sql(written_out("date_format(o_orderdate, 'yyyy-MM-dd')", kinds).replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+DOCS_SQL = written_out("strftime(o_orderdate, '%Y-%m-%d')", f"({list(KINDS)})[o_orderkey % {len(KINDS)} + 1]")
+FIELDS_SQL = " ".join(f"WHEN '{kind}' THEN " + " AND ".join(f"regexp_matches(t, '{x}')" for x in fields) for kind, fields in rules.FIELDS.items())
+KINDS_IN = ", ".join(f"'{k}'" for k in KINDS)
+BILLING_SQL, SIGNED_SQL = "kind IN ('invoice', 'purchase_order')", "kind IN ('contract', 'certificate', 'delivery_challan')"
+AUDIT_SQL = rf"""(WITH d AS ({DOCS_SQL}),
+lacking AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'attached ([A-Z]+-[0-9]+)', 1)) AS wanted FROM d) WHERE wanted NOT IN (SELECT document_number FROM d WHERE document_number IS NOT NULL)),
+f AS (SELECT doc_id, document_type AS kind, document_number AS number, text, lower(text) AS t, count(*) OVER (PARTITION BY document_number) AS uses, doc_id IN (SELECT doc_id FROM lacking) AS lacks,
+  len(list_distinct(regexp_extract_all(text, '[$€£¥₹]'))) AS signs, regexp_extract(lower(text), '{rules.VALID_UNTIL}', 1) AS expiry FROM d)
+SELECT doc_id AS doc_key, rule_id, mandatory, applies, complies FROM (SELECT doc_id, unnest([
+ {{'rule_id': 'R001', 'mandatory': true, 'applies': true, 'complies': length(text) >= 50 AND length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g')) <= 0.1 * length(text)}},
+ {{'rule_id': 'R002', 'mandatory': true, 'applies': kind IN ({KINDS_IN}), 'complies': CASE kind {FIELDS_SQL} ELSE true END}},
+ {{'rule_id': 'R004', 'mandatory': true, 'applies': {SIGNED_SQL}, 'complies': regexp_matches(t, 'signed by|signature:')}},
+ {{'rule_id': 'R005', 'mandatory': false, 'applies': kind = 'certificate', 'complies': expiry = '' OR expiry >= '{AS_OF}'}},
+ {{'rule_id': 'R006', 'mandatory': true, 'applies': signs > 0, 'complies': signs = 1 OR regexp_matches(t, '(conversion|exchange) rate')}},
+ {{'rule_id': 'R007', 'mandatory': true, 'applies': {BILLING_SQL}, 'complies': regexp_matches(t, '[0-9]+ [a-z]+ (street|road|avenue)') AND regexp_matches(t, 'tax id')}},
+ {{'rule_id': 'R008', 'mandatory': false, 'applies': true, 'complies': coalesce(regexp_matches(number, '^[A-Z]+-[0-9]+$') AND uses = 1, false)}},
+ {{'rule_id': 'R009', 'mandatory': true, 'applies': {BILLING_SQL}, 'complies': regexp_matches(t, 'net [0-9]+|due (on|by|date)')}},
+ {{'rule_id': 'R010', 'mandatory': true, 'applies': {BILLING_SQL} OR kind = 'receipt', 'complies': (regexp_matches(t, 'gst|vat|sales tax') AND regexp_matches(t, '[0-9]+ ?%') AND regexp_matches(t, 'tax id')) OR regexp_matches(t, '{rules.EXEMPTION}')}},
+ {{'rule_id': 'R011', 'mandatory': false, 'applies': true, 'complies': NOT regexp_matches(t, '(miscellaneous|various items|sundries)')}},
+ {{'rule_id': 'R012', 'mandatory': false, 'applies': contains(t, 'attached '), 'complies': NOT lacks}}], recursive := true) FROM f))"""
+
+
+@query(f"SELECT * FROM {AUDIT_SQL}")
+def document_rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven rules on every order written out as a document, with what applies to its type."""
+    return rules.text_audit(order_documents(spark, sf_dir), AS_OF)
+
+
+ALL_SQL = f"(SELECT doc_key, rule_id, mandatory, complies FROM {AUDIT_SQL} WHERE applies UNION ALL SELECT * FROM {FINDINGS} WHERE rule_id = 'R003')"
+
+
+@query(report_sql(f"(SELECT doc_key, bool_and(complies OR NOT mandatory) AS passed, CAST(count(*) FILTER (complies) AS DOUBLE) * 100 / CAST(count(*) AS DOUBLE) AS score FROM {ALL_SQL} GROUP BY doc_key)", "Orders as documents"))
+def twelve_rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_audit(order_documents(spark, sf_dir), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), AS_OF, "Orders as documents")
+
+
+@query(f"""SELECT o_orderkey, 'stated total ' || CAST(CAST(abs(total) AS DECIMAL(18,2)) AS VARCHAR) || ', sum of lines ' || CAST(gross AS VARCHAR) || CASE WHEN total > gross THEN ', overstated by ' ELSE ', understated by ' END || CAST(abs(total - gross) AS VARCHAR) AS evidence
+ FROM (SELECT o_orderkey, CAST({MONEY('o_totalprice')} AS DECIMAL(18,2)) AS total, CAST(gross AS DECIMAL(18,2)) AS gross FROM orders JOIN {FACTS} ON o_orderkey = l_orderkey) WHERE abs(total - gross) > 0.01""")
+def r003_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.arithmetic_evidence(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
 def text_rule(name: str, *ids: str):
     def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rules.text_findings(fx.frame(spark, fx.TEXTS, TEXT_SCHEMA)).where(F.col("rule_id").isin(*ids))

@@ -43,6 +43,20 @@ def scan_folder(spark: SparkSession, folder: str, strict: bool = False) -> DataF
     return described(or_empty(spark, lambda: files.load(folder), "path string, modificationTime timestamp, length long, content binary"))
 
 
+def with_content(files: DataFrame) -> DataFrame:
+    """Listed files of a local folder with their content; empty ones have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            content = []
+            for path in batch["path"]:
+                with open(path, "rb") as f:
+                    content.append(f.read() or None)
+            yield batch.assign(content=content)
+
+    return files.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema) + ", content binary")
+
+
 def or_empty(spark: SparkSession, load: Callable[[], DataFrame], schema: str) -> DataFrame:
     """What load gives, or nothing if its path does not exist."""
     try:

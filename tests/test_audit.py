@@ -157,3 +157,55 @@ def test_replies_are_judged_as_parsed(spark):
     data = [("two", '{"passed": true} {"x": 1}'), ("inner", '{"failed_rules": [{"rule_id": "R1", "score": 900}]}'), ("null", '{"failed_rules": null}'), ("text", '{"remarks": "\\"failed_rules\\": null"}')]
     got = {r.id: r.status for r in decode_replies(spark.createDataFrame(data, "id string, reply string")).collect()}
     assert got == {"two": "parse_error", "inner": "ok", "null": "parse_error", "text": "ok"}
+
+
+def test_a_whole_run_summarises_and_keeps_both_verdicts(spark, tmp_path):
+    from auditlake.plans.audit import timed_audit
+
+    docs, rules = tmp_path / "docs", tmp_path / "rules"
+    docs.mkdir(), rules.mkdir()
+    for name, content in (("a.pdf", b"a"), ("b.png", b"b"), ("c.pdf", b"c"), ("d.jpg", b""), ("_e.png", b"e")):
+        (docs / name).write_bytes(content)
+    block = "### {}: {}\n\n- **Severity:** low\n- **Mandatory:** {}\n- **Description:** text\n\n"
+    (rules / "r.md").write_text("# Rules\n\n" + block.format("R001", "One", "true") + block.format("R002", "Two", "false"))
+    failed = {"a.pdf": "R001", "b.png": "R002"}
+
+    def read(path, content):
+        name = path.rsplit("/", 1)[-1]
+        items = f'{{"rule_id": "{failed[name]}"}}' if name in failed else ""
+        return f'{{"passed": true, "score": 90, "failed_rules": [{items}]}}'
+
+    def summarize(path, content):
+        if path.endswith("c.pdf"):
+            raise ValueError("no")
+        return '{"document_type": "invoice", "summary": "s", "language": "en", "key_fields": {"total": "7"}}'
+
+    def count(path, content):
+        return {b"a": 12}[content]
+
+    args = (str(docs), str(rules / "r.md"), read, "T")
+    audit, response = timed_audit(spark, *args, strict=True, summarize=summarize, count_pages=count)
+    got = {r.document_name: r for r in audit.documents.collect()}
+    assert {n: (r.passed, r.passed_computed, r.status) for n, r in got.items()} == {
+        "a.pdf": (True, False, "ok"), "b.png": (True, True, "ok"), "c.pdf": (True, True, "ok"), "d.jpg": (False, False, "empty_content"), "_e.png": (True, True, "ok"),
+    }
+    assert {n: (r.document_type, r.page_count, r.summary_status) for n, r in got.items()} == {
+        "a.pdf": ("invoice", 12, "ok"), "b.png": ("invoice", 1, "ok"), "c.pdf": ("unknown", 1, "api_error"), "d.jpg": ("unknown", 1, "empty_content"), "_e.png": ("invoice", 1, "ok"),
+    }
+    assert got["a.pdf"].metadata["total"] == "7"
+    assert (got["d.jpg"].metadata["error"], got["d.jpg"].summary) == ("unable to load content", "Unsupported or empty document.")
+    assert response.first().elapsed_seconds > 0
+    assert response.first().documents_processed == 5
+    plain, _ = timed_audit(spark, *args)
+    assert {r.document_name for r in plain.documents.collect()} == {"a.pdf", "b.png", "c.pdf"}
+
+
+def test_text_rules_take_nulls(spark):
+    from auditlake.operators.rules import text_audit
+
+    d = spark.createDataFrame([(1, None, None, None), (2, "invoice", "A-1", ""), (3, "invoice", "A-1", "x")], "doc_id long, document_type string, document_number string, text string")
+    got = {(r.doc_key, r.rule_id): (r.applies, r.complies) for r in text_audit(d, "2020-01-01").collect()}
+    assert len(got) == 33 and all(None not in v for v in got.values())
+    assert got[1, "R002"] == (False, True) and got[2, "R002"] == (True, False)
+    assert [got[k, "R008"] for k in (1, 2, 3)] == [(True, False)] * 3
+    assert text_audit(d.limit(0), "2020-01-01").count() == 0
