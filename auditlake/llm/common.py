@@ -14,7 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -65,6 +65,23 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -
     return left.join(few, on).unionByName(left.join(few.select(on), on, "left_anti").join(right.where(~heavy), on))
 
 
+def positions(df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """df with at, each row's place in its group from 0 by the columns of order, and n, the rows of the group.
+
+    Rows are dealt by ranges of (group, order), so that no task holds a group; only the
+    counts of each group in each range are added up.  Columns of group are never null, and
+    df, which is read twice, should be stored.
+    """
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
+    ranged = stored(ranged, "ranged").withColumn("_range", F.shiftright("_row", 33))
+    counts = ranged.groupBy(*group, "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = stored(counts.select(*group, "_range", "_rows", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(whole).alias("n")), "ranges")
+    return join_counted(ranged, counts, [*group, "_range"], "_rows").select(*df.columns, (F.col("_row") + F.col("_shift")).alias("at"), "n")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
