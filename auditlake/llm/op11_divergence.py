@@ -32,7 +32,7 @@ MIN_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
 #: Bytes of text counted together, and rows of counts kept before they are sent.
-STEP_BYTES, HELD_ROWS = 8 << 20, 1 << 20
+STEP_BYTES, HELD_ROWS = 2 << 20, 1 << 18
 #: Hexadecimal digits of one round of the selection.
 DIGITS = 3
 #: Sources of a language go in blocks of 2**BLOCK_BITS; so many pairs are worked on at once.
@@ -64,29 +64,30 @@ def step_counts(group: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tup
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that hold the term."""
-    names = [*GROUP, "term", "n", "docs"]
-
     def added(tables: list[pa.Table]) -> pa.Table:
-        out = pa.concat_tables(tables).group_by(names[:3]).aggregate([("n", "sum"), ("docs", "sum")])
-        return out.select([*names[:3], "n_sum", "docs_sum"]).rename_columns(names)
+        out = pa.concat_tables(tables).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+        return out.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
 
     def run(batches):
+        code: dict[tuple[str, str], int] = {}
         held: list[pa.Table] = []
+
+        def sent(table: pa.Table):
+            names = [pa.array([x[k] for x in code], pa.string()) for k in (0, 1)]
+            for b in table.to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays([*(x.take(b.column(0)) for x in names), *b.columns[1:]], [*GROUP, "term", "n", "docs"])
+
         for batch in batches:
-            names_of = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            code = {x: k for k, x in enumerate(dict.fromkeys(names_of))}
-            group = np.array([code[x] for x in names_of], np.int64)
-            langs, sources = (pa.array([x[k] for x in code], pa.string()) for k in (0, 1))
+            group = np.array([code.setdefault(x, len(code)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
             for lo, hi, data, offsets in text_steps(batch.column(2), STEP_BYTES):
                 g, term, n, docs = step_counts(group[lo:hi], data, offsets)
-                at = pa.array(g)
-                held.append(pa.table({"lang": langs.take(at), "source": sources.take(at), "term": term, "n": pa.array(n), "docs": pa.array(docs.astype(np.int64))}))
+                held.append(pa.table({"group": pa.array(g.astype(np.int32)), "term": term, "n": pa.array(n), "docs": pa.array(docs)}))
                 if len(held) > 1 and sum(map(len, held)) > HELD_ROWS:
                     held = [added(held)]
                     if len(held[0]) > HELD_ROWS // 2:
-                        yield from held.pop().to_batches(max_chunksize=1 << 16)
+                        yield from sent(held.pop())
         if held:
-            yield from added(held).to_batches(max_chunksize=1 << 16)
+            yield from sent(added(held))
 
     counted = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
