@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +55,19 @@ def rungs(n: int) -> np.ndarray:
     return every[: np.searchsorted(every, n, "right")]
 
 
-@cache
+#: The lengths below 2**bits that a task has used; a plain table, because a caching wrapper is pickled by its name.
+LADDERS: dict[int, np.ndarray] = {}
+
+
 def ladder(bits: int) -> np.ndarray:
     """The lengths below 2**bits."""
-    out, x = [], 1
-    while x < 1 << bits:
-        out.append(x)
-        x = max(x + 1, int(x * RATIO))
-    return np.array(out, np.int64)
+    if bits not in LADDERS:
+        out, x = [], 1
+        while x < 1 << bits:
+            out.append(x)
+            x = max(x + 1, int(x * RATIO))
+        LADDERS[bits] = np.array(out, np.int64)
+    return LADDERS[bits]
 
 
 class Hasher:
