@@ -9,9 +9,10 @@ the least hash is kept, which two equal windows have at the same place.
 2. The others grow to both sides, to all windows in which they are the kept position.
    Spark sorts them by rank again, and tasks rerank the windows, now past the threshold, by
    all their bytes: a window whose rank a smaller doc_id has too is removed.
-3. Ranks that very many texts share would meet in one task.  They are bounded in number and
-   known after step 1; their windows are ranked by themselves, counted with a combiner
-   and joined by ``join_counted``.
+3. Ranks of very many positions would meet in one task.  They are bounded in number and
+   known after step 1; their windows are ranked one by one, at first among the texts that a
+   task has at hand, and what is left by Spark, counted with a combiner and joined by
+   ``join_counted``.
 
 Texts never move.  A row's key is its file and place in the file; what Spark finds for
 a text is sorted by key into blocks in the shared folder, and the next scan of the texts
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import BASE, BASE2, U64, documents, join_counted, mix, shared_path, sliding, stored, text_steps
+from auditlake.llm.common import BASE, BASE2, STEP_BYTES, U64, join_counted, mix, shared_path, sliding, stored, text_steps
 from auditlake.llm.op5_warc import open_store
 
 WINDOW = 50
@@ -45,8 +46,10 @@ NULL_ID = (1 << 63) - 1
 ROW_BITS = 36
 #: Positions that a task holds before it sends them.
 HELD = 4 << 20
-#: Ranks of more texts than this, and than one in so many positions, are hot; so there are at most about as many.
-HOT_TEXTS, HOT_RANKS = 4096, 100_000
+#: Ranks of more positions than this, and than one in so many of all, are hot; so there are at most about as many.
+HOT_PLACES, HOT_RANKS = 4096, 100_000
+#: Bytes of text whose hot windows are ranked together.
+HOT_BYTES = 8 << 20
 #: Windows that a task ranks at once.
 RANKED = 4 << 20
 
@@ -119,10 +122,11 @@ def positions_of(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np
 
 
 def ranked(texts: DataFrame, copies: str, bits: int, window: int) -> DataFrame:
-    """(deal, rank, key, n): each position's rank and text once.
+    """(deal, rank, key, n, places): each position's rank and text once.
 
-    Where a task has several texts of a rank, one row stands for all n of them; the others,
-    with n = 0, are dealt by their text, for they are known to stay.  rank is null where it is deal.
+    Where a task has several texts of a rank, one row stands for all n of them and their
+    positions; the others, with n = 0, are dealt by their text, for they are known to
+    stay.  rank is null where it is deal, and places where it is n.
     """
 
     def sent(ranks: list[np.ndarray], keys: list[np.ndarray]):
@@ -134,12 +138,13 @@ def ranked(texts: DataFrame, copies: str, bits: int, window: int) -> DataFrame:
         rank, key = rank[once], key[once]
         head = np.ones(len(rank), bool)
         head[1:] = rank[1:] != rank[:-1]
-        n = np.zeros(len(rank), np.int32)
+        n, places = np.zeros(len(rank), np.int32), np.zeros(len(rank), np.int64)
         n[head] = np.diff(np.concatenate([np.flatnonzero(head), [len(rank)]]))
+        places[head] = np.diff(np.concatenate([np.flatnonzero(once)[head], [len(order)]]))
         deal = np.where(head, rank, (mix(key.view(U64)) >> U64(1)).view(np.int64))
         for k in range(0, len(rank), 1 << 17):
             part = slice(k, k + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(deal[part]), pa.array(rank[part], mask=head[part]), pa.array(key[part]), pa.array(n[part])], ["deal", "rank", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(deal[part]), pa.array(rank[part], mask=head[part]), pa.array(key[part]), pa.array(n[part]), pa.array(places[part], mask=places[part] == n[part])], ["deal", "rank", "key", "n", "places"])
 
     def run(batches):
         skip, ranks, keys, held = Beside(copies, bits), [], [], 0
@@ -160,7 +165,7 @@ def ranked(texts: DataFrame, copies: str, bits: int, window: int) -> DataFrame:
         if held:
             yield from sent(ranks, keys)
 
-    return texts.select("key", "text").mapInArrow(run, "deal long, rank long, key long, n int")
+    return texts.select("key", "text").mapInArrow(run, "deal long, rank long, key long, n int, places long")
 
 
 def whole_groups(batches, column: str):
@@ -186,10 +191,11 @@ def repeated(pairs: DataFrame, hot: int) -> DataFrame:
             deal, n = table["deal"].to_numpy(), table["n"].to_numpy()
             start = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
             size = np.diff(np.concatenate([start, [len(deal)]]))
-            texts = np.repeat(np.add.reduceat(n.astype(np.int64), start), size)
+            places = pc.coalesce(table["places"], table["n"].cast(pa.int64())).to_numpy()
+            texts, places = (np.repeat(np.add.reduceat(x.astype(np.int64), start), size) for x in (n, places))
             stay = (n == 0) | (texts > 1)
             rank = pc.coalesce(table["rank"], table["deal"]).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[stay]), pa.array(rank[stay]), pa.array(((texts > hot) & (n > 0))[stay])], ["key", "rank", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[stay]), pa.array(rank[stay]), pa.array(((places > hot) & (n > 0))[stay])], ["key", "rank", "hot"])
 
     return pairs.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "key long, rank long, hot boolean")
 
@@ -216,41 +222,81 @@ def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + first[row]
 
 
-def grown(texts: DataFrame, found: str, bits: int, window: int, hot: np.ndarray, wanted: str) -> DataFrame:
-    """The windows of repeated positions: of ranks that are not hot as (rank, id, key, start, bytes), else one by one as (w1, w2, id, key, start)."""
-    names = ["rank", "id", "key", "start", "bytes"] if wanted == "plain" else ["w1", "w2", "id", "key", "start"]
+def stretches(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows at which stretches of neighbouring ones begin, and at which they end."""
+    new = np.ones(len(start), bool)
+    new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
+    return np.flatnonzero(new), np.flatnonzero(np.roll(new, -1))
+
+
+def least_ids(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each window, the least id among equal ones."""
+    order = np.lexsort((ids, one))
+    o, t, i = one[order], two[order], ids[order]
+    head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])])) if len(o) else np.zeros(0, np.int64)
+    out = np.empty(len(o), np.int64)
+    out[order] = np.repeat(i[head], np.diff(np.concatenate([head, [len(o)]])))
+    return out
+
+
+def with_positions(texts: DataFrame, found: str, bits: int, window: int, hot: np.ndarray, of_hot: bool, emit, schema: str, step: int) -> DataFrame:
+    """What emit gives of the repeated positions of each step, of ranks that are hot or of the others."""
 
     def run(batches):
         beside = Beside(found, bits)
         for batch in batches:
-            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            table = beside.of(key)
-            if table is None or not len(table):
+            table = beside.of(batch.column(0).to_numpy())
+            if table is None:
                 continue
-            known = np.unique((table["key"].to_numpy().view(U64) * U64(BASE)) ^ table["rank"].to_numpy().view(U64))
-            has = np.isin(key, table["key"].to_numpy())
-            for lo, hi, data, offsets in text_steps(batch.column(2)):
-                if not has[lo:hi].any():
-                    continue
+            mine, ranks = table["key"].to_numpy(), table["rank"].to_numpy()
+            wanted = np.isin(ranks, hot) == of_hot
+            mine, ranks = mine[wanted], ranks[wanted]
+            known = np.unique((mine.view(U64) * U64(BASE)) ^ ranks.view(U64))
+            batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), mine)))
+            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, offsets in text_steps(batch.column(2), step):
                 rank, first, last, text = positions_of(data, offsets, window)
-                stay = has[lo:hi][text] & (np.isin(rank, hot) == (wanted == "hot"))
-                stay[stay] = np.isin((key[lo:hi][text[stay]].view(U64) * U64(BASE)) ^ rank[stay].view(U64), known)
-                rank, first, last, text = rank[stay], first[stay], last[stay], text[stay]
-                if wanted == "plain":
-                    ends = np.concatenate([[0], np.cumsum(last + window - first)])
-                    _, at = spread(first, last + window - 1)
-                    raw = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
-                    yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(ids[lo:hi][text]), pa.array(key[lo:hi][text]), pa.array(first - offsets[text]), raw], names)
-                elif len(first):
-                    row, start = spread(first, last)
-                    one, two = window_ranks(data, start, window)
-                    t = text[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[lo:hi][t]), pa.array(key[lo:hi][t]), pa.array(start - offsets[t])], names)
-
-    schema = "rank long, id long, key long, start long, bytes binary" if wanted == "plain" else "w1 long, w2 long, id long, key long, start long"
+                pair = (key[lo:hi][text].view(U64) * U64(BASE)) ^ rank.view(U64)
+                stay = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
+                yield from emit(data, offsets, key[lo:hi], ids[lo:hi], rank[stay], first[stay], last[stay], text[stay])
+
     return texts.mapInArrow(run, schema)
 
 
+def grown(texts: DataFrame, found: str, bits: int, window: int, hot: np.ndarray) -> DataFrame:
+    """(rank, id, key, start, bytes): the windows of repeated positions whose ranks are not hot."""
+
+    def emit(data, offsets, key, ids, rank, first, last, text):
+        ends = np.concatenate([[0], np.cumsum(last + window - first)])
+        _, at = spread(first, last + window - 1)
+        raw = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
+        yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(ids[text]), pa.array(key[text]), pa.array(first - offsets[text]), raw], ["rank", "id", "key", "start", "bytes"])
+
+    return with_positions(texts, found, bits, window, hot, False, emit, "rank long, id long, key long, start long, bytes binary", STEP_BYTES)
+
+
+def hot_windows(texts: DataFrame, found: str, bits: int, window: int, hot: np.ndarray) -> DataFrame:
+    """(w1, w2, id, key, first, last): windows of hot ranks.
+
+    Those that a smaller doc_id of the same step has too are stretches without ranks; of the
+    others, every one has a row.
+    """
+
+    def emit(data, offsets, key, ids, rank, first, last, text):
+        row, start = spread(first, last)
+        one, two = window_ranks(data, start, window)
+        text = text[row]
+        own, start = ids[text], start - offsets[text]
+        gone = own > least_ids(one, two, own)
+        a, b = stretches(text[gone], start[gone])
+        keys, none = key[text[gone]][a], pa.nulls(len(a), pa.int64())
+        names = ["w1", "w2", "id", "key", "first", "last"]
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(keys), pa.array(start[gone][a]), pa.array(start[gone][b])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[~gone]) for x in (one, two, own, key[text], start, start)], names)
+
+    return with_positions(texts, found, bits, window, hot, True, emit, "w1 long, w2 long, id long, key long, first long, last long", HOT_BYTES)
+
+
 def reranked(rows: DataFrame, window: int) -> DataFrame:
     """(key, first, last): stretches of windows that a smaller doc_id has too; rows as grown() gives plain ones."""
 
@@ -261,15 +307,10 @@ def reranked(rows: DataFrame, window: int) -> DataFrame:
         row, at = spread(ends[:-1], ends[1:] - window)
         one, two = window_ranks(data, at, window)
         ids = table["id"].to_numpy()[row]
-        order = np.lexsort((ids, one))
-        o, t, i = one[order], two[order], ids[order]
-        head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])]))
-        least = np.repeat(i[head], np.diff(np.concatenate([head, [len(o)]])))
-        marked = np.sort(order[i > least])
-        start = table["start"].to_numpy()[row[marked]] + at[marked] - ends[row[marked]]
-        new = np.ones(len(marked), bool)
-        new[1:] = (row[marked][1:] != row[marked][:-1]) | (start[1:] != start[:-1] + 1)
-        return pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[row[marked]][new]), pa.array(start[new]), pa.array(start[np.roll(new, -1)])], ["key", "first", "last"])
+        marked = np.flatnonzero(ids > least_ids(one, two, ids))
+        row, start = row[marked], (table["start"].to_numpy() - ends[:-1])[row[marked]] + at[marked]
+        a, b = stretches(row, start)
+        return pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[row][a]), pa.array(start[a]), pa.array(start[b])], ["key", "first", "last"])
 
     def run(batches):
         held, windows = [], 0
@@ -285,10 +326,12 @@ def reranked(rows: DataFrame, window: int) -> DataFrame:
     return rows.repartition("rank").sortWithinPartitions("rank").mapInArrow(run, "key long, first long, last long")
 
 
-def hot_windows(windows: DataFrame) -> DataFrame:
-    """(key, first, last) of windows that a smaller doc_id has too; windows is a stored table of single ones."""
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
-    return join_counted(windows, stored(least, "least"), ["w1", "w2"], "n").where("id > least").select("key", F.col("start").alias("first"), F.col("start").alias("last"))
+def hot_spans(windows: DataFrame) -> DataFrame:
+    """(key, first, last) of windows that a smaller doc_id has too; windows is a stored table of hot_windows()."""
+    single = windows.where(F.col("w1").isNotNull())
+    least = single.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    found = join_counted(single, stored(least, "least"), ["w1", "w2"], "n").where("id > least")
+    return found.select("key", "first", "last").unionByName(windows.where(F.col("w1").isNull()).select("key", "first", "last"))
 
 
 def cut_out(texts: DataFrame, spans: str, bits: int, window: int) -> DataFrame:
@@ -322,7 +365,7 @@ def cut_out(texts: DataFrame, spans: str, bits: int, window: int) -> DataFrame:
     return out.select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, in_place: bool = False, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, in_place: bool = False, hot_places: int = HOT_PLACES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs.
 
     in_place: docs is a scan of Parquet files and no more; otherwise it is written to the shared folder.
@@ -335,16 +378,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, in_place: bool = False,
     rows, size = seen.agg(F.count(F.lit(1)), F.sum("size")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(10, math.ceil(math.log2(max(1, rows / (4 * parts)))))
-    hot = max(hot_texts, math.ceil((size or 0) * 2 / (window - GRAM + 2) / HOT_RANKS))
+    hot = max(hot_places, math.ceil((size or 0) * 2 / (window - GRAM + 2) / HOT_RANKS))
     classes = stored(seen.where(F.col("size") >= window).groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     copies = stored(join_counted(seen, classes, ["sha"], "n").where("id > least").select("key", F.lit(0).cast("long").alias("first"), (F.col("size") - window).alias("last")), "copies")
     pairs = ranked(texts, blocks(copies.select("key"), "copied", bits), bits, window)
     found = blocks(repeated(pairs, hot), "found", bits)
     schema = "key long, rank long, hot boolean, block long"
     hot_ranks = np.array([r.rank for r in spark.read.schema(schema).parquet(found).where("hot").select("rank").distinct().collect()], np.int64)
-    spans = reranked(grown(texts, found, bits, window, hot_ranks, "plain"), window).unionByName(copies)
+    spans = reranked(grown(texts, found, bits, window, hot_ranks), window).unionByName(copies)
     if len(hot_ranks):
-        spans = spans.unionByName(hot_windows(stored(grown(texts, found, bits, window, hot_ranks, "hot"), "hot")))
+        spans = spans.unionByName(hot_spans(stored(hot_windows(texts, found, bits, window, hot_ranks), "hot")))
     return cut_out(texts, blocks(spans, "spans", bits), bits, window)
 
 

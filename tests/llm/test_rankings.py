@@ -116,7 +116,7 @@ def shared(seed):
 @pytest.mark.parametrize(("width", "hot"), [(50, 4096), (20, 3), (50, 2)])
 def test_bytes_match_brute_force(spark, width, hot):
     data = rows() + shared(width + hot)
-    assert cut(op12.suffix_dedup(frame(spark, data), width, hot_texts=hot)) == bytes_removed(data, width)
+    assert cut(op12.suffix_dedup(frame(spark, data), width, hot_places=hot)) == bytes_removed(data, width)
 
 
 def test_bytes_of_files_in_place(spark, tmp_path):
