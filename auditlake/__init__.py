@@ -1 +1,10 @@
-"""Document-audit analytics and corpus operators, written on Spark DataFrames."""
+"""Document-audit analytics and corpus operators, written on Spark DataFrames.
+
+Functions that run inside tasks are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1 +1 @@
-
+"""Column functions and helpers that several operators share."""

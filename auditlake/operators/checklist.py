@@ -40,6 +40,12 @@ def parse_checklist(texts: DataFrame) -> DataFrame:
     return rows.where("rule_id <> ''").withColumn("valid", F.col("severity").isin(*SEVERITIES))
 
 
+def checklist_heads(texts: DataFrame) -> DataFrame:
+    """(checklist, audit_name, version) of each text, whether it has rules or not."""
+    t = texts.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    return t.select("checklist", F.coalesce(field(F.col("text"), "Audit Name"), F.lit("Untitled Checklist")).alias("audit_name"), F.coalesce(field(F.col("text"), "Version"), F.lit("1.0")).alias("version"))
+
+
 def first_rules(rules: DataFrame) -> DataFrame:
     """One row per rule id: the first in file order."""
     best = F.min_by(F.struct("title", "description", "severity", "mandatory"), "ord")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.rounding import shown
+from auditlake.shared import positions, stored
+
 LABELS = {"PASS": "PASSED", "FAIL": "FAILED"}
 
 
@@ -20,8 +23,12 @@ def result_label(result: Column) -> Column:
 
 
 def numbered(results: DataFrame, run: str = "run_id", by: str = "doc_key") -> DataFrame:
-    """Documents of each run numbered from 1 in order of their path: a run is a folder, the window's group."""
-    return results.withColumn("no", F.row_number().over(Window.partitionBy(run).orderBy(by)))
+    """Documents of each run numbered from 1 in order of their path; a null run is one of its own.
+
+    Places come from a sort over ranges, so a run may be of any size.
+    """
+    rows = stored(results.withColumn("_run", F.coalesce(F.concat(F.lit("="), F.col(run).cast("string")), F.lit(""))), "numbered")
+    return positions(rows, ["_run"], [by]).withColumn("no", (F.col("at") + 1).cast("int")).select(*results.columns, "no")
 
 
 def report_rows(items: DataFrame) -> DataFrame:
@@ -30,11 +37,36 @@ def report_rows(items: DataFrame) -> DataFrame:
 
 
 def as_json(report: DataFrame, results: DataFrame) -> DataFrame:
-    """(json) of a report of one row with its documents; a run is a folder of documents."""
+    """(json) of a report of one row with its documents, for a run that fits in a row; json_lines has no such bound."""
     docs = results.agg(F.sort_array(F.collect_list(F.struct("document_name", "passed", "score"))).alias("document_results"))
-    interval = F.struct("lower", "upper").alias("prediction_interval")
-    columns = [c for c in report.columns if c not in ("lower", "upper")]
-    return report.crossJoin(docs).select(F.to_json(F.struct(F.struct(*columns, "document_results").alias("report"), interval)).alias("json"))
+    return report.crossJoin(docs).select(F.to_json(response(report, F.col("document_results"))).alias("json"))
+
+
+def response(report: DataFrame, documents: Column | None = None) -> Column:
+    """The report's columns as the fields of a response."""
+    inside = [c for c in report.columns if c not in ("lower", "upper", "elapsed_seconds")]
+    more = [F.col("elapsed_seconds")] if "elapsed_seconds" in report.columns else []
+    docs = [documents.alias("document_results")] if documents is not None else []
+    return F.struct(F.struct(*inside, *docs).alias("report"), F.struct("lower", "upper").alias("prediction_interval"), *more)
+
+
+def json_lines(report: DataFrame, results: DataFrame, by: str = "doc_key") -> DataFrame:
+    """(line, value): the lines of one JSON response, a line for each document in order of its path.
+
+    report has one row.  write_json puts them in files that, one after the other, are the response.
+    """
+    shown = [c for c in ("document_name", "passed", "score", "failed_rules", "remarks", "preview_base64") if c in results.columns]
+    docs = numbered(results.select(F.lit("run").alias("run_id"), by, F.to_json(F.struct(*shown)).alias("value")), "run_id", by)
+    lines = docs.select(F.col("no").cast("long").alias("line"), F.concat(F.when(F.col("no") > 1, ",").otherwise(""), F.col("value")).alias("value"))
+    whole = F.to_json(response(report, F.array().cast("array<string>")))
+    cut = F.lit('"document_results":[')
+    ends = report.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("line"), F.concat(F.substring_index(whole, '"document_results":[', 1), cut).alias("value")), F.struct(F.lit((1 << 62)).alias("line"), F.substring_index(whole, '"document_results":[', -1).alias("value")))).alias("x"))
+    return lines.unionByName(ends.select("x.line", "x.value"))
+
+
+def write_json(lines: DataFrame, folder: str) -> None:
+    """Text files whose names are in the order of the lines."""
+    stored(lines, "json").repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(folder)
 
 
 def label_agreement(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,7 +78,7 @@ def displayed(reports: DataFrame) -> DataFrame:
     """What a reader sees of each report: label, score and interval to one decimal, counts in words."""
     n = F.col("documents_processed")
     counted = F.concat(n.cast("string"), F.when(n == 1, " document").otherwise(" documents"))
-    one = lambda c: F.format_string("%.1f", c)
+    one = lambda c: shown(F.col(c), 1)
     return reports.withColumns({"label": result_label(F.col("overall_result")), "shown_score": one("overall_score"), "shown_interval": F.concat(one("lower"), F.lit(" - "), one("upper")), "counted": counted})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.rounding import round_exact
 from auditlake.schemas import FAIL, PASS, PASS_FROM, REVIEW, REVIEW_FROM, SINGLE_MARGIN, Z_95
 
 
@@ -48,12 +49,12 @@ def report(results: DataFrame, title: str | None = None, by: tuple[str, ...] = (
     mean = F.coalesce("_mean", F.lit(100.0))
     count = F.col("documents_processed")
     margin = F.when(count == 0, 0.0).when(count == 1, SINGLE_MARGIN).otherwise(F.lit(Z_95) * F.col("_deviation") / F.sqrt(count.cast("double")))
-    got = got.withColumns({"documents_failed": count - F.col("documents_passed"), "overall_score": F.bround(mean, 2), "overall_result": classified(mean), "_margin": margin})
+    got = got.withColumns({"documents_failed": count - F.col("documents_passed"), "overall_score": round_exact(mean, 2), "overall_result": classified(mean), "_margin": margin})
     name = F.coalesce(F.nullif(F.lit(title).cast("string"), F.lit("")), F.lit("Untitled Audit"))
     summary = F.concat(count.cast("string"), F.lit(" documents checked, "), F.col("documents_passed").cast("string"), F.lit(" passed, result "), F.col("overall_result"), F.lit("."))
     return got.select(
         *by, name.alias("audit_title"), "documents_processed", "documents_passed", "documents_failed", "overall_score", "overall_result",
-        F.bround(F.greatest(F.lit(0.0), F.col("overall_score") - F.col("_margin")), 2).alias("lower"),
-        F.bround(F.least(F.lit(100.0), F.col("overall_score") + F.col("_margin")), 2).alias("upper"),
+        round_exact(F.greatest(F.lit(0.0), F.col("overall_score") - F.col("_margin")), 2).alias("lower"),
+        round_exact(F.least(F.lit(100.0), F.col("overall_score") + F.col("_margin")), 2).alias("upper"),
         summary.alias("summary"),
     )

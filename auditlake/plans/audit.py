@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from typing import NamedTuple
@@ -9,16 +10,22 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.images import thumbnail
 from auditlake.functions.names import base_name
+from auditlake.functions.pdf import page_count
 from auditlake.functions.replies import decode_replies, decode_summaries
-from auditlake.operators.checklist import with_rule
-from auditlake.operators.extract import extracted, page_counts
+from auditlake.operators.checklist import checklist_heads, parse_checklist, rule_lines, with_rule
+from auditlake.operators.extract import Calls, answered, measured
 from auditlake.operators.rules import invoice_findings, text_audit
 from auditlake.operators.scoring import applicable, both_verdicts, document_scores, report
-from auditlake.sources.files import read_checklist, scan_folder, with_content
+from auditlake.shared import shared_path
+from auditlake.sources.files import checklist_text, or_empty, scan_folder, with_content
 
-
-Reader = Callable[[str, bytes | None], str]
+Reader = Callable[..., str]
+#: What the summary of a file without content is.
+NO_SUMMARY = '{"error": "unable to load content", "summary": "Unsupported or empty document.", "key_fields": {"error": "unable to load content"}}'
+#: A result is that of a file as it was, under a checklist as it was.
+KEYS = ("doc_key", "length", "modified", "digest")
 
 
 class Audit(NamedTuple):
@@ -27,51 +34,77 @@ class Audit(NamedTuple):
     failed: DataFrame
 
 
-def with_empty(read: Reader, reply: str) -> Reader:
-    """A reader that is not asked about files without content."""
-    return lambda path, content: read(path, content) if content else reply
+class Checklist(NamedTuple):
+    """A checklist file, which is a page of text: its name and version, its rules, and these as lines for a reader."""
+
+    name: str
+    version: str
+    rules: DataFrame
+    lines: str
+    digest: str
 
 
-def summaries(files: DataFrame, summarize: Reader, count: Callable[[str, bytes | None], int]) -> DataFrame:
-    """(doc_key, document_type, summary, language, metadata, page_count, summary_status) of each file."""
-    empty = '{"error": "unable to load content", "summary": "Unsupported or empty document.", "key_fields": {"error": "unable to load content"}}'
-    replies = extracted(files, with_empty(summarize, empty)).withColumnRenamed("doc_key", "path")
-    read = decode_summaries(replies.join(files.select("path", "media_type", (F.coalesce(F.length("content"), F.lit(0)) == 0).alias("_empty")), "path"))
-    status = F.when(F.col("_empty"), "empty_content").otherwise(F.col("status"))
-    read = read.select(F.col("path").alias("doc_key"), "document_type", "summary", "language", "metadata", status.alias("summary_status"))
-    return read.join(page_counts(files, count), "doc_key")
+def load_checklist(spark: SparkSession, path: str) -> Checklist:
+    """No file is a checklist "Default", 1.0, without rules."""
+    text = checklist_text(spark, path)
+    texts = spark.createDataFrame([("file", text or "")], "checklist string, text string")
+    rules = parse_checklist(texts)
+    head = checklist_heads(texts).first()
+    lines = rule_lines(rules).first()
+    name, version = ("Default", "1.0") if text is None else (head.audit_name, head.version)
+    return Checklist(name, version, rules, lines.rules if lines else "", hashlib.sha256((text or "").encode()).hexdigest())
+
+
+def remembered(files: DataFrame, work: Callable[[DataFrame], DataFrame], store: str, digest: str) -> DataFrame:
+    """The results of listed files; work is done on those that are new, changed or under another checklist.
+
+    store is a folder that outlives a run.  Results are added to it; those of the same key are the same.
+    """
+    spark = files.sparkSession
+    listed = files.withColumns({"doc_key": F.col("path"), "modified": F.col("modificationTime"), "digest": F.lit(digest)})
+    known = or_empty(spark, lambda: spark.read.parquet(store), "doc_key string, length long, modified timestamp, digest string")
+    work(listed.join(known.select(*KEYS), list(KEYS), "left_anti")).write.mode("append").parquet(store)
+    return listed.select(*KEYS, "document_name", "media_type").join(spark.read.parquet(store).dropDuplicates(list(KEYS)), list(KEYS))
 
 
 def run_audit(
-    spark: SparkSession, folder: str, checklist: str, read: Reader, title: str | None = None, strict: bool = False,
-    summarize: Reader | None = None, count_pages: Callable[[str, bytes | None], int] = lambda path, content: 1,
+    spark: SparkSession, folder: str, checklist: str, read: Reader, title: str | None = None, strict: bool = False, summarize: Reader | None = None,
+    count_pages: Callable[[str, bytes | None], int] = page_count, picture: Callable[[bytes | None], str] = thumbnail, store: str | None = None, calls: Calls = Calls(),
 ) -> Audit:
-    """Scans the folder, has every file summarised and read, decodes the replies, looks the failed rules up and reports.
-
-    The verdict is the reader's own, with the one that its failed rules give beside it; what
-    could not be read counts with score 0 and has a status.  Files that the file reader skips are in
-    strict runs only; empty ones are never read and have the status empty_content.
+    """Lists the folder, has every file counted, pictured, summarised and judged, decodes the replies, looks the failed rules up and reports.
+
+    A file is opened once.  A reader with three places gets the checklist's rules as lines and the file's summary
+    (extract.Brief).  Replies are kept in store, by default a new folder in the shared one; with a store that is
+    given again, only new and changed files are read.  The verdict is the reader's own, with the one that its
+    failed rules give beside it; what could not be read counts with score 0 and has a status.  Files that are
+    empty or whose names start with a dot or an underscore are in strict runs only; empty ones are never read and
+    have the status empty_content.
     """
-    files = scan_folder(spark, folder)
-    if strict:
-        skipped = scan_folder(spark, folder, strict=True).join(files.select("document_name"), "document_name", "left_anti")
-        files = files.unionByName(with_content(skipped), allowMissingColumns=True)
-    rules = read_checklist(spark, checklist)
-    results = decode_replies(extracted(files, with_empty(read, '{"error": "empty_content"}')), strict)
-    empty = files.select(F.col("path").alias("doc_key"), (F.coalesce(F.length("content"), F.lit(0)) == 0).alias("_empty"))
-    results = results.join(empty, "doc_key").withColumn("status", F.when(F.col("_empty"), "empty_content").otherwise(F.col("status"))).drop("_empty")
-    if summarize is not None:
-        results = results.join(summaries(files, summarize, count_pages), "doc_key", "left")
-    results = results.withColumn("document_name", base_name(F.col("doc_key"))).persist()
+    rules = load_checklist(spark, checklist)
+
+    def work(files: DataFrame) -> DataFrame:
+        d = measured(with_content(files), count_pages, picture)
+        more = []
+        if summarize is not None:
+            d = decode_summaries(answered(d, summarize, calls=calls, empty=NO_SUMMARY))
+            d = d.withColumn("summary_status", F.when(F.col("length") == 0, "empty_content").otherwise(F.col("status"))).drop("status", "reply")
+            more = ["document_type", "summary", "language", "metadata", "summary_status"]
+        d = answered(d, read, calls=calls, rules=rules.lines, empty='{"error": "empty_content"}')
+        return d.select(*KEYS, "reply", "page_count", "preview_base64", *more)
+
+    files = scan_folder(spark, folder, strict, content=False)
+    kept = remembered(files, work, store or shared_path(spark, "results"), rules.digest)
+    results = decode_replies(kept, strict)
+    results = results.withColumn("status", F.when(F.col("length") == 0, "empty_content").otherwise(F.col("status")))
     items = results.select("doc_key", F.posexplode("failed_rules").alias("pos", "x")).select("doc_key", "pos", "x.*")
-    return Audit(report(results, title), both_verdicts(results, items, rules), with_rule(items, rules))
+    head = report(results, title).withColumns({"checklist_name": F.lit(rules.name), "checklist_version": F.lit(rules.version)})
+    return Audit(head, both_verdicts(results, items, rules.rules), with_rule(items, rules.rules))
 
 
 def timed_audit(spark: SparkSession, *args, **kwargs) -> tuple[Audit, DataFrame]:
     """An audit, and its response: the report's row with elapsed_seconds of reading the documents."""
     start = time.monotonic()
     audit = run_audit(spark, *args, **kwargs)
-    audit.documents.count()
     return audit, audit.report.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - start, 2)))
 
 

@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.names import base_name, file_media_type, page_media_type, suffix
 from auditlake.functions.replies import decode_replies, decode_summaries, with_summaries
-from auditlake.operators import checklist, extract, rules, scoring
+from auditlake.operators import checklist, rules, scoring
 from auditlake.operators import report as reports
+from auditlake.plans import filing  # noqa: F401  registers its queries
 from auditlake.plans import fixtures as fx
 from auditlake.plans.audit import invoice_audit, whole_audit
+from auditlake.plans.catalog import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from auditlake.schemas import SUFFIXES
-from auditlake.sources.files import scan_folder, scratch_folder, write_files
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 MONEY = "CAST({} AS DECIMAL(12,2))".format
 GROSS = f"{MONEY('l_extendedprice')} * (1 - {MONEY('l_discount')}) * (1 + {MONEY('l_tax')})"
@@ -55,10 +34,10 @@ def report_sql(results: str, title: str, by: str = "") -> str:
     group, head = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
     return f"""
 WITH g AS (SELECT {head}count(score) AS n, count(*) FILTER (passed AND score IS NOT NULL) AS ok, coalesce(avg(score), 100.0) AS mean, stddev_samp(score) AS s FROM {results} {group}),
-h AS (SELECT *, round_even(mean, 2) AS overall, CASE WHEN mean >= 80 THEN 'PASS' WHEN mean >= 50 THEN 'REVIEW REQUIRED' ELSE 'FAIL' END AS result,
+h AS (SELECT *, CAST(printf('%.2f', mean) AS DOUBLE) AS overall, CASE WHEN mean >= 80 THEN 'PASS' WHEN mean >= 50 THEN 'REVIEW REQUIRED' ELSE 'FAIL' END AS result,
   CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 12.5 ELSE 1.96 * s / sqrt(CAST(n AS DOUBLE)) END AS margin FROM g)
 SELECT {head}'{title}' AS audit_title, n AS documents_processed, ok AS documents_passed, n - ok AS documents_failed, overall AS overall_score, result AS overall_result,
-  round_even(greatest(0.0, overall - margin), 2) AS lower, round_even(least(100.0, overall + margin), 2) AS upper,
+  CAST(printf('%.2f', greatest(0.0, overall - margin)) AS DOUBLE) AS lower, CAST(printf('%.2f', least(100.0, overall + margin)) AS DOUBLE) AS upper,
   n || ' documents checked, ' || ok || ' passed, result ' || result || '.' AS summary FROM h"""
 
 
@@ -444,46 +423,3 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT run_id, doc_key, CAST(row_number() OVER (PARTITION BY run_id ORDER BY doc_key) AS INTEGER) AS no FROM (SELECT 'batch' AS run_id, path AS doc_key FROM {fx.sql(PATH_ROWS, 'path string')})""")
 def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.numbered(fx.frame(spark, PATH_ROWS, "path string").select(F.lit("batch").alias("run_id"), F.col("path").alias("doc_key")))
-
-
-#: Suffixes of every kind and case, and some that are no documents.
-SCANNED = (".pdf", ".PNG", ".jpg", ".JpEg", ".tif", ".TIFF", ".bmp", ".txt", ".docx", "")
-
-
-@query(f"""
-WITH f AS (SELECT replace(n_name, ' ', '_') || (CAST({list(SCANNED)} AS VARCHAR[]))[n_nationkey % {len(SCANNED)} + 1] AS document_name, CAST(length(n_name) * (n_regionkey + 1) AS BIGINT) AS bytes FROM nation)
-SELECT document_name, 'ok' AS status, bytes > 20 AS passed, CAST(least(100, bytes) AS DOUBLE) AS score FROM f
-WHERE regexp_matches(lower(document_name), '\\.(pdf|png|jpg|jpeg|tiff|tif|bmp)$')""")
-def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder filled from a table: files of every suffix and case, read and judged by their size."""
-    name = F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.element_at(F.array(*map(F.lit, SCANNED)), (F.col("n_nationkey") % len(SCANNED) + 1).cast("int")))
-    content = F.repeat("n_name", (F.col("n_regionkey") + 1).cast("int")).cast("binary")
-    folder = scratch_folder(spark, "scan")
-    write_files(table(spark, sf_dir, "nation").select(name.alias("name"), content.alias("content")), folder)
-    judged = lambda path, content: f'{{"passed": {str(len(content) > 20).lower()}, "score": {min(100, len(content))}}}'
-    d = decode_replies(extract.extracted(scan_folder(spark, folder), judged))
-    return d.select(base_name(F.col("doc_key")).alias("document_name"), "status", "passed", "score")
-
-
-@query("SELECT 'page-' || page_id AS doc_key, 'ok' AS status, octet_length(encode(coalesce(html, ''))) > 2000 AS passed, CAST(least(100, octet_length(encode(coalesce(html, ''))) // 100) AS DOUBLE) AS score FROM pages")
-def extractor_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in the place of files, read by a function that judges their size."""
-    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
-
-    def read(path: str, content: bytes) -> str:
-        return f'{{"passed": {str(len(content) > 2000).lower()}, "score": {min(100, len(content) // 100)}}}'
-
-    return decode_replies(extract.extracted(files, read)).select("doc_key", "status", "passed", "score")
-
-
-@query("""SELECT 'page-' || page_id AS doc_key, CAST(p AS INTEGER) AS page_no, CAST(least(1000, n - (p - 1) * 1000) AS INTEGER) AS bytes
- FROM (SELECT page_id, n, unnest(range(1, least(10, (n + 999) // 1000) + 1)) AS p FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n FROM pages))""")
-def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most ten pages of each file, with 1000 bytes in the place of a page."""
-    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
-
-    def render(path: str, content: bytes):
-        for at in range(0, len(content), 1000):
-            yield content[at : at + 1000]
-
-    return extract.rendered_pages(files, render).select("doc_key", "page_no", F.length("image").alias("bytes"))

@@ -1,4 +1,4 @@
-"""Record types of an audit, as Spark schemas, and the fixed vocabularies."""
+"""The fixed vocabularies and limits of an audit."""
 
 from __future__ import annotations
 
@@ -6,15 +6,7 @@ from __future__ import annotations
 SEVERITIES = ("critical", "high", "medium", "low")
 DOCUMENT_TYPES = ("invoice", "receipt", "purchase_order", "delivery_challan", "contract", "certificate", "unknown")
 SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp")
-STATUSES = ("ok", "parse_error", "api_error", "invalid_score", "invalid_page", "empty_content", "unreadable")
 PASS, REVIEW, FAIL = "PASS", "REVIEW REQUIRED", "FAIL"
 PASS_FROM, REVIEW_FROM = 80.0, 50.0
 SINGLE_MARGIN, Z_95 = 12.5, 1.96
 MAX_PAGES = 10
-
-RULE = "ord int, rule_id string, title string, description string, severity string, mandatory boolean"
-SUMMARY = "document_name string, document_type string, page_count int, summary string, language string, metadata map<string,string>"
-FAILED_ITEM = "rule_id string, rule_title string, description string, severity string, evidence string, page_number int"
-DOCUMENT_RESULT = f"document_name string, passed boolean, score double, failed_rules array<struct<{', '.join(x.replace(' ', ':') for x in FAILED_ITEM.split(', '))}>>, remarks string, preview_base64 string"
-INTERVAL = "lower double, upper double"
-EXTRACTED = "doc_key string, reply string"

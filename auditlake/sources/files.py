@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +13,8 @@ from pyspark.sql import functions as F
 from auditlake.functions.names import base_name, file_media_type, page_media_type, suffix
 from auditlake.operators.checklist import parse_checklist
 from auditlake.schemas import SUFFIXES
+from auditlake.shared import open_store
+from auditlake.sources.folder import register
 
 
 def any_case(suffixes: tuple[str, ...]) -> str:
@@ -30,28 +29,31 @@ def described(files: DataFrame) -> DataFrame:
     return out.withColumns({"page_media_type": page_media_type(F.col("ext")), "media_type": file_media_type(F.col("ext"))})
 
 
-def scan_folder(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, strict: bool = False, content: bool = True) -> DataFrame:
     """The documents of a folder, not of its subfolders; none if there is no such folder.
 
-    The file reader skips empty files and names that start with a dot or an underscore;
-    strict lists the (local) folder instead and returns those as well, without content.
+    Empty files and names that start with a dot or an underscore are left out unless strict.
+    Without content, files are listed and not opened.
     """
-    if strict:
-        names = sorted(e.path for e in os.scandir(folder) if e.is_file()) if os.path.isdir(folder) else []
-        return described(spark.createDataFrame([(p,) for p in names], "path string"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case(SUFFIXES))
-    return described(or_empty(spark, lambda: files.load(folder), "path string, modificationTime timestamp, length long, content binary"))
+    register(spark)
+    source = spark.read.format("document_folder").option("suffixes", ",".join(SUFFIXES)).option("content", str(content).lower())
+    found = described(source.load(folder))
+    return found if strict else found.where(~F.col("document_name").rlike("^[._]") & (F.col("length") > 0))
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """Listed files of a local folder with their content; empty ones have none."""
+    """Listed files with their content; one that is gone by now has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             content = []
-            for path in batch["path"]:
-                with open(path, "rb") as f:
-                    content.append(f.read() or None)
+            for name in batch["path"]:
+                store, path = open_store(name)
+                try:
+                    with store.open_input_stream(path, compression=None) as f:
+                        content.append(f.read())
+                except FileNotFoundError:
+                    content.append(None)
             yield batch.assign(content=content)
 
     return files.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema) + ", content binary")
@@ -69,28 +71,14 @@ def or_empty(spark: SparkSession, load: Callable[[], DataFrame], schema: str) ->
     return found
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder's name under spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="auditlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_files(files: DataFrame, folder: str) -> None:
-    """Writes rows (name, content) as files of a folder that all tasks reach."""
+    """Writes rows (name, content) as files of a folder that all tasks reach; a name may begin with a subfolder's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        # some paths come with one slash after the colon
-        store, path = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", folder))
-        store.create_dir(path, recursive=True)
+        store, path = open_store(folder)
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
+                store.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
                 with store.open_output_stream(f"{path}/{name}", compression=None) as out:
                     out.write(content)
             yield batch[["name"]]
@@ -104,6 +92,12 @@ def data_urls(files: DataFrame) -> DataFrame:
     return files.where(F.col("ext") != ".pdf").withColumn("url", url)
 
 
+def checklist_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a checklist file, a page; None if there is no such file."""
+    found = or_empty(spark, lambda: spark.read.text(path, wholetext=True), "value string").first()
+    return found.value if found else None
+
+
 def read_checklist(spark: SparkSession, path: str) -> DataFrame:
     """The rules of a checklist file; no file gives no rules."""
     text = or_empty(spark, lambda: spark.read.text(path, wholetext=True), "value string")
