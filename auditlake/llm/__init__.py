@@ -1,10 +1,4 @@
 """Operators for preparing training corpora.
 
-Nothing outside this folder imports it.  Functions that run inside tasks are
-pickled by value, so executors need no copy of the package.
+Nothing outside this folder imports it.
 """
-
-import auditlake
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(auditlake)
