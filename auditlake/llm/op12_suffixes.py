@@ -45,12 +45,12 @@ NULL_ID = (1 << 63) - 1
 #: A key is the number of a file and, in so many bits, a row in it.
 ROW_BITS = 36
 #: Positions that a task holds before it sends them.
-HELD = 4 << 20
+HELD = 1 << 20
 #: Ranks of more positions than this, and than one in so many of all, are hot; so there are at most about as many.
 HOT_PLACES, HOT_RANKS = 4096, 100_000
 #: Bytes of text whose hot windows are ranked together.
-HOT_BYTES = 8 << 20
-#: Windows that a task ranks at once.
+HOT_BYTES = 2 << 20
+#: Bytes of rows whose windows a task ranks at once.
 RANKED = 4 << 20
 
 
@@ -313,13 +313,13 @@ def reranked(rows: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[row][a]), pa.array(start[a]), pa.array(start[b])], ["key", "first", "last"])
 
     def run(batches):
-        held, windows = [], 0
+        held, size = [], 0
         for table in whole_groups(batches, "rank"):
             held.append(table)
-            windows += table.nbytes // 2
-            if windows > RANKED * 8:
+            size += table.nbytes
+            if size > RANKED:
                 yield resolved(pa.concat_tables(held).combine_chunks())
-                held, windows = [], 0
+                held, size = [], 0
         if held:
             yield resolved(pa.concat_tables(held).combine_chunks())
 
