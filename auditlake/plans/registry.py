@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,40 +66,41 @@ FROM {FINDINGS} f JOIN (VALUES ('R002','critical'),('R003','critical'),('R005','
 def failures_by_rule_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.sources.files import own_rules
 
-    known = checklist.parse_checklist(fx.frame(spark, [("own", own_rules())], "checklist string, text string")).select("rule_id", "severity")
+    known = checklist.parse_checklist(spark.createDataFrame([("own", own_rules())], "checklist string, text string")).select("rule_id", "severity")
     failed = doc_rule_matrix(spark, sf_dir).where(~F.col("complies")).join(F.broadcast(known), "rule_id")
     return failed.rollup("severity", "rule_id").agg(F.count(F.lit(1)).alias("failures")).select(F.coalesce("severity", F.lit("all")).alias("severity"), F.coalesce("rule_id", F.lit("all")).alias("rule_id"), "failures")
 
 
-# ---------------------------------------------------------------- scoring on literal batches
-
-SCORE_ROWS = [(b, i, s) for b, scores in fx.BATCHES.items() for i, s in enumerate(scores or [None])]
-SCORE_SCHEMA = "batch string, pos int, score double"
+# ---------------------------------------------------------------- scoring
 
 
-def batches(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, SCORE_ROWS, SCORE_SCHEMA).withColumn("passed", F.coalesce(F.col("score") >= 80, F.lit(False)))
+def shared_sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """SQL that both dialects run, over given tables."""
+    for name in names:
+        sql = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
 
 
-BATCH_SQL = f"(SELECT *, coalesce(score >= 80, false) AS passed FROM {fx.sql(SCORE_ROWS, SCORE_SCHEMA)})"
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each customer, of none, one or more of the customer's orders."""
+    return shared_sql(spark, sf_dir, fx.BATCHES, "customer", "orders")
 
 
-@query(report_sql(BATCH_SQL, "Untitled Audit", "batch"))
+@query(report_sql(f"({fx.BATCHES})", "Untitled Audit", "batch"))
 def classify_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.report(batches(spark), "", ("batch",))
+    return scoring.report(batches(spark, sf_dir), "", ("batch",))
 
 
-def one_batch(name: str, batch: str):
+def batches_of(name: str, size: str):
     def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scoring.report(batches(spark).where(F.col("batch") == batch)).select("documents_processed", "overall_score", "lower", "upper")
+        return scoring.report(batches(spark, sf_dir), "", ("batch",)).where(f"documents_processed {size}").select("batch", "documents_processed", "overall_score", "lower", "upper")
 
     interval.__name__ = name
-    inner = report_sql(f"(SELECT * FROM {BATCH_SQL} WHERE batch = '{batch}')", "")
-    query(f"SELECT documents_processed, overall_score, lower, upper FROM ({inner})")(interval)
+    query(f"SELECT batch, documents_processed, overall_score, lower, upper FROM ({report_sql(f'({fx.BATCHES})', '', 'batch')}) WHERE documents_processed {size}")(interval)
 
 
-for _name, _batch in (("interval_n0", "none"), ("interval_n1", "one"), ("interval_n2", "apart"), ("interval_n3", "three")):
-    one_batch(_name, _batch)
+for _name, _size in (("interval_n0", "= 0"), ("interval_n1", "= 1"), ("interval_n2", "= 2"), ("interval_n3", ">= 3")):
+    batches_of(_name, _size)
 
 
 # ---------------------------------------------------------------- checklist, lookup, replies
@@ -106,7 +109,7 @@ CHECKLIST_SCHEMA = "checklist string, text string"
 
 
 @query(rf"""
-WITH t AS (SELECT checklist, text, string_split_regex(text, '\n###\s+') AS p FROM {fx.sql(fx.CHECKLISTS, CHECKLIST_SCHEMA)}),
+WITH t AS (SELECT checklist, text, string_split_regex(text, '\n###\s+') AS p FROM {fx.spread_sql('supplier', 's_suppkey', fx.CHECKLISTS, CHECKLIST_SCHEMA)}),
 b AS (SELECT checklist, coalesce(nullif(regexp_extract(text, '\*\*Audit Name:\*\*\s*([^\n]+)', 1), ''), 'Untitled Checklist') AS audit_name,
   coalesce(nullif(regexp_extract(text, '\*\*Version:\*\*\s*([^\n]+)', 1), ''), '1.0') AS version, unnest(range(1, len(p))) AS ord, p FROM t),
 r AS (SELECT *, p[ord + 1] AS block FROM b),
@@ -116,42 +119,41 @@ f AS (SELECT checklist, audit_name, version, CAST(ord AS INTEGER) AS ord, regexp
   lower(regexp_extract(block, '\*\*Mandatory:\*\*\s*(\S+)', 1)) = 'true' AS mandatory FROM r)
 SELECT *, severity IN ('critical', 'high', 'medium', 'low') AS valid FROM f WHERE rule_id <> ''""")
 def checklist_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checklist.parse_checklist(fx.frame(spark, fx.CHECKLISTS, CHECKLIST_SCHEMA))
+    return checklist.parse_checklist(fx.spread(table(spark, sf_dir, "supplier"), "s_suppkey", fx.CHECKLISTS, CHECKLIST_SCHEMA))
 
 
-RULE_SCHEMA = "ord int, rule_id string, title string, description string, severity string, mandatory boolean"
-ITEM_SCHEMA = "doc_key string, pos int, rule_id string, evidence string, page_number int"
-LOOKUP = f"""(WITH r AS (SELECT rule_id AS id, title, description AS d, severity AS s FROM {fx.sql(fx.RULES, RULE_SCHEMA)} QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ord) = 1)
+LOOKUP = f"""(WITH r AS (SELECT rule_id AS id, title, description AS d, severity AS s FROM ({fx.RULES}) QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ord) = 1)
 SELECT doc_key, pos, coalesce(rule_id, 'unknown') AS rule_id, evidence, page_number, coalesce(title, rule_id, 'unknown') AS rule_title, coalesce(d, '') AS description,
- CASE WHEN s IN ('critical', 'high', 'medium', 'low') THEN s ELSE 'medium' END AS severity FROM {fx.sql(fx.ITEMS, ITEM_SCHEMA)} i LEFT JOIN r ON coalesce(i.rule_id, 'unknown') = r.id)"""
+ CASE WHEN s IN ('critical', 'high', 'medium', 'low') THEN s ELSE 'medium' END AS severity FROM ({fx.ITEMS}) i LEFT JOIN r ON coalesce(i.rule_id, 'unknown') = r.id)"""
 
 
-def looked_up(spark: SparkSession) -> DataFrame:
-    return checklist.with_rule(fx.frame(spark, fx.ITEMS, ITEM_SCHEMA), fx.frame(spark, fx.RULES, RULE_SCHEMA))
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as failed items, nations as rules."""
+    return checklist.with_rule(shared_sql(spark, sf_dir, fx.ITEMS, "customer"), shared_sql(spark, sf_dir, fx.RULES, "nation"))
 
 
 @query(f"SELECT * FROM {LOOKUP}")
 def rule_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return looked_up(spark)
+    return looked_up(spark, sf_dir)
 
 
 @query(f"""SELECT doc_key, string_agg(rule_id || ':' || severity, ',' ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), pos) AS failures FROM {LOOKUP} GROUP BY doc_key""")
 def severity_sorted_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a document's failed rules are as many as the checklist has
-    per = looked_up(spark).groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", "rule_id", "severity"))).alias("items"))
+    per = looked_up(spark, sf_dir).groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", "rule_id", "severity"))).alias("items"))
     return per.select("doc_key", F.array_join(F.transform(checklist.by_severity(F.col("items")), lambda x: F.concat_ws(":", x["rule_id"], x["severity"])), ",").alias("failures"))
 
 
 @query(f"""SELECT doc_key, pos, rule_id || ': ' || rule_title AS rule, upper(severity) AS severity, evidence || CASE WHEN page_number IS NULL THEN '' ELSE ' (p. ' || page_number || ')' END AS evidence FROM {LOOKUP}""")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_rows(looked_up(spark))
+    return reports.report_rows(looked_up(spark, sf_dir))
 
 
 REPLY_SCHEMA = "reply_id string, reply string"
 
 
 @query(f"""
-WITH t AS (SELECT reply_id, regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS x FROM {fx.sql(fx.REPLIES, REPLY_SCHEMA)}),
+WITH t AS (SELECT reply_id, regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS x FROM {fx.spread_sql('orders', 'o_orderkey', fx.REPLIES, REPLY_SCHEMA)}),
 u AS (SELECT reply_id, CASE WHEN starts_with(x, '```') THEN regexp_replace(regexp_replace(regexp_replace(x, '^`+|`+$', '', 'g'), '^\\s+|\\s+$', '', 'g'), '^json\\s*', '') ELSE x END AS x FROM t),
 j AS (SELECT reply_id, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN CAST(x AS JSON) END AS j FROM u),
 f AS (SELECT reply_id, j, j->>'$.passed' AS passed, j->>'$.score' AS raw, TRY_CAST(j->>'$.score' AS DOUBLE) AS score, coalesce(j->>'$.remarks', '') AS remarks,
@@ -163,13 +165,13 @@ SELECT reply_id, CASE WHEN j IS NULL THEN 'parse_error' WHEN j->>'$.error' IS NO
   array_to_string(list_transform(items, lambda e: coalesce(e->>'$.rule_id', 'unknown') || '/' || coalesce(e->>'$.evidence', '') || '/' || coalesce(CAST(CAST(TRY_CAST(e->>'$.page_number' AS DOUBLE) AS INTEGER) AS VARCHAR), '-')), ',') AS failed
 FROM g""")
 def decode_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode_replies(fx.frame(spark, fx.REPLIES, REPLY_SCHEMA))
+    d = decode_replies(fx.spread(table(spark, sf_dir, "orders"), "o_orderkey", fx.REPLIES, REPLY_SCHEMA))
     shown = F.transform("failed_rules", lambda x: F.concat_ws("/", x["rule_id"], x["evidence"], F.coalesce(x["page_number"].cast("string"), F.lit("-"))))
     return d.select("reply_id", "status", "passed", "score", "remarks", F.size("failed_rules").alias("n_failed"), F.array_join(shown, ",").alias("failed"))
 
 
 SUMMARY_SCHEMA = "path string, media_type string, reply string"
-SUMMARY_SQL = f"""(WITH t AS (SELECT path, media_type, regexp_replace(regexp_replace(reply, '^`+(json)?|`+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM {fx.sql(fx.SUMMARIES, SUMMARY_SCHEMA)}),
+SUMMARY_SQL = f"""(WITH t AS (SELECT path, media_type, regexp_replace(regexp_replace(reply, '^`+(json)?|`+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM {fx.spread_sql('pages', 'page_id', fx.SUMMARIES, SUMMARY_SCHEMA)}),
 j AS (SELECT path, media_type, CASE WHEN json_valid(x) THEN CAST(x AS JSON) END AS j FROM t),
 k AS (SELECT path, unnest(json_keys(j, '$.key_fields')) AS key, j FROM j),
 f AS (SELECT path, key, j->'$.key_fields'->>key AS value FROM k WHERE (j->'$.key_fields'->>key) IS NOT NULL),
@@ -182,43 +184,45 @@ SELECT path, coalesce(j->>'$.document_type', 'unknown') AS document_type, coales
 
 @query(f"SELECT * FROM {SUMMARY_SQL}")
 def decode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode_summaries(fx.frame(spark, fx.SUMMARIES, SUMMARY_SCHEMA))
+    d = decode_summaries(fx.spread(table(spark, sf_dir, "pages"), "page_id", fx.SUMMARIES, SUMMARY_SCHEMA))
     shown = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return d.select("path", "document_type", "summary", "language", F.array_join(shown, ";").alias("metadata"), "status")
 
 
-@query(f"SELECT p.path AS doc_key, coalesce(document_type, 'unknown') AS document_type, coalesce(summary, '') AS summary FROM {fx.sql([(p,) for p in ['/in/a.pdf', '/in/b.png', '/in/z.png']], 'path string')} p LEFT JOIN {SUMMARY_SQL} s ON p.path = s.path")
+#: Files of which every third has no summary.
+PAIRED = [(p if k % 3 else "/in/other@",) for k, (p, *_) in enumerate(fx.SUMMARIES)]
+
+
+@query(f"SELECT p.path AS doc_key, coalesce(document_type, 'unknown') AS document_type, coalesce(summary, '') AS summary FROM {fx.spread_sql('pages', 'page_id', PAIRED, 'path string')} p LEFT JOIN {SUMMARY_SQL} s ON p.path = s.path")
 def paired_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = fx.frame(spark, [(p,) for p in ("/in/a.pdf", "/in/b.png", "/in/z.png")], "doc_key string")
-    return with_summaries(documents, decode_summaries(fx.frame(spark, fx.SUMMARIES, SUMMARY_SCHEMA)).withColumnRenamed("path", "doc_key"))
+    pages = table(spark, sf_dir, "pages")
+    summaries = decode_summaries(fx.spread(pages, "page_id", fx.SUMMARIES, SUMMARY_SCHEMA)).withColumnRenamed("path", "doc_key")
+    return with_summaries(fx.spread(pages, "page_id", PAIRED, "doc_key string"), summaries)
 
 
-@query(f"""SELECT 'c' AS checklist, string_agg('- [' || rule_id || '] ' || title || ' (' || severity || ', ' || CASE WHEN mandatory THEN 'mandatory' ELSE 'optional' END || '): ' || description, chr(10) ORDER BY ord) AS rules FROM {fx.sql(fx.RULES, RULE_SCHEMA)}""")
+@query(f"""SELECT 'c' AS checklist, string_agg('- [' || rule_id || '] ' || title || ' (' || severity || ', ' || CASE WHEN mandatory THEN 'mandatory' ELSE 'optional' END || '): ' || description, chr(10) ORDER BY ord) AS rules FROM ({fx.RULES})""")
 def rule_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checklist.rule_lines(fx.frame(spark, fx.RULES, RULE_SCHEMA).withColumn("checklist", F.lit("c")))
+    return checklist.rule_lines(shared_sql(spark, sf_dir, fx.RULES, "nation").withColumn("checklist", F.lit("c")))
 
 
 @query(f"""SELECT batch, CASE overall_result WHEN 'PASS' THEN 'PASSED' WHEN 'FAIL' THEN 'FAILED' ELSE overall_result END AS label, printf('%.1f', overall_score) AS shown_score,
- printf('%.1f', lower) || ' - ' || printf('%.1f', upper) AS shown_interval, documents_processed || CASE WHEN documents_processed = 1 THEN ' document' ELSE ' documents' END AS counted FROM ({report_sql(BATCH_SQL, "Untitled Audit", "batch")})""")
+ printf('%.1f', lower) || ' - ' || printf('%.1f', upper) AS shown_interval, documents_processed || CASE WHEN documents_processed = 1 THEN ' document' ELSE ' documents' END AS counted FROM ({report_sql(f"({fx.BATCHES})", "Untitled Audit", "batch")})""")
 def displayed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.displayed(classify_boundaries(spark, sf_dir)).select("batch", "label", "shown_score", "shown_interval", "counted")
 
 
 @query(f"SELECT doc_key, pos, '[' || rule_id || '] ' || substr(evidence, 1, 120) AS line FROM {LOOKUP}")
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.trace(looked_up(spark))
-
-
-PATH_ROWS = [(p,) for p in fx.PATHS]
+    return reports.trace(looked_up(spark, sf_dir))
 
 
 @query(rf"""
-WITH p AS (SELECT path, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) AS ext FROM {fx.sql(PATH_ROWS, 'path string')})
+WITH p AS (SELECT path, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) AS ext FROM {fx.spread_sql('pages', 'page_id', fx.PATHS, 'path string')})
 SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, ext, ext IN {SUFFIXES} AS discovered,
  CASE WHEN ext = '.pdf' THEN 'image/jpeg' WHEN ext = '.jpg' THEN 'image/jpeg' WHEN ext IN ('.tif', '.tiff') THEN 'image/tiff' WHEN ext IN ('.png', '.jpeg', '.bmp', '.webp') THEN 'image/' || substr(ext, 2) END AS page_media_type,
  CASE WHEN ext = '.pdf' THEN 'application/pdf' WHEN ext IN ('.png', '.jpg', '.jpeg', '.tiff', '.tif', '.bmp', '.webp') THEN 'image/' || substr(ext, 2) ELSE 'application/octet-stream' END AS media_type FROM p""")
 def mime_and_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fx.frame(spark, PATH_ROWS, "path string").withColumns({"name": base_name(F.col("path")), "ext": suffix(F.col("path"))})
+    d = fx.spread(table(spark, sf_dir, "pages"), "page_id", fx.PATHS, "path string").withColumns({"name": base_name(F.col("path")), "ext": suffix(F.col("path"))})
     return d.withColumns({"discovered": F.col("ext").isin(*SUFFIXES), "page_media_type": page_media_type(F.col("ext")), "media_type": file_media_type(F.col("ext"))})
 
 
@@ -247,19 +251,22 @@ def r003_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rollup_amounts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
-LINE_SCHEMA, HEAD_SCHEMA = "doc_id string, line string, quantity string, unit_price string, line_total string", "doc_id string, subtotal string, tax string, discount string, grand string"
+#: Orders as invoices with stated figures, some of them wrong; money is in cents until it is compared.
+STATED_LINES = """SELECT l_orderkey AS doc_id, CAST(l_quantity AS DECIMAL(18,2)) AS quantity, CAST(l_partkey % 977 AS DECIMAL(18,2)) / 4 AS unit_price,
+ l_orderkey % 5 = 0 AND l_linenumber = 1 AS off, l_linenumber FROM lineitem"""
+LINES = f"""SELECT doc_id, quantity, CAST(unit_price AS DECIMAL(18,2)) AS unit_price, CAST(quantity * CAST(unit_price AS DECIMAL(18,2)) + CASE WHEN off THEN 0.5 ELSE 0 END AS DECIMAL(18,2)) AS line_total FROM ({STATED_LINES})"""
+SUMS = f"SELECT doc_id, CAST(sum(quantity * unit_price) + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS subtotal FROM ({LINES}) GROUP BY doc_id"
+TAXED = f"SELECT doc_id, subtotal, CAST(floor(subtotal * 10) / 100 + CASE doc_id % 13 WHEN 0 THEN 0.02 WHEN 1 THEN 0.01 ELSE 0 END AS DECIMAL(18,2)) AS tax, CAST(doc_id % 3 AS DECIMAL(18,2)) AS discount FROM ({SUMS})"
+HEADS = f"SELECT *, CAST(subtotal + tax - discount + CASE WHEN doc_id % 17 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(18,2)) AS grand FROM ({TAXED})"
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, count(*) FILTER (CAST(line_total AS DECIMAL(18,2)) <> CAST(quantity AS DECIMAL(18,2)) * CAST(unit_price AS DECIMAL(18,2))) AS wrong_lines, sum(CAST(quantity AS DECIMAL(18,2)) * CAST(unit_price AS DECIMAL(18,2))) AS expected FROM {fx.sql(fx.LINES, LINE_SCHEMA)} GROUP BY doc_id),
-h AS (SELECT doc_id, CAST(subtotal AS DECIMAL(18,2)) AS s, CAST(tax AS DECIMAL(18,2)) AS t, CAST(discount AS DECIMAL(18,2)) AS d, CAST(grand AS DECIMAL(18,2)) AS g FROM {fx.sql(fx.INVOICES, HEAD_SCHEMA)}),
-c AS (SELECT doc_id, wrong_lines, s = expected AS subtotal_ok, abs(t - s / 10) <= 0.01000001 AS tax_ok, g = s + t - d AS grand_ok FROM h JOIN l USING (doc_id))
+WITH l AS (SELECT doc_id, count(*) FILTER (line_total <> quantity * unit_price) AS wrong_lines, sum(quantity * unit_price) AS expected FROM ({LINES}) GROUP BY doc_id),
+c AS (SELECT doc_id, wrong_lines, subtotal = expected AS subtotal_ok, abs(tax * 10 - subtotal) <= 0.1 AS tax_ok, grand = subtotal + tax - discount AS grand_ok FROM ({HEADS}) JOIN l USING (doc_id))
 SELECT *, wrong_lines = 0 AND subtotal_ok AND tax_ok AND grand_ok AS complies FROM c""")
 def r003_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = lambda d, *names: d.withColumns({c: F.col(c).cast("decimal(18,2)") for c in names})
-    lines = exact(fx.frame(spark, fx.LINES, LINE_SCHEMA), "quantity", "unit_price", "line_total")
-    heads = exact(fx.frame(spark, fx.INVOICES, HEAD_SCHEMA), "subtotal", "tax", "discount", "grand").withColumn("rate", F.lit(10))
-    return rules.invoice_arithmetic(lines, heads)
+    heads = shared_sql(spark, sf_dir, HEADS, "lineitem").withColumn("rate", F.lit(10))
+    return rules.invoice_arithmetic(shared_sql(spark, sf_dir, LINES, "lineitem"), heads)
 
 
 @query("""SELECT o_orderkey, count(*) AS early_lines, CAST(max(date_diff('day', CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE))) AS BIGINT) AS most_days
@@ -301,16 +308,6 @@ def r010_tax_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.tax_breakdown(table(spark, sf_dir, "lineitem"))
 
 
-TEXT_SCHEMA = "doc_id int, document_type string, document_number string, text string"
-TEXT_SQL = f"""(SELECT doc_id, rule_id, complies FROM (SELECT doc_id, unnest([
- {{'rule_id': 'R004', 'complies': document_type NOT IN ('contract', 'certificate', 'delivery_challan') OR regexp_matches(t, 'signed by|signature:')}},
- {{'rule_id': 'R006', 'complies': len(list_distinct(regexp_extract_all(text, '[$€£¥₹]'))) <= 1 OR regexp_matches(t, '(conversion|exchange) rate')}},
- {{'rule_id': 'R007', 'complies': document_type NOT IN ('invoice', 'purchase_order') OR (regexp_matches(t, '[0-9]+ [a-z]+ (street|road|avenue)') AND regexp_matches(t, 'tax id'))}},
- {{'rule_id': 'R009', 'complies': document_type NOT IN ('invoice', 'purchase_order') OR regexp_matches(t, 'net [0-9]+|due (on|by|date)')}},
- {{'rule_id': 'R011', 'complies': NOT regexp_matches(t, '(miscellaneous|various items|sundries)')}}], recursive := true)
- FROM (SELECT *, lower(text) AS t FROM {fx.sql(fx.TEXTS, TEXT_SCHEMA)})))"""
-
-
 #: Orders written out as documents of six types, with what the rules look for now there and now not.
 PARTS = [
     ("true", "Date {d}, {k} "),
@@ -392,9 +389,18 @@ def r003_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.arithmetic_evidence(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
+TEXT_SQL = f"""(SELECT doc_id, rule_id, complies FROM (SELECT doc_id, unnest([
+ {{'rule_id': 'R004', 'complies': document_type NOT IN ('contract', 'certificate', 'delivery_challan') OR regexp_matches(t, 'signed by|signature:')}},
+ {{'rule_id': 'R006', 'complies': len(list_distinct(regexp_extract_all(text, '[$€£¥₹]'))) <= 1 OR regexp_matches(t, '(conversion|exchange) rate')}},
+ {{'rule_id': 'R007', 'complies': document_type NOT IN ('invoice', 'purchase_order') OR (regexp_matches(t, '[0-9]+ [a-z]+ (street|road|avenue)') AND regexp_matches(t, 'tax id'))}},
+ {{'rule_id': 'R009', 'complies': document_type NOT IN ('invoice', 'purchase_order') OR regexp_matches(t, 'net [0-9]+|due (on|by|date)')}},
+ {{'rule_id': 'R011', 'complies': NOT regexp_matches(t, '(miscellaneous|various items|sundries)')}}], recursive := true)
+ FROM (SELECT *, lower(text) AS t FROM ({DOCS_SQL}))))"""
+
+
 def text_rule(name: str, *ids: str):
     def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.text_findings(fx.frame(spark, fx.TEXTS, TEXT_SCHEMA)).where(F.col("rule_id").isin(*ids))
+        return rules.text_findings(order_documents(spark, sf_dir)).where(F.col("rule_id").isin(*ids))
 
     findings.__name__ = name
     query(f"SELECT * FROM {TEXT_SQL} WHERE rule_id IN ({', '.join(map(fx.literal, ids))})")(findings)
@@ -404,15 +410,15 @@ for _name, _id in (("r004_text", "R004"), ("r006_text", "R006"), ("r007_text", "
     text_rule(_name, _id)
 
 
-@query(f"""WITH d AS {fx.sql(fx.TEXTS, TEXT_SCHEMA)}, w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'attached ([A-Z]+-[0-9]+)', 1))) AS wanted FROM d)
-SELECT doc_id, wanted FROM w WHERE wanted NOT IN (SELECT document_number FROM d)""")
+@query(f"""WITH d AS ({DOCS_SQL}), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'attached ([A-Z]+-[0-9]+)', 1))) AS wanted FROM d)
+SELECT doc_id, wanted FROM w WHERE wanted NOT IN (SELECT document_number FROM d WHERE document_number IS NOT NULL)""")
 def r012_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.missing_attachments(fx.frame(spark, fx.TEXTS, TEXT_SCHEMA))
+    return rules.missing_attachments(order_documents(spark, sf_dir))
 
 
-@query(f"SELECT document_number, count(*) AS uses FROM {fx.sql(fx.TEXTS, TEXT_SCHEMA)} GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT document_number, count(*) AS uses FROM ({DOCS_SQL}) WHERE document_number IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def r008_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.frame(spark, fx.TEXTS, TEXT_SCHEMA).groupBy("document_number").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    return order_documents(spark, sf_dir).where("document_number IS NOT NULL").groupBy("document_number").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
 
 
 @query(r"""SELECT quality, complies, count(*) AS documents FROM (SELECT doc_id, length(text) >= 50 AND CAST(length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) AS DOUBLE) / length(text) <= 0.1 AS complies FROM documents) JOIN labels USING (doc_id) GROUP BY 1, 2""")
@@ -420,6 +426,6 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.label_agreement(rules.legibility(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
-@query(f"""SELECT run_id, doc_key, CAST(row_number() OVER (PARTITION BY run_id ORDER BY doc_key) AS INTEGER) AS no FROM (SELECT 'batch' AS run_id, path AS doc_key FROM {fx.sql(PATH_ROWS, 'path string')})""")
+@query(f"""SELECT run_id, doc_key, CAST(row_number() OVER (PARTITION BY run_id ORDER BY doc_key) AS INTEGER) AS no FROM (SELECT 'batch' AS run_id, path AS doc_key FROM {fx.spread_sql('pages', 'page_id', fx.PATHS, 'path string')})""")
 def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.numbered(fx.frame(spark, PATH_ROWS, "path string").select(F.lit("batch").alias("run_id"), F.col("path").alias("doc_key")))
+    return reports.numbered(fx.spread(table(spark, sf_dir, "pages"), "page_id", fx.PATHS, "path string").select(F.lit("batch").alias("run_id"), F.col("path").alias("doc_key")))
