@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.shared import join_counted, stored
+
 CENT = 0.01
 MAX_JUNK, MIN_CHARS = 0.1, 50
 CURRENCIES = "[$€£¥₹]"
@@ -38,6 +40,12 @@ def line_facts(lineitem: DataFrame) -> DataFrame:
     return per_number.groupBy("l_orderkey").agg(F.sum("n").alias("lines"), F.sum("g").alias("gross"), F.min("ship").alias("first_ship"), F.sum("free").alias("untaxed"), (F.sum("n") - F.count(F.lit(1))).alias("repeated"))
 
 
+def line_sums(lineitem: DataFrame) -> DataFrame:
+    """(l_orderkey, gross): the sum of each invoice's lines, added up before the shuffle."""
+    gross = money("l_extendedprice") * (1 - money("l_discount")) * (1 + money("l_tax"))
+    return lineitem.groupBy("l_orderkey").agg(F.sum(gross).alias("gross"))
+
+
 def invoice_findings(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """One row per invoice and rule: (doc_key, rule_id, mandatory, complies).
 
@@ -71,7 +79,7 @@ def line_amounts(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 def rollup_amounts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """R003, totals: the stated total against the sum of the lines."""
-    d = orders.join(line_facts(lineitem), F.col("o_orderkey") == F.col("l_orderkey"))
+    d = orders.join(line_sums(lineitem), F.col("o_orderkey") == F.col("l_orderkey"))
     off = money("o_totalprice") - F.col("gross")
     return d.select("o_orderkey", F.col("gross").cast("double").alias("gross"), off.cast("double").alias("overstated"), (F.abs(off) <= CENT).alias("complies"))
 
@@ -173,16 +181,12 @@ VALID_UNTIL = "valid until ([0-9]{4}-[0-9]{2}-[0-9]{2})"
 def text_audit(docs: DataFrame, as_of: str) -> DataFrame:
     """Eleven rules, all but R003, on (doc_id, document_type, document_number, text).
 
-    One row per document and rule: (doc_key, rule_id, mandatory, applies, complies).
+    One row per row of docs and rule: (doc_key, rule_id, mandatory, applies, complies).
     Nulls in text or type count as empty and unknown; a document without a number has a
-    wrong format.  Expiry is judged as of a day, yyyy-MM-dd.
+    wrong format; rows with equal or null doc_id are judged each.  Expiry is judged as of a day, yyyy-MM-dd.
+    Texts are judged where they are read; what the batch says of a number joins narrow rows.
     """
     d = docs.select("doc_id", F.coalesce("document_type", F.lit("unknown")).alias("kind"), "document_number", F.coalesce("text", F.lit("")).alias("text"))
-    # a key of its own for each document without a number, so that these do not meet in one task
-    d = d.withColumn("number", F.coalesce(F.concat(F.lit("="), "document_number"), F.col("doc_id").cast("string")))
-    numbers = d.groupBy("number").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    lacking = missing_attachments(d).select("doc_id").distinct().withColumn("lacking", F.lit(True))
-    d = d.join(numbers, "number").join(lacking, "doc_id", "left")
     t, kind = F.lower("text"), F.col("kind")
     n, junk = F.length("text"), F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s]"))
     billing, signed = kind.isin(*BILLING_TYPES), kind.isin(*SIGNED_TYPES)
@@ -203,14 +207,21 @@ def text_audit(docs: DataFrame, as_of: str) -> DataFrame:
         ("R005", False, kind == "certificate", (expiry == "") | (expiry >= as_of)),
         ("R006", True, signs > 0, (signs == 1) | t.rlike("(conversion|exchange) rate")),
         ("R007", True, billing, t.rlike("[0-9]+ [a-z]+ (street|road|avenue)") & t.rlike(TAX_ID)),
-        ("R008", False, everywhere, F.coalesce(F.col("document_number").rlike(NUMBER_FORMAT) & ~F.col("repeated"), F.lit(False))),
+        ("R008", False, everywhere, F.coalesce(F.col("document_number").rlike(NUMBER_FORMAT), F.lit(False))),
         ("R009", True, billing, t.rlike("net [0-9]+|due (on|by|date)")),
         ("R010", True, billing | (kind == "receipt"), taxed | t.rlike(EXEMPTION)),
         ("R011", False, everywhere, ~t.rlike("(miscellaneous|various items|sundries)")),
-        ("R012", False, t.contains("attached "), F.col("lacking").isNull()),
+        ("R012", False, t.contains("attached "), everywhere),
     ]
     rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(m).alias("mandatory"), a.alias("applies"), c.alias("complies")) for r, m, a, c in checks])
-    return d.select(F.col("doc_id").alias("doc_key"), F.inline(rows))
+    narrow = stored(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "document_number", attached(F.col("text")).alias("wanted"), rows.alias("rules")), "judged")
+    uses = stored(narrow.where("document_number IS NOT NULL").groupBy("document_number").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    repeated = join_counted(narrow.select("row", "document_number"), uses.where("uses > 1"), ["document_number"], "uses").select("row", F.lit(True).alias("repeated"))
+    wanted = narrow.select("row", F.explode("wanted").alias("document_number"))
+    lacking = wanted.join(uses, "document_number", "left_anti").select("row").distinct().withColumn("lacking", F.lit(True))
+    whole = narrow.join(repeated, "row", "left").join(lacking, "row", "left")
+    batch = F.when(F.col("rule_id") == "R008", F.col("complies") & F.col("repeated").isNull()).when(F.col("rule_id") == "R012", F.col("lacking").isNull()).otherwise(F.col("complies"))
+    return whole.select(F.col("doc_id").alias("doc_key"), "repeated", "lacking", F.inline("rules")).select("doc_key", "rule_id", "mandatory", "applies", batch.alias("complies"))
 
 
 def arithmetic_evidence(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -218,12 +229,17 @@ def arithmetic_evidence(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     off = F.col("overstated")
     shown = lambda c: F.abs(c.cast("decimal(18,2)")).cast("string")
     said = F.concat(F.lit("stated total "), shown(F.col("o_totalprice")), F.lit(", sum of lines "), shown(F.col("gross")), F.when(off > 0, ", overstated by ").otherwise(", understated by "), shown(off))
-    d = orders.join(line_facts(lineitem).select("l_orderkey", "gross"), F.col("o_orderkey") == F.col("l_orderkey"))
+    d = orders.join(line_sums(lineitem), F.col("o_orderkey") == F.col("l_orderkey"))
     d = d.select("o_orderkey", money("o_totalprice").alias("o_totalprice"), F.col("gross").cast("decimal(18,2)").alias("gross"))
     return d.withColumn("overstated", F.col("o_totalprice") - F.col("gross")).where(F.abs("overstated") > CENT).select("o_orderkey", said.alias("evidence"))
 
 
+def attached(text: Column) -> Column:
+    """The numbers that a text calls attached."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"attached ([A-Z]+-[0-9]+)"), 1))
+
+
 def missing_attachments(docs: DataFrame) -> DataFrame:
     """R012: numbers that a text calls attached and no document of the batch has."""
-    wanted = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"attached ([A-Z]+-[0-9]+)"), 1))).alias("wanted"))
+    wanted = docs.select("doc_id", F.explode(attached(F.col("text"))).alias("wanted"))
     return wanted.join(docs.select(F.col("document_number").alias("wanted")), "wanted", "left_anti").select("doc_id", "wanted")

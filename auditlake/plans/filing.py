@@ -17,6 +17,7 @@ from auditlake.functions.replies import decode_replies
 from auditlake.functions.rounding import round_exact
 from auditlake.operators import extract
 from auditlake.operators import report as reports
+from auditlake.operators.references import found_references, similar
 from auditlake.operators.scoring import report
 from auditlake.plans.audit import run_audit
 from auditlake.plans.catalog import query, table
@@ -284,3 +285,33 @@ def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts rounded half to even by what the double is exactly."""
     d = table(spark, sf_dir, "lineitem").withColumn("x", F.col("l_extendedprice") * (1 - F.col("l_discount")) / 8)
     return d.groupBy("l_orderkey", "l_linenumber", round_exact(F.col("x"), 2).alias("two"), round_exact(F.col("x"), 1).alias("one")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+# ---------------------------------------------------------------- inexact references
+
+#: How orders refer to each other: in other cases, spacing, zeros and with a slip of the pen.
+MENTIONS = ("INV-{}", "inv {}", "Inv-00{}", "IMV-{}", "invv/{}", "XYZ-{}", "INV-{}9", "nv-{}")
+MENTION_SQL = "replace((CAST(" + str(list(MENTIONS)) + " AS VARCHAR[]))[o_orderkey % 8 + 1], '{}', CAST(o_custkey AS VARCHAR))"
+PLAIN_SQL = "upper(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))".format
+
+
+@query(rf"""WITH w AS (SELECT o_orderkey AS doc_id, {MENTION_SQL} AS wanted FROM orders),
+n AS (SELECT DISTINCT 'INV-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS number FROM customer WHERE c_custkey % 3 > 0),
+p AS (SELECT doc_id, wanted, regexp_replace({PLAIN_SQL('wanted')}, '[0-9]', '', 'g') AS l, regexp_replace(regexp_replace({PLAIN_SQL('wanted')}, '[A-Z]', '', 'g'), '^0+(.)', '\1') AS d FROM w),
+q AS (SELECT number, 'INV' AS l, regexp_replace(regexp_replace(number, '[^0-9]', '', 'g'), '^0+(.)', '\1') AS d FROM n)
+SELECT doc_id, wanted, number AS found FROM p LEFT JOIN q ON p.d = q.d AND levenshtein(p.l, q.l) <= 1""")
+def inexact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which customer's document each order's text means, however it is written."""
+    mention = F.replace(F.element_at(F.array(*map(F.lit, MENTIONS)), (F.col("o_orderkey") % 8 + 1).cast("int")), F.lit("{}"), F.col("o_custkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(None).cast("string").alias("document_number"), F.concat(F.lit("see <"), mention, F.lit("> for more")).alias("text"))
+    numbers = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit("INV-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("document_number"), F.lit("").alias("text"))
+    return found_references(orders.unionByName(numbers), "see <([^>]*)>")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS b FROM part), t AS (SELECT DISTINCT p_brand, overlay AS a FROM (SELECT p_brand, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN replace(p_name, 'e', 'ee') ELSE reverse(p_name) END AS overlay FROM part))
+SELECT DISTINCT a, b, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM t, n WHERE levenshtein(a, b) <= 2""")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt part names with all the names at most two edits away."""
+    part = table(spark, sf_dir, "part")
+    slip = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.expr("substr(p_name, 2)")).when(F.col("p_partkey") % 4 == 2, F.replace("p_name", F.lit("e"), F.lit("ee"))).otherwise(F.reverse("p_name"))
+    return similar(part.select(slip.alias("text")), part.select(F.col("p_name").alias("text")), 2)
