@@ -46,6 +46,32 @@ def report(results: DataFrame, title: str | None = None, by: tuple[str, ...] = (
     """
     n = F.count("score")
     got = results.groupBy(*by).agg(n.alias("documents_processed"), F.count_if(F.col("passed") & F.col("score").isNotNull()).alias("documents_passed"), F.avg("score").alias("_mean"), F.stddev_samp("score").alias("_deviation"))
+    return summarised(got, title, by)
+
+
+def moments(results: DataFrame, by: tuple[str, ...], sign: Column) -> DataFrame:
+    """Count, passed, mean and squared deviation of results that come (sign 1) or go (-1), by run and sign."""
+    return results.groupBy(*by, sign.alias("sign")).agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("ok"), F.avg("score").alias("mean"), (F.var_pop("score") * F.count(F.lit(1))).alias("m2"))
+
+
+def merged(parts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The moments of all parts together, less those with sign -1."""
+    n = F.sum(F.col("sign") * F.col("n"))
+    total = F.sum(F.col("sign") * F.col("n") * F.col("mean"))
+    squares = F.sum(F.col("sign") * (F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")))
+    mean = F.when(n > 0, total / n).otherwise(0.0)
+    return parts.groupBy(*by).agg(F.lit(1).alias("sign"), n.alias("n"), F.sum(F.col("sign") * F.col("ok")).alias("ok"), mean.alias("mean"), F.greatest(F.lit(0.0), squares - n * mean * mean).alias("m2"))
+
+
+def report_of_moments(kept: DataFrame, title: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The report that the results behind the moments have."""
+    n = F.col("n")
+    deviation = F.when(n > 1, F.sqrt(F.col("m2") / (n - 1)))
+    return summarised(kept.select(*by, n.alias("documents_processed"), F.col("ok").alias("documents_passed"), F.when(n > 0, F.col("mean")).alias("_mean"), deviation.alias("_deviation")), title, by)
+
+
+def summarised(got: DataFrame, title: str | None, by: tuple[str, ...]) -> DataFrame:
+    """The report from counts, mean and deviation."""
     mean = F.coalesce("_mean", F.lit(100.0))
     count = F.col("documents_processed")
     margin = F.when(count == 0, 0.0).when(count == 1, SINGLE_MARGIN).otherwise(F.lit(Z_95) * F.col("_deviation") / F.sqrt(count.cast("double")))

@@ -4,19 +4,23 @@ The folder is listed where it is read, in tasks, by a file system of Arrow, so i
 store.  Every task lists the names and opens those of its share.  Hidden and empty files
 are there; subfolders, whatever their names, and what is in them are not.
 
+As a stream, each batch has the files whose modification time is later than those of the batch
+before, so a file that is replaced comes again; files younger than ``settle`` seconds wait.
+
 Options: ``suffixes``, a comma-separated list of those wanted, lower case, all without it;
 ``content``, false for a listing only; ``shards``, the number of tasks.
 """
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from auditlake.shared import open_store
@@ -29,7 +33,11 @@ BATCH_BYTES = 16 << 20
 
 @dataclass
 class Shard(InputPartition):
+    """A share of the files, of those modified after one time and up to another, in microseconds."""
+
     number: int
+    after: int = -1
+    upto: int = 1 << 62
 
 
 def suffix_of(name: str) -> str:
@@ -48,6 +56,9 @@ class FolderReader(DataSourceReader):
     def partitions(self) -> list[Shard]:
         return [Shard(k) for k in range(self.shards)]
 
+    def wanted(self, info) -> bool:
+        return info.is_file and (not self.suffixes or suffix_of(info.base_name) in self.suffixes)
+
     def read(self, shard: Shard) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -56,7 +67,7 @@ class FolderReader(DataSourceReader):
             return
         rows, size = [], 0
         for info in store.get_file_info(fs.FileSelector(base)):
-            if info.type != fs.FileType.File or self.suffixes and suffix_of(info.base_name) not in self.suffixes or zlib.crc32(info.base_name.encode()) % self.shards != shard.number:
+            if not self.wanted(info) or not shard.after < info.mtime_ns // 1000 <= shard.upto or zlib.crc32(info.base_name.encode()) % self.shards != shard.number:
                 continue
             row = [f"{self.folder.rstrip('/')}/{info.base_name}", info.mtime, info.size]
             if self.content:
@@ -76,6 +87,28 @@ class FolderReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], names[: len(rows[0])])
 
 
+class FolderStream(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        self.reader, self.settle = FolderReader(options), float(options.get("settle", 0))
+
+    def initialOffset(self) -> dict:
+        return {"time": -1}
+
+    def latestOffset(self) -> dict:
+        from pyarrow import fs
+
+        store, base = open_store(self.reader.folder)
+        found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        settled = (time.time() - self.settle) * 1e6
+        return {"time": max([x.mtime_ns // 1000 for x in found if self.reader.wanted(x) and x.mtime_ns / 1000 <= settled], default=-1)}
+
+    def partitions(self, start: dict, end: dict) -> list[Shard]:
+        return [Shard(k, start["time"], max(start["time"], end["time"])) for k in range(self.reader.shards)]
+
+    def read(self, shard: Shard) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(shard)
+
+
 class FolderSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -87,6 +120,9 @@ class FolderSource(DataSource):
     def reader(self, schema: StructType) -> FolderReader:
         return FolderReader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> FolderStream:
+        return FolderStream(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FolderSource)
