@@ -11,6 +11,7 @@ from auditlake.functions.names import base_name, file_media_type, page_media_typ
 from auditlake.functions.replies import decode_replies, decode_summaries, with_summaries
 from auditlake.operators import checklist, rules, scoring
 from auditlake.operators import report as reports
+from auditlake.operators.fields import field_findings, header_fields
 from auditlake.plans import filing  # noqa: F401  registers its queries
 from auditlake.plans import fixtures as fx
 from auditlake.plans.audit import invoice_audit, whole_audit
@@ -429,3 +430,39 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT run_id, doc_key, CAST(row_number() OVER (PARTITION BY run_id ORDER BY doc_key) AS INTEGER) AS no FROM (SELECT 'batch' AS run_id, path AS doc_key FROM {fx.spread_sql('pages', 'page_id', fx.PATHS, 'path string')})""")
 def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.numbered(fx.spread(table(spark, sf_dir, "pages"), "page_id", fx.PATHS, "path string").select(F.lit("batch").alias("run_id"), F.col("path").alias("doc_key")))
+
+
+def said_sql(pattern: str) -> str:
+    return f"nullif(regexp_extract(text, '{pattern}'), '')"
+
+
+#: The fields of orders written out as documents, by patterns that fit these texts only.
+SAID = {"signature": said_sql("Signed by A. Clerk"), "address": said_sql("[0-9]+ Mill Road"), "tax_id": said_sql("Tax ID [0-9]+"), "term": said_sql("net [0-9]+"), "vague": said_sql("miscellaneous")}
+FIELD_SQL = " UNION ALL ".join(
+    f"SELECT doc_id AS doc_key, '{rule}' AS rule_id, {mandatory} AS mandatory, {applies} AS applies, NOT {applies} OR ({' AND '.join(f'{SAID[k]} IS NOT NULL' for k in kinds)}) AS complies, CASE WHEN {applies} THEN "
+    + " || '; ' || ".join(f"coalesce('{k}: ' || {SAID[k]}, 'no {k}')" for k in kinds)
+    + " ELSE '' END AS evidence FROM d"
+    for rule, mandatory, applies, kinds in (("R004", "true", SIGNED_SQL, ("signature",)), ("R007", "true", BILLING_SQL, ("address", "tax_id")), ("R009", "true", BILLING_SQL, ("term",)))
+)
+
+
+@query(f"""WITH d AS (SELECT *, document_type AS kind FROM ({DOCS_SQL})) {FIELD_SQL}
+ UNION ALL SELECT doc_id, 'R011', false, true, {SAID['vague']} IS NULL, coalesce('vague: ' || {SAID['vague']}, '') FROM d""")
+def field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R004, R007, R009 and R011 by typed fields, with the words that were found."""
+    return field_findings(order_documents(spark, sf_dir))
+
+
+DATED_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {value} AS value, strpos(text, {words}) - 1 AS start, {words} AS evidence FROM d WHERE contains(text, {words})"
+    for kind, words, value in (
+        ("amount", "'$10'", "'10'"), ("amount", "'€9'", "'9'"), ("rate", "'7 %'", "'7'"), ("address", "'12 Mill Road'", "'12 Mill Road'"), ("tax_id", "'Tax ID 77'", "'77'"), ("term", "'net 30'", "'net 30'"), ("signature", "'Signed by A. Clerk'", "'Signed by A. Clerk'"), ("vague", "'miscellaneous'", "'miscellaneous'"),
+        ("date", "substr(text, 6, 10)", "substr(text, 6, 10)"), ("date", "('valid until ' || substr(text, 6, 10))", "substr(text, 6, 10)"),
+    )
+)
+
+
+@query(f"""WITH d AS ({DOCS_SQL}) SELECT doc_id, kind, value, CAST(CASE WHEN starts_with(evidence, 'valid') THEN start + 12 ELSE start END AS INTEGER) AS start, CASE WHEN starts_with(evidence, 'valid') THEN substr(evidence, 13) ELSE evidence END AS evidence FROM ({DATED_SQL})""")
+def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed field of every order written out as a document, with its place and words."""
+    return header_fields(order_documents(spark, sf_dir)).select("doc_id", "kind", "value", "start", "evidence")

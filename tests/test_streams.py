@@ -88,3 +88,55 @@ def test_the_text_rules_lose_no_row(spark):
     assert Counter((r.doc_key, r.complies) for r in rows if r.rule_id == "R012") == Counter((d[0], "B-9" not in (d[3] or "") or "B-9" in numbers) for d in docs)
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("invoice").alias("document_type"), F.when(F.col("id") % 2 == 0, "A-7").otherwise(F.concat(F.lit("N-"), F.col("id"))).alias("document_number"), F.lit("attached A-7").alias("text"))
     assert text_audit(hot, "2020-01-01").where("rule_id = 'R008' AND NOT complies").count() == 1500
+
+
+# ---------------------------------------------------------------- typed fields
+
+
+def all_paths(tokens, edges, at=0):
+    """The weight of the heaviest choice of edges that do not overlap, by trying every one."""
+    if at >= tokens:
+        return 0.0
+    return max([all_paths(tokens, edges, at + 1)] + [w + all_paths(tokens, edges, e) for s, e, w in edges if s == at])
+
+
+def test_fields_are_the_heaviest_path():
+    from auditlake.functions import fields as g
+
+    rnd = random.Random(5)
+    words = ["12", "Mill", "Road", "street", "net", "30", "days", "due", "by", "on", "2024-01-05", "3", "May", "2025", "$", "9.50", "EUR", "tax", "id", "77", "%", "signed", "Clerk", ",", ":", "misc"]
+    for _ in range(300):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 11)))
+        tokens = [g.kinds(m[0]) for m in g.TOKEN.finditer(text)]
+        edges = [(at, e, w + 0.01 * (e - at)) for at in range(len(tokens)) for _, w, shape in g.GRAMMAR for e in g.ends(shape.split(" "), tokens, at) if e > at]
+        spans = [(len(g.TOKEN.findall(text[: f.start])), len(g.TOKEN.findall(text[f.start : f.end])), f.weight) for f in g.fields(text)]
+        assert abs(sum(w + 0.01 * n for _, n, w in spans) - all_paths(len(tokens), edges)) < 1e-9
+        assert all(a + n <= b for (a, n, _), (b, _, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_fields_and_their_rules(spark):
+    from auditlake.operators.fields import field_findings, header_fields
+
+    docs = [
+        (1, "invoice", "12 Old Mill Road, tax id: 77. Total $1,234.50, net 30 days, 1.234,5 EUR"),
+        (2, "contract", "Signed by A. Clerk on 3 May 2024, various goods"),
+        (3, "invoice", "the road to 12 streets; due by 1 June 2025"),
+        (None, None, None),
+        (2, "receipt", "May 5, 2024 and 2024-13-99 £5 7 %"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id int, document_type string, text string")
+    got = [(r.doc_id, r.kind, r.value, r.evidence) for r in header_fields(d).collect()]
+    assert got == [
+        (1, "address", "12 Old Mill Road", "12 Old Mill Road"), (1, "tax_id", "77", "tax id: 77"), (1, "amount", "1234.50", "$1,234.50"), (1, "term", "net 30 days", "net 30 days"), (1, "amount", "1234.5", "1.234,5 EUR"),
+        (2, "signature", "Signed by A. Clerk", "Signed by A. Clerk"), (2, "date", "2024-05-03", "3 May 2024"), (2, "vague", "various", "various"),
+        (3, "term", "2025-06-01", "due by 1 June 2025"),
+        (2, "date", "2024-05-05", "May 5, 2024"), (2, "date", "2024-13-99", "2024-13-99"), (2, "amount", "5", "£5"), (2, "rate", "7", "7 %"),
+    ]
+    rows = field_findings(d).collect()
+    assert len(rows) == 20
+    by = {(r.doc_key, r.rule_id, r.applies): (r.complies, r.evidence) for r in rows}
+    assert by[1, "R007", True] == (True, "address: 12 Old Mill Road; tax_id: tax id: 77")
+    assert by[3, "R007", True] == (False, "no address; no tax_id")
+    assert by[2, "R004", True] == (True, "signature: Signed by A. Clerk")
+    assert by[2, "R011", True] in ((False, "vague: various"), (True, ""))
+    assert by[None, "R009", False] == (True, "")
