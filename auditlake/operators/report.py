@@ -38,7 +38,7 @@ def report_rows(items: DataFrame) -> DataFrame:
 
 def as_json(report: DataFrame, results: DataFrame) -> DataFrame:
     """(json) of a report of one row with its documents, for a run that fits in a row; json_lines has no such bound."""
-    docs = results.agg(F.sort_array(F.collect_list(F.struct("document_name", "passed", "score"))).alias("document_results"))
+    docs = results.agg(F.sort_array(F.collect_list(F.struct("document_name", "passed", "score", *[c for c in ("failed_rules", "remarks") if c in results.columns]))).alias("document_results"))
     return report.crossJoin(docs).select(F.to_json(response(report, F.col("document_results"))).alias("json"))
 
 

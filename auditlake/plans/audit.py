@@ -19,7 +19,7 @@ from auditlake.operators.extract import Calls, answered, measured
 from auditlake.operators.rules import invoice_findings, text_audit
 from auditlake.operators.scoring import applicable, both_verdicts, document_scores, report
 from auditlake.shared import shared_path
-from auditlake.sources.files import checklist_text, or_empty, scan_folder, with_content
+from auditlake.sources.files import checklist_text, or_empty, require_folder, scan_folder, with_content
 
 Reader = Callable[..., str]
 #: What the summary of a file without content is.
@@ -69,7 +69,7 @@ def remembered(files: DataFrame, work: Callable[[DataFrame], DataFrame], store:
 
 def run_audit(
     spark: SparkSession, folder: str, checklist: str, read: Reader, title: str | None = None, strict: bool = False, summarize: Reader | None = None,
-    count_pages: Callable[[str, bytes | None], int] = page_count, picture: Callable[[bytes | None], str] = thumbnail, store: str | None = None, calls: Calls = Calls(),
+    count_pages: Callable[[str, bytes | None], int] = page_count, picture: Callable[[bytes | None], str] = thumbnail, store: str | None = None, calls: Calls = Calls(), must_exist: bool = False,
 ) -> Audit:
     """Lists the folder, has every file counted, pictured, summarised and judged, decodes the replies, looks the failed rules up and reports.
 
@@ -78,8 +78,10 @@ def run_audit(
     given again, only new and changed files are read.  The verdict is the reader's own, with the one that its
     failed rules give beside it; what could not be read counts with score 0 and has a status.  Files that are
     empty or whose names start with a dot or an underscore are in strict runs only; empty ones are never read and
-    have the status empty_content.
+    have the status empty_content.  A folder that is not there is an empty run, or with must_exist an error.
     """
+    if must_exist:
+        require_folder(folder)
     rules = load_checklist(spark, checklist)
 
     def work(files: DataFrame) -> DataFrame:

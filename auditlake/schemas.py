@@ -4,7 +4,6 @@ from __future__ import annotations
 
 # fixed values of the report's contract
 SEVERITIES = ("critical", "high", "medium", "low")
-DOCUMENT_TYPES = ("invoice", "receipt", "purchase_order", "delivery_challan", "contract", "certificate", "unknown")
 SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp")
 PASS, REVIEW, FAIL = "PASS", "REVIEW REQUIRED", "FAIL"
 PASS_FROM, REVIEW_FROM = 80.0, 50.0

@@ -41,6 +41,15 @@ def scan_folder(spark: SparkSession, folder: str, strict: bool = False, content:
     return found if strict else found.where(~F.col("document_name").rlike("^[._]") & (F.col("length") > 0))
 
 
+def require_folder(folder: str) -> None:
+    """Fails with a message if there is no such folder."""
+    from pyarrow import fs
+
+    store, path = open_store(folder)
+    if store.get_file_info(path).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"Folder not found: {folder}")
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """Listed files with their content; one that is gone by now has none."""
 

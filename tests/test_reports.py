@@ -169,3 +169,31 @@ def test_json_in_parts_is_one_response(spark, tmp_path, n):
     assert [d["document_name"] for d in out["report"]["document_results"]] == [f"{k:03}.png" for k in range(n)]
     assert (out["report"]["documents_processed"], out["elapsed_seconds"]) == (n, 2.5)
     assert set(out["prediction_interval"]) == {"lower", "upper"}
+
+
+def test_the_command_line_prints_the_report(spark, folder, tmp_path, capsys, monkeypatch):
+    from auditlake.__main__ import main
+
+    (tmp_path / "own_reader.py").write_text("import json\n\n\ndef read(path, content):\n    return json.dumps({'passed': True, 'score': 90, 'failed_rules': [{'rule_id': 'R001', 'evidence': 'e'}]})\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "own_reader.py"))
+    (tmp_path / "r.md").write_text("\n### R001: One\n**Severity:** low\n")
+    args = [str(folder), "--rules", str(tmp_path / "r.md"), "--reader", "own_reader:read", "--title", "T", "--docx", str(tmp_path / "out"), "--json", str(tmp_path / "lines")]
+    main(args)
+    out = json.loads(capsys.readouterr().out)
+    assert (out["audit_title"], out["documents_processed"], out["overall_score"], len(out["document_results"])) == ("T", 5, 90.0, 5)
+    got = read_report((tmp_path / "out" / "report.docx").read_bytes())
+    assert got["rows"].count("R001: One|LOW|e") == 5
+    with pytest.raises(SystemExit):
+        main([*args[:4], "nothing"])
+    with pytest.raises(FileNotFoundError, match="Folder not found"):
+        main([str(folder / "none"), *args[1:5]])
+
+
+def test_images_and_rendered_pages_are_one_table(spark):
+    from auditlake.operators.extract import shown_pages
+
+    files = spark.createDataFrame([("a.pdf", ".pdf", "image/jpeg", bytearray(b"123")), ("b.jpg", ".jpg", "image/jpeg", bytearray(b"x")), ("c.tif", ".tif", "image/tiff", bytearray(b"y")), ("d.txt", ".txt", None, bytearray(b"z")), ("e.pdf", ".pdf", "image/jpeg", None)], "path string, ext string, page_media_type string, content binary")
+    render = lambda path, content: (bytes([c]) for c in content)
+    got = sorted((r.doc_key, r.page_no, r.url) for r in shown_pages(files, render, 2).collect())
+    assert got == [("a.pdf", 1, "data:image/jpeg;base64,MQ=="), ("a.pdf", 2, "data:image/jpeg;base64,Mg=="), ("b.jpg", 1, "data:image/jpeg;base64,eA=="), ("c.tif", 1, "data:image/tiff;base64,eQ==")]
