@@ -46,8 +46,8 @@ NULL_ID = (1 << 63) - 1
 ROW_BITS = 36
 #: Positions that a task holds before it sends them.
 HELD = 1 << 20
-#: Ranks of more positions than this, and than one in so many of all, are hot; so there are at most about as many.
-HOT_PLACES, HOT_RANKS = 4096, 100_000
+#: Ranks of more positions than this, which a task holds together, and than one in so many of all, are hot; so there are at most about as many.
+HOT_PLACES, HOT_RANKS = 1 << 16, 100_000
 #: Bytes of text whose hot windows are ranked together.
 HOT_BYTES = 2 << 20
 #: Bytes of rows whose windows a task ranks at once.

@@ -113,7 +113,7 @@ def shared(seed):
     return [*out, (50, "a" * 300, None, None, None), (51, "b" + "a" * 120, None, None, None), (52, "ab" * 90, None, None, None), (53, "é" * 49 + "a" * 49, None, None, None)]
 
 
-@pytest.mark.parametrize(("width", "hot"), [(50, 4096), (20, 3), (50, 2)])
+@pytest.mark.parametrize(("width", "hot"), [(50, 1 << 16), (20, 3), (50, 2)])
 def test_bytes_match_brute_force(spark, width, hot):
     data = rows() + shared(width + hot)
     assert cut(op12.suffix_dedup(frame(spark, data), width, hot_places=hot)) == bytes_removed(data, width)
