@@ -57,7 +57,13 @@ GRAMMAR = [
     ("term", 4, "net NUMBER days?"), ("term", 5, "due on? ISO"), ("term", 5, "due by? ISO"), ("term", 4, "due by? DAY MONTH YEAR?"), ("term", 4, "due date :? ISO"), ("term", 4, "due date DAY MONTH YEAR?"), ("term", 4, "payable within NUMBER days"),
     ("tax_id", 4, "tax id :? NUMBER"), ("tax_id", 4, "vat id :? NUMBER"), ("tax_id", 4, "gst :? NUMBER"),
     ("signature", 4, "signed by NAME .? NAME?"), ("signature", 4, "signature : NAME .? NAME?"),
-    ("vague", 2, "VAGUE"),
+    ("term", 6, "NUMBER / NUMBER net NUMBER"), ("term", 4, "due on receipt"),
+    *[("seller", 5, f"{x} : NAME*") for x in ("seller", "vendor", "supplier")], *[("buyer", 5, f"{x} : NAME*") for x in ("buyer", "customer", "receiver")],
+    *[("total", 5, f"{x}total :? SIGN AMOUNT") for x in ("", "grand ")], ("subtotal", 5, "subtotal :? SIGN AMOUNT"), ("price", 5, "price :? SIGN AMOUNT"), ("quantity", 3, "quantity :? NUMBER"),
+    *[("tax", 7, f"{x} AMOUNT % :? SIGN AMOUNT") for x in ("gst", "vat", "sales tax")], ("exemption", 5, "exempt under WORD* NUMBER?"), ("exemption", 5, "exemption certificate NUMBER?"),
+    ("delivery", 5, "delivery date :? ISO"), ("effective", 5, "effective date :? ISO"), ("expiry", 5, "valid until ISO"),
+    ("parties", 5, "parties : NAME and NAME"), ("scope", 4, "scope : NAME*"), ("duration", 4, "duration : NUMBER WORD"), ("issuer", 5, "issued by : NAME*"), ("holder", 5, "issued to : NAME*"),
+    ("vague", 2, "VAGUE"), ("vague", 3, "services rendered"),
 ]
 
 
@@ -76,12 +82,14 @@ def ends(shape: list[str], tokens: list[set[str]], at: int) -> Iterator[int]:
 
 
 def value_of(kind: str, text: str) -> str:
-    """The plain form of a field: amounts as numbers, dates and what is due on one as yyyy-MM-dd where they are whole."""
-    if kind in ("amount", "rate", "tax_id"):
+    """The plain form of a field: amounts as numbers, names without their label, dates and what is due on one as yyyy-MM-dd where they are whole."""
+    if kind in ("seller", "buyer", "parties", "scope", "duration", "issuer", "holder"):
+        return " ".join(text.partition(":")[2].split())
+    if kind in ("amount", "rate", "tax_id", "total", "subtotal", "price", "quantity"):
         number = re.search(r"\d[\d.,]*", text)[0].rstrip(".,")
         whole, point, cents = number.rpartition("." if number.rfind(".") > number.rfind(",") else ",")
         return re.sub(r"[.,]", "", number) if not point or len(cents) == 3 else re.sub(r"[.,]", "", whole) + "." + cents
-    if kind in ("date", "term"):
+    if kind in ("date", "term", "delivery", "effective", "expiry"):
         if iso := re.search(r"\d{4}-\d\d-\d\d", text):
             return iso[0]
         month = next((k + 1 for k, m in enumerate(MONTHS) if m in text.lower().split()), 0)

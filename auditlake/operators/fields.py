@@ -31,29 +31,62 @@ def header_fields(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "f.*", F.col("text").substr(F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("evidence"))
 
 
-def field_findings(docs: DataFrame) -> DataFrame:
-    """R004, R007, R009 and R011 of documents (doc_id, document_type, text) by their fields.
+#: The fields that a document of each type must have, beside its number.
+REQUIRED = {
+    "invoice": ("date", "seller", "buyer", "quantity", "subtotal", "tax", "total"),
+    "receipt": ("date", "seller", "buyer", "quantity", "subtotal", "tax", "total"),
+    "purchase_order": ("date", "seller", "quantity", "delivery", "term"),
+    "delivery_challan": ("date", "seller", "buyer", "quantity", "signature"),
+    "contract": ("parties", "effective", "duration", "scope", "price", "signature"),
+    "certificate": ("date", "issuer", "holder", "signature"),
+}
+
+
+def field_findings(docs: DataFrame, as_of: str = "9999-12-31", since: str = "0001-01-01") -> DataFrame:
+    """R002, R004, R005, R007, R009, R010 and R011 of documents (doc_id, document_type, document_number, text) by their fields.
 
     One row for each row of docs and rule: (doc_key, rule_id, mandatory, applies, complies, evidence).  The
     evidence is what was found, the first of each kind, or what is lacking; a rule that does
-    not apply is complied with.  A contract is signed by a signature field, parties are known
-    by an address and a tax id, payment by a term, and items are described if nothing vague is said.
+    not apply is complied with.
+
+    * R002: a number and the fields of its type.  R004: a signature.  R007: an address and a tax id.
+    * R005: every date is one of the calendar, from since to as_of, and none has expired; days are yyyy-MM-dd.
+    * R009: a term of payment.  R010: a tax with rate and amount and a tax id, or an exemption.  R011: nothing vague.
     """
-    d = with_fields(docs.select("doc_id", F.coalesce("document_type", F.lit("unknown")).alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+    number = F.col("document_number") if "document_number" in docs.columns else F.lit("-")
+    d = with_fields(docs.select("doc_id", number.alias("number"), F.coalesce("document_type", F.lit("unknown")).alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+
+    def words(f: Column) -> Column:
+        return F.col("text").substr(f["start"] + 1, f["end"] - f["start"])
 
     def said(kind: str) -> Column:
-        first = F.get(F.filter("fields", lambda f: f["kind"] == kind), 0)
-        return F.col("text").substr(first["start"] + 1, first["end"] - first["start"])
+        return words(F.get(F.filter("fields", lambda f: f["kind"] == kind), 0))
 
     def wanted(*kinds: str) -> tuple[Column, Column]:
-        complies, words = F.lit(True), []
+        complies, evidence = F.lit(True), []
         for k in kinds:
             complies = complies & said(k).isNotNull()
-            words.append(F.coalesce(F.concat(F.lit(f"{k}: "), said(k)), F.lit(f"no {k}")))
-        return complies, F.concat_ws("; ", *words)
-
-    billing, signed = F.col("kind").isin(*BILLING_TYPES), F.col("kind").isin(*SIGNED_TYPES)
-    vague = said("vague")
-    checks = [("R004", True, signed, *wanted("signature")), ("R007", True, billing, *wanted("address", "tax_id")), ("R009", True, billing, *wanted("term")), ("R011", False, F.lit(True), vague.isNull(), F.coalesce(F.concat(F.lit("vague: "), vague), F.lit("")))]
+            evidence.append(F.coalesce(F.concat(F.lit(f"{k}: "), said(k)), F.lit(f"no {k}")))
+        return complies, F.concat_ws("; ", *evidence)
+
+    billing, signed, kind = F.col("kind").isin(*BILLING_TYPES), F.col("kind").isin(*SIGNED_TYPES), F.col("kind")
+    numbered, whole, lacking = F.coalesce(F.col("number") != "", F.lit(False)), F.lit(True), F.lit("")
+    for name, kinds in REQUIRED.items():
+        missing = F.concat_ws(", ", F.when(~numbered, "number"), *[F.when(said(k).isNull(), k) for k in kinds])
+        whole = F.when(kind == name, missing == "").otherwise(whole)
+        lacking = F.when((kind == name) & (missing != ""), F.concat(F.lit("lacks "), missing)).otherwise(lacking)
+    day = lambda f: F.try_to_date(f["value"], "yyyy-MM-dd")
+    first, last = F.lit(since).cast("date"), F.lit(as_of).cast("date")
+    bad = F.filter("fields", lambda f: (f["kind"].isin("date", "effective") & F.coalesce(~day(f).between(first, last), F.lit(True))) | ((f["kind"] == "expiry") & F.coalesce(day(f) < last, F.lit(True))))
+    dated = F.exists("fields", lambda f: f["kind"].isin("date", "effective", "expiry"))
+    taxed, tax_words = wanted("tax", "tax_id")
+    exempt, vague = said("exemption"), said("vague")
+    checks = [
+        ("R002", True, kind.isin(*REQUIRED), whole, lacking), ("R004", True, signed, *wanted("signature")),
+        ("R005", False, dated, F.size(bad) == 0, F.coalesce(F.concat(F.lit("date: "), words(F.get(bad, 0))), F.lit(""))),
+        ("R007", True, billing, *wanted("address", "tax_id")), ("R009", True, billing, *wanted("term")),
+        ("R010", True, billing | (kind == "receipt"), taxed | exempt.isNotNull(), F.coalesce(F.concat(F.lit("exemption: "), exempt), tax_words)),
+        ("R011", False, F.lit(True), vague.isNull(), F.coalesce(F.concat(F.lit("vague: "), vague), F.lit(""))),
+    ]
     rows = [F.struct(F.lit(r).alias("rule_id"), F.lit(m).alias("mandatory"), a.alias("applies"), (c | ~a).alias("complies"), F.when(a, e).otherwise("").alias("evidence")) for r, m, a, c, e in checks]
     return d.select(F.col("doc_id").alias("doc_key"), F.inline(F.array(*rows)))

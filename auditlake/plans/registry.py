@@ -11,7 +11,7 @@ from auditlake.functions.names import base_name, file_media_type, page_media_typ
 from auditlake.functions.replies import decode_replies, decode_summaries, with_summaries
 from auditlake.operators import checklist, rules, scoring
 from auditlake.operators import report as reports
-from auditlake.operators.fields import field_findings, header_fields
+from auditlake.operators.fields import REQUIRED, field_findings, header_fields
 from auditlake.plans import filing  # noqa: F401  registers its queries
 from auditlake.plans import fixtures as fx
 from auditlake.plans.audit import invoice_audit, whole_audit
@@ -450,19 +450,70 @@ FIELD_SQL = " UNION ALL ".join(
  UNION ALL SELECT doc_id, 'R011', false, true, {SAID['vague']} IS NULL, coalesce('vague: ' || {SAID['vague']}, '') FROM d""")
 def field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R004, R007, R009 and R011 by typed fields, with the words that were found."""
-    return field_findings(order_documents(spark, sf_dir))
+    return field_findings(order_documents(spark, sf_dir)).where("rule_id IN ('R004', 'R007', 'R009', 'R011')")
 
 
 DATED_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, '{kind}' AS kind, {value} AS value, strpos(text, {words}) - 1 AS start, {words} AS evidence FROM d WHERE contains(text, {words})"
+    f"SELECT doc_id, '{kind}' AS kind, {value} AS value, CAST(strpos(text, {words}) - 1 AS INTEGER) AS start, {words} AS evidence FROM d WHERE contains(text, {words})"
     for kind, words, value in (
-        ("amount", "'$10'", "'10'"), ("amount", "'€9'", "'9'"), ("rate", "'7 %'", "'7'"), ("address", "'12 Mill Road'", "'12 Mill Road'"), ("tax_id", "'Tax ID 77'", "'77'"), ("term", "'net 30'", "'net 30'"), ("signature", "'Signed by A. Clerk'", "'Signed by A. Clerk'"), ("vague", "'miscellaneous'", "'miscellaneous'"),
-        ("date", "substr(text, 6, 10)", "substr(text, 6, 10)"), ("date", "('valid until ' || substr(text, 6, 10))", "substr(text, 6, 10)"),
+        ("total", "'total $10'", "'10'"), ("amount", "'€9'", "'9'"), ("rate", "'7 %'", "'7'"), ("address", "'12 Mill Road'", "'12 Mill Road'"), ("tax_id", "'Tax ID 77'", "'77'"), ("term", "'net 30'", "'net 30'"), ("signature", "'Signed by A. Clerk'", "'Signed by A. Clerk'"), ("vague", "'miscellaneous'", "'miscellaneous'"),
+        ("seller", "'supplier: Works'", "'Works'"), ("quantity", "'quantity 4'", "'4'"), ("date", "substr(text, 6, 10)", "substr(text, 6, 10)"), ("expiry", "('valid until ' || substr(text, 6, 10))", "substr(text, 6, 10)"),
     )
 )
 
 
-@query(f"""WITH d AS ({DOCS_SQL}) SELECT doc_id, kind, value, CAST(CASE WHEN starts_with(evidence, 'valid') THEN start + 12 ELSE start END AS INTEGER) AS start, CASE WHEN starts_with(evidence, 'valid') THEN substr(evidence, 13) ELSE evidence END AS evidence FROM ({DATED_SQL})""")
+@query(f"WITH d AS ({DOCS_SQL}) {DATED_SQL}")
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed field of every order written out as a document, with its place and words."""
     return header_fields(order_documents(spark, sf_dir)).select("doc_id", "kind", "value", "start", "evidence")
+
+
+#: Fields that are planted in other documents of the orders, when, and how they are written.
+PLANTED = [
+    (("date",), "true", "Date {d}. "),
+    (("seller",), "o_custkey % 5 <> 0", "Seller: Works Hill. "),
+    (("buyer",), "o_custkey % 3 <> 0", "Buyer: Anna Lee. "),
+    (("address",), "o_custkey % 4 <> 0", "12 Mill Road. "),
+    (("tax_id",), "o_custkey % 6 <> 0", "VAT ID: 77. "),
+    (("quantity",), "o_custkey % 7 <> 0", "Quantity 4. "),
+    (("subtotal", "total"), "o_custkey % 2 = 0", "Subtotal: $90.00. Grand total: $99.00. "),
+    (("tax",), "o_custkey % 8 <> 0", "VAT 10 % $9.00. "),
+    (("exemption",), "o_custkey % 16 = 0", "Exempt under Clause 7. "),
+    (("delivery",), "o_custkey % 9 <> 0", "Delivery date: {d}. "),
+    (("effective",), "o_custkey % 10 <> 0", "Effective date: {d}. "),
+    (("parties", "duration", "scope", "price"), "o_custkey % 11 <> 0", "Parties: Works and Lee. Duration: 12 months. Scope: Supply. Price: $99.00. "),
+    (("issuer", "holder"), "o_custkey % 12 <> 0", "Issued by: Board. Issued to: Anna Lee. "),
+    (("signature",), "o_custkey % 13 <> 0", "Signed by A. Clerk. "),
+    (("term",), "o_custkey % 14 <> 0", "2/10 net 30. "),
+    (("vague",), "o_custkey % 15 = 0", "Services rendered. "),
+    (("expiry",), "o_custkey % 2 = 1", "Valid until {d}. "),
+]
+WHEN = {kind: f"({when})" for kinds, when, _ in PLANTED for kind in kinds}
+NUMBERED = "o_custkey % 19 <> 0"
+
+
+def planted(day: str, kinds: str) -> str:
+    """SQL of documents with planted fields, and the keys that say which."""
+    texts = [(when, "concat('" + text.replace("{d}", f"', {day}, '") + "')") for _, when, text in PLANTED]
+    parts = ", ".join(f"CASE WHEN {when} THEN {text} ELSE '' END" for when, text in texts)
+    return f"SELECT o_orderkey AS doc_id, o_custkey, {day} AS day, {kinds} AS document_type, CASE WHEN {NUMBERED} THEN concat('DOC-', CAST(o_orderkey AS STRING)) END AS document_number, concat({parts}) AS text FROM orders"
+
+
+LACKING_SQL = " ".join(f"WHEN '{kind}' THEN concat_ws(', ', CASE WHEN NOT ({NUMBERED}) THEN 'number' END, " + ", ".join(f"CASE WHEN NOT {WHEN[k]} THEN '{k}' END" for k in fields) + ")" for kind, fields in REQUIRED.items())
+BAD_DAY = f"day > '{AS_OF}' OR ({WHEN['expiry']} AND day < '{AS_OF}')"
+BAD_WORDS = f"CASE WHEN day > '{AS_OF}' THEN day ELSE 'Valid until ' || day END"
+BILLED = f"({BILLING_SQL} OR kind = 'receipt')"
+
+
+@query(f"""WITH d AS (SELECT *, document_type AS kind FROM ({planted("strftime(o_orderdate, '%Y-%m-%d')", f"({list(KINDS)})[o_orderkey % {len(KINDS)} + 1]")})),
+m AS (SELECT *, CASE kind {LACKING_SQL} END AS lacking FROM d)
+SELECT doc_id AS doc_key, 'R002' AS rule_id, true AS mandatory, true AS applies, lacking = '' AS complies, CASE WHEN lacking = '' THEN '' ELSE 'lacks ' || lacking END AS evidence FROM m
+UNION ALL SELECT doc_id, 'R005', false, true, NOT ({BAD_DAY}), CASE WHEN {BAD_DAY} THEN 'date: ' || {BAD_WORDS} ELSE '' END FROM d
+UNION ALL SELECT doc_id, 'R009', true, {BILLING_SQL}, NOT {BILLING_SQL} OR {WHEN['term']}, CASE WHEN NOT {BILLING_SQL} THEN '' WHEN {WHEN['term']} THEN 'term: 2/10 net 30' ELSE 'no term' END FROM d
+UNION ALL SELECT doc_id, 'R010', true, {BILLED}, NOT {BILLED} OR ({WHEN['tax']} AND {WHEN['tax_id']}) OR {WHEN['exemption']}, CASE WHEN NOT {BILLED} THEN '' WHEN {WHEN['exemption']} THEN 'exemption: Exempt under Clause 7'
+ ELSE CASE WHEN {WHEN['tax']} THEN 'tax: VAT 10 % $9.00' ELSE 'no tax' END || '; ' || CASE WHEN {WHEN['tax_id']} THEN 'tax_id: VAT ID: 77' ELSE 'no tax_id' END END FROM d""")
+def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R002, R005, R009 and R010 by typed fields, on documents of six types with fields planted or left out."""
+    kinds = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + f"), CAST(o_orderkey % {len(KINDS)} AS INT) + 1)"
+    docs = shared_sql(spark, sf_dir, planted("date_format(o_orderdate, 'yyyy-MM-dd')", kinds), "orders")
+    return field_findings(docs, AS_OF).where("rule_id IN ('R002', 'R005', 'R009', 'R010')")
