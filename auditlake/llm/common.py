@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.shared import join_counted, positions, shared_path, stored  # noqa: F401  used by the operators
+from auditlake.shared import HEAVY, join_counted, positions, shared_path, stored  # noqa: F401  used by the operators
 
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"

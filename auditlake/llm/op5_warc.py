@@ -3,8 +3,9 @@
 Each task writes its pages as records of its own archives, one gzip member each, and
 returns the index row of every record: archive, offset, length, URL and digest.  An
 archive's name is new for every attempt of a task, and only rows of attempts that
-end well enter the index, so a lost executor leaves no half archive in it.  Readers
-take index rows in order of archive and offset and join near ranges into one read.
+end well enter the index, so a lost executor leaves no half archive in it.  Payloads
+that very many pages have find their response by broadcast and are dealt over all
+tasks; no task gets all pages of one payload.  Readers take index rows in order of archive and offset and join near ranges into one read.
 
 Defined cases: null html is an empty payload and null url an empty target; of pages
 with equal payloads of at least 1000 bytes the largest page_id is the response; a
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import shared_path, stored
+from auditlake.llm.common import HEAVY, shared_path, stored
 
 MIN_REVISIT_BYTES = 1000
 #: An archive ends when it has so many bytes.
@@ -80,13 +81,27 @@ def with_digests(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
 
 
+def with_responses(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and digest, and refers_to, the page_id of the response if that is another page."""
+    rows = pages.transform(with_digests)
+    # only digests and ids are grouped; equal ids combine before the shuffle
+    again = stored(rows.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-again")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > F.lit(total)
+    few = F.broadcast(again.where(heavy).select("digest", F.col("top").alias("heavy_top"), F.lit(True).alias("heavy")))  # fewer than HEAVY
+    # pages of a heavy payload get keys that no other payload has, many of them, so that they do not meet in one task
+    spread = F.concat_ws("-", "digest", F.xxhash64("page_id", "url", F.spark_partition_id()))
+    rows = rows.join(few, "digest", "left").withColumn("key", F.when(F.col("heavy"), spread).otherwise(F.col("digest")))
+    rows = rows.join(again.where(~heavy).select(F.col("digest").alias("key"), "top"), "key", "left")
+    top = F.when(F.col("heavy"), F.col("heavy_top")).otherwise(F.col("top"))
+    return rows.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(top), top).alias("refers_to"))
+
+
 def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes every page into archives below folder and returns the stored index."""
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
-    # only digests and ids are grouped; equal ids combine before the shuffle
-    again = pages.transform(with_digests).where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = pages.transform(with_digests).join(again, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
+    rows = with_responses(pages)
 
     def write(batches):
         store, path = open_store(folder)

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,6 +196,23 @@ def test_warc_round_trip(spark, monkeypatch):
     assert op5.read_records(op5.write_archives(page_frame(spark, []), empty), empty).count() == 0
 
 
+def test_pages_of_one_hot_payload_do_not_meet_in_one_task(spark, without_broadcast):
+    from pyspark.sql import functions as F
+
+    hot, twice = "h" * 1500, "t" * 1500
+    data = [(k, "same", hot) for k in range(2000)] + [(5000 + k, f"u{k}", f"{k}" * 1200) for k in range(1200)] + [(9001, None, twice), (9002, None, twice)]
+    # so few repeated payloads are all heavy; many more make the pair a light one
+    data += [(20000 + k, f"v{k}", f"{k % 1500}-" * 600) for k in range(3000)]
+    rows = op5.with_responses(page_frame(spark, data).repartition(4)).withColumn("task", F.spark_partition_id())
+    got = {r.page_id: r for r in rows.collect()}
+    assert len(got) == len(data)
+    assert [got[k].refers_to for k in (0, 1998, 1999, 5000, 9001, 9002, 20000, 21500)] == [1999, 1999, None, None, 9002, None, 21500, None]
+    tasks = Counter(got[k].task for k in range(2000))
+    assert len(tasks) == 4
+    assert max(tasks.values()) < 800
+    assert len({got[k].task for k in (9001, 9002)}) == 1
+
+
 def test_ranges_are_coalesced():
     got = list(op5.ranges([("a", 0, 10), ("a", 10, 10), ("a", 20 + op5.GAP_BYTES + 1, 5), ("b", 0, 3)]))
     assert [(a, s, e, len(g)) for a, s, e, g in got] == [("a", 0, 20, 2), ("a", 20 + op5.GAP_BYTES + 1, 25 + op5.GAP_BYTES + 1, 1), ("b", 0, 3, 1)]
