@@ -3,7 +3,8 @@
 Base rules judge a document alone (word count, words in repeated 8-word windows).
 The method then hashes every normalised line, counts the distinct documents of each
 host that hold it, removes lines above the host's limit and rejects documents of
-which too little is left.  A document's host is its ``source``.
+which too little is left.  A document's host is its ``source``.  Lines and hosts that very
+many rows have are joined where these lie.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
 source is a host of its own; repeated rows each get their own result, and equal
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import SEPARATORS, documents, stored
+from auditlake.llm.common import SEPARATORS, documents, join_counted, stored
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -73,18 +74,25 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(rows: DataFrame) -> DataFrame:
-    """(host, h) of the lines above their host's limit; rows is the stored table of features()."""
-    per_host = rows.groupBy("host").agg(F.count_distinct("content").alias("docs"))
-    lines = rows.select("host", "content", F.explode(F.array_distinct(F.transform("hashed", lambda x: x["h"]))).alias("h"))
+    """(host, h) of the lines above their host's limit, and how often they occur; rows is the stored table of features()."""
+    lines = rows.select("host", "content", F.explode(F.transform("hashed", lambda x: x["h"])).alias("h"))
     # equal texts first become one; both steps combine before their shuffle, so a common line is no hot key
-    counted = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LINE_DOCS)
-    return counted.join(per_host, "host").where(F.col("n") > F.col("docs") * F.lit(LINE_SHARE)).select("host", "h")
+    counted = lines.groupBy("host", "content", "h").agg(F.count(F.lit(1)).alias("uses")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses"))
+    counted = stored(counted.where(F.col("n") >= LINE_DOCS), "lines")
+    per_host = rows.groupBy("host").agg(F.count_distinct("content").alias("docs")).join(counted.groupBy("host").agg(F.count(F.lit(1)).alias("lines")), "host")
+    above = join_counted(counted, stored(per_host, "hosts"), ["host"], "lines")
+    return above.where(F.col("n") > F.col("docs") * F.lit(LINE_SHARE)).select("host", "h", "uses")
+
+
+def removed_lines(rows: DataFrame) -> DataFrame:
+    """(row, w), the row and words of every line that is boilerplate; rows is the stored table of features()."""
+    lines = rows.select("row", "host", F.explode("hashed").alias("x")).select("row", "host", "x.h", "x.w")
+    return join_counted(lines, stored(boilerplate(rows), "boilerplate"), ["host", "h"], "uses").select("row", "w")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     rows = stored(features(docs), "quality")
-    lines = rows.select("row", "host", F.explode("hashed").alias("x")).select("row", "host", "x.h", "x.w")
-    removed = lines.join(boilerplate(rows), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed"))
+    removed = removed_lines(rows).groupBy("row").agg(F.sum("w").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     return rows.join(removed, "row", "left").select(

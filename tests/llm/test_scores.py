@@ -79,6 +79,19 @@ def test_quality_of_a_host_that_is_mostly_copies(spark):
     assert [i for i, r in got.items() if not r.kept] == [0]
 
 
+def test_lines_of_one_hot_banner_do_not_meet_in_one_task(spark, without_broadcast):
+    banner = "one two three"
+    data = [(k, f"{banner}\n{banner}\nown {k}", None, "h", 1) for k in range(1500)]
+    data += [(5000 + k, f"footer {k // 12}\nline {k}", None, "few" if k < 120 else "g", 1) for k in range(3000)]
+    features = op9.stored(op9.features(frame(spark, data).repartition(4)), "quality")
+    got = op9.removed_lines(features).withColumn("task", F.spark_partition_id()).join(features.select("row", "doc_id"), "row").collect()
+    tasks = Counter(r.task for r in got if r.doc_id < 5000)
+    assert sum(tasks.values()) == 3000
+    assert max(tasks.values()) < 1200
+    # a light line of a host of 120 documents is above its limit, one of a host of 2880 is not
+    assert sorted(r.doc_id for r in got if r.doc_id >= 5000) == list(range(5000, 5120))
+
+
 # ---------------------------------------------------------------- mixing
 
 
