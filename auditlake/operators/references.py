@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.shared import stored
+from auditlake.shared import join_counted, stored
 
 GRAM = 2
 #: Marks beyond both ends of a text, so that its first and last letters have grams of their own.
@@ -44,7 +44,8 @@ def similar(left: DataFrame, right: DataFrame, most: int, within: tuple[str, ...
 
     def met(side: DataFrame) -> DataFrame:
         """Each text with the GRAM * most + 1 rarest of its grams: one of them survives so many edits."""
-        each = side.select(*keys, "text", F.explode(grams(F.col("text"))).alias("g")).select(*keys, "text", "g.gram", "g.at").join(weight, "gram")
+        each = side.select(*keys, "text", F.explode(grams(F.col("text"))).alias("g")).select(*keys, "text", "g.gram", "g.at")
+        each = join_counted(each, weight, ["gram"], "uses")  # the prefix of all numbers is a gram of every text
         rare = F.slice(F.sort_array(F.collect_list(F.struct("uses", "gram", "at"))), 1, GRAM * most + 1)  # as long as a text
         return each.groupBy(*keys, "text").agg(rare.alias("rare")).select(*keys, "text", F.explode("rare").alias("x")).select(*keys, "text", F.col("x.gram").alias("gram"), F.col("x.at").alias("at"))
 
@@ -76,4 +77,6 @@ def found_references(docs: DataFrame, pattern: str, most: int = 1) -> DataFrame:
     text = F.col("letters").alias("text")
     pairs = similar(wanted.select("digits", text), numbers.select("digits", text), most, ("digits",))
     best = pairs.withColumnRenamed("b", "letters").join(numbers, ["letters", "digits"]).groupBy("digits", F.col("a").alias("letters")).agg(F.min(F.struct("distance", "found")).alias("x"))
-    return wanted.join(best, ["letters", "digits"], "left").select("doc_id", "wanted", F.col("x.found").alias("found"))
+    # a third of all texts may refer to one number
+    uses = wanted.groupBy("letters", "digits").agg(F.count(F.lit(1)).alias("uses")).join(best, ["letters", "digits"], "left")
+    return join_counted(wanted, stored(uses, "meant"), ["letters", "digits"], "uses").select("doc_id", "wanted", F.col("x.found").alias("found"))
