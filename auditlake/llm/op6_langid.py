@@ -3,32 +3,40 @@
 Each language is a table of byte n-gram likelihoods, learned from labelled rows.  A
 document is a mixture: each of its words comes from one language, and
 expectation-maximisation estimates the proportions of the languages from the words'
-likelihoods.  Starting from all languages, the one with the smallest proportion is
-dropped again and again; of these nested sets the one with the best likelihood,
-penalised by half the logarithm of the number of words for each language, is taken.
-The prediction is its largest language, the score that language's proportion.
+likelihoods.  The language set starts with the language that is likeliest alone.  The
+likelihood is concave in the proportions, so what all other languages together can add
+is at most the largest of their slopes at the proportions found; where no slope exceeds
+the penalty, half the logarithm of the number of words for each language, no larger set
+can be better.  Otherwise the language of the largest slope joins and the proportions
+are estimated anew; a set that does not pay its penalty ends the search.  Time grows
+with the number of languages times one more than the document's own, and every labelled
+language is learned.  The prediction is the set's largest language, the score its proportion.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0, as is
-everything when no labelled row exists; of more than MAX_LANGUAGES languages those with
-the most labelled rows are learned; ties go to the first language in code point order;
+everything when no labelled row exists; ties go to the first language in code point order;
+rows equal in lang, doc_id and text are learned from once;
 a text of any length is read in steps; repeated rows each get the same result; an empty table gives an empty result;
 columns other than doc_id, text and lang are ignored.
+
+Tables of the DENSE languages with the most n-grams take half a megabyte each, all others
+what their own n-grams need; both hold the same numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import STEP_BYTES, U64, Words, documents, fold, fresh, mix, text_steps
+from auditlake.llm.common import STEP_BYTES, U64, Words, documents, fold, fresh, join_counted, mix, stored, text_steps
 
-#: Labelled rows of a language that are learned from, on average at most; chosen by a hash of doc_id.
+#: Distinct labelled rows of a language that are learned from, on average at most; chosen by a hash of doc_id and text.
 TRAIN_DOCS = 400
-#: Languages that are learned: those with the most labelled rows, so that mistyped labels cannot make the tables grow.
-MAX_LANGUAGES = 128
+#: Languages whose tables have a number for every cell.
+DENSE = 64
 #: Cells of the table that n-grams are hashed to, and their lengths in bytes.
 CELLS, ORDERS = 1 << 16, (3, 4)
 SMOOTHING = 0.5
@@ -60,24 +68,51 @@ def gram_cells(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def cell_steps(data: np.ndarray, offsets: np.ndarray):
+def step_bytes(langs: int) -> int:
+    """Bytes of text that are taken at once, fewer for more languages."""
+    return max(1, min(STEP_BYTES, 8 * STEP_BYTES // max(1, langs)))
+
+
+def cell_steps(data: np.ndarray, offsets: np.ndarray, step: int):
     """(lo, hi, cells) of steps of documents of any length; an n-gram may reach back into the step before."""
     back = max(ORDERS) - 1
-    for lo in range(0, len(data), STEP_BYTES):
-        hi, start = min(len(data), lo + STEP_BYTES), max(0, lo - back)
+    for lo in range(0, len(data), step):
+        hi, start = min(len(data), lo + step), max(0, lo - back)
         starts = offsets[(offsets >= start) & (offsets < hi)] - start
         yield lo, hi, gram_cells(data[start:hi], starts)[:, lo - start :]
 
 
-def word_logs(words: Words, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+def word_logs(words: Words, offsets: np.ndarray, table: dict[str, np.ndarray]) -> np.ndarray:
     """Each word's log likelihood in each language."""
-    out = np.zeros((len(words), table.shape[2]))
-    for lo, hi, cells in cell_steps(words.data, offsets):
+    dense, sparse = table["dense"], table["sparse"]
+    k = len(dense) + len(sparse)
+    out = np.zeros((len(words), k))
+    for lo, hi, cells in cell_steps(words.data, offsets, step_bytes(k)):
         first, last = max(0, np.searchsorted(words.starts, lo, "right") - 1), np.searchsorted(words.starts, hi)
         if first < last:
-            logs = sum(table[o][cells[o]] for o in range(len(ORDERS)))
+            logs = sum(table["logs"][o][cells[o]] for o in range(len(ORDERS)))
             # a word may have begun in the step before; what lies between words is 0
-            out[first:last] += np.add.reduceat(logs, np.maximum(words.starts[first:last], lo) - lo)
+            begin = np.maximum(words.starts[first:last], lo) - lo
+            out[first:last, dense] += np.add.reduceat(logs, begin)
+            if len(sparse):
+                out[first:last, sparse] += sparse_logs(cells, begin, table)
+    return out
+
+
+def sparse_logs(cells: np.ndarray, begin: np.ndarray, table: dict[str, np.ndarray]) -> np.ndarray:
+    """What the n-grams of the words that begin at some bytes add in the languages without a number for every cell."""
+    k = len(table["sparse"])
+    out = np.zeros((len(begin), k))
+    for o in range(len(ORDERS)):
+        at = np.flatnonzero(cells[o] < CELLS)
+        word = np.searchsorted(begin, at, "right") - 1
+        at, word = at[word >= 0], word[word >= 0]
+        out += np.bincount(word, minlength=len(begin))[:, None] * table["unseen"][o]
+        key = cells[o][at] + o * CELLS
+        start, count = table["first"][key], table["first"][key + 1] - table["first"][key]
+        entry = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        place = np.repeat(word, count) * k + table["lang"][entry]
+        out += np.bincount(place, table["above"][entry], minlength=out.size).reshape(out.shape)
     return out
 
 
@@ -90,45 +125,73 @@ def lettered(words: Words) -> np.ndarray:
     return np.maximum.reduceat(table[words.data], words.starts) > 0
 
 
-def learn(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and log likelihoods, CELLS + 1 rows of one column for each; the last row is 0."""
-    spark = docs.sparkSession
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11).cast("double") / float(1 << 53)
-    sample = labelled.join(F.broadcast(n), "lang").where(draw * F.col("n") < per_language).select("lang", "text")
+def learn(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Languages and their log likelihoods.
+
+    dense and sparse name the languages of either form.  logs: for each order CELLS + 1
+    rows, the last of which is 0, of the dense ones; unseen: for each order what a cell
+    without n-grams has in the sparse ones; first, lang, above: for each order and cell
+    the stretch of languages that have it, and how much more they have.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    n = rows.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "key"), 11).cast("double") / float(1 << 53)
+    n = stored(n, "languages")
+    sample = join_counted(rows, n, ["lang"], "rows").where(draw * F.col("n") < per_language).dropDuplicates(["lang", "key"]).select("lang", "text")
+
+    def entries(counted):
+        for lang, have in counted.items():
+            have = have[:, :CELLS]
+            order, cell = np.nonzero(have)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(order, pa.int32()), pa.array(cell, pa.int32()), pa.array(have[order, cell], pa.int64())], ["lang", "ord", "cell", "n"])
 
     def count(batches):
-        counts: dict[str, np.ndarray] = {}
+        counted: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for lo, hi, data, offsets in text_steps(batch.column(1)):
                 words = Words(data, offsets, lower=True)
-                for at, end, cells in cell_steps(words.data, offsets):
+                for at, end, cells in cell_steps(words.data, offsets, STEP_BYTES):
                     for k in range(lo, hi):
                         a, b = max(at, offsets[k - lo]), min(end, offsets[k - lo + 1])
                         if a < b:
-                            have = counts.setdefault(langs[k], np.zeros((len(ORDERS), CELLS + 1), np.int64))
+                            if langs[k] not in counted and len(counted) == DENSE:
+                                yield from entries(counted)
+                                counted = {}
+                            have = counted.setdefault(langs[k], np.zeros((len(ORDERS), CELLS + 1), np.int64))
                             for o in range(len(ORDERS)):
                                 np.add.at(have[o], cells[o, a - at : b - at], 1)
-        for lang, have in counts.items():
-            have = have[:, :CELLS]
-            order, cell = np.nonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(order, pa.int32()), pa.array(cell, pa.int32()), pa.array(have[order, cell], pa.int64())], ["lang", "ord", "cell", "n"])
+        yield from entries(counted)
+
+    counts = sample.mapInArrow(count, "lang string, ord int, cell int, n long").groupBy("lang", "ord", "cell").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # of what the sample holds, at most CELLS rows for each language and each order
+    names, order, cell, have = (found.column(c).combine_chunks() for c in ("lang", "ord", "cell", "n"))
+    langs = sorted(set(names.unique().to_pylist()))
+    lang = pc.index_in(names, pa.array(langs, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    return langs, tabled(lang, order.to_numpy(), cell.to_numpy(), have.to_numpy(), len(langs))
+
 
-    rows = sample.mapInArrow(count, "lang string, ord int, cell int, n long").groupBy("lang", "ord", "cell").agg(F.sum("n").alias("n"))
-    found = rows.toArrow()  # at most CELLS rows for each of MAX_LANGUAGES languages and each order
-    langs = sorted(set(found.column("lang").to_pylist()))
-    counts = np.zeros((len(langs), len(ORDERS), CELLS), np.float64)
-    at = {k: i for i, k in enumerate(langs)}
-    if len(langs):
-        counts[[at[k] for k in found.column("lang").to_pylist()], found.column("ord").to_numpy(), found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    used = np.maximum(1, (counts.sum(axis=0) > 0).sum(axis=1))
-    logs = np.log((counts + SMOOTHING) / (counts.sum(axis=2, keepdims=True) + SMOOTHING * (used[None, :, None] + 1)))
+def tabled(lang: np.ndarray, order: np.ndarray, cell: np.ndarray, count: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """The tables of k languages from the counts of their n-grams."""
+    total = np.array([np.bincount(lang[order == o], count[order == o], minlength=k) for o in range(len(ORDERS))]).reshape(len(ORDERS), k)
+    used = np.array([max(1, len(np.unique(cell[order == o]))) for o in range(len(ORDERS))])
+    below = np.log(total + SMOOTHING * (used[:, None] + 1))
     # the orders overlap, so each counts for its share only
-    table = np.zeros((len(ORDERS), CELLS + 1, len(langs)), np.float32)
-    table[:, :CELLS] = logs.transpose(1, 2, 0) / len(ORDERS)
-    return langs, table
+    unseen = (np.log(SMOOTHING) - below) / len(ORDERS)
+    seen = (np.log(count + SMOOTHING) - below[order, lang]) / len(ORDERS)
+    by_size = np.argsort(-np.bincount(lang, minlength=k), kind="stable")
+    dense, sparse = np.sort(by_size[:DENSE]), np.sort(by_size[DENSE:])
+    place = np.zeros(k, np.int64)
+    place[dense], place[sparse] = np.arange(len(dense)), np.arange(len(sparse))
+    full = np.isin(lang, dense)
+    logs = np.zeros((len(ORDERS), CELLS + 1, len(dense)), np.float32)
+    logs[:, :CELLS] = unseen[:, None, dense]
+    logs[order[full], cell[full], place[lang[full]]] = seen[full]
+    rest = np.flatnonzero(~full)
+    rest = rest[np.lexsort((lang[rest], cell[rest], order[rest]))]
+    first = np.searchsorted(order[rest].astype(np.int64) * CELLS + cell[rest], np.arange(len(ORDERS) * CELLS + 1))
+    above = (seen[rest] - unseen[order[rest], lang[rest]]).astype(np.float32)
+    return {"dense": dense, "sparse": sparse, "logs": logs, "unseen": unseen[:, sparse], "first": first, "lang": place[lang[rest]].astype(np.int32), "above": above}
 
 
 def proportions(likelihood: np.ndarray, first: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,36 +200,53 @@ def proportions(likelihood: np.ndarray, first: np.ndarray, shift: np.ndarray) ->
     likelihood: words by languages, each row scaled to a maximum of 1; first: word
     offsets of the documents, none of which is empty; shift: logarithms of the scales.
     """
-    k, size = likelihood.shape[1], np.diff(first)
-    of = np.repeat(np.arange(len(size)), size)
-    starts = first[:-1]
-    active = np.ones((len(size), k), bool)
-    share = np.full((len(size), k), 1 / k)
-    best, best_value = None, None
-    for left in range(k, 0, -1):
-        for _ in range(STEPS if left > 1 else 0):
-            joint = likelihood * share[of]
-            joint /= joint.sum(axis=1, keepdims=True)
+    least = 1e-300
+    docs = np.arange(len(first) - 1)
+    best = np.zeros((len(docs), likelihood.shape[1]))
+    alone = np.add.reduceat(np.log(np.maximum(likelihood, least)), first[:-1])
+    chosen = alone.argmax(axis=1)[:, None]
+    best[docs, chosen[:, 0]] = 1
+    best_value = alone.max(axis=1) + np.add.reduceat(shift, first[:-1])
+    share, size = np.ones((len(docs), 1)), np.diff(first)
+    while chosen.shape[1] < likelihood.shape[1]:
+        starts, of = np.cumsum(size) - size, np.repeat(np.arange(len(docs)), size)
+        mixed = (np.take_along_axis(likelihood, chosen[of], 1) * share[of]).sum(axis=1)
+        slope = np.add.reduceat(likelihood / np.maximum(mixed, least)[:, None], starts) - size[:, None]
+        np.put_along_axis(slope, chosen, -np.inf, 1)
+        penalty = 0.5 * np.log(size + 1)
+        joins = slope.max(axis=1) > penalty
+        if not joins.any():
+            break
+        # documents whose set may grow, and their words
+        kept = joins[of]
+        likelihood, shift = likelihood[kept], shift[kept]
+        docs, size, penalty = docs[joins], size[joins], penalty[joins]
+        chosen = np.hstack([chosen[joins], slope[joins].argmax(axis=1)[:, None]])
+        width = chosen.shape[1]
+        share = np.hstack([share[joins] * (width - 1) / width, np.full((len(docs), 1), 1 / width)])
+        starts, of = np.cumsum(size) - size, np.repeat(np.arange(len(docs)), size)
+        own = np.take_along_axis(likelihood, chosen[of], 1)
+        for _ in range(STEPS):
+            joint = own * share[of]
+            joint /= np.maximum(joint.sum(axis=1, keepdims=True), least)
             share = np.add.reduceat(joint, starts) / size[:, None]
-        total = (likelihood * share[of]).sum(axis=1)
-        value = np.add.reduceat(np.log(np.maximum(total, 1e-300)) + shift, starts) - 0.5 * (left - 1) * np.log(size + 1)
-        if best is None:
-            best, best_value = share.copy(), value
-        else:
-            better = value > best_value
-            best[better], best_value = share[better], np.maximum(value, best_value)
-        if left > 1:
-            weakest = np.where(active, share, np.inf)[:, ::-1].argmin(axis=1)
-            active[np.arange(len(size)), k - 1 - weakest] = False
-            share = np.where(active, np.maximum(share, 1e-12), 0)
-            share /= share.sum(axis=1, keepdims=True)
+        value = np.add.reduceat(np.log(np.maximum((own * share[of]).sum(axis=1), least)) + shift, starts) - (width - 1) * penalty
+        better = value > best_value[docs]
+        best_value[docs[better]] = value[better]
+        best[docs[better]] = 0
+        best[docs[better][:, None], chosen[better]] = share[better]
+        if not better.any():
+            break
+        kept = better[of]
+        likelihood, shift = likelihood[kept], shift[kept]
+        docs, size, chosen, share = docs[better], size[better], chosen[better], share[better]
     return best, best_value
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], table: dict[str, np.ndarray], added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of docs that are given, with the prediction and its score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)  # CELLS numbers for each of MAX_LANGUAGES languages and each order
+    shared = spark.sparkContext.broadcast(table)  # at most half a megabyte for each language, by its n-grams in the sample
     names = docs.columns
     d = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "_letter")))
     at, schema = names.index("text"), T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
@@ -175,7 +255,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, added: tuple[s
         table = shared.value
         for batch in batches:
             letter = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_steps(batch.column(at)):
+            for lo, hi, data, offsets in text_steps(batch.column(at), step_bytes(len(langs))):
                 words = Words(data, offsets, lower=True)
                 pred = np.full(hi - lo, UNKNOWN, object)
                 score = np.zeros(hi - lo)

@@ -281,28 +281,45 @@ def plain_inference(text, logs):
         if x in w:
             like.append([math.exp(v) for v in logs(x, behind)])
         behind = (behind + b"\0" + x)[-8:]
-    active, share, best = set(range(k)), [1 / k] * k, None
-    while active:
-        for _ in range(op6.STEPS if len(active) > 1 else 0):
-            joint = [[a * b for a, b in zip(x, share, strict=True)] for x in like]
-            share = [sum(x[j] / sum(x) for x in joint) / len(like) for j in range(k)]
-        value = sum(math.log(sum(a * b for a, b in zip(x, share, strict=True))) for x in like) - 0.5 * (len(active) - 1) * math.log(len(like) + 1)
-        if best is None or value > best[0]:
-            best = value, list(share)
-        weakest = min(active, key=lambda j: (share[j], -j))
-        active.discard(weakest)
-        share = [max(v, 1e-12) if j in active else 0 for j, v in enumerate(share)]
-        share = [v / max(1e-300, sum(share)) for v in share]
-    top = max(range(k), key=lambda j: (best[1][j], -j))
+    fit = lambda share: sum(math.log(sum(share[j] * x[j] for j in share)) for x in like)
+    chosen = [max(range(k), key=lambda j: (fit({j: 1}), -j))]
+    share = {chosen[0]: 1}
+    best, penalty = (fit(share), share), 0.5 * math.log(len(like) + 1)
+    while len(chosen) < k:
+        slope = {j: sum(x[j] / sum(share[i] * x[i] for i in share) for x in like) - len(like) for j in range(k) if j not in share}
+        new = max(slope, key=lambda j: (slope[j], -j))
+        if slope[new] <= penalty:
+            break
+        share = {j: v * len(chosen) / (len(chosen) + 1) for j, v in share.items()} | {new: 1 / (len(chosen) + 1)}
+        chosen.append(new)
+        for _ in range(op6.STEPS):
+            share = {j: sum(share[j] * x[j] / sum(share[i] * x[i] for i in share) for x in like) / len(like) for j in share}
+        value = fit(share) - penalty * (len(chosen) - 1)
+        if value <= best[0]:
+            break
+        best = value, share
+    top = max(best[1], key=lambda j: (best[1][j], -j))
     return top, best[1][top]
 
 
-def test_language_inference_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [64, 1, 0])
+def test_language_inference_matches_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(op6, "DENSE", dense)
     rnd = random.Random(18)
     data = [(k, say(rnd, lang := rnd.choice(list(LANGS)), rnd.randint(3, 30)), lang, None, 1) for k in range(90)]
     mixed = [(1000 + k, say(rnd, "en", rnd.randint(1, 12)) + " " + say(rnd, "fr", rnd.randint(1, 12)) + " 12 " + say(rnd, "de", rnd.randint(0, 6)), None, None, 1) for k in range(40)]
-    docs = frame(spark, data + mixed)
+    # copies of a row are learned from once
+    docs = frame(spark, data + [data[0]] * 3 + mixed)
     langs, table = op6.learn(docs.select("doc_id", "text", "lang"))
+
+    def number(n, c, k):
+        if k in table["dense"]:
+            return table["logs"][n, c, list(table["dense"]).index(k)]
+        at, key = list(table["sparse"]).index(k), n * op6.CELLS + c
+        stretch = slice(table["first"][key], table["first"][key + 1])
+        return table["unseen"][n][at] + sum(v for j, v in zip(table["lang"][stretch], table["above"][stretch], strict=True) if j == at)
+
+    assert len(table["dense"]) == min(dense, len(langs))
     # the table itself, from plain counts of n-grams
     cell = lambda gram, back: int(op6.mix(np.array([int.from_bytes(gram, "big") + back], np.uint64))[0] % op6.CELLS)
     seen = {(lang, o): Counter() for lang in langs for o in op6.ORDERS}
@@ -318,13 +335,13 @@ def test_language_inference_matches_brute_force(spark, monkeypatch):
             total = sum(seen[lang, o].values())
             for c in list(seen[lang, o])[:50]:
                 want = math.log((seen[lang, o][c] + op6.SMOOTHING) / (total + op6.SMOOTHING * (used + 1))) / len(op6.ORDERS)
-                assert table[n, c, k] == pytest.approx(want, rel=1e-5)
+                assert number(n, c, k) == pytest.approx(want, rel=1e-5)
 
     def logs(word, behind):
         raw, out = b"\0\0\0" + behind + b"\0" + word, np.zeros(len(langs))
         for at in range(len(raw) - len(word), len(raw)):
             for n, o in enumerate(op6.ORDERS):
-                out = out + table[n, cell(raw[at - o + 1 : at + 1], o - 1)]
+                out = out + np.array([number(n, cell(raw[at - o + 1 : at + 1], o - 1), k) for k in range(len(langs))])
         return out
 
     monkeypatch.setattr(op6, "STEP_BYTES", 7)
@@ -335,12 +352,36 @@ def test_language_inference_matches_brute_force(spark, monkeypatch):
         assert got[i].score == pytest.approx(share, abs=1e-4)
 
 
-def test_most_frequent_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(op6, "MAX_LANGUAGES", 2)
-    data = [(k, "some words of it", "abc"[min(k, 2)], None, 1) for k in range(9)]
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    """However many there are, and however rare."""
+    monkeypatch.setattr(op6, "DENSE", 8)
+    rnd = random.Random(5)
+    own = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for _ in range(300)]
+    text = lambda k, n: " ".join(rnd.choice(own[k]) for _ in range(n))
+    data = [(100 * k + j, " ".join(rnd.sample(own[k], 30)), f"l{k:03}", None, 1) for k in range(300) for j in range(2 if k else 50)]
     langs, table = op6.learn(frame(spark, data).select("doc_id", "text", "lang"))
-    assert langs == ["a", "c"]
-    assert table.shape[2] == 2
+    assert langs == [f"l{k:03}" for k in range(300)]
+    assert len(table["dense"]) == 8 and len(table["sparse"]) == 292
+    asked = frame(spark, [(k, text(k, 20), None, None, 1) for k in range(300)] + [(1000 + k, text(k, 30) + " " + text(k + 100, 20), None, None, 1) for k in range(100)])
+    got = {r.doc_id: r for r in op6.predict(asked.select("doc_id", "text"), langs, table).collect()}
+    assert all(got[k].lang_pred == f"l{k:03}" and got[k].score == 1 for k in range(300))
+    assert all(got[1000 + k].lang_pred == f"l{k:03}" and got[1000 + k].score == pytest.approx(0.6, abs=0.05) for k in range(100))
+
+
+def test_no_larger_set_is_better_where_no_slope_exceeds_the_penalty():
+    rnd = np.random.default_rng(4)
+    for _ in range(20):
+        like = rnd.random((60, 5)) ** 4
+        like[:45, rnd.integers(5)] = 1
+        like /= like.max(axis=1, keepdims=True)
+        share, value = op6.proportions(like, np.array([0, 60]), np.zeros(60))
+        mixed = like @ share[0]
+        if ((like / mixed[:, None]).sum(axis=0) - 60 <= 0.5 * np.log(61)).all():
+            full = np.full(5, 0.2)
+            for _ in range(2000):
+                full = (like * full / (like @ full)[:, None]).mean(axis=0)
+            extra = 5 - np.count_nonzero(share[0])
+            assert np.log(like @ full).sum() - 0.5 * np.log(61) * max(1, extra) <= np.log(mixed).sum() + 1e-6
 
 
 def test_language_of_unlabelled_and_empty_tables(spark):
