@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,10 @@ from auditlake.operators.references import found_references, similar
 from auditlake.operators.scoring import report
 from auditlake.plans.audit import run_audit
 from auditlake.plans.catalog import query, table
-from auditlake.shared import shared_path
-from auditlake.sources.docx import read_report, report_parts, write_reports
+from auditlake.shared import open_store, shared_path
+from auditlake.sources.docx import report_lines, report_parts, write_reports
 from auditlake.sources.files import own_rules, scan_folder, write_files
+from auditlake.sources.folder import register
 
 #: Suffixes of every kind and case, and some that are no documents.
 SCANNED = (".pdf", ".PNG", ".jpg", ".JpEg", ".tif", ".TIFF", ".bmp", ".txt", ".docx", "")
@@ -255,13 +257,16 @@ def docx_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_reports(report_parts(report(results, "Sources", ("run_id",)), results, failed), folder)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path.rpartition("/")[2], style, line) for style, lines in read_report(content).items() for line in lines]
-                yield pd.DataFrame([r for r in rows if r[1] in ("Heading2", "rows", "Title") or r[2].startswith(("Score: ", "Remarks: "))], columns=["file", "style", "line"])
-
-    written = spark.read.format("document_folder").load(folder)
-    return written.select("path", "content").mapInPandas(opened, "file string, style string, line string").groupBy("file", "style", "line").agg(F.count(F.lit(1)).alias("uses"))
+        for path in (p for batch in batches for p in batch["path"]):
+            store, place = open_store(path)
+            with store.open_input_file(place) as f:
+                shown = ((path.rpartition("/")[2], *r) for r in report_lines(f) if r[0] in ("Heading2", "rows", "Title") or r[1].startswith(("Score: ", "Remarks: ")))
+                while rows := list(islice(shown, 10_000)):
+                    yield pd.DataFrame(rows, columns=["file", "style", "line"])
+
+    register(spark)
+    written = spark.read.format("document_folder").option("content", "false").load(folder)
+    return written.select("path").mapInPandas(opened, "file string, style string, line string").groupBy("file", "style", "line").agg(F.count(F.lit(1)).alias("uses"))
 
 
 @query(f"""SELECT * FROM (SELECT document_name, score, passed, CAST(row_number() OVER (ORDER BY document_name) AS INTEGER) AS no, (SELECT CAST(printf('%.2f', avg(score)) AS DOUBLE) FROM {RESULTS_SQL}) AS overall_score

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from typing import IO
 from uuid import uuid4
 from xml.sax.saxutils import escape
 
@@ -204,21 +205,36 @@ class ReportSink(DataSource):
         return ReportWriter(self.options["path"])
 
 
-def read_report(content: bytes) -> dict[str, list[str]]:
-    """Texts of a written report by the style of their paragraphs, and of table rows; for tests and queries."""
-    import io
+def report_lines(file: IO[bytes]) -> Iterator[tuple[str, str]]:
+    """(style, text) of a written report: its pictures, then paragraphs and table rows in order; memory holds a part at a time."""
     from xml.etree import ElementTree
 
     w = f"{{{WORD}}}"
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
-        names = z.namelist()
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
-    out: dict[str, list[str]] = {"pictures": [n for n in names if n.startswith("word/media/")], "rows": [], "plain": []}
-    for e in body:
-        if e.tag == f"{w}p":
-            style = e.find(f"{w}pPr/{w}pStyle")
-            out.setdefault(style.get(f"{w}val") if style is not None else "plain", []).append(text(e))
-        elif e.tag == f"{w}tbl":
-            out["rows"] += ["|".join(text(c) for c in row.iter(f"{w}tc")) for row in e.iter(f"{w}tr")]
+    with zipfile.ZipFile(file) as z:
+        yield from (("pictures", n) for n in z.namelist() if n.startswith("word/media/"))
+        with z.open("word/document.xml") as doc:
+            above: list = []
+            for event, e in ElementTree.iterparse(doc, ("start", "end")):
+                if event == "start":
+                    above.append(e)
+                    continue
+                above.pop()
+                if len(above) != 2:  # only what lies in the body itself
+                    continue
+                if e.tag == f"{w}p":
+                    style = e.find(f"{w}pPr/{w}pStyle")
+                    yield (style.get(f"{w}val") if style is not None else "plain"), text(e)
+                elif e.tag == f"{w}tbl":
+                    yield from (("rows", "|".join(text(c) for c in row.iter(f"{w}tc"))) for row in e.iter(f"{w}tr"))
+                above[-1].clear()
+
+
+def read_report(content: bytes) -> dict[str, list[str]]:
+    """Texts of a written report by the style of their paragraphs, and of table rows; for tests."""
+    import io
+
+    out: dict[str, list[str]] = {"pictures": [], "rows": [], "plain": []}
+    for style, line in report_lines(io.BytesIO(content)):
+        out.setdefault(style, []).append(line)
     return out

@@ -197,3 +197,15 @@ def test_images_and_rendered_pages_are_one_table(spark):
     render = lambda path, content: (bytes([c]) for c in content)
     got = sorted((r.doc_key, r.page_no, r.url) for r in shown_pages(files, render, 2).collect())
     assert got == [("a.pdf", 1, "data:image/jpeg;base64,MQ=="), ("a.pdf", 2, "data:image/jpeg;base64,Mg=="), ("b.jpg", 1, "data:image/jpeg;base64,eA=="), ("c.tif", 1, "data:image/tiff;base64,eQ==")]
+
+
+def test_written_reports_are_read_in_a_new_session(spark):
+    from auditlake.plans import registry
+
+    # a session in which no other query has registered the folder source; making rows makes it the active one
+    new = spark.newSession()
+    new.createDataFrame([(1,)], "x int")
+    try:
+        assert registry.QUERIES["docx_reports"](new, "/root/testdata/sf0.001").where("style = 'Title'").count() > 1
+    finally:
+        spark.createDataFrame([(1,)], "x int")
