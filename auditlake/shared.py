@@ -41,6 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by a key that few rows share, however few files or parts of a file it lies in."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
     """left.join(right, on) where right has one row of fixed width for each key of left, and how many rows it is for.
 

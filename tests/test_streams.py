@@ -140,3 +140,19 @@ def test_fields_and_their_rules(spark):
     assert by[2, "R004", True] == (True, "signature: Signed by A. Clerk")
     assert by[2, "R011", True] in ((False, "vague: various"), (True, ""))
     assert by[None, "R009", False] == (True, "")
+
+
+def test_fields_of_the_longest_numbers():
+    from auditlake.functions import fields as g
+
+    # int() refuses so many digits
+    got = g.fields(f"{'7' * 5000} May 2024; quantity {'1' * 5000}, net 30\tnet 45")
+    assert [(f.kind, f.value) for f in got] == [("quantity", "1" * 5000), ("term", "net 30"), ("term", "net 45")]
+
+
+def test_orders_are_dealt_over_tasks_for_their_fields(spark):
+    from auditlake.plans import registry
+
+    # the orders lie in one part of one file
+    for name in ("field_rules", "document_fields", "required_fields"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
