@@ -13,6 +13,7 @@ from typing import NamedTuple
 from uuid import uuid4
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ from auditlake.schemas import MAX_PAGES
 from auditlake.shared import open_store
 
 
+#: Bytes and rows of rendered pages that go on together.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
 class Calls(NamedTuple):
     """How a reader is called: so many calls of a task at once, so often again after a failure, each time after
     twice the wait in seconds; ledger is a folder that all tasks reach, where every good reply is kept, so that a
@@ -126,17 +131,24 @@ def extracted(files: DataFrame, read: Callable[..., str], calls: Calls = Calls()
 def rendered_pages(files: DataFrame, render: Callable[[str, bytes | None], Iterator[bytes]], most: int = MAX_PAGES) -> DataFrame:
     """(doc_key, page_no, image) of the first pages of each file; a file that cannot be rendered has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows, size = [], 0
+            for k in range(batch.num_rows):
+                path, content = (batch.column(c)[k].as_py() for c in range(2))
                 try:
                     images = list(islice(render(path, content), most))
                 except Exception:  # the caller's function may fail in any way
                     images = []
-                if images:
-                    yield pd.DataFrame({"doc_key": [path] * len(images), "page_no": range(1, len(images) + 1), "image": images})
-
-    return files.select("path", "content").mapInPandas(run, "doc_key string, page_no int, image binary")
+                rows += [(path, no, image) for no, image in enumerate(images, 1)]
+                size += sum(len(x or b"") for x in images)
+                # pages of many files go on together, but never more than a task can well hold
+                if rows and (size >= BATCH_BYTES or len(rows) >= BATCH_ROWS or k + 1 == batch.num_rows):
+                    parts = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(parts, ["doc_key", "page_no", "image"])
+                    rows, size = [], 0
+
+    return files.select("path", "content").mapInArrow(run, "doc_key string, page_no int, image binary")
 
 
 def shown_pages(files: DataFrame, render: Callable[[str, bytes | None], Iterator[bytes]], most: int = MAX_PAGES) -> DataFrame:

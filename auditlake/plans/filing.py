@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from auditlake.operators.references import found_references, similar
 from auditlake.operators.scoring import report
 from auditlake.plans.audit import run_audit
 from auditlake.plans.catalog import query, table
-from auditlake.shared import open_store, shared_path
+from auditlake.shared import dealt, open_store, shared_path
 from auditlake.sources.docx import report_lines, report_parts, write_reports
 from auditlake.sources.files import own_rules, scan_folder, write_files
 from auditlake.sources.folder import register
@@ -122,12 +123,15 @@ def made_pdf(pages: int) -> bytes:
 def page_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, ext, content): a PDF of 0 to 12 pages for each page of the table, some cut off."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [made_pdf(k % 13) for k in batch["page_id"]]
-            yield pd.DataFrame({"path": [f"/in/{k}.pdf" for k in batch["page_id"]], "ext": ".pdf", "content": [x[: len(x) // 2] if k % 17 == 0 else x for k, x in zip(batch["page_id"], made, strict=True)]})
+            for lo in range(0, batch.num_rows, 1000):
+                keys = batch.column(0).slice(lo, 1000).to_pylist()
+                made = [made_pdf(k % 13) for k in keys]
+                cut = [x[: len(x) // 2] if k % 17 == 0 else x for k, x in zip(keys, made, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"/in/{k}.pdf" for k in keys]), pa.array([".pdf"] * len(keys)), pa.array(cut, pa.binary())], ["path", "ext", "content"])
 
-    return table(spark, sf_dir, "pages").select("page_id").mapInPandas(run, "path string, ext string, content binary")
+    return dealt(table(spark, sf_dir, "pages").select("page_id"), "page_id").mapInArrow(run, "path string, ext string, content binary")
 
 
 @query("SELECT '/in/' || page_id || '.pdf' AS doc_key, CAST(CASE WHEN page_id % 17 = 0 THEN 1 ELSE page_id % 13 END AS INTEGER) AS page_count FROM pages")
@@ -143,15 +147,11 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def boxes(path: str, content: bytes | None):
         for width, height, rotation in Pdf(content).pages():
-            yield struct.pack(">ddi", width, height, rotation)
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = [struct.unpack(">ddi", x) for x in batch["image"]]
-            yield pd.DataFrame({"doc_key": batch["doc_key"].tolist(), "page_no": batch["page_no"]} | {c: [x[k] for x in sizes] for k, c in enumerate(("width", "height", "rotation"))})
+            yield f"{width!r} {height!r} {rotation}".encode()
 
+    size = F.split(F.col("image").cast("string"), " ")
     pages = extract.rendered_pages(page_pdfs(spark, sf_dir), boxes)
-    return pages.mapInPandas(opened, "doc_key string, page_no int, width double, height double, rotation int")
+    return pages.select("doc_key", "page_no", *[size[k].cast(kind).alias(c) for k, (c, kind) in enumerate((("width", "double"), ("height", "double"), ("rotation", "int")))])
 
 
 @query("""WITH s AS (SELECT page_id, 40 + page_id % 400 AS w, 30 + page_id * 7 % 300 AS h FROM pages),

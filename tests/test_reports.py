@@ -209,3 +209,20 @@ def test_written_reports_are_read_in_a_new_session(spark):
         assert registry.QUERIES["docx_reports"](new, "/root/testdata/sf0.001").where("style = 'Title'").count() > 1
     finally:
         spark.createDataFrame([(1,)], "x int")
+
+
+def test_pages_of_many_files_go_on_in_bounded_batches(spark):
+    from auditlake.operators.extract import BATCH_BYTES, rendered_pages
+
+    files = spark.range(0, 3000, numPartitions=1).selectExpr("cast(id as string) AS path", "cast('x' as binary) AS content")
+    small = rendered_pages(files, lambda path, content: iter([content, None]))
+    assert (small.count(), small.where("image IS NULL").count(), small.agg(F.max("page_no")).first()[0]) == (6000, 3000, 2)
+    large = rendered_pages(files.limit(9), lambda path, content: (bytes(BATCH_BYTES) for _ in range(99)), 3)
+    assert [r.n for r in large.groupBy("doc_key").agg(F.sum(F.length("image")).alias("n")).collect()] == [3 * BATCH_BYTES] * 9
+
+
+def test_pdfs_are_dealt_over_tasks(spark):
+    from auditlake.plans import registry
+
+    # the pages lie in one part of one file
+    assert registry.QUERIES["pdf_pages"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
