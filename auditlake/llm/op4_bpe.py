@@ -23,6 +23,7 @@ import os
 import re
 import tempfile
 import uuid
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,8 @@ class Merger:
         self.ranks = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            # the new token below the rank, so that the least value is the lowest rank
-            self.ranks[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]
+            # the new token below the rank, so that the least value is the lowest rank; ids have at most 20 bits
+            self.ranks[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         letters = byte_letters()
         self.bytes = {letter: b for b, letter in letters.items()}
         self.inner = [vocab.get(letters[b], -1) for b in range(256)]
@@ -110,28 +111,30 @@ class Merger:
 
     def merge(self, word: bytes) -> list[int]:
         """Lowest rank first, leftmost first among equals."""
-        ids = [self.inner[b] for b in word[:-1]]
-        ids.append(self.final[word[-1]])
-        ids = [x for x in ids if x >= 0]
-        if len(ids) > 24:
+        ids = [*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]]
+        if -1 in ids:
+            ids = [x for x in ids if x >= 0]
+        n = len(ids)
+        if n > 24:
             return self.merge_long(ids)
         get, none = self.ranks.get, 1 << 60
-        found = [get(x, none) for x in zip(ids, ids[1:])]  # noqa: B905
-        while found and (best := min(found)) < none:
+        found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while n > 1 and (best := min(found)) < none:
             i = found.index(best)
-            ids[i : i + 2] = (best & 0xFFFFF,)
-            del found[i]
-            if i < len(found):
-                found[i] = get((ids[i], ids[i + 1]), none)
+            ids[i] = new = best & 0xFFFFF
+            del ids[i + 1], found[i]
+            n -= 1
+            if i + 1 < n:
+                found[i] = get(new << 20 | ids[i + 1], none)
             if i:
-                found[i - 1] = get((ids[i - 1], ids[i]), none)
+                found[i - 1] = get(ids[i - 1] << 20 | new, none)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, near linear in the length."""
         n, ranks = len(ids), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -143,9 +146,9 @@ class Merger:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := ranks.get((new, ids[k]))) is not None:
+                if (r := ranks.get(new << 20 | ids[k])) is not None:
                     heapq.heappush(heap, (r, i, new, ids[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((ids[h], new))) is not None:
+            if (h := before[i]) >= 0 and (r := ranks.get(ids[h] << 20 | new)) is not None:
                 heapq.heappush(heap, (r, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
@@ -323,21 +326,25 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
 
     def run(batches):
         merger, lexicon = Merger(shared.value), Lexicon.mapped(SparkFiles.get(name))
-        tokens, cache = merger.tokens(), {}
+        tokens, cache, spoken, starts = merger.tokens(), {}, {}, lexicon.starts.tolist()
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(at)):
                 raw = data.tobytes()
                 pieces = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
+                    spoken.clear()
                 new = [x for x in set().union(*pieces) if x not in cache]
                 for word, entry in zip(new, lexicon.lookup(new).tolist(), strict=True):
-                    ids = merger.encode(word.decode()) if entry < 0 else lexicon.ids[lexicon.starts[entry] : lexicon.starts[entry + 1]]
-                    cache[word] = np.asarray(ids, "<u4").tobytes()
+                    ids = merger.encode(word.decode()) if entry < 0 else lexicon.ids[starts[entry] : starts[entry + 1]].tolist()
+                    cache[word] = pack(f"<{len(ids)}I", *ids)
+                    if digests:
+                        # decoded token by token, once for equal pieces
+                        spoken[word] = b" " + decode(ids, tokens) if len(ids) else b""
                 coded = [b"".join(map(cache.__getitem__, x)) for x in pieces]
                 if digests:
                     key = batch.column(0).slice(lo, hi - lo)
-                    decoded = [decode(x, tokens) for x in coded]
+                    decoded = [b"".join(map(spoken.__getitem__, x))[1:] for x in pieces]
                     sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values])
                     out = [key, pa.array([len(x) // 4 for x in coded], pa.int64()), sha(coded), sha(decoded)]
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -349,9 +356,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
     return docs.mapInArrow(run, schema)
 
 
-def decode(ids: bytes, tokens: list[bytes]) -> bytes:
+def decode(ids: list[int], tokens: list[bytes]) -> bytes:
     """The vocabulary has no decoder, so its tokens are joined by spaces."""
-    return b" ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    return b" ".join([tokens[i] for i in ids])
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
