@@ -4,7 +4,8 @@ The words of the whole corpus are counted; the most frequent ones are merged onc
 and compiled into a minimal acyclic transducer: words that share endings share
 states, and numbers along the arcs add up to the word's entry in a table of ids.
 Its file goes to every executor, where tasks map it into memory and walk it for all
-new words of a batch at once.  Any other word is merged exactly, by rank.
+new words of a batch at once.  All other new words are merged exactly, by rank, and
+also together: each round makes the next merge of every word.
 
 A text is cut at ASCII white space: no token, normalisation or special token of the
 vocabulary crosses it, so equal pieces have equal ids and are merged once per task.
@@ -22,8 +23,9 @@ import json
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
-from struct import pack
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import documents, stored, text_steps
+from auditlake.llm.common import STEP_BYTES, documents, stored, text_steps
 
 #: Words in the lexicon, and the bytes of the longest; every other word is merged exactly.
 LEXICON_WORDS, LEXICON_WORD_BYTES = 32_768, 48
 #: Entries of a task's table of words and ids; it starts anew when full.
 CACHE_WORDS = 300_000
+#: Below it every letter is composed, has one lower-case letter and its class in any version of Unicode.
+LATIN = 0x130
+#: Words of at most so many bytes are merged together, in groups by length; longer ones one by one.
+GROUPS = ((2, 4), (5, 8), (9, 12), (13, 32))
+#: A place among the bytes of such a word takes so many bits.
+PLACE_BITS = 5
+#: No merge, and no token.
+NONE, NO_TOKEN = 0xFFFFFFFF, 0xFFFFF
 
 
 def default_vocabulary() -> str:
@@ -53,8 +63,48 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+class Pairs:
+    """Ranks of pairs of tokens in a table with open addressing, looked up for many pairs at once; shifted, so that a place fits below."""
+
+    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, self.EMPTY), np.full(1 << bits, NONE, np.uint32)
+        at = self.slot(keys)
+        while len(keys):
+            # of the keys that want one free slot the last one has it, all others go on
+            free = self.keys[at] == self.EMPTY
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.ranks[at[mine]] = ranks[mine].astype(np.uint32) << np.uint32(PLACE_BITS)
+            keys, ranks, at = keys[~mine], ranks[~mine], (at[~mine] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The shifted rank of each pair, or NONE."""
+        key = a.astype(np.uint64) << np.uint64(20) | b.astype(np.uint64)
+        at = self.slot(key)
+        have = self.keys[at]
+        hit = have == key
+        out = np.where(hit, self.ranks[at], np.uint32(NONE))
+        rest = np.flatnonzero(~hit & (have != self.EMPTY))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & self.mask
+            have, want = self.keys[at], key[rest]
+            hit = have == want
+            out[rest[hit]] = self.ranks[at[hit]]
+            on = ~hit & (have != self.EMPTY)
+            rest, at = rest[on], at[on]
+        return out
+
+
 class Merger:
-    """Exact encoding of one piece without white space."""
+    """Exact encoding of pieces without white space."""
 
     def __init__(self, spec: str):
         import regex
@@ -69,6 +119,10 @@ class Merger:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             # the new token below the rank, so that the least value is the lowest rank; ids have at most 20 bits
             self.ranks[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
+        self.made = np.zeros(len(model["merges"]) + 1, np.int64)
+        values = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
+        self.made[values >> 20] = values & 0xFFFFF
+        self.pairs = Pairs(np.fromiter(self.ranks, np.uint64, len(self.ranks)), values >> 20)
         letters = byte_letters()
         self.bytes = {letter: b for b, letter in letters.items()}
         self.inner = [vocab.get(letters[b], -1) for b in range(256)]
@@ -79,7 +133,19 @@ class Merger:
         bare = Tokenizer.from_str(json.dumps(whole | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.normal, self.split = bare.normalizer.normalize_str, bare.pre_tokenizer.pre_tokenize_str
         self.latin = regex.compile(whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.merged: dict[bytes, list[int]] = {}
+        # of each character below LATIN, and of all others as one: whether its pieces are cut one by one, its class, and
+        # its bytes' tokens within a word and at its end
+        self.odd, self.kind = np.ones(LATIN + 1, bool), np.full(LATIN + 1, 3, np.uint8)
+        self.symbols = np.full((2, LATIN + 1, 2), -1, np.int64)
+        starts = {x[0] for x in self.special if x} | {"'"}
+        for c in map(chr, range(LATIN)):
+            if c.isprintable() and c not in starts:
+                *head, tail = c.lower().encode()
+                self.odd[ord(c)] = False
+                self.kind[ord(c)] = {"L": 0, "N": 1}.get(unicodedata.category(c)[0], 2)
+                for k, ids in enumerate((self.inner, self.final)):
+                    self.symbols[k, ord(c), : len(head) + 1] = [*map(self.inner.__getitem__, head), ids[tail]]
+        self.odd[ord("\n")] = False  # ends each piece
 
     def tokens(self) -> list[bytes]:
         out = [b""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
@@ -89,49 +155,113 @@ class Merger:
 
     def words(self, part: str) -> list[bytes]:
         """The words whose bytes are merged, each by itself."""
-        # below U+0130 every letter is composed, has one lower-case letter and its class in any version of Unicode
-        if part.isprintable() and max(part) < "\u0130":
+        if part.isprintable() and max(part) < chr(LATIN):
             return [x.encode() for x in self.latin(part.lower())]
         return [bytes(map(self.bytes.__getitem__, x)) for x, _ in self.split(self.normal(part))]
 
     def encode(self, piece: str) -> list[int]:
-        out: list[int] = []
-        for part in self.cut.split(piece) if self.cut and "<" in piece else (piece,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                for word in self.words(part):
-                    ids = self.merged.get(word)
-                    if ids is None:
-                        if len(self.merged) > CACHE_WORDS:
-                            self.merged.clear()
-                        ids = self.merged[word] = self.merge(word)
-                    out += ids
-        return out
-
-    def merge(self, word: bytes) -> list[int]:
-        """Lowest rank first, leftmost first among equals."""
-        ids = [*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]]
-        if -1 in ids:
-            ids = [x for x in ids if x >= 0]
-        n = len(ids)
-        if n > 24:
-            return self.merge_long(ids)
-        get, none = self.ranks.get, 1 << 60
-        found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
-        while n > 1 and (best := min(found)) < none:
-            i = found.index(best)
-            ids[i] = new = best & 0xFFFFF
-            del ids[i + 1], found[i]
-            n -= 1
-            if i + 1 < n:
-                found[i] = get(new << 20 | ids[i + 1], none)
-            if i:
-                found[i - 1] = get(ids[i - 1] << 20 | new, none)
-        return ids
+        return [i for _, ids, _ in self.encoded([piece.encode()]) for i in ids.tolist()]
+
+    def encoded(self, pieces: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """All pieces in parts, in any order: those of a part, their ids, and how many ids there are up to the end of each."""
+        places = np.cumsum([0, *map(len, pieces)])
+        lo = 0
+        while lo < len(pieces):
+            hi = max(lo + 1, int(np.searchsorted(places, places[lo] + STEP_BYTES, "right")) - 1)
+            yield from self.together(pieces[lo:hi])
+            lo = hi
+
+    def together(self, pieces: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        points = np.frombuffer(b"\n".join([*pieces, b""]).decode().encode("utf-32-le"), "<u4")
+        ends = np.flatnonzero(points == 10)
+        points = np.minimum(points, LATIN).astype(np.int64)
+        odd = np.diff(np.cumsum(self.odd[points])[ends], prepend=0) > 0
+        if odd.any():
+            points = points[np.repeat(~odd, np.diff(ends, prepend=-1))]
+            ends = np.flatnonzero(points == 10)
+            yield self.one_by_one([pieces[i] for i in np.flatnonzero(odd).tolist()])
+            pieces = [pieces[i] for i in np.flatnonzero(~odd).tolist()]
+        if pieces:
+            # below LATIN a word ends where the class changes and after each digit
+            kind = self.kind[points]
+            last = np.ones(len(points), bool)
+            last[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == 1)
+            symbols = self.symbols[last.astype(np.int64), points].ravel()
+            there = symbols >= 0
+            upto = np.cumsum(there)[1::2]
+            yield pieces, *self.merge(symbols[there], upto[last], upto[ends])
+
+    def one_by_one(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The same for pieces with special tokens, apostrophes or other characters, which are cut one by one."""
+        symbols: list[int] = []
+        words, ends = [], []
+        for piece in map(bytes.decode, pieces):
+            for part in self.cut.split(piece) if self.cut else (piece,):
+                if part in self.special:
+                    symbols.append(self.special[part])
+                    words.append(len(symbols))
+                elif part:
+                    for word in self.words(part):
+                        symbols += [*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]]
+                        words.append(len(symbols))
+            ends.append(len(symbols))
+        found = np.array(symbols, np.int64)
+        upto = np.cumsum(np.append(0, found >= 0))
+        return pieces, *self.merge(found[found >= 0], upto[words], upto[ends])
+
+    def merge(self, symbols: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges all words, which end at the symbols numbered words; the ids, and those up to each of ends.
+
+        In each word lowest rank first, leftmost first among equals; a round makes one merge of every word.
+        """
+        n = len(symbols)
+        length = np.diff(words, prepend=0)
+        start = words - length
+        # place n stands beside the first and the last symbol of a word
+        token = np.append(symbols, NO_TOKEN)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[words[length > 0] - 1] = n
+        before[start[length > 0]] = n
+        there = np.ones(n, bool)
+        first = self.pairs.get(token[:-1], token[1:])
+        for least, most in GROUPS:
+            those = np.flatnonzero((length >= least) & (length <= most))
+            if not len(those):
+                continue
+            begin, size = start[those], length[those]
+            # a row for each place, with its pair's rank and the place; the last row is of no pair
+            ranks = np.full((most, len(those)), NONE, np.uint32)
+            for k in range(most - 1):
+                have = np.flatnonzero(size > k + 1)
+                ranks[k, have] = first[begin[have] + k] | np.uint32(k)
+            while len(begin):
+                best = ranks[:-1].min(axis=0)
+                column = np.flatnonzero(best != NONE)
+                if len(column) * 2 < len(begin):
+                    ranks, begin, best = ranks[:, column], begin[column], best[column]
+                    column = np.arange(len(column))
+                best, zero = best[column], begin[column]
+                place = (best & np.uint32((1 << PLACE_BITS) - 1)).astype(np.int64)
+                left = zero + place
+                new = self.made[best >> np.uint32(PLACE_BITS)]
+                right = after[left]
+                follow, ahead = after[right], before[left]
+                token[left], there[right] = new, False
+                after[left], before[follow] = follow, left
+                found = self.pairs.get(np.concatenate([new, token[ahead]]), np.concatenate([token[follow], new]))
+                ranks[right - zero, column] = NONE
+                ranks[place, column] = found[: len(new)] | place.astype(np.uint32)
+                ahead = np.where(ahead == n, most - 1, ahead - zero)
+                ranks[ahead, column] = found[len(new) :] | ahead.astype(np.uint32)
+        for i in np.flatnonzero(length > GROUPS[-1][1]).tolist():
+            lo, hi = int(start[i]), int(words[i])
+            ids = self.merge_long(token[lo:hi].tolist())
+            token[lo : lo + len(ids)] = ids
+            there[lo + len(ids) : hi] = False
+        return token[:-1][there], np.append(0, np.cumsum(there))[ends]
 
     def merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap, near linear in the length."""
+        """One word with a heap, near linear in the length."""
         n, ranks = len(ids), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get(ids[i] << 20 | ids[i + 1])) is not None]
@@ -217,11 +347,18 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
-        all_, at, arrays = np.load(path, mmap_mode="r"), len(cls.NAMES), {}
+        all_, at, arrays = np.asarray(np.load(path, mmap_mode="r")), len(cls.NAMES), {}
         for k, n in zip(cls.NAMES, all_[: len(cls.NAMES)].tolist(), strict=True):
             arrays[k], at = all_[at : at + n], at + n
         return cls(arrays)
 
+    def encoded(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some entries, and how many there are up to the end of each."""
+        begin = self.starts[entries].astype(np.int64)
+        size = self.starts[entries + 1] - begin
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(begin + size - ends, size) + np.arange(size.sum())], ends
+
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Each word's entry, or -1; all words take their steps together."""
         n = len(words)
@@ -304,7 +441,10 @@ def build_lexicon(docs: DataFrame, merger: Merger, words: int = LEXICON_WORDS) -
             break
         least = r["least"]
     frequent = counts.where(F.col("n") >= least).select("word").collect() if least else []
-    return Lexicon.compile([(w, merger.encode(w.decode())) for w in sorted(bytes(r["word"]) for r in frequent)])
+    entries = []
+    for found, ids, ends in merger.encoded([bytes(r["word"]) for r in frequent]):
+        entries += zip(found, np.split(ids, ends[:-1]), strict=True)
+    return Lexicon.compile([(w, ids.tolist()) for w, ids in sorted(entries, key=lambda x: x[0])])
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -326,7 +466,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
 
     def run(batches):
         merger, lexicon = Merger(shared.value), Lexicon.mapped(SparkFiles.get(name))
-        tokens, cache, spoken, starts = merger.tokens(), {}, {}, lexicon.starts.tolist()
+        cache, spoken = {}, {}
+        tokens = [b" " + x for x in merger.tokens()]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+        def learn(words, ids, ends):
+            places = [0, *(ends * 4).tolist()]
+            raw = ids.astype("<u4").tobytes()
+            cache.update(zip(words, [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
+            if digests:
+                # decoded token by token, once for equal pieces
+                raw = b"".join(map(tokens.__getitem__, ids.tolist()))
+                places = [0, *np.append(0, np.cumsum(sizes[ids]))[ends].tolist()]
+                spoken.update(zip(words, [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
+
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(at)):
                 raw = data.tobytes()
@@ -335,12 +488,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digests: bool = False
                     cache.clear()
                     spoken.clear()
                 new = [x for x in set().union(*pieces) if x not in cache]
-                for word, entry in zip(new, lexicon.lookup(new).tolist(), strict=True):
-                    ids = merger.encode(word.decode()) if entry < 0 else lexicon.ids[starts[entry] : starts[entry + 1]].tolist()
-                    cache[word] = pack(f"<{len(ids)}I", *ids)
-                    if digests:
-                        # decoded token by token, once for equal pieces
-                        spoken[word] = b" " + decode(ids, tokens) if len(ids) else b""
+                entries = lexicon.lookup(new)
+                known = entries >= 0
+                learn([new[i] for i in np.flatnonzero(known).tolist()], *lexicon.encoded(entries[known]))
+                for part in merger.encoded([new[i] for i in np.flatnonzero(~known).tolist()]):
+                    learn(*part)
                 coded = [b"".join(map(cache.__getitem__, x)) for x in pieces]
                 if digests:
                     key = batch.column(0).slice(lo, hi - lo)

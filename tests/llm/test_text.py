@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -147,6 +148,46 @@ def test_bpe_of_any_text_equals_the_library(library):
         assert got == library.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_bpe_merges_many_pieces_together(library, monkeypatch):
+    with open(op4.default_vocabulary(), encoding="utf-8") as f:
+        merger = op4.Merger(f.read())
+    rnd = random.Random(2)
+    # lengths about the groups' bounds, and beyond the last; letters of one and two bytes, digits, signs, other scripts
+    pieces = ["".join(rnd.choice(letters) for _ in range(rnd.choice((*range(1, 15), 24, 25, 31, 32, 33, 70)))) for letters in ("etaonrish", "etaonrishÉßü1½&.", "enstdr'lvem", "ητ각😀ĕab") for _ in range(700)]
+    pieces += ["a", "aaaaaaaaaaaaaaaa", "<|endoftext|>", "x<|endoftext|>'s", "it's", "\x1c", "the", "e\u0301"]
+    whole = [p.encode() for p in pieces if len(p.encode().split()) == 1]
+    want = {w: library.encode(w.decode(), add_special_tokens=False).ids for w in whole}
+    tokens = merger.tokens()
+    assert all(op4.decode(ids, tokens).decode() == library.decode(ids, skip_special_tokens=False) for ids in want.values())
+    for step in (op4.STEP_BYTES, 1000, 1):
+        monkeypatch.setattr(op4, "STEP_BYTES", step)
+        got, parts = {}, 0
+        for words, ids, ends in merger.encoded(whole):
+            got |= {w: x.tolist() for w, x in zip(words, np.split(ids, ends[:-1]), strict=True)}
+            parts += 1
+        assert got == want
+        assert parts == 2 if step > 1000 else parts > 20
+    monkeypatch.undo()
+    assert [*merger.encoded([])] == []
+    # Python's own work does not grow with the words: none of those below is merged by itself
+    monkeypatch.setattr(merger, "merge_long", None)
+    monkeypatch.setattr(merger, "words", None)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    many = [f"{k:x}".translate(str.maketrans("0123456789", "ghijklmnop")).encode() for k in range(50_000)]
+    sys.setprofile(count)
+    try:
+        ((words, ids, ends),) = merger.encoded(many)
+    finally:
+        sys.setprofile(None)
+    assert (words, len(ends)) == (many, len(many))
+    assert calls < 5000
+
+
 def test_lexicon_is_minimal_and_survives_its_file(tmp_path):
     words = sorted({w.encode() for w in "walk walks walked walking talk talks talked talking a an und ü".split()})
     entries = [(w, [k, k + 1]) for k, w in enumerate(words)]
