@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -307,13 +308,12 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, redact: bool = False) ->
 
     def texts_of(batches):
         for batch in batches:
-            lo = 0
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 4 << 20):
-                    size, hi = size + len(texts[hi]), hi + 1
-                yield batch.slice(lo, hi - lo), texts[lo:hi]
+            lo, column = 0, batch.column(at)
+            # characters up to each text; only the texts of a part become strings at once
+            ends = np.cumsum([0, *pc.utf8_length(column).fill_null(0).to_pylist()])
+            while lo < len(column):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (4 << 20), "right")) - 1)
+                yield batch.slice(lo, hi - lo), [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
                 lo = hi
 
     def run(batches):

@@ -69,8 +69,11 @@ def gram_cells(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def step_bytes(langs: int) -> int:
-    """Bytes of text that are taken at once, fewer for more languages."""
-    return max(1, min(STEP_BYTES, 8 * STEP_BYTES // max(1, langs)))
+    """Bytes of text that are taken at once, fewer for more languages.
+
+    Each has over a hundred bytes of arrays, and what the allocator once handed out stays with the worker.
+    """
+    return max(1, min(STEP_BYTES // 4, 8 * STEP_BYTES // max(1, langs)))
 
 
 def cell_steps(data: np.ndarray, offsets: np.ndarray, step: int):
@@ -149,9 +152,9 @@ def learn(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[str], d
         counted: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in text_steps(batch.column(1)):
+            for lo, hi, data, offsets in text_steps(batch.column(1), step_bytes(1)):
                 words = Words(data, offsets, lower=True)
-                for at, end, cells in cell_steps(words.data, offsets, STEP_BYTES):
+                for at, end, cells in cell_steps(words.data, offsets, step_bytes(1)):
                     for k in range(lo, hi):
                         a, b = max(at, offsets[k - lo]), min(end, offsets[k - lo + 1])
                         if a < b:

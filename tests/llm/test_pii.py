@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, by_id, frame, rows, sha
 
@@ -175,3 +178,17 @@ def test_paths_and_marginals():
         best = max((total([*p]) for p in __import__("itertools").product(range(tg.TAGS), repeat=min(length, 3))), default=0) if length <= 3 else None
         if best is not None:
             assert total(path[n, :length].tolist()) == pytest.approx(best)
+
+
+def test_texts_of_a_batch_become_strings_in_parts():
+    """Not all of a batch at once, and null ones stay."""
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    docs = SimpleNamespace(columns=["doc_id", "text"], schema=None, sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda f, schema: f)
+    text = pa.array(["x " * 250_000, None] * 32)
+    run = op1.find_personal_data(docs, op1.Tagger(), redact=True)
+    tracemalloc.start()
+    out = [x.column(1) for x in run([pa.RecordBatch.from_arrays([pa.array(range(64)), text], ["doc_id", "text"])])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.chunked_array(out).combine_chunks() == text and len(out) > 1
+    assert peak < 14 << 20

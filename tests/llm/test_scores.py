@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -352,6 +353,22 @@ def test_language_inference_matches_brute_force(spark, monkeypatch, dense):
         assert got[i].score == pytest.approx(share, abs=1e-4)
 
 
+def test_arrays_of_a_step_stay_small():
+    """An executor holds those of every worker besides its heap, and workers keep what they once had."""
+    r, n = np.random.default_rng(1), 10_000
+    table = op6.tabled(r.integers(0, 4, n), r.integers(0, 2, n), r.integers(0, op6.CELLS, n), r.integers(1, 50, n), 4)
+    data = np.frombuffer(b"word " * (op6.step_bytes(4) // 5), np.uint8)
+    offsets = np.array([0, len(data)])
+    tracemalloc.start()
+    words = op6.Words(data, offsets, lower=True)
+    logs = op6.word_logs(words, offsets, table)
+    top = logs.max(axis=1)
+    op6.proportions(np.exp(logs - top[:, None]), words.first, top)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
 def test_every_labelled_language_is_learned(spark, monkeypatch):
     """However many there are, and however rare."""
     monkeypatch.setattr(op6, "DENSE", 8)
