@@ -25,6 +25,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE2 = 0xC2B2AE3D27D4EB4F | 1
 #: Bytes of the longest word that is hashed together with others.
 LONG_WORD = 64
+#: Bits of a sieve for each key, and the most that one has; sixty-four of them are a row that is broadcast.
+SIEVE_BITS, SIEVE_MOST = 8, 1 << 24
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
@@ -43,6 +45,23 @@ def fold(column, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sieved(df: DataFrame, key: str, wanted: DataFrame, mark: str) -> DataFrame:
+    """df with a boolean column mark, true for every row whose key is in wanted and for some of the others.
+
+    Rows stay where they are, so that only marked ones need a shuffle; an exact join has to
+    follow.  Each key sets one bit by its hash: with SIEVE_BITS for each, an eighth of the
+    others is marked; beyond SIEVE_MOST bits more are, and what is broadcast grows no
+    further.  wanted, a stored table of one column, is read twice.
+    """
+    word, bits, slot = (fresh(df, c) for c in ("_word", "_bits", "_slot"))
+    slots = min(SIEVE_MOST, SIEVE_BITS * wanted.count() + 64)
+    slot_of = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(slot) % 64).cast("int"))
+    words = wanted.select(slot_of(wanted.columns[0]).alias(slot)).groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(set_bit).alias(bits))
+    placed = df.withColumn(slot, slot_of(key)).withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(words), word, "left")
+    return placed.select(*df.columns, F.coalesce(F.getbit(bits, F.col(slot) % 64) == 1, F.lit(False)).alias(mark))
+
+
 # ---------------------------------------------------------------- hashing
 
 

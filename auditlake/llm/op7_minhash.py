@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import BASE, U64, Words, documents, join_counted, joined, mix, sliding, stored, text_steps
+from auditlake.llm.common import BASE, U64, Words, documents, join_counted, joined, mix, sieved, sliding, stored, text_steps
 from auditlake.llm.components import components
 
 SHINGLE_WORDS, PERCENT = 3, 85
@@ -121,7 +121,7 @@ def pivot_members(posts: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; pairs is a stored table."""
 
     def run(batches):
         for batch in batches:
@@ -133,6 +133,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 whole = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - same
                 yield part.select([0, 1]).filter(pa.array(100 * same >= percent * whole))
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = sieved(texts, "id", ends, "_mark").where("_mark")
     a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -241,6 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     texts = d.withColumnRenamed("id", "rep")
     size = texts.select("rep", F.octet_length("text").alias("bytes"))
     rest = stored(tagged.join(active, ["pivot", "rep"]).join(size, "rep"), "rest")
+    texts = sieved(texts, "rep", rest.select("rep"), "_mark").where("_mark").drop("_mark")
     more = stored(joining_links(blocks(rest, least=2).join(texts, "rep"), width, percent), "more-links")
     final = components(links.union(more))
     of = signs.select("id", *same).join(classes.select(*same, "rep"), same, "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")

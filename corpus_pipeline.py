@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import fresh, shared_path
+from auditlake.llm.common import fresh, join_counted, shared_path, sieved, stored
 from auditlake.llm.op1_pii import find_personal_data, train_tagger
 from auditlake.llm.op4_bpe import encode
 from auditlake.llm.op6_langid import UNKNOWN, learn, predict
@@ -51,18 +51,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows that repeat a doc_id and its text are one document
-    key, kept_id, kept_key, row = (fresh(docs, c) for c in ("_key", "_kept_id", "_kept_key", "_row"))
+    key, kept_id, kept_key, row, mark = (fresh(docs, c) for c in ("_key", "_kept_id", "_kept_key", "_row", "_mark"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, PERCENT)
     found = found.select(F.col("doc_id").alias(key), "component_id").distinct()
+    each = stored(keyed.groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("copies")).join(found, key), "each")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
-    least = keyed.select("doc_id", key).distinct().join(found, key).groupBy("component_id").agg(F.min(order).alias("x"))
-    kept = least.select(F.col("x.doc_id").alias(kept_id), F.col("x.key").alias(kept_key))
+    least = each.groupBy("component_id").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"))
+    kept = stored(least.select("component_id", F.col("x.doc_id").alias(kept_id), F.col("x.key").alias(kept_key), "n", "rows"), "kept")
     same = (F.col(key) == F.col(kept_key)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    # only documents that go, or that have several rows, are joined with those kept; all others stay where they lie
+    judged = join_counted(each, kept.where("rows > 1"), ["component_id"], "n").where(~same | (F.col("copies") > 1))
+    marked = sieved(keyed, key, stored(judged.select(key), "judged"), mark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     first = F.to_json(F.struct(*others)) if others else F.lit("")
-    picked = keyed.join(kept, same, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), first).alias(row))
-    return picked.select(f"{row}.*")
+    picked = marked.where(mark).join(kept.select(kept_id, kept_key), same, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), first).alias(row))
+    return marked.where(~F.col(mark)).select(*docs.columns).union(picked.select(f"{row}.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import SCHEMA, by_id, frame, linked_components, prose, rows, shingles, windows_removed
+from pyspark.sql import functions as F
 
+from auditlake.llm import common
 from auditlake.llm import op2_substrings as op2
 from auditlake.llm import op7_minhash as op7
 from auditlake.llm.common import Words, sliding
@@ -95,6 +97,18 @@ def test_near_duplicates_of_a_large_group(spark):
     assert 1 < len(set(want.values())) < 400
 
 
+def test_sieve_marks_every_wanted_row_and_few_others(spark):
+    df = spark.range(20000).select("id", F.lit("clash").alias("_word"), F.lit("clash").alias("_Slot"))
+    wanted = spark.range(0, 20000, 40).union(spark.range(0, 200, 40)).withColumnRenamed("id", "x")
+    got = common.sieved(df, "id", wanted, "hit")
+    assert got.columns == [*df.columns, "hit"]
+    hit = {r.id: r.hit for r in got.collect()}
+    assert len(hit) == got.count() == 20000
+    assert all(hit[k] for k in range(0, 20000, 40))
+    assert sum(hit.values()) < 0.2 * 20000
+    assert not any(r.hit for r in common.sieved(df, "id", wanted.limit(0), "hit").collect())
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 103), (103, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -1,5 +1,6 @@
 import importlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -7,9 +8,9 @@ from helpers import SCHEMA, frame, linked_components, prose, rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from auditlake.llm import common, queries
 from auditlake.llm import op1_pii as op1
 from auditlake.llm import op6_langid as op6
-from auditlake.llm import queries
 
 TRAINED = []
 
@@ -53,6 +54,40 @@ def test_different_texts_of_one_doc_id_stay(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])
 
 
+def shuffled(spark):
+    """Bytes that all shuffles so far have written."""
+    time.sleep(0.5)
+    spark.range(1).count()  # the end of a task brings the sums up to date
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_texts_without_copies_are_not_shuffled(spark, without_broadcast, tmp_path):
+    rnd = random.Random(31)
+    data = [(k, prose(rnd, 2500, "abcdefghijklmnopqrstuvwxyz0123456789"), "en", "s", 1) for k in range(400)]
+    data += [(500 + k, data[k][1] + " more", "en", "s", 1) for k in range(0, 20, 2)] + [(600, data[1][1], "en", "s", 1), data[3]]
+    spark.createDataFrame(data, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents"))
+    before = shuffled(spark)
+    cp.near_duplicate(spark, spark.read.parquet(str(tmp_path / "documents")), "").write.parquet(str(tmp_path / "kept"))
+    moved = shuffled(spark) - before
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == list(range(400))
+    assert moved < sum(len(t) for _, t, *_ in data)
+
+
+@pytest.mark.parametrize("most", [64, 256])
+def test_a_full_sieve_changes_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SIEVE_MOST", most)
+    rnd = random.Random(32)
+    data = [(k, prose(rnd, 30), "en", "s", 1) for k in range(300)]
+    data += [(300 + k, data[k % 40][1] + " x" * (k % 3), "en", "s", 1) for k in range(200)] + data[:50] + [(None, data[7][1], "en", "s", 1), (None, data[8][1] + " x y z 1 2 3 4", "en", "s", 1)]
+    got = sorted(-1 if r.doc_id is None else r.doc_id for r in cp.near_duplicate(spark, frame(spark, data), "").collect())
+    want = linked_components([(k, t) for k, (_, t, *_) in enumerate(sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0)))], cp.SHINGLE_WORDS, cp.PERCENT)
+    ids = [r[0] for r in sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0))]
+    assert got == sorted(-1 if ids[k] is None else ids[k] for k, c in want.items() if k == c)
+
+
 def test_empty_table(spark, one_tagger):
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in cp.STAGES:
