@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.rounding import round_exact
+from auditlake.functions.sums import mean_and_deviation, pieces
 from auditlake.schemas import FAIL, PASS, PASS_FROM, REVIEW, REVIEW_FROM, SINGLE_MARGIN, Z_95
 
 
@@ -43,9 +44,19 @@ def report(results: DataFrame, title: str | None = None, by: tuple[str, ...] = (
     """One row (or one for each value of `by`): counts, overall score, result, interval and summary.
 
     results: passed, score; rows with a null score only keep an empty run in a grouping.
+    The order of the rows has no part in it, unless a score is not from 0 to 100.
     """
     n = F.count("score")
-    got = results.groupBy(*by).agg(n.alias("documents_processed"), F.count_if(F.col("passed") & F.col("score").isNotNull()).alias("documents_passed"), F.avg("score").alias("_mean"), F.stddev_samp("score").alias("_deviation"))
+    parts = ("_a", "_b", "_c")
+    mean, deviation = mean_and_deviation(*map(F.col, parts))
+    plain = F.count("_a") == n
+    cut = results.select(*by, "passed", "score", *[p.alias(c) for p, c in zip(pieces(F.col("score")), parts, strict=True)])
+    got = cut.groupBy(*by).agg(
+        n.alias("documents_processed"),
+        F.count_if(F.col("passed") & F.col("score").isNotNull()).alias("documents_passed"),
+        F.when(plain, mean).otherwise(F.avg("score")).alias("_mean"),
+        F.when(plain, deviation).otherwise(F.stddev_samp("score")).alias("_deviation"),
+    )
     return summarised(got, title, by)
 
 

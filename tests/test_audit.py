@@ -1,6 +1,10 @@
 """Scoring, replies, checklists, folders and whole audits on literal cases."""
 
 import json
+import math
+import random
+from fractions import Fraction
+from itertools import permutations
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,8 +12,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditlake.functions.replies import decode_replies
+from auditlake.functions.sums import mean_and_deviation, pieces
 from auditlake.operators.checklist import parse_checklist, with_rule
-from auditlake.operators.report import as_json, result_label
+from auditlake.operators.report import as_json, displayed, result_label
 from auditlake.operators.rules import missing_attachments, number_gaps
 from auditlake.operators.scoring import document_scores, report
 from auditlake.plans.audit import run_audit
@@ -52,6 +57,41 @@ def test_report_ignores_partitions(spark):
     assert len({report(d.repartition(n)).first() for n in (1, 4, 32)}) == 1
 
 
+def test_a_report_is_the_same_however_its_rows_are_parted(spark):
+    # the lower end of 50, 50, 56.5 and 80 is 45.155 but for the last bits, which a sum of doubles has from its order
+    rows = [(f"{p} {cut}", s >= 50, s, k < cut) for p in set(permutations([50.0, 50.0, 56.5, 80.0])) for cut in (1, 2, 3) for k, s in enumerate(p)]
+    halves = spark.sparkContext.parallelize(sorted(rows, key=lambda r: not r[3]), 2)  # as many first rows as others
+    d = spark.createDataFrame(halves, "run string, passed boolean, score double, first boolean")
+    assert d.where("first").select(F.spark_partition_id().alias("p")).distinct().count() == d.where("NOT first").select(F.spark_partition_id().alias("p")).distinct().count() == 1
+    got = displayed(report(d, "T", ("run",))).select("overall_score", "lower", "upper", "shown_interval").collect()
+    assert len(got) == 36
+    assert {tuple(r) for r in got} == {(59.12, 45.16, 73.08, "45.2 - 73.1")}
+
+
+def test_mean_and_deviation_equal_the_exact_ones(spark):
+    rnd = random.Random(7)
+    third = 100 / 3
+    runs = [[rnd.uniform(0, 100) for _ in range(rnd.randint(1, 9))] for _ in range(60)] + [[rnd.randrange(401) / 4 for _ in range(rnd.randint(2, 9))] for _ in range(60)]
+    runs += [[third] * 7, [third, math.nextafter(third, 0)], [85.8, 85.55], [0.005], [0.0, 0.0], [100.0] * 5, [100.0, 0.0], [1e-9, 99.0, 1e-320], [rnd.choice([third, 200 / 3, 100.0]) for _ in range(3000)]]
+    d = spark.createDataFrame([(k, True, x) for k, run in enumerate(runs) for x in run], "run int, passed boolean, score double")
+    rows = [{r.run: (r.mean, r.deviation) for r in e.select("run", *(p.alias(c) for c, p in zip("abc", pieces(F.col("score")), strict=True))).groupBy("run").agg(*(x.alias(c) for c, x in zip(("mean", "deviation"), mean_and_deviation(*map(F.col, "abc")), strict=True))).collect()} for e in (d, d.repartition(7), d.orderBy("score"))]
+    assert rows[0] == rows[1] == rows[2]
+    for k, run in enumerate(runs):
+        xs, (mean, deviation) = [Fraction(x) for x in run], rows[0][k]
+        exact = sum(xs) / len(xs)
+        assert abs(mean - float(exact)) <= math.ulp(float(exact)) or float(exact) < 1e-9
+        if len(xs) == 1:
+            assert deviation is None
+        else:
+            squared = sum((x - exact) ** 2 for x in xs) / (len(xs) - 1)
+            assert abs(deviation - math.sqrt(squared)) <= max(2 * math.ulp(deviation), 1e-14)
+
+
+def test_scores_beyond_100_are_still_reported(spark):
+    assert scored(spark, [150, 50]).overall_score == 100.0
+    assert scored(spark, [-10, 30]).lower == 0.0
+
+
 def test_mandatory_failure_fails_the_document(spark):
     rows = [("a", "R1", True, True), ("a", "R2", False, False), ("b", "R1", True, False), ("b", "R2", False, True)]
     got = {r.doc_key: (r.passed, r.score) for r in document_scores(spark.createDataFrame(rows, "doc_key string, rule_id string, mandatory boolean, complies boolean")).collect()}
